@@ -37,10 +37,15 @@ def valid_doi(col: Column) -> Column:
     return F.coalesce(col.rlike(S.DOI_PATTERN), F.lit(False))
 
 
+# Accepted date text: four-digit year, month and day with or without zero
+# padding (a day may also be padded with one blank), and a real calendar day.
+DATE_TEXT = r"^\d{4}-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])$"
+
+
 def valid_iso_date(col: Column) -> Column:
-    """True for a real calendar date written YYYY-MM-DD."""
+    """True for a real calendar date written year-month-day."""
     return F.coalesce(
-        col.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(col, F.lit("yyyy-MM-dd")).isNotNull(),
+        col.rlike(DATE_TEXT) & F.try_to_timestamp(F.replace(col, F.lit(" "), F.lit("")), F.lit("yyyy-M-d")).isNotNull(),
         F.lit(False),
     )
 

@@ -207,3 +207,148 @@ _COUNT_TREE = QP.build("of the", SEED)
 def q_search_count(spark, sf_dir):
     c = ctx(spark, sf_dir)
     return SE.search_count(c.index, c.papers, "of the", category="src4", before="2024-10-31", lookup=SEED)
+
+
+# -- filters, projections, lookups ---------------------------------------------------
+
+_FILTER_COLS = ("doi", "title", "date", "category", "server")
+
+
+def _filtered(spark, sf_dir, **kw) -> DataFrame:
+    return papers(spark, sf_dir).where(SE.filter_column(**kw)).select(*_FILTER_COLS)
+
+
+def _filtered_sql(**kw) -> str:
+    return f"SELECT {', '.join(_FILTER_COLS)} FROM ({O.PAPERS}) WHERE {O.filter_sql(**kw)}"
+
+
+def register_filter(name: str, **kw):
+    @register(name, _filtered_sql(**kw))
+    def _q(spark, sf_dir, _kw=kw):
+        return _filtered(spark, sf_dir, **_kw)
+
+
+register_filter("filter_category", category=" SRC7")
+register_filter("filter_category_in", category=["src1", "SRC2 ", " src3"])
+register_filter("filter_after", after="2024-06-01")
+register_filter("filter_before", before="2024-03-15")
+register_filter("filter_all", category=["src4", "src5", "src6"], after="2024-02-10", before="2024-11-30")
+
+
+@register(
+    "browse",
+    f"SELECT doi, title, {O.COMPACT_AUTHORS} AS authors, date, category, server FROM ({O.PAPERS}) "
+    f"WHERE {O.filter_sql(category='src5', after='2024-03-01')} ORDER BY date DESC, doi LIMIT 30",
+)
+def q_browse(spark, sf_dir):
+    return SE.browse(papers(spark, sf_dir), 30, category="src5", after="2024-03-01")
+
+
+# Bulk point lookup: the DOIs of the labelled documents (some have no paper
+# when the label table covers ids outside the corpus).
+_LABEL_DOIS_SQL = "SELECT DISTINCT '10.1101/' || lpad(doc_id::varchar, 7, '0') AS doi FROM labels"
+
+
+@register(
+    "get_paper",
+    f"SELECT {', '.join(S.PAPER_FIELDS)} FROM ({O.PAPERS}) WHERE doi IN ({_LABEL_DOIS_SQL})",
+)
+def q_get_paper(spark, sf_dir):
+    from quire.sources.tables import read_table
+
+    dois = read_table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("10.1101/"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("doi")
+    )
+    return SE.get_papers(papers(spark, sf_dir), dois)
+
+
+@register("compact_authors", f"SELECT doi, authors AS authors_full, {O.COMPACT_AUTHORS} AS authors FROM ({O.PAPERS})")
+def q_compact_authors(spark, sf_dir):
+    from quire.functions.normalize import compact_authors
+
+    p = papers(spark, sf_dir)
+    return p.select("doi", F.col("authors").alias("authors_full"), compact_authors(F.col("authors")).alias("authors"))
+
+
+@register("norm_category", f"SELECT doi, category AS raw, lower(trim(category)) AS category FROM ({O.PAPER_VIEW})")
+def q_norm_category(spark, sf_dir):
+    from quire.functions.normalize import norm_category
+
+    p = paper_view(spark, sf_dir)
+    return p.select("doi", F.col("category").alias("raw"), norm_category(F.col("category")).alias("category"))
+
+
+# DOI strings to check: every paper DOI, the same with a too-short registrant
+# code, and every page URL.
+_DOI_CANDIDATES_SQL = f"""
+SELECT doi AS s FROM ({O.PAPER_VIEW})
+UNION ALL SELECT replace(doi, '10.1101/', '10.11/') FROM ({O.PAPER_VIEW})
+UNION ALL SELECT url FROM pages
+"""
+
+
+@register(
+    "valid_doi",
+    f"SELECT s, coalesce(regexp_full_match(s, '{S.DOI_PATTERN[1:-1]}'), false) AS valid FROM ({_DOI_CANDIDATES_SQL})",
+)
+def q_valid_doi(spark, sf_dir):
+    from quire.functions.normalize import valid_doi
+    from quire.sources.tables import read_table
+
+    pv = paper_view(spark, sf_dir)
+    cands = (
+        pv.select(F.col("doi").alias("s"))
+        .unionByName(pv.select(F.replace("doi", F.lit("10.1101/"), F.lit("10.11/")).alias("s")))
+        .unionByName(read_table(spark, sf_dir, "pages").select(F.col("url").alias("s")))
+    )
+    return cands.select("s", valid_doi(F.col("s")).alias("valid"))
+
+
+# Date strings to check: paper dates, the same with an impossible day, and
+# event days written without zero padding.
+_DATE_CANDIDATES_SQL = f"""
+SELECT date AS s FROM ({O.PAPER_VIEW})
+UNION ALL SELECT substr(date, 1, 8) || '3' || substr(date, 10, 1) FROM ({O.PAPER_VIEW})
+UNION ALL SELECT strftime(ts, '%Y-%-m-%-d') FROM events
+"""
+
+from quire.functions.normalize import DATE_TEXT as _DATE_RE  # noqa: E402
+
+
+@register(
+    "valid_date",
+    f"SELECT s, coalesce(regexp_full_match(s, '{_DATE_RE[1:-1]}') "
+    f"AND try_strptime(replace(s, ' ', ''), '%Y-%m-%d') IS NOT NULL, false) AS valid FROM ({_DATE_CANDIDATES_SQL})",
+)
+def q_valid_date(spark, sf_dir):
+    from quire.functions.normalize import valid_iso_date
+    from quire.sources.tables import read_table
+
+    pv = paper_view(spark, sf_dir)
+    ev = read_table(spark, sf_dir, "events")
+    cands = (
+        pv.select(F.col("date").alias("s"))
+        .unionByName(pv.select(F.concat(F.substring("date", 1, 8), F.lit("3"), F.substring("date", 10, 1)).alias("s")))
+        .unionByName(ev.select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-M-d").alias("s")))
+    )
+    return cands.select("s", valid_iso_date(F.col("s")).alias("valid"))
+
+
+# -- aggregates -------------------------------------------------------------------------
+
+
+@register(
+    "category_counts",
+    f"SELECT lower(trim(category)) AS category, count(*) AS count FROM ({O.PAPERS}) GROUP BY 1",
+)
+def q_category_counts(spark, sf_dir):
+    from quire.operators.aggregates import category_counts
+
+    return category_counts(papers(spark, sf_dir))
+
+
+@register("paper_count", f"SELECT count(*) AS paper_count FROM ({O.PAPERS})")
+def q_paper_count(spark, sf_dir):
+    from quire.operators.aggregates import paper_count
+
+    return paper_count(papers(spark, sf_dir))
