@@ -352,3 +352,153 @@ def q_paper_count(spark, sf_dir):
     from quire.operators.aggregates import paper_count
 
     return paper_count(papers(spark, sf_dir))
+
+
+# -- upsert, index maintenance, sync --------------------------------------------------
+
+from quire.operators import upsert as U  # noqa: E402
+from quire.operators.order import positions  # noqa: E402
+from quire.plans import sync as SY  # noqa: E402
+
+# Sync runs over the paper view use this as "today".
+TODAY = "2024-12-31"
+
+_BATCH_SQL = f"SELECT * REPLACE ('10.1101/' || lpad((arrival // 2)::varchar, 7, '0') AS doi) FROM ({O.PAPER_VIEW})"
+_VERSION_SQL = "coalesce(TRY_CAST(trim(version) AS INTEGER), 0)"
+_FIELDS_SQL = ", ".join("lower(trim(category)) AS category" if c == "category" else c for c in S.PAPER_FIELDS)
+_DEDUP_SQL = f"""
+SELECT {_FIELDS_SQL} FROM (
+  SELECT *, row_number() OVER (PARTITION BY doi ORDER BY {_VERSION_SQL} DESC, arrival ASC) AS rn FROM ({_BATCH_SQL})
+) WHERE rn = 1
+"""
+
+
+def colliding_batch(spark, sf_dir) -> DataFrame:
+    """The paper view re-keyed so that documents 2k and 2k+1 share a DOI."""
+    pv = paper_view(spark, sf_dir)
+    return pv.withColumn(
+        "doi", F.concat(F.lit("10.1101/"), F.lpad((F.col("arrival") / 2).cast("long").cast("string"), 7, "0"))
+    )
+
+
+@register("dedup_latest", _DEDUP_SQL)
+def q_dedup_latest(spark, sf_dir):
+    return U.dedup_latest(colliding_batch(spark, sf_dir))
+
+
+_MERGED_SQL = f"""
+SELECT {', '.join(S.PAPER_FIELDS)} FROM ({O.PAPERS}) WHERE doi NOT IN (SELECT doi FROM ({_DEDUP_SQL}))
+UNION ALL SELECT {', '.join(S.PAPER_FIELDS)} FROM ({_DEDUP_SQL})
+"""
+
+
+@register("upsert_merge", f"SELECT doi, title, version, date, category FROM ({_MERGED_SQL})")
+def q_upsert_merge(spark, sf_dir):
+    merged = U.upsert(papers(spark, sf_dir), colliding_batch(spark, sf_dir))
+    return merged.select("doi", "title", "version", "date", "category")
+
+
+@register(
+    "index_upsert",
+    f"SELECT tok AS token, doi, fi - 1 AS field, pos - 1 AS pos FROM ("
+    f"SELECT doi, fi, unnest(f[fi]) AS tok, unnest(range(1, len(f[fi]) + 1)) AS pos FROM ("
+    f"SELECT doi, [{', '.join(O.tok(f) for f in S.INDEX_FIELDS)}] AS f FROM ({_MERGED_SQL})) t, "
+    f"range(1, {len(S.INDEX_FIELDS) + 1}) r(fi))",
+)
+def q_index_upsert(spark, sf_dir):
+    c = ctx(spark, sf_dir)
+    incoming = U.dedup_latest(colliding_batch(spark, sf_dir))
+    post = U.index_upsert(c.index.postings, incoming)
+    return post.select("token", "doi", F.col("field").cast("long").alias("field"), F.col("pos").cast("long").alias("pos"))
+
+
+_TOXIC_DOIS_SQL = "SELECT '10.1101/' || lpad(doc_id::varchar, 7, '0') AS doi FROM labels WHERE toxic = 1"
+
+
+@register(
+    "index_delete",
+    f"SELECT token, doi, field, pos FROM ({POSTINGS_SQL}) WHERE doi NOT IN ({_TOXIC_DOIS_SQL})",
+)
+def q_index_delete(spark, sf_dir):
+    from quire.sources.tables import read_table
+
+    c = ctx(spark, sf_dir)
+    toxic = read_table(spark, sf_dir, "labels").where("toxic = 1").select(
+        F.concat(F.lit("10.1101/"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("doi")
+    )
+    post = U.index_delete(c.index.postings, toxic)
+    return post.select("token", "doi", F.col("field").cast("long").alias("field"), F.col("pos").cast("long").alias("pos"))
+
+
+def api_records(df: DataFrame, today: str, cursor: str | None = None) -> DataFrame:
+    """Records as the catalogue delivers them: window, page cursor and index
+    in page, pages of 100 ordered by arrival inside (server, window)."""
+    recs = df.withColumn("w", SY.window_of(F.col("date"), today, cursor)).where(F.col("w").isNotNull())
+    recs = positions(recs, ["server", "w"], ["arrival", "doi"], "p")
+    return recs.withColumn("cursor", (F.floor(F.col("p") / S.PAGE_SIZE) * S.PAGE_SIZE).cast("int")).withColumn(
+        "idx", (F.col("p") % S.PAGE_SIZE).cast("int")
+    ).drop("p")
+
+
+_W_SQL = f"floor(date_diff('day', DATE '{S.SYNC_EPOCH}', TRY_CAST(date AS DATE)) / {S.WINDOW_DAYS})::INTEGER"
+_WINDOW_COUNTS_SQL = f"""
+SELECT strftime(DATE '{S.SYNC_EPOCH}' + ({S.WINDOW_DAYS} * w)::INTEGER, '%Y-%m-%d') AS window_start,
+       strftime(least(DATE '{S.SYNC_EPOCH}' + ({S.WINDOW_DAYS} * w + {S.WINDOW_DAYS - 1})::INTEGER, DATE '{TODAY}'), '%Y-%m-%d') AS window_end,
+       server, count(DISTINCT doi) AS count
+FROM (SELECT {_W_SQL} AS w, server, doi FROM ({O.PAPER_VIEW})
+      WHERE TRY_CAST(date AS DATE) BETWEEN DATE '{S.SYNC_EPOCH}' AND DATE '{TODAY}')
+GROUP BY w, server
+"""
+
+
+@register("window_counts", _WINDOW_COUNTS_SQL)
+def q_window_counts(spark, sf_dir):
+    recs = api_records(paper_view(spark, sf_dir), TODAY)
+    _, _, counts = SY.bulk_sync(papers(spark, sf_dir).limit(0), recs, U.empty_state(spark), TODAY)
+    plan = SY.window_plan(spark, TODAY)
+    return counts.join(plan, "w").select("window_start", "window_end", "server", "count")
+
+
+RESUME_CURSOR = "2024-03-31"
+
+
+@register(
+    "bulk_sync_result",
+    f"SELECT count(DISTINCT doi) AS paper_count, '{TODAY}' AS last_sync_date, NULL::VARCHAR AS bulk_sync_cursor "
+    f"FROM ({O.PAPER_VIEW}) WHERE date >= '2024-04-01' AND date <= '{TODAY}'",
+)
+def q_bulk_sync_result(spark, sf_dir):
+    """Resumed bulk run: the cursor says everything up to RESUME_CURSOR is in."""
+    state = U.state_set(U.empty_state(spark), S.STATE_BULK_CURSOR, RESUME_CURSOR)
+    recs = api_records(paper_view(spark, sf_dir), TODAY, RESUME_CURSOR)
+    table, new_state, _ = SY.bulk_sync(papers(spark, sf_dir).limit(0), recs, state, TODAY)
+    st = new_state.agg(
+        F.max(F.when(F.col("key") == S.STATE_LAST_SYNC, F.col("value"))).alias("last_sync_date"),
+        F.max(F.when(F.col("key") == S.STATE_BULK_CURSOR, F.col("value"))).alias("bulk_sync_cursor"),
+    )
+    return table.agg(F.count(F.lit(1)).alias("paper_count")).join(st, how="inner", on=F.lit(True))
+
+
+LAST_SYNC = "2024-10-01"
+_DELTA_SQL = f"""
+WITH b AS (SELECT * FROM ({_BATCH_SQL}) WHERE date >= '{LAST_SYNC}' AND date <= '{TODAY}'),
+pick AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY
+      CASE server WHEN 'biorxiv' THEN 1 WHEN 'medrxiv' THEN 2 ELSE 3 END DESC,
+      {_VERSION_SQL} DESC, arrival ASC) AS rn FROM b) WHERE rn = 1
+)
+SELECT doi, title, version, date, category FROM ({O.PAPERS}) WHERE doi NOT IN (SELECT doi FROM pick)
+UNION ALL SELECT doi, title, version, date, lower(trim(category)) FROM pick
+"""
+
+
+@register("delta_upsert", _DELTA_SQL)
+def q_delta_upsert(spark, sf_dir):
+    state = U.state_set(U.empty_state(spark), S.STATE_LAST_SYNC, LAST_SYNC)
+    b = colliding_batch(spark, sf_dir).where((F.col("date") >= LAST_SYNC) & (F.col("date") <= TODAY))
+    recs = positions(b.withColumn("w", F.lit(0)), ["server"], ["arrival", "doi"], "p")
+    recs = recs.withColumn("cursor", (F.floor(F.col("p") / S.PAGE_SIZE) * S.PAGE_SIZE).cast("int")).withColumn(
+        "idx", (F.col("p") % S.PAGE_SIZE).cast("int")
+    )
+    table, _, _ = SY.delta_sync(papers(spark, sf_dir), recs, state, TODAY)
+    return table.select("doi", "title", "version", "date", "category")
