@@ -47,13 +47,14 @@ def seed_records(spark: SparkSession) -> DataFrame:
 
 
 def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per document source: the distinct short titles (1-3 words)
-    of that source's documents, lower-cased."""
-    docs = read_table(spark, sf_dir, "documents")
-    title = F.lower(F.trim(F.substring_index(F.col("text"), ".", 1)))
-    n_words = F.size(tokens(title))
+    """One record per conversation: the distinct short openings (first
+    sentence, 1-3 words) of its turns, lower-cased. Record size is bounded by
+    the length of a conversation."""
+    conv = read_table(spark, sf_dir, "conversations")
+    opening = F.lower(F.trim(F.substring_index(F.col("text"), ".", 1)))
+    n_words = F.size(tokens(opening))
     return (
-        docs.select(F.concat(F.lit("src:"), F.col("source")).alias("record_id"), title.alias("term"))
+        conv.select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("record_id"), opening.alias("term"))
         .where((n_words >= 1) & (n_words <= DERIVED_TERM_WORDS))
         .distinct()
     )

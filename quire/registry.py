@@ -502,3 +502,56 @@ def q_delta_upsert(spark, sf_dir):
     )
     table, _, _ = SY.delta_sync(papers(spark, sf_dir), recs, state, TODAY)
     return table.select("doi", "title", "version", "date", "category")
+
+
+# -- thesaurus, saved queries ---------------------------------------------------------
+
+from quire.operators import batch as BA  # noqa: E402
+from quire.sources.tables import read_table  # noqa: E402
+
+
+def saved_queries(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+@register(
+    "prepare_queries",
+    f"""
+SELECT qid, mode, wpos - 1 AS wpos, word FROM (
+  SELECT qid, words,
+    CASE WHEN text LIKE '%"%' OR len(list_filter(words, lambda w: NOT starts_with(w, '"') AND w IN ('AND', 'OR', 'NOT'))) > 0 THEN 'operator'
+         WHEN len(words) = 0 THEN 'empty'
+         WHEN len(list_filter(words, lambda w: NOT starts_with(w, '"') AND upper(w) IN ('AND', 'OR', 'NOT', 'NEAR'))) > 0 THEN 'plain'
+         ELSE 'keyword' END AS mode,
+    unnest(words) AS word, unnest(range(1, len(words) + 1)) AS wpos
+  FROM (SELECT item_id AS qid, text, flatten(list_transform(list_filter(string_split_regex(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda r: r <> ''),
+      lambda raw: CASE WHEN contains(raw, '-') AND len(regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+')) > 1
+                       THEN ['"' || array_to_string(regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+'), ' ') || '"']
+                       ELSE regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+') END)) AS words
+        FROM benchmark))
+""",
+)
+def q_prepare_queries(spark, sf_dir):
+    return BA.prepare(saved_queries(spark, sf_dir)).select(
+        "qid", "mode", F.col("wpos").cast("long").alias("wpos"), "word"
+    )
+
+
+def thesaurus(spark, sf_dir) -> DataFrame:
+    return TH.catalogue_thesaurus(spark, sf_dir)
+
+
+@register("batch_search")
+def q_batch_search(spark, sf_dir):
+    """Top 10 per saved query, thesaurus expansion on; checked against the
+    single-query path on a fixture (tests/test_batch.py)."""
+    c = ctx(spark, sf_dir)
+    return BA.batch_search(c.index, saved_queries(spark, sf_dir), thesaurus(spark, sf_dir), k=10)
+
+
+@register("zero_hit_queries")
+def q_zero_hit_queries(spark, sf_dir):
+    c = ctx(spark, sf_dir)
+    qs = saved_queries(spark, sf_dir)
+    hits = BA.batch_search(c.index, qs, thesaurus(spark, sf_dir), k=10)
+    return BA.zero_hits(qs, hits, c.papers)
