@@ -555,3 +555,306 @@ def q_zero_hit_queries(spark, sf_dir):
     qs = saved_queries(spark, sf_dir)
     hits = BA.batch_search(c.index, qs, thesaurus(spark, sf_dir), k=10)
     return BA.zero_hits(qs, hits, c.papers)
+
+
+# Thesaurus SQL: seed groups plus conversation openings (1-3 tokens).
+_SEED_SQL = " UNION ALL ".join(f"SELECT 'seed:{r}' AS record_id, {O.q(t)} AS term" for r, t in TH.SEED_GROUPS)
+_RECORDS_SQL = f"""
+SELECT DISTINCT record_id, lower(term) AS term FROM (
+  {_SEED_SQL}
+  UNION ALL
+  SELECT 'conv:' || conv_id::varchar AS record_id, lower(trim(split_part(text, '.', 1))) AS term
+  FROM conversations
+  WHERE len({O.tok("lower(trim(split_part(text, '.', 1)))")}) BETWEEN 1 AND {TH.DERIVED_TERM_WORDS}
+) WHERE term IS NOT NULL AND term <> ''
+"""
+_TERM_RECORDS_SQL = f"""
+SELECT r.term, r.record_id, s.record_size FROM ({_RECORDS_SQL}) r
+JOIN (SELECT record_id, count(*) AS record_size FROM ({_RECORDS_SQL}) GROUP BY record_id HAVING count(*) >= 2) s USING (record_id)
+"""
+
+
+@register("synonym_map", _TERM_RECORDS_SQL)
+def q_synonym_map(spark, sf_dir):
+    return TH.term_records(thesaurus(spark, sf_dir))
+
+
+@register(
+    "expand_terms",
+    f"""
+SELECT term, syn, rank FROM (
+  SELECT term, syn, row_number() OVER (PARTITION BY term ORDER BY length(syn), syn) AS rank FROM (
+    SELECT DISTINCT a.term, b.term AS syn FROM ({_TERM_RECORDS_SQL}) a JOIN ({_RECORDS_SQL}) b USING (record_id)
+    WHERE a.term <> b.term AND length(b.term) BETWEEN {S.SYN_MIN_LEN} AND {S.SYN_MAX_LEN}))
+WHERE rank <= {S.EXPAND_DEFAULT}
+""",
+)
+def q_expand_terms(spark, sf_dir):
+    return TH.expand(thesaurus(spark, sf_dir), None, S.EXPAND_DEFAULT).select(
+        "term", "syn", F.col("rank").cast("long").alias("rank")
+    )
+
+
+@register(
+    "is_term",
+    f"""
+SELECT t.token AS term, t.df, (k.term IS NOT NULL) AS is_term
+FROM (SELECT token, count(DISTINCT doi) AS df FROM ({POSTINGS_SQL}) GROUP BY token) t
+LEFT JOIN (SELECT DISTINCT term FROM ({_TERM_RECORDS_SQL})) k ON lower(t.token) = k.term
+""",
+)
+def q_is_term(spark, sf_dir):
+    """Which indexed tokens are thesaurus terms."""
+    terms = ctx(spark, sf_dir).index.terms.select(F.col("token").alias("term"), "df")
+    return TH.is_term(thesaurus(spark, sf_dir), terms, "term")
+
+
+@register("group_phrases")
+def q_group_phrases(spark, sf_dir):
+    """Greedy thesaurus phrase grouping of every saved query's words
+    (checked against the driver-side rule in tests/test_thesaurus.py)."""
+    qs = saved_queries(spark, sf_dir)
+    return TH.group_phrases(thesaurus(spark, sf_dir), qs, "qid", TH.query_words(F.col("text")))
+
+
+@register("annotate_docs")
+def q_annotate_docs(spark, sf_dir):
+    """Thesaurus terms found in every indexed paper, with counts (checked
+    against the phrase matcher in tests/test_thesaurus.py)."""
+    return TH.annotate_docs(thesaurus(spark, sf_dir), ctx(spark, sf_dir).index)
+
+
+@register("xml_terms", _RECORDS_SQL)
+def q_xml_terms(spark, sf_dir):
+    """The thesaurus written as descriptor XML and read back with the XML
+    reader (record id, term)."""
+    from quire.sources.thesaurus_xml import read_descriptor_xml, write_descriptor_xml
+    from quire.session import new_table_path
+
+    path = new_table_path(spark, "thesaurus-xml")
+    write_descriptor_xml(thesaurus(spark, sf_dir), path)
+    return TH.normalise_records(read_descriptor_xml(spark, path))
+
+
+# -- access log -------------------------------------------------------------------------
+
+from quire.operators import access as AC  # noqa: E402
+
+# Limiter settings of the logged service for the throttle queries: one
+# request per six hours with a burst of three (the defaults, 1/s and 60,
+# never bind on this log).
+THROTTLE_RATE = 1.0 / 21600.0
+THROTTLE_BURST = 3
+
+_PATH_SQL = (
+    "CASE event_type WHEN 'view' THEN '/api/search' WHEN 'click' THEN '/api/paper' WHEN 'purchase' THEN '/api/pdf' "
+    "WHEN 'signup' THEN '/api/status' ELSE '/health' END"
+)
+_AUTH_SQL = (
+    "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'Bearer wrong' || user_id::VARCHAR "
+    "WHEN event_id % 17 = 0 THEN 'Basic dXNlcg==' WHEN event_id % 19 = 0 THEN 'bearer   tok' || user_id::VARCHAR || ' ' "
+    "ELSE 'Bearer tok' || user_id::VARCHAR END"
+)
+_KEYS_SQL = """
+SELECT sha256('tok' || user_id::VARCHAR) AS hash, 'user-' || user_id::VARCHAR AS label,
+       (user_id % 10 = 0) AS unlimited, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS created_at
+FROM events GROUP BY user_id HAVING user_id % 7 <> 0
+"""
+_RK_SQL = f"""
+SELECT r.event_id, r.ts, r.path, r.auth, k.label, k.unlimited, substr(k.hash, 1, 8) AS key_id,
+       CASE WHEN r.path IN ('/', '/health') THEN 200
+            WHEN NOT starts_with(lower(r.auth), 'bearer ') THEN 401
+            WHEN k.label IS NULL THEN 403 END AS pre
+FROM (SELECT event_id, ts, {_PATH_SQL} AS path, {_AUTH_SQL} AS auth FROM events) r
+LEFT JOIN ({_KEYS_SQL}) k
+  ON k.hash = CASE WHEN starts_with(lower(r.auth), 'bearer ') THEN sha256(trim(substr(r.auth, 8))) END
+"""
+
+
+def _bucket_sql(rate: float, burst: float) -> str:
+    R, B = f"{rate!r}::DOUBLE", f"{float(burst)!r}::DOUBLE"
+    return f"""
+WITH RECURSIVE lim AS (
+  SELECT key_id, event_id, epoch_us(ts) AS ts_us,
+         row_number() OVER (PARTITION BY key_id ORDER BY epoch_us(ts), event_id) AS rn
+  FROM ({_RK_SQL}) WHERE pre IS NULL AND NOT unlimited
+), walk AS (
+  SELECT key_id, rn, event_id, ts_us, least({B}, {B} + 0.0::DOUBLE * {R}) AS tb FROM lim WHERE rn = 1
+  UNION ALL
+  SELECT e.key_id, e.rn, e.event_id, e.ts_us,
+         least({B}, (CASE WHEN w.tb >= 1 THEN w.tb - 1 ELSE w.tb END)
+                    + ((e.ts_us - w.ts_us)::DOUBLE / 1000000.0::DOUBLE) * {R}) AS tb
+  FROM walk w JOIN lim e ON e.key_id = w.key_id AND e.rn = w.rn + 1
+)
+SELECT key_id, event_id, ts_us, tb >= 1 AS allowed, CASE WHEN tb >= 1 THEN tb - 1 ELSE tb END AS tokens,
+       CASE WHEN tb >= 1 THEN NULL WHEN {R} <= 0 THEN 'inf'::DOUBLE ELSE (1 - tb) / {R} END AS wait
+FROM walk
+"""
+
+
+def _outcome_sql(rate: float, burst: float) -> str:
+    return f"""
+SELECT rk.event_id, CASE WHEN rk.label IS NOT NULL THEN rk.key_id END AS key_id,
+       coalesce(rk.pre, CASE WHEN rk.unlimited THEN 200 WHEN b.allowed THEN 200 ELSE 429 END) AS status,
+       CASE WHEN coalesce(rk.pre, CASE WHEN rk.unlimited THEN 200 WHEN b.allowed THEN 200 ELSE 429 END) = 429
+            THEN CASE WHEN b.wait = 'inf'::DOUBLE THEN {S.RETRY_AFTER_NEVER} ELSE greatest(1, floor(b.wait)::INTEGER + 1) END END AS retry_after
+FROM ({_RK_SQL}) rk LEFT JOIN ({_bucket_sql(rate, burst)}) b USING (event_id)
+"""
+
+
+def requests_log(spark, sf_dir) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select("event_id", "ts", F.expr(_PATH_SQL).alias("path"), F.expr(_AUTH_SQL.replace("::VARCHAR", "")).alias("authorization"))
+
+
+def api_keys(spark, sf_dir) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events")
+    users = ev.groupBy("user_id").agg(F.min("ts").alias("first"))
+    return users.where(F.col("user_id") % 7 != 0).select(
+        F.sha2(F.concat(F.lit("tok"), F.col("user_id").cast("string")), 256).alias("hash"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("label"),
+        (F.col("user_id") % 10 == 0).alias("unlimited"),
+        F.date_format("first", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+    )
+
+
+@register("auth_outcome", _outcome_sql(THROTTLE_RATE, THROTTLE_BURST))
+def q_auth_outcome(spark, sf_dir):
+    return AC.outcomes(requests_log(spark, sf_dir), api_keys(spark, sf_dir), THROTTLE_RATE, THROTTLE_BURST).select(
+        "event_id", "key_id", F.col("status").cast("int").alias("status"), F.col("retry_after").cast("int").alias("retry_after")
+    )
+
+
+def _limited(spark, sf_dir) -> DataFrame:
+    rk = AC.with_key(requests_log(spark, sf_dir), api_keys(spark, sf_dir))
+    pre = AC.auth_status(F.col("path"), F.col("authorization"), F.col("label"))
+    return rk.where(pre.isNull() & ~F.col("unlimited")).select("key_id", "event_id", AC.time_us(F.col("ts")).alias("ts_us"))
+
+
+@register(
+    "throttle_log",
+    f"SELECT key_id, event_id, allowed, round(tokens, 6) AS tokens, round(wait, 6) AS wait "
+    f"FROM ({_bucket_sql(THROTTLE_RATE, THROTTLE_BURST)})",
+)
+def q_throttle_log(spark, sf_dir):
+    b = AC.token_bucket(_limited(spark, sf_dir), THROTTLE_RATE, THROTTLE_BURST)
+    return b.select("key_id", "event_id", "allowed", F.round("tokens", 6).alias("tokens"), F.round("wait", 6).alias("wait"))
+
+
+@register(
+    "throttle_retry_after",
+    f"SELECT event_id, key_id, retry_after FROM ({_outcome_sql(THROTTLE_RATE, THROTTLE_BURST)}) WHERE status = 429",
+)
+def q_throttle_retry_after(spark, sf_dir):
+    o = q_auth_outcome(spark, sf_dir)
+    return o.where(F.col("status") == 429).select("event_id", "key_id", "retry_after")
+
+
+@register(
+    "throttle_unlimited",
+    f"SELECT o.event_id, o.key_id, rk.unlimited, o.status, o.retry_after FROM ({_outcome_sql(0.0, 1)}) o "
+    f"JOIN ({_RK_SQL}) rk USING (event_id) WHERE rk.label IS NOT NULL",
+)
+def q_throttle_unlimited(spark, sf_dir):
+    """No refill, burst 1: limited keys get one request, unlimited keys all."""
+    o = AC.outcomes(requests_log(spark, sf_dir), api_keys(spark, sf_dir), 0.0, 1)
+    keys = AC.with_key(requests_log(spark, sf_dir), api_keys(spark, sf_dir)).where(F.col("label").isNotNull())
+    return o.join(keys.select("event_id", "unlimited"), "event_id").select(
+        "event_id", "key_id", "unlimited", F.col("status").cast("int").alias("status"),
+        F.col("retry_after").cast("int").alias("retry_after"),
+    )
+
+
+@register(
+    "key_prefix_lookup",
+    f"""
+SELECT p.prefix, count(k.label) AS matches, CASE WHEN count(k.label) = 1 THEN min(k.label) END AS label,
+       CASE WHEN count(k.label) = 0 THEN 'unknown' WHEN count(k.label) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state
+FROM (SELECT DISTINCT prefix FROM (
+        SELECT substr(sha256(trim(substr(auth, 8))), 1, 8) AS prefix FROM ({_RK_SQL}) WHERE starts_with(lower(auth), 'bearer ')
+        UNION ALL SELECT substr(sha256(trim(substr(auth, 8))), 1, 1) FROM ({_RK_SQL}) WHERE starts_with(lower(auth), 'bearer '))) p
+LEFT JOIN ({_KEYS_SQL}) k ON starts_with(k.hash, p.prefix)
+GROUP BY p.prefix
+""",
+)
+def q_key_prefix_lookup(spark, sf_dir):
+    """Logged key ids (8 characters) and one-character prefixes, resolved
+    against the key table."""
+    req = requests_log(spark, sf_dir)
+    h = AC.hash_token(AC.bearer_token(F.col("authorization")))
+    tagged = req.where(AC.bearer_token(F.col("authorization")).isNotNull()).select(h.alias("h"))
+    prefixes = tagged.select(F.substring("h", 1, 8).alias("prefix")).unionByName(tagged.select(F.substring("h", 1, 1).alias("prefix")))
+    return AC.prefix_lookup(prefixes, api_keys(spark, sf_dir))
+
+
+_RAW_SQL = """
+SELECT event_id,
+  CASE event_type WHEN 'view' THEN floor(value * 1000)::BIGINT::VARCHAR WHEN 'click' THEN '' WHEN 'error' THEN 'ten'
+       WHEN 'signup' THEN '-' || user_id::VARCHAR ELSE user_id::VARCHAR END AS limit_raw,
+  CASE event_type WHEN 'view' THEN strftime(ts, '%Y-%m-%d') WHEN 'click' THEN strftime(ts, '%Y-%-m-%-d')
+       WHEN 'error' THEN 'nope' ELSE '' END AS after_raw,
+  CASE WHEN event_type = 'purchase' THEN strftime(ts, '%Y-%m') || '-32' ELSE '' END AS before_raw,
+  ['1', 'true', 'YES', 'no'][user_id % 4 + 1] AS detail_raw,
+  CASE WHEN user_id % 2 = 0 THEN ' src' || (user_id % 20)::VARCHAR || ', ,SRC' || ((user_id + 1) % 20)::VARCHAR || ' '
+       ELSE 'src' || (user_id % 20)::VARCHAR END AS category_raw,
+  CASE event_type WHEN 'click' THEN '10.1101/' || lpad(user_id::VARCHAR, 7, '0') WHEN 'purchase' THEN 'not-a-doi' END AS doi_raw
+FROM events
+"""
+
+_VALID_DATE_SQL = (
+    "(coalesce(regexp_full_match({c}, '" + _DATE_RE[1:-1] + "') AND try_strptime(replace({c}, ' ', ''), '%Y-%m-%d') IS NOT NULL, false))"
+)
+
+
+def _dchk(c: str) -> str:
+    return f"({c} IS NULL OR {c} = '' OR {_VALID_DATE_SQL.replace('{c}', c)})"
+
+
+_CATS = "list_filter(list_transform(string_split(coalesce(category_raw, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
+_LIM_OK = "(limit_raw IS NULL OR limit_raw = '' OR regexp_full_match(trim(limit_raw), '[+-]?\\d+'))"
+
+
+@register(
+    "request_log_typed",
+    f"""
+SELECT event_id,
+  CASE WHEN limit_raw IS NULL OR limit_raw = '' THEN {S.DEFAULT_LIMIT}
+       WHEN {_LIM_OK} THEN greatest(1, least(trim(limit_raw)::HUGEINT, {S.MAX_LIMIT}))::INTEGER END AS "limit",
+  CASE WHEN {_dchk('after_raw')} AND after_raw <> '' THEN after_raw END AS after,
+  CASE WHEN {_dchk('before_raw')} AND before_raw <> '' THEN before_raw END AS before,
+  coalesce(lower(detail_raw) IN ('1', 'true', 'yes'), false) AS detail,
+  CASE WHEN len({_CATS}) = 0 THEN NULL ELSE array_to_string({_CATS}, ',') END AS category,
+  len({_CATS}) > 1 AS category_is_list,
+  CASE WHEN NOT {_LIM_OK} THEN 'limit must be an integer, got ''' || limit_raw || ''''
+       WHEN NOT {_dchk('after_raw')} THEN 'after must be YYYY-MM-DD, got ''' || after_raw || ''''
+       WHEN NOT {_dchk('before_raw')} THEN 'before must be YYYY-MM-DD, got ''' || before_raw || '''' END AS reject,
+  CASE WHEN doi_raw IS NOT NULL AND NOT coalesce(regexp_full_match(doi_raw, '{S.DOI_PATTERN[1:-1]}'), false)
+       THEN 'Invalid DOI format: ''' || doi_raw || '''' END AS doi_reject
+FROM ({_RAW_SQL})
+""",
+)
+def q_request_log_typed(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    t = F.col("ts").cast("timestamp")
+    raw = ev.select(
+        "event_id",
+        F.expr(
+            "CASE event_type WHEN 'view' THEN cast(cast(floor(value * 1000) AS bigint) AS string) WHEN 'click' THEN '' "
+            "WHEN 'error' THEN 'ten' WHEN 'signup' THEN concat('-', cast(user_id AS string)) ELSE cast(user_id AS string) END"
+        ).alias("limit_raw"),
+        F.when(F.col("event_type") == "view", F.date_format(t, "yyyy-MM-dd"))
+        .when(F.col("event_type") == "click", F.date_format(t, "yyyy-M-d"))
+        .when(F.col("event_type") == "error", F.lit("nope"))
+        .otherwise(F.lit(""))
+        .alias("after_raw"),
+        F.when(F.col("event_type") == "purchase", F.concat(F.date_format(t, "yyyy-MM"), F.lit("-32"))).otherwise(F.lit("")).alias("before_raw"),
+        F.element_at(F.array(*[F.lit(x) for x in ("1", "true", "YES", "no")]), (F.col("user_id") % 4 + 1).cast("int")).alias("detail_raw"),
+        F.when(
+            F.col("user_id") % 2 == 0,
+            F.concat(F.lit(" src"), (F.col("user_id") % 20).cast("string"), F.lit(", ,SRC"), ((F.col("user_id") + 1) % 20).cast("string"), F.lit(" ")),
+        ).otherwise(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"))).alias("category_raw"),
+        F.when(F.col("event_type") == "click", F.concat(F.lit("10.1101/"), F.lpad(F.col("user_id").cast("string"), 7, "0")))
+        .when(F.col("event_type") == "purchase", F.lit("not-a-doi"))
+        .alias("doi_raw"),
+    )
+    return AC.typed_requests(raw)
