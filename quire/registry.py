@@ -858,3 +858,188 @@ def q_request_log_typed(spark, sf_dir):
         .alias("doi_raw"),
     )
     return AC.typed_requests(raw)
+
+
+# -- sources and sinks ------------------------------------------------------------------
+
+from quire.functions.normalize import pdf_url as _pdf_url  # noqa: E402
+from quire.session import new_table_path  # noqa: E402
+from quire.sources import api_pages as AP  # noqa: E402
+from quire.sources import pdf as PD  # noqa: E402
+
+
+def api_page_folder(spark, sf_dir) -> tuple[str, list[tuple[str, str]]]:
+    """Write the paper view as catalogue API pages (once per application and
+    data folder) and return the folder and the window plan."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "pages")
+    if key not in _PAGES:
+        recs = api_records(paper_view(spark, sf_dir), TODAY)
+        plan = SY.window_plan(spark, TODAY)
+        recs = recs.join(plan, "w")
+        root = new_table_path(spark, "api-pages")
+        AP.write_pages(recs, root)
+        windows = [(r.window_start, r.window_end) for r in plan.orderBy("w").collect()]
+        _PAGES[key] = (root, windows)
+    return _PAGES[key]
+
+
+_PAGES: dict = {}
+
+_POS_SQL = f"""
+SELECT *, row_number() OVER (PARTITION BY server, {_W_SQL} ORDER BY arrival, doi) - 1 AS p
+FROM ({O.PAPER_VIEW}) WHERE TRY_CAST(date AS DATE) BETWEEN DATE '{S.SYNC_EPOCH}' AND DATE '{TODAY}'
+"""
+
+
+@register(
+    "src_pages",
+    f"SELECT server, strftime(DATE '{S.SYNC_EPOCH}' + ({S.WINDOW_DAYS} * {_W_SQL})::INTEGER, '%Y-%m-%d') AS window_start, "
+    f"(p // {S.PAGE_SIZE} * {S.PAGE_SIZE})::INTEGER AS cursor, (p % {S.PAGE_SIZE})::INTEGER AS idx, doi FROM ({_POS_SQL})",
+)
+def q_src_pages(spark, sf_dir):
+    root, windows = api_page_folder(spark, sf_dir)
+    recs = AP.read_pages(spark, root, windows, retry_delay=0.0)
+    return AP.normalize_records(recs).select("server", "window_start", "cursor", "idx", "doi")
+
+
+@register("normalize_paper", f"SELECT {', '.join(S.PAPER_FIELDS)} FROM ({O.PAPER_VIEW})")
+def q_normalize_paper(spark, sf_dir):
+    root, windows = api_page_folder(spark, sf_dir)
+    return AP.normalize_records(AP.read_pages(spark, root, windows, retry_delay=0.0)).select(*S.PAPER_FIELDS)
+
+
+@register("union_servers", f"SELECT server, count(*) AS papers FROM ({O.PAPER_VIEW}) GROUP BY server")
+def q_union_servers(spark, sf_dir):
+    """Both collections read per server and combined into one table."""
+    root, windows = api_page_folder(spark, sf_dir)
+    parts = [AP.read_pages(spark, root, windows, 0.0).where(F.col("server") == s) for s in S.SERVERS]
+    from functools import reduce
+
+    both = reduce(DataFrame.unionByName, parts)
+    return AP.normalize_records(both).groupBy("server").agg(F.count(F.lit(1)).alias("papers"))
+
+
+_BY_DOI_SQL = f"SELECT * REPLACE ('10.1102/' || lpad((arrival // 4)::varchar, 7, '0') AS doi) FROM ({O.PAPER_VIEW})"
+_LAST_VERSION_SQL = f"""
+SELECT doi, server, title, version, arrival FROM (
+  SELECT *, row_number() OVER (PARTITION BY doi ORDER BY CASE server WHEN 'biorxiv' THEN 1 WHEN 'medrxiv' THEN 2 ELSE 3 END) AS srv_rank
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doi, server ORDER BY arrival DESC) AS rn FROM ({_BY_DOI_SQL})) WHERE rn = 1)
+) WHERE srv_rank = 1
+"""
+
+
+def by_doi_source(spark, sf_dir) -> DataFrame:
+    """A second catalogue answering by DOI: every DOI has a version list per
+    server (four documents per DOI)."""
+    pv = paper_view(spark, sf_dir)
+    return pv.withColumn(
+        "doi", F.concat(F.lit("10.1102/"), F.lpad((F.col("arrival") / 4).cast("long").cast("string"), 7, "0"))
+    )
+
+
+def fetch_last_version(source: DataFrame) -> DataFrame:
+    """Per DOI: the last element of the first server's list that has one."""
+    last = source.groupBy("doi", "server").agg(F.max_by(F.struct(*S.PAPER_FIELDS, "arrival"), F.col("arrival")).alias("r"))
+    pick = last.groupBy("doi").agg(F.min_by(F.col("r"), SY.server_rank(F.col("server"))).alias("r"))
+    return pick.select("doi", F.col("r.server").alias("server"), F.col("r.title").alias("title"), F.col("r.version").alias("version"), F.col("r.arrival").alias("arrival"))
+
+
+@register("fetch_last_version", _LAST_VERSION_SQL)
+def q_fetch_last_version(spark, sf_dir):
+    return fetch_last_version(by_doi_source(spark, sf_dir))
+
+
+_REQ_DOIS_SQL = f"""
+SELECT DISTINCT doi FROM (
+  SELECT '10.1101/' || lpad(doc_id::varchar, 7, '0') AS doi FROM labels
+  UNION ALL SELECT '10.1102/' || lpad((doc_id // 4)::varchar, 7, '0') FROM labels
+  UNION ALL SELECT '10.1103/' || lpad(doc_id::varchar, 7, '0') FROM labels)
+"""
+
+
+@register(
+    "resolve_doi",
+    f"""
+SELECT r.doi, coalesce(p.title, f.title) AS title, coalesce(p.server, f.server) AS server,
+       CASE WHEN p.doi IS NULL THEN 'api' END AS _source
+FROM ({_REQ_DOIS_SQL}) r
+LEFT JOIN ({O.PAPERS}) p USING (doi)
+LEFT JOIN ({_LAST_VERSION_SQL}) f ON f.doi = r.doi
+WHERE p.doi IS NOT NULL OR f.doi IS NOT NULL
+""",
+)
+def q_resolve_doi(spark, sf_dir):
+    """Local lookup first; DOIs not stored come from the by-DOI catalogue,
+    tagged as such; unknown DOIs give no row."""
+    labels = read_table(spark, sf_dir, "labels")
+    pad = lambda c: F.lpad(c.cast("long").cast("string"), 7, "0")
+    req = (
+        labels.select(F.concat(F.lit("10.1101/"), pad(F.col("doc_id"))).alias("doi"))
+        .unionByName(labels.select(F.concat(F.lit("10.1102/"), pad(F.col("doc_id") / 4)).alias("doi")))
+        .unionByName(labels.select(F.concat(F.lit("10.1103/"), pad(F.col("doc_id"))).alias("doi")))
+        .distinct()
+    )
+    local = papers(spark, sf_dir).join(req, "doi", "left_semi").select("doi", "title", "server", F.lit(None).cast("string").alias("_source"))
+    fallback = (
+        fetch_last_version(by_doi_source(spark, sf_dir))
+        .join(req, "doi", "left_semi")
+        .join(local.select("doi"), "doi", "left_anti")
+        .select("doi", "title", "server", F.lit("api").alias("_source"))
+    )
+    return local.unionByName(fallback)
+
+
+@register(
+    "pdf_url",
+    f"SELECT doi, 'https://www.' || coalesce(nullif(server, ''), '{S.DEFAULT_SERVER}') || '.org/content/' || doi || 'v' "
+    f"|| coalesce(nullif(version, ''), '1') || '.full.pdf' AS url FROM ({O.PAPERS})",
+)
+def q_pdf_url(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return p.select("doi", _pdf_url(F.col("doi"), F.col("server"), F.col("version")).alias("url"))
+
+
+_PDF_BODY_SQL = (
+    "CASE version WHEN '1' THEN '%PDF-1.4' || chr(10) || abstract WHEN '2' THEN '<html>' || title ELSE '' END"
+)
+
+
+@register(
+    "pdf_check",
+    f"""
+SELECT replace(doi, '/', '_') AS file, strlen({_PDF_BODY_SQL}) AS bytes,
+       round(strlen({_PDF_BODY_SQL}) / 1048576.0, 2) AS size_mb,
+       CASE WHEN strlen({_PDF_BODY_SQL}) > {S.MAX_PDF_BYTES} THEN 413
+            WHEN NOT starts_with({_PDF_BODY_SQL}, '%PDF') THEN 502 ELSE 200 END AS status,
+       CASE WHEN strlen({_PDF_BODY_SQL}) > {S.MAX_PDF_BYTES} THEN 'PDF too large'
+            WHEN NOT starts_with({_PDF_BODY_SQL}, '%PDF') THEN 'Upstream did not return a valid PDF' END AS reason
+FROM ({O.PAPERS})
+""",
+)
+def q_pdf_check(spark, sf_dir):
+    """Write one file per paper (good PDF, wrong content, empty), then check
+    them all with the binary-file reader."""
+    p = papers(spark, sf_dir)
+    body = (
+        F.when(F.col("version") == "1", F.concat(F.lit("%PDF-1.4\n"), F.col("abstract")))
+        .when(F.col("version") == "2", F.concat(F.lit("<html>"), F.col("title")))
+        .otherwise(F.lit(""))
+    )
+    folder = new_table_path(spark, "pdfs")
+    manifest_path = new_table_path(spark, "pdf-manifest")
+    PD.write_pdfs(p.select("doi", body.cast("binary").alias("content")), folder).write.parquet(manifest_path)
+    return PD.check_pdfs(spark, folder, spark.read.parquet(manifest_path))
+
+
+@register(
+    "status_row",
+    f"SELECT count(*) AS paper_count, '{TODAY}' AS last_sync, NULL::VARCHAR AS bulk_sync_cursor, "
+    f"round(sum({' + '.join(f'coalesce(strlen({c}), 0)' for c in S.PAPER_FIELDS)}) / 1048576.0, 2) AS db_size_mb "
+    f"FROM ({O.PAPERS})",
+)
+def q_status_row(spark, sf_dir):
+    from quire.operators.aggregates import status_row
+
+    recs = api_records(paper_view(spark, sf_dir), TODAY)
+    table, state, _ = SY.bulk_sync(papers(spark, sf_dir).limit(0), recs, U.empty_state(spark), TODAY)
+    return status_row(table, state)
