@@ -93,11 +93,17 @@ BUCKET_SCHEMA = "key_id string, event_id long, ts_us long, allowed boolean, toke
 
 
 def _fold(rate: float, burst: float):
+    """Fold over rows sorted by (key_id, seg, ts_us, event_id); the bucket
+    restarts full at every new (key_id, seg)."""
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = float(burst)
         last = None
+        current = None
         last_order = None
         for pdf in batches:
+            keys = pdf["key_id"].to_numpy()
+            segs = pdf["seg"].to_numpy()
             ts = pdf["ts_us"].to_numpy()
             ids = pdf["event_id"].to_numpy()
             n = len(pdf)
@@ -105,8 +111,11 @@ def _fold(rate: float, burst: float):
             after = [0.0] * n
             wait = [None] * n
             for i in range(n):
+                group = (keys[i], int(segs[i]))
                 order = (int(ts[i]), int(ids[i]))
-                if last_order is not None and order < last_order:
+                if group != current:
+                    current, tokens, last, last_order = group, float(burst), None, None
+                elif order < last_order:
                     raise RuntimeError("token bucket input is not in time order")
                 last_order = order
                 elapsed = 0.0 if last is None else (int(ts[i]) - last) / 1e6
@@ -120,7 +129,7 @@ def _fold(rate: float, burst: float):
                 after[i] = tokens
             yield pd.DataFrame(
                 {
-                    "key_id": pdf["key_id"].to_numpy(),
+                    "key_id": keys,
                     "event_id": ids,
                     "ts_us": ts,
                     "allowed": allowed,
@@ -134,7 +143,11 @@ def _fold(rate: float, burst: float):
 
 def token_bucket(limited: DataFrame, rate: float = S.KEY_RATE, burst: int = S.KEY_BURST, bucket_seconds: int = 3600) -> DataFrame:
     """Per request of ``limited(key_id, event_id, ts_us)``: allowed, tokens
-    left and the wait in seconds when denied (infinite when rate <= 0)."""
+    left and the wait in seconds when denied (infinite when rate <= 0).
+
+    Segments are hash-partitioned on (key, segment) and sorted inside each
+    partition; one pandas pass per partition folds them in order (one Python
+    call per partition, not per group)."""
     if rate > 0:
         segs = gap_segments(limited, "key_id", "ts_us", "event_id", burst / rate * 1e6, bucket_seconds * 1_000_000)
     else:
@@ -145,7 +158,7 @@ def token_bucket(limited: DataFrame, rate: float = S.KEY_RATE, burst: int = S.KE
         .repartition("key_id", "seg")
         .sortWithinPartitions("key_id", "seg", "ts_us", "event_id")
     )
-    return ordered.groupBy("key_id", "seg").applyInPandas(_fold(rate, burst), BUCKET_SCHEMA)
+    return ordered.mapInPandas(_fold(rate, burst), BUCKET_SCHEMA)
 
 
 def retry_after(wait: Column) -> Column:

@@ -16,6 +16,9 @@ operations; no query is looped over on the driver.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ from quire.functions.text import tokens
 from quire.operators import thesaurus as TH
 from quire.operators.index import Index
 from quire.plans.query import OPERATOR_WORDS
+from quire.session import materialize
 
 SPLIT_BLANKS = r"[\t\n\x0B\f\r ]+"
 WORD_PARTS = r"([\p{L}\p{N}_*]+)"
@@ -138,7 +142,10 @@ def _phrase_key(toks: Column, prefix: Column) -> Column:
 def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(qid, rank, doi, score): the top ``k`` documents of every keyword query
     by BM25 (ties: doi)."""
-    clauses = clause_table(prepare(queries), records).withColumn("key", _phrase_key(F.col("toks"), F.col("prefix")))
+    clauses = materialize(
+        clause_table(prepare(queries), records).withColumn("key", _phrase_key(F.col("toks"), F.col("prefix"))),
+        "batch-clauses",
+    )
     phrases = clauses.select("key", "toks", "prefix").distinct()
     parts = phrases.select(
         "key", "prefix", F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
@@ -146,8 +153,16 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     post = idx.postings.select("token", "doi", "field", "pos")
     exact = post.join(parts.where(~F.col("is_prefix")), F.col("token") == F.col("term"))
     pre_terms = parts.where(F.col("is_prefix"))
-    pre = post.join(pre_terms, F.col("token").startswith(F.col("term")))
-    hits = exact.unionByName(pre).select("doi", "field", (F.col("pos") - F.col("j")).alias("start"), "key", "k")
+    # Distinct prefixes of the saved queries (bounded by their words) become
+    # StringStartsWith filters on the postings scan, so only matching row
+    # groups are read before the small broadcast theta join.
+    prefixes = sorted({r[0] for r in pre_terms.select("term").distinct().collect()})
+    if prefixes:
+        cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in prefixes])
+        pre = post.where(cond).join(F.broadcast(pre_terms), F.col("token").startswith(F.col("term")))
+    else:
+        pre = None
+    hits = (exact if pre is None else exact.unionByName(pre)).select("doi", "field", (F.col("pos") - F.col("j")).alias("start"), "key", "k")
     occ = (
         hits.where(F.col("start") >= 0)
         .groupBy("doi", "field", "start", "key", "k")

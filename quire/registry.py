@@ -537,8 +537,17 @@ def q_prepare_queries(spark, sf_dir):
     )
 
 
+_THES: dict = {}
+
+
 def thesaurus(spark, sf_dir) -> DataFrame:
-    return TH.catalogue_thesaurus(spark, sf_dir)
+    """The catalogue thesaurus, normalised and written once per application."""
+    from quire.session import materialize
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _THES:
+        _THES[key] = materialize(TH.normalise_records(TH.catalogue_thesaurus(spark, sf_dir)), "thesaurus")
+    return _THES[key]
 
 
 @register("batch_search")

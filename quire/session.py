@@ -57,3 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path inside the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` to a fresh table in the shared folder and read it back.
+
+    Used for small derived tables that a plan references several times
+    (clause tables, a normalised thesaurus): it cuts the lineage so the
+    subplan is computed once, and the written files survive executor loss."""
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
