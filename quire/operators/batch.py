@@ -139,19 +139,44 @@ def _phrase_key(toks: Column, prefix: Column) -> Column:
     return F.concat(F.array_join(toks, " "), F.when(prefix, F.lit("*")).otherwise(F.lit("")))
 
 
+def _parts_all(clauses: DataFrame) -> DataFrame:
+    return clauses.groupBy("qid", "clause", "alt").agg(F.count_distinct("part").alias("parts_all"))
+
+
+def _satisfied(slot: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(qid, doi, clause) where some alternative has all its parts present."""
+    return (
+        slot.groupBy("qid", "doi", "clause", "alt")
+        .agg(F.count_distinct("part").alias("parts_hit"))
+        .join(_parts_all(clauses), ["qid", "clause", "alt"])
+        .where(F.col("parts_hit") == F.col("parts_all"))
+        .select("qid", "doi", "clause")
+        .distinct()
+    )
+
+
 def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(qid, rank, doi, score): the top ``k`` documents of every keyword query
-    by BM25 (ties: doi)."""
+    by BM25 (ties: doi).
+
+    Every query is driven by its rarest clause: document frequencies come
+    first (single-token phrases from the stored term statistics, phrases and
+    prefixes from their occurrences), each query's candidates are the
+    documents satisfying its lowest-bound clause, and frequencies, clause
+    checks and scores are computed for (query, candidate) pairs only - a
+    common word shared by many queries never pairs every query with every
+    document that contains it."""
     clauses = materialize(
         clause_table(prepare(queries), records).withColumn("key", _phrase_key(F.col("toks"), F.col("prefix"))),
         "batch-clauses",
     )
     phrases = clauses.select("key", "toks", "prefix").distinct()
+    simple = (F.size("toks") == 1) & ~F.col("prefix")
     parts = phrases.select(
-        "key", "prefix", F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
+        "key", "prefix", simple.alias("simple"), F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
     ).withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 1))
     post = idx.postings.select("token", "doi", "field", "pos")
-    exact = post.join(parts.where(~F.col("is_prefix")), F.col("token") == F.col("term"))
+    exact = post.join(F.broadcast(parts.where(~F.col("is_prefix"))), F.col("token") == F.col("term"))
     pre_terms = parts.where(F.col("is_prefix"))
     # Distinct prefixes of the saved queries (bounded by their words) become
     # StringStartsWith filters on the postings scan, so only matching row
@@ -160,29 +185,50 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     if prefixes:
         cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in prefixes])
         pre = post.where(cond).join(F.broadcast(pre_terms), F.col("token").startswith(F.col("term")))
+        hits = exact.unionByName(pre)
     else:
-        pre = None
-    hits = (exact if pre is None else exact.unionByName(pre)).select("doi", "field", (F.col("pos") - F.col("j")).alias("start"), "key", "k")
-    occ = (
-        hits.where(F.col("start") >= 0)
+        hits = exact
+    hits = hits.select("doi", "field", (F.col("pos") - F.col("j")).alias("start"), "key", "k", "simple")
+    # occurrences: a single exact token is its posting; longer phrases and
+    # prefixes aggregate their tokens' start positions
+    occ_simple = hits.where("simple").select("doi", "key")
+    occ_complex = (
+        hits.where(~F.col("simple") & (F.col("start") >= 0))
         .groupBy("doi", "field", "start", "key", "k")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == F.col("k"))
+        .select("doi", "key")
     )
-    tf = occ.groupBy("doi", "key").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    # An alternative holds when all its parts occur in the document.
-    slot = clauses.join(tf, "key")
-    alt_ok = (
-        slot.groupBy("qid", "doi", "clause", "alt")
-        .agg(F.count_distinct("part").alias("parts_hit"))
-        .join(
-            clauses.groupBy("qid", "clause", "alt").agg(F.count_distinct("part").alias("parts_all")),
-            ["qid", "clause", "alt"],
-        )
-        .where(F.col("parts_hit") == F.col("parts_all"))
+    occ = occ_simple.unionByName(occ_complex)
+    df_simple = (
+        phrases.where(simple)
+        .select("key", F.col("toks")[0].alias("token"))
+        .join(idx.terms.select("token", "df"), "token")
+        .select("key", "df")
+    )
+    df_complex = occ_complex.groupBy("key").agg(F.count_distinct("doi").alias("df"))
+    df = materialize(df_simple.unionByName(df_complex), "batch-df")
+    # driver clause per query: bound(alt) = min df of its parts, bound(clause)
+    # = sum over its alternatives; the smallest bound drives (ties: clause id)
+    alt_bound = (
+        clauses.join(df, "key", "left")
+        .groupBy("qid", "clause", "alt")
+        .agg(F.min(F.coalesce(F.col("df"), F.lit(0))).alias("b"))
+    )
+    clause_bound = alt_bound.groupBy("qid", "clause").agg(F.sum("b").alias("cb"))
+    w_drv = Window.partitionBy("qid").orderBy("cb", "clause")
+    driver = clause_bound.withColumn("r", F.row_number().over(w_drv)).where(F.col("r") == 1).select("qid", "clause")
+    driver_rows = clauses.join(F.broadcast(driver), ["qid", "clause"])
+    driver_keys = driver_rows.select("key").distinct()
+    d_occ = occ.join(F.broadcast(driver_keys), "key").select("doi", "key").distinct()
+    candidates = materialize(
+        _satisfied(driver_rows.join(d_occ, "key"), driver_rows).select("qid", "doi"), "batch-candidates"
     )
-    clause_hit = alt_ok.groupBy("qid", "doi").agg(F.count_distinct("clause").alias("c_hit"))
+    cand_docs = candidates.select("doi").distinct()
+    # frequencies of every query phrase, in candidate documents only
+    tf = occ.join(cand_docs, "doi", "left_semi").groupBy("doi", "key").agg(F.count(F.lit(1)).alias("tf"))
+    slot = candidates.join(clauses, "qid").join(tf, ["doi", "key"])
+    clause_hit = _satisfied(slot, clauses).groupBy("qid", "doi").agg(F.count(F.lit(1)).alias("c_hit"))
     n_clauses = clauses.groupBy("qid").agg(F.count_distinct("clause").alias("c_all"))
     matched = clause_hit.join(n_clauses, "qid").where(F.col("c_hit") == F.col("c_all")).select("qid", "doi")
     # BM25 over the query's phrase list (clause, alt, part order).
@@ -191,7 +237,7 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     k1, b = S.BM25_K1, S.BM25_B
     contrib = (
         slot.join(matched, ["qid", "doi"], "left_semi")
-        .join(df, "key")
+        .join(F.broadcast(df), "key")
         .join(idx.docs.select("doi", "dl"), "doi")
     )
     raw = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
