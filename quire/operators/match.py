@@ -11,8 +11,13 @@ Plan for one query (every step is a DataFrame operation):
    the nearest instance of every other member (no pairs are emitted);
 4. one aggregation per document gives phrase frequencies and NEAR flags; the
    boolean tree becomes a Column over them;
-5. BM25 uses per-phrase document frequencies (a scalar subquery over the
-   same occurrences) and the stored corpus statistics.
+5. BM25 uses stored document frequencies for single tokens (one small
+   lookup of the query's tokens), a scalar subquery over the corpus for
+   phrases / prefixes / column-restricted terms, and the stored corpus
+   statistics;
+6. an AND query is evaluated only on the documents of its rarest branch
+   (bounded from stored frequencies), so the postings of a common word are
+   filtered by a semi-join instead of being aggregated over the corpus.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import types as T
 from quire import schema as S
 from quire.operators.index import Index
 from quire.plans.query import And, Near, Not, Nothing, Or, Phrase, QueryError
+from quire.session import literal_table
 
 
 @dataclass
@@ -80,11 +86,14 @@ _TERM_SCHEMA = T.StructType(
 )
 
 
-def occurrences(idx: Index, specs: list[Phrase]) -> DataFrame:
-    """(doi, field, start, spec, len): every occurrence of every phrase spec."""
+def occurrences(idx: Index, specs: list[Phrase], only: list[int] | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """(doi, field, start, spec, len): every occurrence of the phrase specs
+    (those in ``only`` when given), optionally restricted to ``docs(doi)``."""
     spark = idx.postings.sparkSession
     exact_rows, prefix_rows = [], []
     for sid, ph in enumerate(specs):
+        if only is not None and sid not in only:
+            continue
         k = len(ph.tokens)
         for j, tok in enumerate(ph.tokens):
             row = (sid, j, tok, k, list(ph.fields) if ph.fields is not None else None, ph.initial)
@@ -92,19 +101,22 @@ def occurrences(idx: Index, specs: list[Phrase]) -> DataFrame:
     parts = []
     post = idx.postings.select("token", "doi", "field", "pos")
     if exact_rows:
-        terms = spark.createDataFrame(exact_rows, _TERM_SCHEMA)
+        terms = literal_table(spark, exact_rows, _TERM_SCHEMA)
         words = sorted({r[2] for r in exact_rows})
         hit = post.where(F.col("token").isin(words)).join(F.broadcast(terms), F.col("token") == F.col("term"))
         parts.append(hit)
     if prefix_rows:
-        terms = spark.createDataFrame(prefix_rows, _TERM_SCHEMA)
+        terms = literal_table(spark, prefix_rows, _TERM_SCHEMA)
         pre = sorted({r[2] for r in prefix_rows})
         cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in pre])
         hit = post.where(cond).join(F.broadcast(terms), F.col("token").startswith(F.col("term")))
         parts.append(hit)
     if not parts:
-        return spark.createDataFrame([], "doi string, field tinyint, start int, spec int, len int")
-    hits = functools.reduce(DataFrame.unionByName, parts).select(
+        return literal_table(spark, [], "doi string, field tinyint, start int, spec int, len int")
+    hits = functools.reduce(DataFrame.unionByName, parts)
+    if docs is not None:
+        hits = hits.join(docs, "doi", "left_semi")
+    hits = hits.select(
         "doi",
         "field",
         (F.col("pos") - F.col("j")).alias("start"),
@@ -118,15 +130,19 @@ def occurrences(idx: Index, specs: list[Phrase]) -> DataFrame:
         & (F.col("fields").isNull() | F.array_contains(F.col("fields"), F.col("field").cast("int")))
         & (~F.col("initial") | (F.col("start") == 0))
     )
-    single = hits.where(F.col("k") == 1).select("doi", "field", "start", "spec", F.col("k").alias("len"))
-    multi = (
-        hits.where(F.col("k") > 1)
-        .groupBy("doi", "field", "start", "spec", "k")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") == F.col("k"))
-        .select("doi", "field", "start", "spec", F.col("k").alias("len"))
-    )
-    return single.unionByName(multi)
+    lengths = {len(specs[r[0]].tokens) for r in exact_rows + prefix_rows}
+    out = []
+    if 1 in lengths:
+        out.append(hits.where(F.col("k") == 1).select("doi", "field", "start", "spec", F.col("k").alias("len")))
+    if any(n > 1 for n in lengths):
+        out.append(
+            hits.where(F.col("k") > 1)
+            .groupBy("doi", "field", "start", "spec", "k")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") == F.col("k"))
+            .select("doi", "field", "start", "spec", F.col("k").alias("len"))
+        )
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def near_rows(occ: DataFrame, comp: Compiled) -> DataFrame | None:
@@ -141,7 +157,7 @@ def near_rows(occ: DataFrame, comp: Compiled) -> DataFrame | None:
         for m, ph in enumerate(near.phrases)
     ]
     width = max(len(nr.phrases) for nr in comp.nears)
-    mem = spark.createDataFrame(members, "near int, member int, spec int, dist int")
+    mem = literal_table(spark, members, "near int, member int, spec int, dist int")
     inst = occ.join(F.broadcast(mem), "spec").select("near", "member", "dist", "doi", "field", "start", "len")
     w = Window.partitionBy("near", "doi", "field").orderBy("start", "member")
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -217,15 +233,67 @@ def tree_column(comp: Compiled) -> Column:
     return walk(comp.tree)
 
 
+def simple_spec(ph: Phrase) -> bool:
+    """One exact token in any field: its document frequency is stored."""
+    return len(ph.tokens) == 1 and not ph.prefix and ph.fields is None and not ph.initial
+
+
+def token_stats(idx: Index, specs: list[Phrase]) -> dict[str, int]:
+    """Stored df of the query's tokens, and for prefixes the sum of df over
+    matching tokens (an upper bound). One small job; the result is bounded by
+    the query text plus the prefix expansions."""
+    words = sorted({t for ph in specs for t in ph.tokens})
+    prefixes = sorted({ph.tokens[-1] for ph in specs if ph.prefix and ph.tokens})
+    if not words:
+        return {}
+    cond = F.col("token").isin(words)
+    for p in prefixes:
+        cond = cond | F.col("token").startswith(p)
+    rows = idx.terms.where(cond).select("token", "df").collect()
+    df = {r.token: int(r.df) for r in rows}
+    for p in prefixes:
+        df[p + "*"] = sum(v for t, v in df.items() if not t.endswith("*") and t.startswith(p))
+    return df
+
+
+def doc_bound(node, specs_df) -> int:
+    """Upper bound of the number of documents matching ``node``."""
+    if isinstance(node, Phrase):
+        if not node.tokens:
+            return 0
+        vals = [specs_df.get(t, 0) for t in node.tokens[:-1]]
+        last = node.tokens[-1]
+        vals.append(specs_df.get(last + "*", 0) if node.prefix else specs_df.get(last, 0))
+        return min(vals)
+    if isinstance(node, Near):
+        return min(doc_bound(p, specs_df) for p in node.phrases)
+    if isinstance(node, And):
+        return min(doc_bound(x, specs_df) for x in node.items)
+    if isinstance(node, Or):
+        return sum(doc_bound(x, specs_df) for x in node.items)
+    if isinstance(node, Not):
+        return doc_bound(node.left, specs_df)
+    return 0
+
+
 def matched_docs(idx: Index, tree, *, score: bool = True) -> DataFrame:
-    """(doi, dl, date, category[, score]) of the documents matching ``tree``."""
+    """(doi, dl, date, category[, score]) of the documents matching ``tree``.
+
+    An AND query is evaluated only on the documents that satisfy its rarest
+    branch (chosen from stored document frequencies), so a common word in
+    the query never aggregates its postings over the whole corpus."""
     if isinstance(tree, Nothing):
         base = idx.docs.limit(0)
         return base.withColumn("score", F.lit(0.0)) if score else base
     comp = compile_tree(tree)
     if not comp.specs:
         raise QueryError("query has no phrase")
-    occ = occurrences(idx, comp.specs)
+    stats = token_stats(idx, comp.specs)
+    docs = None
+    if isinstance(tree, And) and len(tree.items) > 1:
+        driver = min(tree.items, key=lambda x: doc_bound(x, stats))
+        docs = matched_docs(idx, driver, score=False).select("doi")
+    occ = occurrences(idx, comp.specs, docs=docs)
     spec_tf = occ.groupBy("doi", "spec").agg(F.count(F.lit(1)).alias("tf"))
     rows = spec_tf.select("doi", F.format_string("s%d", "spec").alias("key"), F.col("tf").alias("value"))
     nrows = near_rows(occ, comp)
@@ -239,24 +307,35 @@ def matched_docs(idx: Index, tree, *, score: bool = True) -> DataFrame:
     out = per_doc.join(idx.docs, "doi")
     if not score:
         return out.select("doi", "dl", "date", "category")
-    return out.select("doi", "dl", "date", "category", bm25(idx, comp, spec_tf).alias("score"))
+    return out.select("doi", "dl", "date", "category", bm25(idx, comp, stats).alias("score"))
 
 
-def bm25(idx: Index, comp: Compiled, spec_tf: DataFrame) -> Column:
-    """FTS-style BM25 (higher is better) summed over the query phrase list in order."""
-    dfmap = (
-        spec_tf.groupBy("spec")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("spec", "df"))).alias("m"))
-        .scalar()
-    )
+def bm25(idx: Index, comp: Compiled, stats: dict[str, int]) -> Column:
+    """FTS-style BM25 (higher is better) summed over the query phrase list in
+    order. Document frequencies: stored for single tokens; for phrases,
+    prefixes and column-restricted terms one scalar subquery over their
+    occurrences in the whole corpus."""
+    complex_ids = [i for i, ph in enumerate(comp.specs) if not simple_spec(ph)]
+    dfmap = None
+    if complex_ids:
+        occ_all = occurrences(idx, comp.specs, only=complex_ids)
+        dfmap = (
+            occ_all.groupBy("spec")
+            .agg(F.count_distinct("doi").alias("df"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("spec", "df"))).alias("m"))
+            .scalar()
+        )
     n_docs = idx.corpus.select(F.col("n_docs").cast("double")).scalar()
     avgdl = idx.corpus.select("avgdl").scalar()
     k1, b = S.BM25_K1, S.BM25_B
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     total = None
     for p, sid in enumerate(comp.slot_spec):
-        df = F.coalesce(F.try_element_at(dfmap, F.lit(sid)), F.lit(0)).cast("double")
+        ph = comp.specs[sid]
+        if simple_spec(ph):
+            df = F.lit(float(stats.get(ph.tokens[0], 0)))
+        else:
+            df = F.coalesce(F.try_element_at(dfmap, F.lit(sid)), F.lit(0)).cast("double")
         raw = F.ln((n_docs - df + 0.5) / (df + 0.5))
         idf = F.when(raw <= 0.0, F.lit(S.IDF_FLOOR)).otherwise(raw)
         tf = _slot_tf(comp, p).cast("double")

@@ -69,3 +69,19 @@ def materialize(df, name: str):
     path = new_table_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def literal_table(spark, rows, schema):
+    """A small driver-side table as a JVM literal relation (no Python RDD):
+    used for query-sized inputs such as phrase-term lists."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
