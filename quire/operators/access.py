@@ -197,7 +197,9 @@ def prefix_lookup(prefixes: DataFrame, keys: DataFrame) -> DataFrame:
         k = keys.select(F.substring("hash", 1, n).alias("prefix"), "label")
         parts.append(p.where(F.col("_len") == n).join(k, "prefix", "left"))
     if not parts:
-        return prefixes.sparkSession.createDataFrame([], "prefix string, matches long, label string, state string")
+        from quire.session import literal_table
+
+        return literal_table(prefixes.sparkSession, [], "prefix string, matches long, label string, state string")
     from functools import reduce
 
     joined = reduce(DataFrame.unionByName, parts)

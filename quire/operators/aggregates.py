@@ -28,14 +28,11 @@ def status_row(papers: DataFrame, state: DataFrame) -> DataFrame:
     size = F.sum(
         sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in S.PAPER_FIELDS), F.lit(0)).cast("long")
     )
-    counts = papers.agg(F.count(F.lit(1)).alias("paper_count"), size.alias("_bytes"))
-    st = state.agg(
-        F.max(F.when(F.col("key") == S.STATE_LAST_SYNC, F.col("value"))).alias("last_sync"),
-        F.max(F.when(F.col("key") == S.STATE_BULK_CURSOR, F.col("value"))).alias("bulk_sync_cursor"),
-    )
-    return counts.join(st, how="inner", on=F.lit(True)).select(
-        "paper_count",
-        "last_sync",
-        "bulk_sync_cursor",
-        F.round(F.coalesce(F.col("_bytes"), F.lit(0)) / F.lit(1024.0 * 1024.0), 2).alias("db_size_mb"),
+    from quire.operators.upsert import state_value
+
+    return papers.agg(
+        F.count(F.lit(1)).alias("paper_count"),
+        state_value(state, S.STATE_LAST_SYNC).alias("last_sync"),
+        state_value(state, S.STATE_BULK_CURSOR).alias("bulk_sync_cursor"),
+        F.round(F.coalesce(size, F.lit(0)) / F.lit(1024.0 * 1024.0), 2).alias("db_size_mb"),
     )

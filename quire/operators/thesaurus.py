@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quire import schema as S
 from quire.functions.text import tokens
 from quire.operators.index import Index
+from quire.session import literal_table
 from quire.sources.tables import read_table
 
 # --- fixed values: seed descriptor groups (record id, term) ------------------------
@@ -41,9 +42,7 @@ DERIVED_TERM_WORDS = 3
 
 
 def seed_records(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(f"seed:{r}", t) for r, t in SEED_GROUPS], "record_id string, term string"
-    )
+    return literal_table(spark, [(f"seed:{r}", t) for r, t in SEED_GROUPS], "record_id string, term string")
 
 
 def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +121,7 @@ def lookup_fn(records: DataFrame, n: int = S.SEARCH_SYNONYMS):
         cands = sorted({c.lower() for c in candidates})
         if not cands:
             return {}
-        cdf = spark.createDataFrame([(c,) for c in cands], "term string")
+        cdf = literal_table(spark, [(c,) for c in cands], "term string")
         keys = known_terms(records).join(cdf, "term", "left_semi")
         syns = expand(records, cdf, n)
         rows = (
@@ -237,10 +236,15 @@ def annotate_docs(records: DataFrame, idx: Index) -> DataFrame:
     hits = idx.postings.join(parts, "token").select(
         "doi", "field", (F.col("pos") - F.col("j")).alias("start"), "term", "k"
     )
-    occ = (
-        hits.where(F.col("start") >= 0)
+    # a one-token term: every posting is an occurrence; longer terms need all
+    # their tokens at consecutive positions
+    single = hits.where(F.col("k") == 1).select("doi", "term")
+    multi = (
+        hits.where((F.col("k") > 1) & (F.col("start") >= 0))
         .groupBy("doi", "field", "start", "term", "k")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == F.col("k"))
+        .select("doi", "term")
     )
+    occ = single.unionByName(multi)
     return occ.groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))

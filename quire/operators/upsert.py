@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quire import schema as S
 from quire.functions.normalize import norm_category, version_int
 from quire.operators.index import build_postings
+from quire.session import literal_table
 
 
 def _pick(rows: DataFrame, key: Column, fields: Sequence[str]) -> DataFrame:
@@ -92,8 +93,7 @@ def refresh_terms(terms: DataFrame, removed_postings: DataFrame, added_postings:
 
 
 def state_set(state: DataFrame, key: str, value: str) -> DataFrame:
-    spark = state.sparkSession
-    row = spark.createDataFrame([(key, value)], S.STATE_SCHEMA)
+    row = literal_table(state.sparkSession, [(key, value)], S.STATE_SCHEMA)
     return state.where(F.col("key") != key).unionByName(row)
 
 
@@ -108,4 +108,9 @@ def state_get(state: DataFrame, key: str) -> str | None:
 
 
 def empty_state(spark) -> DataFrame:
-    return spark.createDataFrame([], S.STATE_SCHEMA)
+    return literal_table(spark, [], S.STATE_SCHEMA)
+
+
+def state_value(state: DataFrame, key: str):
+    """Column: the value stored under ``key`` (scalar subquery, null if none)."""
+    return state.where(F.col("key") == key).agg(F.max("value")).scalar()

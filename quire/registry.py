@@ -472,11 +472,11 @@ def q_bulk_sync_result(spark, sf_dir):
     state = U.state_set(U.empty_state(spark), S.STATE_BULK_CURSOR, RESUME_CURSOR)
     recs = api_records(paper_view(spark, sf_dir), TODAY, RESUME_CURSOR)
     table, new_state, _ = SY.bulk_sync(papers(spark, sf_dir).limit(0), recs, state, TODAY)
-    st = new_state.agg(
-        F.max(F.when(F.col("key") == S.STATE_LAST_SYNC, F.col("value"))).alias("last_sync_date"),
-        F.max(F.when(F.col("key") == S.STATE_BULK_CURSOR, F.col("value"))).alias("bulk_sync_cursor"),
+    return table.agg(
+        F.count(F.lit(1)).alias("paper_count"),
+        U.state_value(new_state, S.STATE_LAST_SYNC).alias("last_sync_date"),
+        U.state_value(new_state, S.STATE_BULK_CURSOR).alias("bulk_sync_cursor"),
     )
-    return table.agg(F.count(F.lit(1)).alias("paper_count")).join(st, how="inner", on=F.lit(True))
 
 
 LAST_SYNC = "2024-10-01"
@@ -618,7 +618,37 @@ def q_is_term(spark, sf_dir):
     return TH.is_term(thesaurus(spark, sf_dir), terms, "term")
 
 
-@register("group_phrases")
+_KNOWN_SQL = f"SELECT DISTINCT term FROM ({_TERM_RECORDS_SQL})"
+_QWORDS_SQL = """
+SELECT item_id AS id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_*]+')) AS w,
+       unnest(range(0, len(regexp_extract_all(text, '[\\p{L}\\p{N}_*]+')))) AS i
+FROM benchmark
+"""
+_GROUP_SQL = f"""
+WITH RECURSIVE words AS ({_QWORDS_SQL}),
+known AS ({_KNOWN_SQL}),
+marks AS (
+  SELECT w0.id, w0.i,
+         CASE WHEN w2.w IS NOT NULL AND lower(w0.w || ' ' || w1.w || ' ' || w2.w) IN (SELECT term FROM known) THEN 3
+              WHEN w1.w IS NOT NULL AND lower(w0.w || ' ' || w1.w) IN (SELECT term FROM known) THEN 2
+              ELSE 1 END AS m
+  FROM words w0
+  LEFT JOIN words w1 ON w1.id = w0.id AND w1.i = w0.i + 1
+  LEFT JOIN words w2 ON w2.id = w0.id AND w2.i = w0.i + 2
+),
+walk(id, start) AS (
+  SELECT id, 0 FROM words WHERE i = 0
+  UNION ALL
+  SELECT k.id, k.i + k.m FROM walk w JOIN marks k ON k.id = w.id AND k.i = w.start
+  WHERE EXISTS (SELECT 1 FROM words x WHERE x.id = k.id AND x.i = k.i + k.m)
+)
+SELECT w.id, w.start, k.m AS n_words,
+       (SELECT string_agg(x.w, ' ' ORDER BY x.i) FROM words x WHERE x.id = w.id AND x.i >= w.start AND x.i < w.start + k.m) AS phrase
+FROM walk w JOIN marks k ON k.id = w.id AND k.i = w.start
+"""
+
+
+@register("group_phrases", _GROUP_SQL)
 def q_group_phrases(spark, sf_dir):
     """Greedy thesaurus phrase grouping of every saved query's words
     (checked against the driver-side rule in tests/test_thesaurus.py)."""
@@ -626,7 +656,24 @@ def q_group_phrases(spark, sf_dir):
     return TH.group_phrases(thesaurus(spark, sf_dir), qs, "qid", TH.query_words(F.col("text")))
 
 
-@register("annotate_docs")
+_ANNOTATE_SQL = f"""
+WITH k AS (
+  SELECT term, {O.tok('term')} AS tt FROM ({_KNOWN_SQL})
+  WHERE len({O.tok('term')}) BETWEEN 1 AND {TH.DERIVED_TERM_WORDS}
+), kp AS (
+  SELECT term, len(tt) AS k, unnest(tt) AS token, unnest(range(0, len(tt))) AS j FROM k
+), occ AS (
+  SELECT p.doi, p.field, p.pos - kp.j AS start, kp.term
+  FROM ({POSTINGS_SQL}) p JOIN kp USING (token)
+  WHERE p.pos - kp.j >= 0
+  GROUP BY p.doi, p.field, p.pos - kp.j, kp.term, kp.k
+  HAVING count(*) = kp.k
+)
+SELECT doi, term, count(*) AS hits FROM occ GROUP BY doi, term
+"""
+
+
+@register("annotate_docs", _ANNOTATE_SQL)
 def q_annotate_docs(spark, sf_dir):
     """Thesaurus terms found in every indexed paper, with counts (checked
     against the phrase matcher in tests/test_thesaurus.py)."""

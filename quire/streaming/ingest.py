@@ -69,7 +69,9 @@ def apply_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int)
     incoming = U.dedup_latest(batch)
     if cur is None:
         papers = incoming
-        postings = U.index_upsert(spark.createDataFrame([], "token string, doi string, field tinyint, pos int"), incoming)
+        from quire.session import literal_table
+
+        postings = U.index_upsert(literal_table(spark, [], "token string, doi string, field tinyint, pos int"), incoming)
     else:
         old_papers, old_postings = cur
         papers = U.merge(old_papers, incoming)
