@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,21 +18,25 @@ def pdf_file_name(doi):
 
 def write_pdfs(docs: DataFrame, folder: str) -> DataFrame:
     """Sink: write ``docs(doi, content binary)`` as one file per paper into
-    ``folder`` (written per partition, idempotent on retry). Returns (doi,
-    path, size_mb)."""
+    ``folder`` (local path or a filesystem URI such as hdfs:// or s3://),
+    per partition, each file written under a temporary name and then moved,
+    so a retried task leaves no partial file. Returns (doi, path, size_mb)."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
         for pdf in batches:
             paths, sizes = [], []
             for doi, content in zip(pdf["doi"], pdf["content"]):
                 data = bytes(content) if content is not None else b""
-                path = os.path.join(folder, doi.replace("/", "_") + ".pdf")
-                tmp = path + ".part"
-                with open(tmp, "wb") as fh:
-                    fh.write(data)
-                os.replace(tmp, path)
-                paths.append(path)
+                name = doi.replace("/", "_") + ".pdf"
+                tmp = f"{base}/.{name}.part"
+                with fs.open_output_stream(tmp) as out:
+                    out.write(data)
+                fs.move(tmp, f"{base}/{name}")
+                paths.append(f"{folder.rstrip('/')}/{name}")
                 sizes.append(round(len(data) / (1024 * 1024), 2))
             yield pd.DataFrame({"doi": pdf["doi"], "path": paths, "size_mb": sizes})
 
