@@ -254,7 +254,7 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     )
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doi"))
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select("qid", "rank", "doi", F.round("score", 6).alias("score"))
+    return top.select("qid", F.col("rank").cast("long").alias("rank"), "doi", F.round("score", 6).alias("score"))
 
 
 def zero_hits(queries: DataFrame, hits: DataFrame, papers: DataFrame) -> DataFrame:

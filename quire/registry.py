@@ -86,7 +86,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _scored(df: DataFrame) -> DataFrame:
-    return df.select("doi", "dl", "date", "category", F.round("score", 6).alias("score"))
+    return df.select("doi", F.col("dl").cast("long").alias("dl"), "date", "category", F.round("score", 6).alias("score"))
 
 
 def _scored_sql(tree) -> str:
@@ -514,9 +514,7 @@ def saved_queries(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-@register(
-    "prepare_queries",
-    f"""
+_PREP_SQL = f"""
 SELECT qid, mode, wpos - 1 AS wpos, word FROM (
   SELECT qid, words,
     CASE WHEN text LIKE '%"%' OR len(list_filter(words, lambda w: NOT starts_with(w, '"') AND w IN ('AND', 'OR', 'NOT'))) > 0 THEN 'operator'
@@ -529,8 +527,10 @@ SELECT qid, mode, wpos - 1 AS wpos, word FROM (
                        THEN ['"' || array_to_string(regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+'), ' ') || '"']
                        ELSE regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+') END)) AS words
         FROM benchmark))
-""",
-)
+"""
+
+
+@register("prepare_queries", _PREP_SQL)
 def q_prepare_queries(spark, sf_dir):
     return BA.prepare(saved_queries(spark, sf_dir)).select(
         "qid", "mode", F.col("wpos").cast("long").alias("wpos"), "word"
@@ -1099,3 +1099,117 @@ def q_status_row(spark, sf_dir):
     recs = api_records(paper_view(spark, sf_dir), TODAY)
     table, state, _ = SY.bulk_sync(papers(spark, sf_dir).limit(0), recs, U.empty_state(spark), TODAY)
     return status_row(table, state)
+
+
+# Oracle for batch_search: the same rules over the whole corpus, with
+# list/postings SQL (no candidate driving), so it checks the distributed plan.
+_PIECES = "list_filter(list_transform(regexp_extract_all(term, '[^*]+\\*?'), lambda p: {'toks': " + O.tok("p") + ", 'prefix': ends_with(p, '*')}), lambda x: len(x.toks) > 0)"
+_BATCH_SQL = f"""
+WITH RECURSIVE prep AS ({_PREP_SQL}),
+kw AS (
+  SELECT qid, wpos, word, row_number() OVER (PARTITION BY qid ORDER BY wpos) - 1 AS i
+  FROM prep WHERE mode = 'keyword' AND word IS NOT NULL AND NOT starts_with(word, '"')
+),
+known AS ({_KNOWN_SQL}),
+marks AS (
+  SELECT w0.qid, w0.i, w0.wpos,
+         CASE WHEN w2.word IS NOT NULL AND lower(w0.word || ' ' || w1.word || ' ' || w2.word) IN (SELECT term FROM known) THEN 3
+              WHEN w1.word IS NOT NULL AND lower(w0.word || ' ' || w1.word) IN (SELECT term FROM known) THEN 2
+              ELSE 1 END AS m
+  FROM kw w0
+  LEFT JOIN kw w1 ON w1.qid = w0.qid AND w1.i = w0.i + 1
+  LEFT JOIN kw w2 ON w2.qid = w0.qid AND w2.i = w0.i + 2
+),
+walk(qid, start) AS (
+  SELECT DISTINCT qid, 0 FROM kw
+  UNION ALL
+  SELECT k.qid, k.i + k.m FROM walk w JOIN marks k ON k.qid = w.qid AND k.i = w.start
+  WHERE EXISTS (SELECT 1 FROM kw x WHERE x.qid = k.qid AND x.i = k.i + k.m)
+),
+kgroups AS (
+  SELECT w.qid, k.wpos AS clause, k.m AS n_words,
+         (SELECT string_agg(x.word, ' ' ORDER BY x.i) FROM kw x WHERE x.qid = w.qid AND x.i >= w.start AND x.i < w.start + k.m) AS term
+  FROM walk w JOIN marks k ON k.qid = w.qid AND k.i = w.start
+),
+groups AS (
+  SELECT qid, clause, n_words, term FROM kgroups
+  UNION ALL
+  SELECT qid, wpos AS clause, 1 AS n_words, word AS term FROM prep
+  WHERE mode = 'plain' AND word IS NOT NULL AND NOT starts_with(word, '"')
+),
+alts AS (
+  SELECT qid, clause, 0 AS alt,
+         CASE WHEN n_words > 1 THEN [{{'toks': {O.tok('term')}, 'prefix': false}}] ELSE {_PIECES} END AS parts
+  FROM groups
+  UNION ALL
+  SELECT qid, wpos AS clause, 0 AS alt, [{{'toks': {O.tok('word')}, 'prefix': false}}] AS parts FROM prep
+  WHERE mode IN ('keyword', 'plain') AND starts_with(word, '"')
+  UNION ALL
+  SELECT g.qid, g.clause, e.rank AS alt, [{{'toks': {O.tok('e.syn')}, 'prefix': false}}] AS parts
+  FROM kgroups g JOIN (
+    SELECT term, syn, rank FROM (
+      SELECT term, syn, row_number() OVER (PARTITION BY term ORDER BY length(syn), syn) AS rank FROM (
+        SELECT DISTINCT a.term, b.term AS syn FROM ({_TERM_RECORDS_SQL}) a JOIN ({_RECORDS_SQL}) b USING (record_id)
+        WHERE a.term <> b.term AND length(b.term) BETWEEN {S.SYN_MIN_LEN} AND {S.SYN_MAX_LEN}))
+    WHERE rank <= {S.SEARCH_SYNONYMS}) e ON e.term = lower(g.term)
+),
+cl AS (
+  SELECT qid, clause, alt, part, ph.toks AS toks, ph.prefix AS prefix,
+         array_to_string(ph.toks, ' ') || CASE WHEN ph.prefix THEN '*' ELSE '' END AS key
+  FROM (SELECT qid, clause, alt, unnest(parts) AS ph, unnest(range(0, len(parts))) AS part FROM alts)
+  WHERE len(ph.toks) > 0
+),
+kp AS (
+  SELECT key, k, prefix, unnest(toks) AS term, unnest(range(0, k)) AS j
+  FROM (SELECT DISTINCT key, toks, prefix, len(toks) AS k FROM cl)
+),
+occ AS (
+  SELECT p.doi, kp.key
+  FROM ({POSTINGS_SQL}) p JOIN kp
+    ON (p.token = kp.term AND NOT (kp.prefix AND kp.j = kp.k - 1))
+    OR (kp.prefix AND kp.j = kp.k - 1 AND starts_with(p.token, kp.term))
+  WHERE p.pos - kp.j >= 0
+  GROUP BY p.doi, p.field, p.pos - kp.j, kp.key, kp.k
+  HAVING count(*) = kp.k
+),
+tf AS (SELECT doi, key, count(*) AS tf FROM occ GROUP BY doi, key),
+df AS (SELECT key, count(DISTINCT doi)::DOUBLE AS df FROM occ GROUP BY key),
+slot AS (SELECT cl.qid, tf.doi, cl.clause, cl.alt, cl.part, cl.key, tf.tf FROM cl JOIN tf USING (key)),
+pa AS (SELECT qid, clause, alt, count(DISTINCT part) AS parts_all FROM cl GROUP BY qid, clause, alt),
+sat AS (
+  SELECT DISTINCT s.qid, s.doi, s.clause FROM (
+    SELECT qid, doi, clause, alt, count(DISTINCT part) AS ph FROM slot GROUP BY qid, doi, clause, alt) s
+  JOIN pa USING (qid, clause, alt) WHERE s.ph = pa.parts_all
+),
+nc AS (SELECT qid, count(DISTINCT clause) AS c_all FROM cl GROUP BY qid),
+matched AS (
+  SELECT s.qid, s.doi FROM (SELECT qid, doi, count(*) AS c FROM sat GROUP BY qid, doi) s
+  JOIN nc USING (qid) WHERE s.c = nc.c_all
+),
+dls AS (SELECT doi, {O.DL} AS dl FROM ({O.TOKENS})),
+st AS (SELECT count(*)::DOUBLE AS n_docs, sum(dl)::DOUBLE / count(*) AS avgdl FROM dls),
+contrib AS (
+  SELECT slot.qid, slot.doi, slot.clause, slot.alt, slot.part,
+         (CASE WHEN ln((st.n_docs - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) <= 0.0 THEN {S.IDF_FLOOR}::DOUBLE
+               ELSE ln((st.n_docs - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) END)
+         * ((slot.tf::DOUBLE * {S.BM25_K1 + 1.0}::DOUBLE)
+            / (slot.tf::DOUBLE + {S.BM25_K1}::DOUBLE * ({1.0 - S.BM25_B}::DOUBLE + {S.BM25_B}::DOUBLE * dls.dl / st.avgdl))) AS c
+  FROM slot JOIN matched USING (qid, doi) JOIN df USING (key) JOIN dls USING (doi), st
+),
+scored AS (
+  SELECT qid, doi, list_reduce(list(c ORDER BY clause, alt, part), lambda a, b: a + b) AS score
+  FROM contrib GROUP BY qid, doi
+)
+SELECT qid, rank, doi, round(score, 6) AS score FROM (
+  SELECT qid, doi, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doi) AS rank FROM scored
+) WHERE rank <= 10
+"""
+ORACLE["batch_search"] = _BATCH_SQL
+ORACLE["zero_hit_queries"] = f"""
+WITH hits AS ({_BATCH_SQL}), n AS (SELECT count(*) AS n FROM ({O.PAPERS}))
+SELECT item_id AS qid, n.n AS searched,
+       CASE WHEN n.n = 0 THEN 'Database is empty. Run a sync first to populate it.'
+            ELSE 'No results ' || CASE WHEN trim(text) <> '' THEN 'for ''' || text || '''' ELSE 'matching those filters' END
+                 || ' (searched ' || n.n::VARCHAR || ' papers).' END AS message
+FROM benchmark, n WHERE item_id NOT IN (SELECT qid FROM hits)
+"""
