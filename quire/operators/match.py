@@ -239,21 +239,25 @@ def simple_spec(ph: Phrase) -> bool:
 
 
 def token_stats(idx: Index, specs: list[Phrase]) -> dict[str, int]:
-    """Stored df of the query's tokens, and for prefixes the sum of df over
-    matching tokens (an upper bound). One small job; the result is bounded by
-    the query text plus the prefix expansions."""
+    """Stored df of the query's tokens, and for each prefix ``p`` the sum of
+    df over tokens starting with it under key ``p*`` (an upper bound of the
+    documents it matches). Prefix sums are aggregated on the executors, so
+    the driver receives one number per query token or prefix."""
     words = sorted({t for ph in specs for t in ph.tokens})
     prefixes = sorted({ph.tokens[-1] for ph in specs if ph.prefix and ph.tokens})
     if not words:
         return {}
-    cond = F.col("token").isin(words)
-    for p in prefixes:
-        cond = cond | F.col("token").startswith(p)
-    rows = idx.terms.where(cond).select("token", "df").collect()
-    df = {r.token: int(r.df) for r in rows}
-    for p in prefixes:
-        df[p + "*"] = sum(v for t, v in df.items() if not t.endswith("*") and t.startswith(p))
-    return df
+    out = {r.token: int(r.df) for r in idx.terms.where(F.col("token").isin(words)).select("token", "df").collect()}
+    if prefixes:
+        cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in prefixes])
+        sums = (
+            idx.terms.where(cond)
+            .agg(*[F.sum(F.when(F.col("token").startswith(p), F.col("df"))).alias(f"p{i}") for i, p in enumerate(prefixes)])
+            .collect()[0]
+        )
+        for i, p in enumerate(prefixes):
+            out[p + "*"] = int(sums[f"p{i}"] or 0)
+    return out
 
 
 def doc_bound(node, specs_df) -> int:
