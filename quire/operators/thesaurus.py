@@ -225,26 +225,32 @@ def annotate_docs(records: DataFrame, idx: Index) -> DataFrame:
     """(doi, term, hits): thesaurus terms (1-3 words) found in the indexed
     text, counted per document.
 
-    Terms are tokenised like the text; a term of k tokens is matched with the
-    same start-position aggregation the phrase search uses (postings filtered
-    to the terms' tokens through a join, never a cross product)."""
+    Terms are tokenised like the text. Every posting is extended with the next
+    two tokens of its field (a window per document field, ordered by
+    position), giving its 1-, 2- and 3-gram; the n-grams are equi-joined to
+    the terms' token strings. An n-gram matches at most one term, so common
+    words shared by many terms never multiply the postings."""
     keys = known_terms(records)
-    term_toks = keys.select("term", tokens(F.col("term")).alias("tt")).where(
-        (F.size("tt") >= 1) & (F.size("tt") <= DERIVED_TERM_WORDS)
+    term_keys = (
+        keys.select("term", tokens(F.col("term")).alias("tt"))
+        .where((F.size("tt") >= 1) & (F.size("tt") <= DERIVED_TERM_WORDS))
+        .select("term", F.array_join("tt", " ").alias("gram"))
     )
-    parts = term_toks.select("term", F.size("tt").alias("k"), F.posexplode("tt").alias("j", "token"))
-    hits = idx.postings.join(parts, "token").select(
-        "doi", "field", (F.col("pos") - F.col("j")).alias("start"), "term", "k"
+    w = Window.partitionBy("doi", "field").orderBy("pos")
+    nxt = idx.postings.select(
+        "doi",
+        "token",
+        F.lead("token", 1).over(w).alias("t1"),
+        F.lead("token", 2).over(w).alias("t2"),
     )
-    # a one-token term: every posting is an occurrence; longer terms need all
-    # their tokens at consecutive positions
-    single = hits.where(F.col("k") == 1).select("doi", "term")
-    multi = (
-        hits.where((F.col("k") > 1) & (F.col("start") >= 0))
-        .groupBy("doi", "field", "start", "term", "k")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") == F.col("k"))
-        .select("doi", "term")
-    )
-    occ = single.unionByName(multi)
-    return occ.groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
+    grams = nxt.select(
+        "doi",
+        F.explode(
+            F.array(
+                F.col("token"),
+                F.when(F.col("t1").isNotNull(), F.concat_ws(" ", "token", "t1")),
+                F.when(F.col("t2").isNotNull(), F.concat_ws(" ", "token", "t1", "t2")),
+            )
+        ).alias("gram"),
+    ).where(F.col("gram").isNotNull())
+    return grams.join(term_keys, "gram").groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
