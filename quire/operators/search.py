@@ -14,6 +14,7 @@ from quire.functions.normalize import category_key, compact_authors, norm_catego
 from quire.operators.index import Index
 from quire.operators.match import matched_docs
 from quire.plans.query import SynonymLookup, build, no_thesaurus
+from quire.session import literal_table
 
 # A top-k side up to this many rows is broadcast into the paper join; beyond
 # it the join is left to the planner (AQE measures the real size).
@@ -74,8 +75,15 @@ def search(
     order = [F.desc("score"), F.asc("doi")] if by_relevance else [F.desc("date"), F.asc("doi")]
     top = hits.select("doi", "date", "score").orderBy(*order).limit(limit).select("doi", "score")
     if limit <= TOPK_BROADCAST_ROWS:
-        top = F.broadcast(top)
-    rows = papers.join(top, "doi")
+        # The top-k is bounded by the limit: fetch it, then read only those
+        # papers - ``doi IN (...)`` reaches the scan of the DOI-sorted paper
+        # table, so row groups of other papers are skipped.
+        picked = [(r.doi, r.score) for r in top.collect()]
+        dois = [d for d, _ in picked]
+        scores = F.broadcast(literal_table(papers.sparkSession, picked, "doi string, score double"))
+        rows = papers.where(F.col("doi").isin(dois)).join(scores, "doi") if dois else papers.limit(0).join(scores, "doi")
+    else:
+        rows = papers.join(top, "doi")
     fields = S.PAPER_FIELDS if detail else S.COMPACT_FIELDS
     res = rows.select(*[_proj_col(c, detail) for c in fields], F.col("score").alias("_score"))
     final_order = [F.desc("_score"), F.asc("doi")] if by_relevance else [F.desc("date"), F.asc("doi")]

@@ -39,11 +39,23 @@ _CTX: dict[tuple[str, str], Ctx] = {}
 def ctx(spark: SparkSession, sf_dir: str) -> Ctx:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CTX:
-        p = papers(spark, sf_dir)
+        p = store_papers(papers(spark, sf_dir))
         _CTX[key] = Ctx(spark, sf_dir, p, IX.build_and_save(p))
     return _CTX[key]
 
 
+def store_papers(p: DataFrame) -> DataFrame:
+    """The paper table as stored: written once to the shared folder, range
+    partitioned and sorted by DOI, so DOI lookups skip row groups."""
+    from quire.session import new_table_path
+
+    spark = p.sparkSession
+    path = new_table_path(spark, "papers")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p.repartitionByRange(n, "doi").sortWithinPartitions("doi").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def static_lookup(groups=TH.SEED_GROUPS, n: int = S.SEARCH_SYNONYMS):
     """Synonym lookup over a small fixed dictionary (no Spark job): same rules
     as :func:`quire.operators.thesaurus.lookup_fn`."""
