@@ -30,6 +30,8 @@ from quire.plans.query import OPERATOR_WORDS
 from quire.session import materialize
 
 SPLIT_BLANKS = r"[\t\n\x0B\f\r ]+"
+# Up to this many distinct prefixes become StringStartsWith scan filters.
+PREFIX_PUSHDOWN_LIMIT = 1000
 WORD_PARTS = r"([\p{L}\p{N}_*]+)"
 
 
@@ -176,15 +178,29 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
         "key", "prefix", simple.alias("simple"), F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
     ).withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 1))
     post = idx.postings.select("token", "doi", "field", "pos")
-    exact = post.join(F.broadcast(parts.where(~F.col("is_prefix"))), F.col("token") == F.col("term"))
-    pre_terms = parts.where(F.col("is_prefix"))
-    # Distinct prefixes of the saved queries (bounded by their words) become
-    # StringStartsWith filters on the postings scan, so only matching row
-    # groups are read before the small broadcast theta join.
-    prefixes = sorted({r[0] for r in pre_terms.select("term").distinct().collect()})
-    if prefixes:
-        cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in prefixes])
-        pre = post.where(cond).join(F.broadcast(pre_terms), F.col("token").startswith(F.col("term")))
+    # The part table grows with the number of saved queries, so no broadcast
+    # hint: AQE broadcasts it only when its measured size allows.
+    exact = post.join(parts.where(~F.col("is_prefix")), F.col("token") == F.col("term"))
+    pre_terms = parts.where(F.col("is_prefix")).withColumn("plen", F.length("term"))
+    # Prefixes become equi-joins on the token's leading characters, one key
+    # per distinct prefix length (at most the longest word); while the
+    # distinct prefixes are few they also filter the postings scan.
+    lengths = sorted(r[0] for r in pre_terms.select("plen").distinct().collect())
+    if lengths:
+        n_pre = pre_terms.select("term").distinct().count()
+        scan = post
+        if n_pre <= PREFIX_PUSHDOWN_LIMIT:
+            prefixes = sorted(r[0] for r in pre_terms.select("term").distinct().collect())
+            scan = post.where(functools.reduce(operator.or_, [F.col("token").startswith(p) for p in prefixes]))
+        heads = scan.select(
+            "*",
+            F.explode(
+                F.array(*[F.struct(F.lit(n).alias("plen"), F.substring("token", 1, n).alias("head")) for n in lengths])
+            ).alias("h"),
+        ).where(F.length("token") >= F.col("h.plen"))
+        pre = heads.join(
+            pre_terms, (F.col("h.head") == F.col("term")) & (F.col("h.plen") == F.col("plen"))
+        ).drop("h", "plen")
         hits = exact.unionByName(pre)
     else:
         hits = exact
@@ -218,9 +234,9 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     clause_bound = alt_bound.groupBy("qid", "clause").agg(F.sum("b").alias("cb"))
     w_drv = Window.partitionBy("qid").orderBy("cb", "clause")
     driver = clause_bound.withColumn("r", F.row_number().over(w_drv)).where(F.col("r") == 1).select("qid", "clause")
-    driver_rows = clauses.join(F.broadcast(driver), ["qid", "clause"])
+    driver_rows = clauses.join(driver, ["qid", "clause"])
     driver_keys = driver_rows.select("key").distinct()
-    d_occ = occ.join(F.broadcast(driver_keys), "key").select("doi", "key").distinct()
+    d_occ = occ.join(driver_keys, "key").select("doi", "key").distinct()
     candidates = materialize(
         _satisfied(driver_rows.join(d_occ, "key"), driver_rows).select("qid", "doi"), "batch-candidates"
     )
@@ -237,7 +253,7 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     k1, b = S.BM25_K1, S.BM25_B
     contrib = (
         slot.join(matched, ["qid", "doi"], "left_semi")
-        .join(F.broadcast(df), "key")
+        .join(df, "key")
         .join(idx.docs.select("doi", "dl"), "doi")
     )
     raw = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
