@@ -118,7 +118,32 @@ def near_cols(near: Near, n: int) -> list[tuple[str, str]]:
         expr = "(" + " + ".join(per_field) + ")" if per_field else "0"
         out.append((f"n{n}_{m}", expr))
         flags.append(expr)
-    out.append((f"f{n}", "CASE WHEN " + " AND ".join(f"{e} > 0" for e in flags[:1]) + " THEN 1 ELSE 0 END"))
+    # document flag: some instance x is the leftmost of a group made of the
+    # earliest following instance of every other member, and the last of
+    # those starts at most ``distance`` tokens after x ends
+    anchors = []
+    for fi in all_fields:
+        for m, ph in enumerate(near.phrases):
+            if fi not in _fields(ph):
+                continue
+            nexts = []
+            ok = True
+            for o, other in enumerate(near.phrases):
+                if o == m:
+                    continue
+                if fi not in _fields(other):
+                    ok = False
+                    break
+                tie = "y >= x" if o > m else "y > x"
+                nexts.append(f"list_min(list_filter({_starts(other, fi)}, lambda y: {tie}))")
+            if not ok:
+                continue
+            cond = " AND ".join(f"{e} IS NOT NULL" for e in nexts)
+            last = f"greatest({', '.join(nexts)})"
+            anchors.append(
+                f"len(list_filter({_starts(ph, fi)}, lambda x: {cond} AND {last} - (x + {len(ph.tokens)}) <= {near.distance})) > 0"
+            )
+    out.append((f"f{n}", "CASE WHEN " + (" OR ".join(anchors) if anchors else "false") + " THEN 1 ELSE 0 END"))
     return out
 
 

@@ -86,3 +86,49 @@ def test_synonym_expansion_and_grouping():
 def test_synonyms_shortest_first_limit_three():
     look = static_lookup([(1, "aaaa"), (1, "bbb"), (1, "ccccc"), (1, "dd"), (1, "eeeeee"), (1, "fff")])
     assert look(["aaaa"])["aaaa"] == ["bbb", "fff", "ccccc"]
+
+
+def test_near_three_members_matches_brute_force(spark):
+    """NEAR over three phrases on a small fixture: Spark = DuckDB oracle =
+    a direct check over token positions."""
+    import duckdb
+
+    from conftest import paper
+    from quire import oracle as O
+    from quire.functions.text import tokenize_py
+    from quire.operators import upsert as U
+    from quire.operators.index import Index
+    from quire.operators.match import matched_docs
+
+    texts = [
+        "a x b y c",  # span fits
+        "a x x x x x b c",  # b..c near, a too far
+        "c b a",  # any order
+        "a b",  # c missing
+        "b q q a q q c q q b",
+    ]
+    rows = [paper(doi=f"10.1101/{i}", title=t) for i, t in enumerate(texts)]
+    from quire import schema as S
+
+    data = [tuple(r.get(f, "") for f in S.PAPER_FIELDS) + (i,) for i, r in enumerate(rows)]
+    schema = ", ".join(f"{f} string" for f in S.PAPER_FIELDS) + ", arrival long"
+    p = U.dedup_latest(spark.createDataFrame(data, schema))
+    tree = parse("NEAR(a b c, 3)")
+    got = {r.doi for r in matched_docs(Index.build(p), tree, score=False).collect()}
+
+    def brute(t, n=3):
+        toks = tokenize_py(t)
+        pos = {w: [i for i, x in enumerate(toks) if x == w] for w in "abc"}
+        best = False
+        for ia in pos["a"]:
+            for ib in pos["b"]:
+                for ic in pos["c"]:
+                    lo, hi = min(ia, ib, ic), max(ia, ib, ic)
+                    best = best or hi - (lo + 1) <= n
+        return best
+
+    assert got == {f"10.1101/{i}" for i, t in enumerate(texts) if brute(t)}
+    con = duckdb.connect()
+    con.register("ptab", p.toPandas())
+    sql = O.match_sql(tree, score=False).replace(f"FROM ({O.TOKENS})", "FROM (" + O.TOKENS.replace(f"FROM ({O.PAPERS})", "FROM ptab") + ")")
+    assert {r[0] for r in con.execute(sql).fetchall()} == got
