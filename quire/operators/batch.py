@@ -248,8 +248,8 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     n_clauses = clauses.groupBy("qid").agg(F.count_distinct("clause").alias("c_all"))
     matched = clause_hit.join(n_clauses, "qid").where(F.col("c_hit") == F.col("c_all")).select("qid", "doi")
     # BM25 over the query's phrase list (clause, alt, part order).
-    n_docs = idx.corpus.select(F.col("n_docs").cast("double")).scalar()
-    avgdl = idx.corpus.select("avgdl").scalar()
+    corpus = idx.corpus.select(F.struct(F.col("n_docs").cast("double").alias("n"), "avgdl").alias("c")).scalar()
+    n_docs, avgdl = corpus["n"], corpus["avgdl"]
     k1, b = S.BM25_K1, S.BM25_B
     contrib = (
         slot.join(matched, ["qid", "doi"], "left_semi")

@@ -329,8 +329,8 @@ def bm25(idx: Index, comp: Compiled, stats: dict[str, int]) -> Column:
             .agg(F.map_from_entries(F.collect_list(F.struct("spec", "df"))).alias("m"))
             .scalar()
         )
-    n_docs = idx.corpus.select(F.col("n_docs").cast("double")).scalar()
-    avgdl = idx.corpus.select("avgdl").scalar()
+    corpus = idx.corpus.select(F.struct(F.col("n_docs").cast("double").alias("n"), "avgdl").alias("c")).scalar()
+    n_docs, avgdl = corpus["n"], corpus["avgdl"]
     k1, b = S.BM25_K1, S.BM25_B
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     total = None
