@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import schema as S
-from quire.functions.normalize import category_key, compact_authors, norm_category
+from quire.functions.normalize import compact_authors, norm_category
 from quire.operators.index import Index
 from quire.operators.match import matched_docs
 from quire.plans.query import SynonymLookup, build, no_thesaurus
@@ -28,10 +28,13 @@ def filter_column(
     category_col: str = "category",
     date_col: str = "date",
 ) -> Column:
-    """AND of the category / date predicates; TRUE when none is given."""
+    """AND of the category / date predicates; TRUE when none is given.
+
+    Stored categories are normalised once at write (trim + lower), so the
+    stored value is compared directly and the predicate reaches the scan."""
     preds: list[Column] = []
     if category:
-        key = category_key(F.col(category_col))
+        key = F.col(category_col)
         if isinstance(category, str):
             preds.append(key == norm_category(F.lit(category)))
         else:

@@ -226,8 +226,14 @@ def q_search_count(spark, sf_dir):
 _FILTER_COLS = ("doi", "title", "date", "category", "server")
 
 
+def stored(spark, sf_dir) -> DataFrame:
+    """The stored paper table (same rows as the paper view, sorted by DOI), so
+    date / category / DOI predicates reach the parquet scan."""
+    return ctx(spark, sf_dir).papers
+
+
 def _filtered(spark, sf_dir, **kw) -> DataFrame:
-    return papers(spark, sf_dir).where(SE.filter_column(**kw)).select(*_FILTER_COLS)
+    return stored(spark, sf_dir).where(SE.filter_column(**kw)).select(*_FILTER_COLS)
 
 
 def _filtered_sql(**kw) -> str:
@@ -253,7 +259,7 @@ register_filter("filter_all", category=["src4", "src5", "src6"], after="2024-02-
     f"WHERE {O.filter_sql(category='src5', after='2024-03-01')} ORDER BY date DESC, doi LIMIT 30",
 )
 def q_browse(spark, sf_dir):
-    return SE.browse(papers(spark, sf_dir), 30, category="src5", after="2024-03-01")
+    return SE.browse(stored(spark, sf_dir), 30, category="src5", after="2024-03-01")
 
 
 # Bulk point lookup: the DOIs of the labelled documents (some have no paper
@@ -271,7 +277,7 @@ def q_get_paper(spark, sf_dir):
     dois = read_table(spark, sf_dir, "labels").select(
         F.concat(F.lit("10.1101/"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("doi")
     )
-    return SE.get_papers(papers(spark, sf_dir), dois)
+    return SE.get_papers(stored(spark, sf_dir), dois)
 
 
 @register("compact_authors", f"SELECT doi, authors AS authors_full, {O.COMPACT_AUTHORS} AS authors FROM ({O.PAPERS})")
@@ -356,14 +362,14 @@ def q_valid_date(spark, sf_dir):
 def q_category_counts(spark, sf_dir):
     from quire.operators.aggregates import category_counts
 
-    return category_counts(papers(spark, sf_dir))
+    return category_counts(stored(spark, sf_dir))
 
 
 @register("paper_count", f"SELECT count(*) AS paper_count FROM ({O.PAPERS})")
 def q_paper_count(spark, sf_dir):
     from quire.operators.aggregates import paper_count
 
-    return paper_count(papers(spark, sf_dir))
+    return paper_count(stored(spark, sf_dir))
 
 
 # -- upsert, index maintenance, sync --------------------------------------------------
