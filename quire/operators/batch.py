@@ -275,13 +275,17 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
 
 def zero_hits(queries: DataFrame, hits: DataFrame, papers: DataFrame) -> DataFrame:
     """Saved queries without a result, with the corpus size searched and the
-    message a user would see."""
+    message a user would see. Operator-syntax queries (left to the
+    single-query search) say so instead."""
     n = papers.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    missing = queries.join(hits.select("qid").distinct(), "qid", "left_anti")
+    modes = prepare(queries).select("qid", "mode").distinct()
+    missing = queries.join(hits.select("qid").distinct(), "qid", "left_anti").join(modes, "qid", "left")
     desc = F.when(F.trim(F.col("text")) != "", F.concat(F.lit("for '"), F.col("text"), F.lit("'"))).otherwise(
         F.lit("matching those filters")
     )
-    msg = F.when(n == 0, F.lit("Database is empty. Run a sync first to populate it.")).otherwise(
-        F.concat(F.lit("No results "), desc, F.lit(" (searched "), n.cast("string"), F.lit(" papers)."))
+    msg = (
+        F.when(F.col("mode") == "operator", F.lit("Operator query: run it with the single-query search."))
+        .when(n == 0, F.lit("Database is empty. Run a sync first to populate it."))
+        .otherwise(F.concat(F.lit("No results "), desc, F.lit(" (searched "), n.cast("string"), F.lit(" papers).")))
     )
     return missing.select("qid", n.alias("searched"), msg.alias("message"))

@@ -1226,7 +1226,8 @@ ORACLE["batch_search"] = _BATCH_SQL
 ORACLE["zero_hit_queries"] = f"""
 WITH hits AS ({_BATCH_SQL}), n AS (SELECT count(*) AS n FROM ({O.PAPERS}))
 SELECT item_id AS qid, n.n AS searched,
-       CASE WHEN n.n = 0 THEN 'Database is empty. Run a sync first to populate it.'
+       CASE WHEN item_id IN (SELECT qid FROM ({_PREP_SQL}) WHERE mode = 'operator') THEN 'Operator query: run it with the single-query search.'
+            WHEN n.n = 0 THEN 'Database is empty. Run a sync first to populate it.'
             ELSE 'No results ' || CASE WHEN trim(text) <> '' THEN 'for ''' || text || '''' ELSE 'matching those filters' END
                  || ' (searched ' || n.n::VARCHAR || ' papers).' END AS message
 FROM benchmark, n WHERE item_id NOT IN (SELECT qid FROM hits)

@@ -86,3 +86,13 @@ def test_incremental_index_equals_rebuild(spark):
     refreshed = U.refresh_terms(c.index.terms, removed, build_postings(incoming))
     full = term_stats(rebuilt)
     assert refreshed.select("token", "df", "cf").exceptAll(full.select("token", "df", F.col("cf").cast("long"))).count() == 0
+
+
+def test_operator_queries_are_reported_not_searched(spark):
+    c = R.ctx(spark, SF_SMALL)
+    qs = spark.createDataFrame([(1, "esat AND ndon"), (2, '"of the"'), (3, "zzzqqq")], "qid long, text string")
+    hits = BA.batch_search(c.index, qs, None, k=5)
+    assert hits.where("qid IN (1, 2)").count() == 0
+    msgs = {r.qid: r.message for r in BA.zero_hits(qs, hits, c.papers).collect()}
+    assert msgs[1].startswith("Operator query") and msgs[2].startswith("Operator query")
+    assert msgs[3].startswith("No results for 'zzzqqq'")
