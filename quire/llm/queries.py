@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing
+from quire.llm import mixing, packing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op5_pack_sequences": packing.op5_pack_sequences,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
