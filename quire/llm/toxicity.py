@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments, and a calibrated document score.
 
-Learning. From labelled documents, words are counted by class and rolled up to
-features: the word itself and its 5-character pieces (which carry a stem
+Learning. From labelled documents (copies once), the documents with a word are
+counted by class and rolled up to features: the word itself and its 5-character pieces (which carry a stem
 through its endings). A feature's log-odds ratio between the classes uses a
 Dirichlet prior in proportion to its overall frequency, and features that lie
 ``MIN_Z`` standard deviations above zero make the model.
@@ -40,7 +40,7 @@ from quire.llm.spans import Words
 SAMPLE = 20_000
 FEATURES = 20_000
 PIECE = 5
-PRIOR = 100.0
+PRIOR = 0.5  # mass of the prior, in words of the toxic class
 MIN_Z = 5.0
 DRIFT = 0.3
 MAX_E = 0.05
@@ -54,12 +54,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     n = marks.count()
     kept = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < math.ceil(min(1.0, sample / max(n, 1)) * (1 << 20)))
     rows = docs.select("doc_id", "text").join(kept, "doc_id")
-    return saved(rows.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("__toxic") > 0).cast("int").alias("toxic")), "toxic-rows")
+    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("__toxic") > 0).cast("int").alias("toxic"))
+    return saved(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-rows")  # copies count once
 
 
 def learn_features(rows: DataFrame, features: int = FEATURES) -> dict[str, float]:
     """{feature: log-odds} of the significant toxic features."""
-    word = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")
+    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
     words = rows.select("toxic", word).where("word <> ''").groupBy("word").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
     )
@@ -74,8 +75,9 @@ def learn_features(rows: DataFrame, features: int = FEATURES) -> dict[str, float
     if not n["nt"] or not n["nc"]:
         return {}
     nt, nc = n["nt"], n["nc"]
-    prior = (F.col("t") + F.col("c")) / (nt + nc) * PRIOR + 0.01
-    odds = lambda y, total: F.log((y + prior) / (total + PRIOR - y - prior))
+    mass = PRIOR * nt
+    prior = (F.col("t") + F.col("c")) / (nt + nc) * mass
+    odds = lambda y, total: F.log((y + prior) / F.greatest(total + mass - y - prior, F.lit(1.0)))
     scored = found.withColumn("w", odds(F.col("t"), nt) - odds(F.col("c"), nc)).withColumn(
         "z", F.col("w") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
     )
