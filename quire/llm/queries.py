@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing, toxicity
+from quire.llm import mixing, neardup, packing, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op9_mix_sources": mixing.op9_mix_sources,
 }

@@ -66,19 +66,37 @@ class Words:
         self.keep, self.hash = keep(), WordHash()
 
     def split(self, texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]]:
+        for lo, hi, some in self._some(texts):
+            yield (lo, hi, *self._slice(some))
+
+    def _some(self, texts: list) -> Iterator[tuple[int, int, list[str]]]:
         lo = 0
         while lo < len(texts):
             hi, chars, some = lo, 0, []
             while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= BATCH_CHARS):
                 t = texts[hi] if isinstance(texts[hi], str) else ""
                 low = t.lower()
-                some.append(low if len(low) == len(t) else "".join(c if len(c) == 1 else t[i] for i, c in enumerate(map(str.lower, t))))
+                # a few characters get longer in lower case; these stay, so that places hold
+                some.append(low if len(low) == len(t) else "".join(x if len(x := c.lower()) == 1 else c for c in t))
                 chars += len(t)
                 hi += 1
-            yield (lo, hi, *self._slice(some))
+            yield lo, hi, some
             lo = hi
 
+    def hashes(self, texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For slices of the texts: first and end text, per word its text
+        counted from the first, and the word's hash."""
+        for lo, hi, some in self._some(texts):
+            points, start, end, doc, _, _ = self._find(some)
+            yield lo, hi, doc, self.hash(points, start, end)
+
     def _slice(self, texts: list[str]):
+        points, start, end, doc, begins, text = self._find(texts)
+        code, one = distinct(self.hash(points, start, end)) if len(start) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        words = [text[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
+        return doc, code, words, start - begins[doc], end - begins[doc]
+
+    def _find(self, texts: list[str]):
         text = "\n".join(texts)  # never part of a word
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.zeros(len(points) + 2, np.int8)
@@ -87,6 +105,4 @@ class Words:
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64)
         doc = np.searchsorted(begins, start, "right") - 1
-        code, one = distinct(self.hash(points, start, end)) if len(start) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        words = [text[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
-        return doc, code, words, start - begins[doc], end - begins[doc]
+        return points, start, end, doc, begins, text
