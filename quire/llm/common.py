@@ -48,7 +48,7 @@ def parts_for(df: DataFrame, bytes_per_part: float = 24e6, least: int = 8) -> in
     """How many partitions to use for work on all rows of ``df``: its size as
     Spark estimates it (file bytes for a scan) over ``bytes_per_part``, and at
     least the session's shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if size > 1 << 50:  # no estimate
         return max(least, own)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, neardup, packing, toxicity
+from quire.llm import mixing, neardup, packing, suffix, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_pack_sequences": packing.op5_pack_sequences,
+    "op7_repeated_passages": suffix.op7_repeated_passages,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
