@@ -44,12 +44,8 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(t), F.xxhash64(F.lit(0x5BD1), t)]
 
 
-def parts_for(df: DataFrame, bytes_per_part: float = 24e6, least: int = 8) -> int:
-    """How many partitions to use for work on all rows of ``df``: its size as
-    Spark estimates it (file bytes for a scan) over ``bytes_per_part``, and at
-    least the session's shuffle partitions."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if size > 1 << 50:  # no estimate
-        return max(least, own)
-    return max(least, own, int(size / bytes_per_part))
+def parts_for(df: DataFrame, bytes_per_part: float, least: int = 12) -> int:
+    """How many partitions work on all rows of ``df`` takes: its size as Spark
+    estimates it (file bytes for a scan) over ``bytes_per_part``."""
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, int(size / bytes_per_part)) if size < 1 << 50 else max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, neardup, packing, suffix, toxicity
+from quire.llm import lm, mixing, neardup, packing, suffix, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op7_repeated_passages": suffix.op7_repeated_passages,
+    "op8_language_model": lm.op8_language_model,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
