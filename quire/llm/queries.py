@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import lm, mixing, neardup, packing, suffix, toxicity
+from quire.llm import langid, lm, mixing, neardup, packing, suffix, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_language": langid.op3_language,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op7_repeated_passages": suffix.op7_repeated_passages,
