@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from quire.llm import langid, lm, mixing, neardup, packing, suffix, toxicity
+from quire.llm import ann, langid, lm, mixing, neardup, packing, suffix, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_exact_top": topk.op2_exact_top,
     "op3_language": langid.op3_language,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_pack_sequences": packing.op5_pack_sequences,
     "op7_repeated_passages": suffix.op7_repeated_passages,
     "op8_language_model": lm.op8_language_model,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_nearest": ann.op10_nearest,
 }
 
 ORACLE = {
+    "op2_exact_top": topk.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
 }
