@@ -161,7 +161,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["gram", "context", "doc", "k1", "pos", "l", "r", "n", "bytes"])
 
     by_doc = wanted.groupBy("doc", "k1").agg(F.collect_list(F.struct("gram", "context", "pos", "l", "r", "n")).alias("places"))
-    rows = docs.dropDuplicates(["doc", "k1"]).join(by_doc, ["doc", "k1"])
+    rows = docs.join(by_doc, ["doc", "k1"]).dropDuplicates(["doc", "k1"])
     return rows.mapInPandas(run, "gram long, context long, doc long, k1 long, pos long, l int, r int, n long, bytes binary")
 
 
