@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, langid, lm, mixing, neardup, packing, suffix, topk, toxicity
+from quire.llm import ann, chat, langid, lm, mixing, neardup, packing, suffix, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": langid.op3_language,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_pack_sequences": packing.op5_pack_sequences,
+    "op6_chat_perspectives": chat.op6_chat_perspectives,
     "op7_repeated_passages": suffix.op7_repeated_passages,
     "op8_language_model": lm.op8_language_model,
     "op9_mix_sources": mixing.op9_mix_sources,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE = {
     "op2_exact_top": topk.ORACLE,
+    "op6_chat_perspectives": chat.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
 }
