@@ -8,9 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import shared_dir
 from quire.llm.mixing import mix_stage
+from quire.llm.neardup import near_duplicate_stage
+from quire.llm.packing import pack_stage
+from quire.llm.suffix import suffix_stage
+from quire.llm.toxicity import toxicity_stage
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", suffix_stage),
     ("mixing", mix_stage),
+    ("packing", pack_stage),
 ]
 
 # Learned scores, sketches and tokenizers can't be written in SQL.
