@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.vectors import best_of, keep, matrix, meet, order_ids, prepared
+from quire.llm.vectors import best_of, keep, matrix, meet, prepared
 
 TOP = 20
 EVERY = 20
@@ -92,7 +92,7 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, block: int =
         rows = []
         if len(q) and len(x):
             qv, xv = matrix(q["v"], width, float), matrix(x["v"], width, float)
-            ids, own = order_ids(x["vec_id"]), dict(zip(x["rid"], range(len(x))))
+            ids, own = x["vec_id"].to_numpy(), dict(zip(x["rid"], range(len(x))))
             index = Index(xv, longest, HASHES, SEED)
             want = LEAST + int(SHARE * len(x))
             for i, found in enumerate(index.candidates(qv, want)):

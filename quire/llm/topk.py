@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.vectors import best_of, keep, matrix, meet, order_ids, prepared
+from quire.llm.vectors import best_of, keep, matrix, meet, prepared
 
 TOP = 5
 EVERY = 50
@@ -105,7 +105,7 @@ def exact_top(vectors: DataFrame, top: int = TOP, every: int = EVERY, pivots: in
             count = len(shared.value)
             qv, xv = matrix(q["v"], width, np.int64), matrix(x["v"], width, np.int64)
             qd, xd = matrix(q["d"], count, float), matrix(x["d"], count, float)
-            ids, own = order_ids(x["vec_id"]), dict(zip(x["rid"], range(len(x))))
+            ids, own = x["vec_id"].to_numpy(), dict(zip(x["rid"], range(len(x))))
             for i, (rid, qid) in enumerate(zip(q["rid"], q["vec_id"])):
                 places, scores = search_block(qv[i], qd[i], xv, xd, own.get(rid, -1), ids, top)
                 rows += [(rid, qid, x["vec_id"].iat[p], s) for p, s in zip(places, scores.tolist())]

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import saved
 
 
+NO_ID = 2**63 - 1  # stands for a null id while ids are numbers of numpy
+
+
 def usable(vector: Column) -> Column:
     """Neither null nor with a null or non-finite component."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -22,7 +25,7 @@ def prepared(vectors: DataFrame, components: Column, every: int) -> DataFrame:
     """(rid, vec_id, v, asks): usable vectors under a row id of their own, and
     whether they are queries."""
     rows = vectors.where(usable(F.col("embedding"))).select(
-        F.col("vec_id").cast("long").alias("vec_id"),
+        F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"),
         components.alias("v"),
         F.coalesce(F.col("vec_id") % every == 0, F.lit(False)).alias("asks"),
     )
@@ -48,14 +51,17 @@ def meet(
     spread = lambda k: F.pmod(F.xxhash64("rid"), F.lit(k))
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     cols = ["rid", "vec_id", "v", *extra]
-    left = table.where("asks").select(*cols, spread(q_blocks).cast("int").alias("qb"), each(c_blocks).alias("cb"))
-    right = table.select(*cols, spread(c_blocks).cast("int").alias("cb"), each(q_blocks).alias("qb"))
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(
-        search, f"qrid long, query_id long, vec_id long, score {score}"
-    )
-    best = Window.partitionBy("qrid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    ask = table.where("asks").select(*cols, F.lit(True).alias("ask"), spread(q_blocks).cast("int").alias("qb"), each(c_blocks).alias("cb"))
+    own = table.select(*cols, F.lit(False).alias("ask"), each(q_blocks).alias("qb"), spread(c_blocks).cast("int").alias("cb"))
+
+    def both(rows: pd.DataFrame) -> pd.DataFrame:
+        ask = rows["ask"].to_numpy(bool)
+        return search(rows[ask], rows[~ask])
+
+    found = ask.unionByName(own).groupBy("qb", "cb").applyInPandas(both, f"qrid long, query_id long, vec_id long, score {score}")
+    best = Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
@@ -68,10 +74,5 @@ def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:top]]
 
 
-def order_ids(column: pd.Series) -> np.ndarray:
-    """Ids as numbers that put null last."""
-    return column.fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-
-
 def keep(table: DataFrame, name: str) -> DataFrame:
     return saved(table, name)
