@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS = 1000  # whole texts at a time
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
@@ -16,16 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that were running on it,
     never the stages before. Spark also knows the size of what it reads back,
     so a later join broadcasts it only if it is below the session's threshold.
+    ``batch`` bounds the rows that Python workers get at a time, for rows that
+    are large, while the table is written.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    own = spark.conf.get(ARROW_ROWS)
+    if batch:
+        spark.conf.set(ARROW_ROWS, str(batch))
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, own)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

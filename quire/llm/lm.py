@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold, parts_for, saved
+from quire.llm.common import TEXTS, fold, parts_for, saved
 from quire.llm.spans import BATCH_CHARS, WordHash, distinct
 
 HOT = 1 << 19
@@ -140,7 +140,7 @@ def merged(blocks: DataFrame, parts: int, kind: int) -> DataFrame:
             k, a, h = merge(own)
             yield pd.DataFrame([(kind, p, k.tobytes(), a.tobytes(), h.tobytes())], columns=["kind", "part", "keys", "a", "h"])
 
-    return saved(blocks.where(F.col("kind") == kind).repartition(parts, "part").mapInPandas(run, BLOCKS), "lm-counts")
+    return saved(blocks.where(F.col("kind") == kind).repartition(parts, "part").mapInPandas(run, BLOCKS), "lm-counts", TEXTS)
 
 
 def roles(docs: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def count_pairs(docs: DataFrame, hot: dict, parts: int) -> tuple[DataFrame, np.n
         yield counter.blocks()
         yield pd.DataFrame([(3, 0, b"", grid.tobytes(), b"")], columns=["kind", "part", "keys", "a", "h"])
 
-    blocks = saved(docs.select("text", "role").mapInPandas(run, BLOCKS), "lm-pairs")
+    blocks = saved(docs.select("text", "role").mapInPandas(run, BLOCKS), "lm-pairs", TEXTS)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS * BINS, np.int64)
@@ -397,7 +397,7 @@ def score(docs: DataFrame, part_bytes: float = PART_BYTES) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 
     schema = f"kind int, task int, seq long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, part int, keys binary, code binary, row binary, bucket binary"
-    got = saved(docs.mapInPandas(read, schema), "lm-read")
+    got = saved(docs.mapInPandas(read, schema), "lm-read", TEXTS)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, at, keys, count = shared.value, None, np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Encoder
-from quire.llm.common import saved
+from quire.llm.common import TEXTS, saved
 
 WINDOW = 2048
 END_ID = 1
@@ -120,7 +120,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Pieces with the sequence they go to and their offset in it."""
-    pieces = saved(cut(docs, tokenizer, window, end_id, keep_ids), "pack-pieces")
+    pieces = saved(cut(docs, tokenizer, window, end_id, keep_ids), "pack-pieces", TEXTS)
     counts = saved(pieces.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # window rows at most
     shared = docs.sparkSession.sparkContext.broadcast(places(patterns(total, window)))
