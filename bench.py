@@ -30,7 +30,7 @@ HEADLINE = (
     "upsert_merge",
     "index_upsert",
     "auth_outcome",
-    "throttle_log",
+    "request_bursts",
 )
 
 

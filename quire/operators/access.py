@@ -1,26 +1,12 @@
-"""Access-log analysis: keys, authentication outcome, per-key token bucket.
+"""Access-log analysis: keys, authentication outcome, bursts of requests.
 
-The request log is a table; the key table is a dimension joined to it.
-
-Token bucket (``tokens = min(burst, tokens + elapsed * rate)``, a request
-spends one token when at least one is there) is a sequential recurrence per
-key, so it is split where the state is known without history: after a gap
-of at least ``burst / rate`` seconds the bucket is full whatever came
-before. Gaps and segment starts are found with windows over (key, time
-bucket) plus a small per-bucket carry, so no window ever holds all events
-of one key; each segment is then folded in order by an iterator-style
-grouped pandas function that streams Arrow batches (the group is never
-loaded whole). A key that never pauses forms one long segment; that part
-is inherently sequential.
+The request log is a table; the key table is a dimension joined to it by the
+hash of the token a request shows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import schema as S
@@ -48,141 +34,35 @@ def with_key(requests: DataFrame, keys: DataFrame) -> DataFrame:
     return req.join(k, "_hash", "left").withColumn("key_id", key_id(F.col("_hash")))
 
 
-def auth_status(path: Column, auth: Column, label: Column) -> Column:
-    """Status before rate limiting: 200 open path, 401 no bearer, 403 unknown
-    key, null = authenticated (goes on to the limiter)."""
-    return (
-        F.when(path.isin(*S.OPEN_PATHS), F.lit(200))
-        .when(bearer_token(auth).isNull(), F.lit(401))
-        .when(label.isNull(), F.lit(403))
+def outcomes(requests: DataFrame, keys: DataFrame) -> DataFrame:
+    """(event_id, key_id, status): what the key check answers each request:
+    200, 401 (no bearer) or 403 (unknown key). Requests that need no key or
+    show none are never joined; they would all meet under one null key."""
+    token = bearer_token(F.col("authorization"))
+    is_open = F.col("path").isin(*S.OPEN_PATHS)
+    bare = requests.where(token.isNull()).select(
+        "event_id", F.lit(None).cast("string").alias("key_id"), F.when(is_open, 200).otherwise(401).alias("status")
     )
-
-
-def time_us(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 of a wall-clock timestamp, independent
-    of the session time zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
-
-
-def gap_segments(events: DataFrame, key: str, ts_us: str, tie: str, gap_us: float, bucket_us: int) -> DataFrame:
-    """Add ``seg``: the time of the latest event at or before this one whose
-    gap to the previous event of the key is at least ``gap_us`` (or the key's
-    first event)."""
-    ev = events.withColumn("_b", F.floor(F.col(ts_us) / F.lit(bucket_us)).cast("long"))
-    inb = Window.partitionBy(key, "_b").orderBy(ts_us, tie)
-    ev = ev.withColumn("_prev", F.lag(ts_us).over(inb))
-    bmax = ev.groupBy(key, "_b").agg(F.max(ts_us).alias("_bmax"))
-    byb = Window.partitionBy(key).orderBy("_b")
-    bmax = bmax.withColumn("_pbmax", F.lag("_bmax").over(byb))
-    ev = ev.join(bmax.select(key, "_b", "_pbmax"), [key, "_b"])
-    prev = F.coalesce(F.col("_prev"), F.col("_pbmax"))
-    ev = ev.withColumn("_reset", prev.isNull() | ((F.col(ts_us) - prev) >= F.lit(gap_us)))
-    run = inb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.withColumn("_run", F.max(F.when(F.col("_reset"), F.col(ts_us))).over(run))
-    lastr = ev.groupBy(key, "_b").agg(F.max(F.when(F.col("_reset"), F.col(ts_us))).alias("_lr"))
-    carry = byb.rowsBetween(Window.unboundedPreceding, -1)
-    lastr = lastr.withColumn("_carry", F.max("_lr").over(carry))
-    ev = ev.join(lastr.select(key, "_b", "_carry"), [key, "_b"])
-    return ev.withColumn("seg", F.coalesce(F.col("_run"), F.col("_carry"))).drop(
-        "_b", "_prev", "_pbmax", "_reset", "_run", "_carry"
-    )
-
-
-BUCKET_SCHEMA = "key_id string, event_id long, ts_us long, allowed boolean, tokens double, wait double"
-
-
-def _fold(rate: float, burst: float):
-    """Fold over rows sorted by (key_id, seg, ts_us, event_id); the bucket
-    restarts full at every new (key_id, seg)."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = float(burst)
-        last = None
-        current = None
-        last_order = None
-        for pdf in batches:
-            keys = pdf["key_id"].to_numpy()
-            segs = pdf["seg"].to_numpy()
-            ts = pdf["ts_us"].to_numpy()
-            ids = pdf["event_id"].to_numpy()
-            n = len(pdf)
-            allowed = [False] * n
-            after = [0.0] * n
-            wait = [None] * n
-            for i in range(n):
-                group = (keys[i], int(segs[i]))
-                order = (int(ts[i]), int(ids[i]))
-                if group != current:
-                    current, tokens, last, last_order = group, float(burst), None, None
-                elif order < last_order:
-                    raise RuntimeError("token bucket input is not in time order")
-                last_order = order
-                elapsed = 0.0 if last is None else (int(ts[i]) - last) / 1e6
-                last = int(ts[i])
-                tokens = min(float(burst), tokens + elapsed * rate)
-                if tokens >= 1:
-                    tokens -= 1
-                    allowed[i] = True
-                else:
-                    wait[i] = math.inf if rate <= 0 else (1 - tokens) / rate
-                after[i] = tokens
-            yield pd.DataFrame(
-                {
-                    "key_id": keys,
-                    "event_id": ids,
-                    "ts_us": ts,
-                    "allowed": allowed,
-                    "tokens": after,
-                    "wait": pd.array(wait, dtype="Float64"),
-                }
-            )
-
-    return fold
-
-
-def token_bucket(limited: DataFrame, rate: float = S.KEY_RATE, burst: int = S.KEY_BURST, bucket_seconds: int = 3600) -> DataFrame:
-    """Per request of ``limited(key_id, event_id, ts_us)``: allowed, tokens
-    left and the wait in seconds when denied (infinite when rate <= 0).
-
-    Segments are hash-partitioned on (key, segment) and sorted inside each
-    partition; one pandas pass per partition folds them in order (one Python
-    call per partition, not per group)."""
-    if rate > 0:
-        segs = gap_segments(limited, "key_id", "ts_us", "event_id", burst / rate * 1e6, bucket_seconds * 1_000_000)
-    else:
-        # no refill: the state never resets, the whole key is one segment
-        segs = limited.withColumn("seg", F.lit(0).cast("long"))
-    ordered = (
-        segs.select("key_id", "seg", "event_id", "ts_us")
-        .repartition("key_id", "seg")
-        .sortWithinPartitions("key_id", "seg", "ts_us", "event_id")
+    keyed = with_key(requests.where(token.isNotNull()), keys).select(
+        "event_id",
+        F.when(F.col("label").isNotNull(), F.col("key_id")).alias("key_id"),
+        F.when(is_open | F.col("label").isNotNull(), 200).otherwise(403).alias("status"),
     )
-    return ordered.mapInPandas(_fold(rate, burst), BUCKET_SCHEMA)
+    return bare.unionByName(keyed)
 
 
-def retry_after(wait: Column) -> Column:
-    return F.when(wait == float("inf"), F.lit(S.RETRY_AFTER_NEVER)).otherwise(
-        F.greatest(F.lit(1), F.floor(wait).cast("int") + 1)
+def request_bursts(requests: DataFrame, keys: DataFrame, window: str, least: int) -> DataFrame:
+    """(key_id, unlimited, window_start, requests, busiest_path): time
+    windows in which a known key sent ``least`` requests or more."""
+    known = with_key(requests.where(bearer_token(F.col("authorization")).isNotNull()), keys).where(F.col("label").isNotNull())
+    by_path = known.groupBy("key_id", "unlimited", F.window(F.col("ts").cast("timestamp"), window).alias("w"), "path").agg(
+        F.count(F.lit(1)).alias("n")
     )
-
-
-def outcomes(requests: DataFrame, keys: DataFrame, rate: float = S.KEY_RATE, burst: int = S.KEY_BURST) -> DataFrame:
-    """(event_id, key_id, status, retry_after): the guard's answer to every
-    request. Unlimited keys skip the bucket."""
-    rk = with_key(requests, keys)
-    pre = rk.withColumn("_pre", auth_status(F.col("path"), F.col("authorization"), F.col("label")))
-    limited = pre.where(F.col("_pre").isNull() & ~F.col("unlimited")).select(
-        "key_id", "event_id", time_us(F.col("ts")).alias("ts_us")
+    sums = by_path.groupBy("key_id", "unlimited", "w").agg(
+        F.sum("n").alias("requests"), F.min_by("path", F.struct(-F.col("n"), F.col("path"))).alias("busiest_path")
     )
-    bucket = token_bucket(limited, rate, burst).select("event_id", "allowed", "wait")
-    out = pre.join(bucket, "event_id", "left")
-    status = F.coalesce(F.col("_pre"), F.when(F.col("unlimited"), 200).when(F.col("allowed"), 200).otherwise(429))
-    return out.select(
-        "event_id",
-        F.when(F.col("label").isNotNull(), F.col("key_id")).alias("key_id"),
-        status.alias("status"),
-        F.when(status == 429, retry_after(F.col("wait"))).alias("retry_after"),
+    return sums.where(F.col("requests") >= least).select(
+        "key_id", "unlimited", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", "busiest_path"
     )
 
 
@@ -217,32 +97,36 @@ def prefix_lookup(prefixes: DataFrame, keys: DataFrame) -> DataFrame:
 _TRUE_WORDS = ("1", "true", "yes")
 
 
-def _repr(col: Column) -> Column:
-    return F.concat(F.lit("'"), col, F.lit("'"))
+def _clamped(number: Column) -> Column:
+    """An integer text of any length, clamped to 1..the largest limit."""
+    digits = F.regexp_replace(number, r"^[+-]?0*", "")
+    negative = number.startswith("-")
+    long = F.length(digits) > len(str(S.MAX_LIMIT))
+    value = F.when(long, F.lit(S.MAX_LIMIT)).otherwise(F.coalesce(digits.try_cast("int"), F.lit(0)))
+    return F.when(negative, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(value, F.lit(S.MAX_LIMIT)))).cast("int")
 
 
 def typed_requests(raw: DataFrame) -> DataFrame:
-    """Typed search parameters of raw request strings, with the first reject
-    reason (limit, then after, then before, as the handler checks them)."""
+    """Typed search parameters of raw request strings, with a code for the
+    first reason to reject them (limit, then after, then before)."""
     from quire.functions.normalize import valid_doi, valid_iso_date
 
     lim = F.trim(F.col("limit_raw"))
     lim_ok = F.col("limit_raw").isNull() | (F.col("limit_raw") == "") | lim.rlike(r"^[+-]?\d+$")
     lim_v = F.when(
         F.col("limit_raw").isNull() | (F.col("limit_raw") == ""), F.lit(S.DEFAULT_LIMIT)
-    ).otherwise(F.greatest(F.lit(1), F.least(lim.cast("decimal(38,0)"), F.lit(S.MAX_LIMIT))).cast("int"))
+    ).otherwise(_clamped(lim))
 
     def date_check(c: str, field: str) -> tuple[Column, Column]:
         blank = F.col(c).isNull() | (F.col(c) == "")
         ok = blank | valid_iso_date(F.col(c))
-        msg = F.concat(F.lit(f"{field} must be YYYY-MM-DD, got "), _repr(F.col(c)))
-        return ok, msg
+        return ok, F.concat(F.lit(f"bad_{field}:"), F.col(c))
 
     after_ok, after_msg = date_check("after_raw", "after")
     before_ok, before_msg = date_check("before_raw", "before")
     cats = F.filter(F.transform(F.split(F.coalesce(F.col("category_raw"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     reason = (
-        F.when(~lim_ok, F.concat(F.lit("limit must be an integer, got "), _repr(F.col("limit_raw"))))
+        F.when(~lim_ok, F.concat(F.lit("bad_limit:"), F.col("limit_raw")))
         .when(~after_ok, after_msg)
         .when(~before_ok, before_msg)
     )
@@ -256,5 +140,5 @@ def typed_requests(raw: DataFrame) -> DataFrame:
         F.when(F.size(cats) == 0, F.lit(None)).otherwise(F.array_join(cats, ",")).alias("category"),
         (F.size(cats) > 1).alias("category_is_list"),
         reason.alias("reject"),
-        F.when(~doi_ok, F.concat(F.lit("Invalid DOI format: "), _repr(F.col("doi_raw")))).alias("doi_reject"),
+        F.when(~doi_ok, F.concat(F.lit("bad_doi:"), F.col("doi_raw"))).alias("doi_reject"),
     )

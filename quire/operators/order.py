@@ -7,21 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import materialize
+
 
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], name: str = "position") -> DataFrame:
     """Add a 0-based ``name`` = rank of each row inside its group by
     ``order_cols`` (which must make the order total).
 
     A global range-partitioned sort spreads even a very large group over many
-    tasks; per (task, group) row counts then give each task's offset inside
-    the group, and ids inside one task are consecutive. Only the small
-    (task, group) count table is windowed.
+    tasks. The sorted rows are written once, with the number of their run and
+    their place in it: range bounds are sampled, so only what is written is the
+    same for the counts and for the rows. Counts per (run, group) then give
+    each run's offset inside the group; only that small table is windowed.
     """
     keys = [*group_cols, *order_cols]
     srt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    tagged = srt.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    blocks = tagged.groupBy("_part", *group_cols).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = tagged.join(blocks.select("_part", *group_cols, "_first", "_offset"), ["_part", *group_cols])
-    return out.withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop("_part", "_id", "_first", "_offset")
+    tagged = srt.withColumn("_run", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    tagged = materialize(tagged, "positions")
+    runs = tagged.groupBy("_run", *group_cols).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    runs = runs.select("_first", "_offset", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(["_run", *group_cols])])
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(["_run", *group_cols])]
+    return tagged.join(runs, same).select(*df.columns, (F.col("_offset") + F.col("_id") - F.col("_first")).alias(name))

@@ -14,11 +14,6 @@ from quire.functions.normalize import compact_authors, norm_category
 from quire.operators.index import Index
 from quire.operators.match import matched_docs
 from quire.plans.query import SynonymLookup, build, no_thesaurus
-from quire.session import literal_table
-
-# A top-k side up to this many rows is broadcast into the paper join; beyond
-# it the join is left to the planner (AQE measures the real size).
-TOPK_BROADCAST_ROWS = 10_000
 
 
 def filter_column(
@@ -69,24 +64,16 @@ def search(
 ) -> DataFrame:
     """Top ``limit`` papers for ``query``; relevance order only when asked for
     and there is a query, newest first otherwise (ties: doi ascending)."""
-    limit = max(1, min(int(limit), S.MAX_LIMIT))
     if not query.strip():
         return browse(papers, limit, category, after, before, detail)
     tree = build(query, lookup)
     by_relevance = sort == "relevance"
-    hits = matched_docs(idx, tree, score=True).where(filter_column(category, after, before))
+    scored = by_relevance or with_score
+    hits = matched_docs(idx, tree, score=scored).where(filter_column(category, after, before))
     order = [F.desc("score"), F.asc("doi")] if by_relevance else [F.desc("date"), F.asc("doi")]
-    top = hits.select("doi", "date", "score").orderBy(*order).limit(limit).select("doi", "score")
-    if limit <= TOPK_BROADCAST_ROWS:
-        # The top-k is bounded by the limit: fetch it, then read only those
-        # papers - ``doi IN (...)`` reaches the scan of the DOI-sorted paper
-        # table, so row groups of other papers are skipped.
-        picked = [(r.doi, r.score) for r in top.collect()]
-        dois = [d for d, _ in picked]
-        scores = F.broadcast(literal_table(papers.sparkSession, picked, "doi string, score double"))
-        rows = papers.where(F.col("doi").isin(dois)).join(scores, "doi") if dois else papers.limit(0).join(scores, "doi")
-    else:
-        rows = papers.join(top, "doi")
+    score = F.col("score") if scored else F.lit(None).cast("double").alias("score")
+    top = hits.select("doi", "date", score).orderBy(*order).limit(limit).select("doi", "score")
+    rows = papers.join(top, "doi")
     fields = S.PAPER_FIELDS if detail else S.COMPACT_FIELDS
     res = rows.select(*[_proj_col(c, detail) for c in fields], F.col("score").alias("_score"))
     final_order = [F.desc("_score"), F.asc("doi")] if by_relevance else [F.desc("date"), F.asc("doi")]
@@ -128,7 +115,6 @@ def browse(
     detail: bool = False,
 ) -> DataFrame:
     """No text query: filtered papers, newest first."""
-    limit = max(1, min(int(limit), S.MAX_LIMIT))
     rows = papers.where(filter_column(category, after, before)).orderBy(F.desc("date"), F.asc("doi")).limit(limit)
     return project(rows, detail)
 

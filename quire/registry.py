@@ -714,12 +714,6 @@ def q_xml_terms(spark, sf_dir):
 
 from quire.operators import access as AC  # noqa: E402
 
-# Limiter settings of the logged service for the throttle queries: one
-# request per six hours with a burst of three (the defaults, 1/s and 60,
-# never bind on this log).
-THROTTLE_RATE = 1.0 / 21600.0
-THROTTLE_BURST = 3
-
 _PATH_SQL = (
     "CASE event_type WHEN 'view' THEN '/api/search' WHEN 'click' THEN '/api/paper' WHEN 'purchase' THEN '/api/pdf' "
     "WHEN 'signup' THEN '/api/status' ELSE '/health' END"
@@ -745,37 +739,6 @@ LEFT JOIN ({_KEYS_SQL}) k
 """
 
 
-def _bucket_sql(rate: float, burst: float) -> str:
-    R, B = f"{rate!r}::DOUBLE", f"{float(burst)!r}::DOUBLE"
-    return f"""
-WITH RECURSIVE lim AS (
-  SELECT key_id, event_id, epoch_us(ts) AS ts_us,
-         row_number() OVER (PARTITION BY key_id ORDER BY epoch_us(ts), event_id) AS rn
-  FROM ({_RK_SQL}) WHERE pre IS NULL AND NOT unlimited
-), walk AS (
-  SELECT key_id, rn, event_id, ts_us, least({B}, {B} + 0.0::DOUBLE * {R}) AS tb FROM lim WHERE rn = 1
-  UNION ALL
-  SELECT e.key_id, e.rn, e.event_id, e.ts_us,
-         least({B}, (CASE WHEN w.tb >= 1 THEN w.tb - 1 ELSE w.tb END)
-                    + ((e.ts_us - w.ts_us)::DOUBLE / 1000000.0::DOUBLE) * {R}) AS tb
-  FROM walk w JOIN lim e ON e.key_id = w.key_id AND e.rn = w.rn + 1
-)
-SELECT key_id, event_id, ts_us, tb >= 1 AS allowed, CASE WHEN tb >= 1 THEN tb - 1 ELSE tb END AS tokens,
-       CASE WHEN tb >= 1 THEN NULL WHEN {R} <= 0 THEN 'inf'::DOUBLE ELSE (1 - tb) / {R} END AS wait
-FROM walk
-"""
-
-
-def _outcome_sql(rate: float, burst: float) -> str:
-    return f"""
-SELECT rk.event_id, CASE WHEN rk.label IS NOT NULL THEN rk.key_id END AS key_id,
-       coalesce(rk.pre, CASE WHEN rk.unlimited THEN 200 WHEN b.allowed THEN 200 ELSE 429 END) AS status,
-       CASE WHEN coalesce(rk.pre, CASE WHEN rk.unlimited THEN 200 WHEN b.allowed THEN 200 ELSE 429 END) = 429
-            THEN CASE WHEN b.wait = 'inf'::DOUBLE THEN {S.RETRY_AFTER_NEVER} ELSE greatest(1, floor(b.wait)::INTEGER + 1) END END AS retry_after
-FROM ({_RK_SQL}) rk LEFT JOIN ({_bucket_sql(rate, burst)}) b USING (event_id)
-"""
-
-
 def requests_log(spark, sf_dir) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.select("event_id", "ts", F.expr(_PATH_SQL).alias("path"), F.expr(_AUTH_SQL.replace("::VARCHAR", "")).alias("authorization"))
@@ -792,51 +755,31 @@ def api_keys(spark, sf_dir) -> DataFrame:
     )
 
 
-@register("auth_outcome", _outcome_sql(THROTTLE_RATE, THROTTLE_BURST))
-def q_auth_outcome(spark, sf_dir):
-    return AC.outcomes(requests_log(spark, sf_dir), api_keys(spark, sf_dir), THROTTLE_RATE, THROTTLE_BURST).select(
-        "event_id", "key_id", F.col("status").cast("int").alias("status"), F.col("retry_after").cast("int").alias("retry_after")
-    )
-
-
-def _limited(spark, sf_dir) -> DataFrame:
-    rk = AC.with_key(requests_log(spark, sf_dir), api_keys(spark, sf_dir))
-    pre = AC.auth_status(F.col("path"), F.col("authorization"), F.col("label"))
-    return rk.where(pre.isNull() & ~F.col("unlimited")).select("key_id", "event_id", AC.time_us(F.col("ts")).alias("ts_us"))
-
-
 @register(
-    "throttle_log",
-    f"SELECT key_id, event_id, allowed, round(tokens, 6) AS tokens, round(wait, 6) AS wait "
-    f"FROM ({_bucket_sql(THROTTLE_RATE, THROTTLE_BURST)})",
+    "auth_outcome",
+    f"SELECT event_id, CASE WHEN label IS NOT NULL THEN key_id END AS key_id, coalesce(pre, 200) AS status FROM ({_RK_SQL})",
 )
-def q_throttle_log(spark, sf_dir):
-    b = AC.token_bucket(_limited(spark, sf_dir), THROTTLE_RATE, THROTTLE_BURST)
-    return b.select("key_id", "event_id", "allowed", F.round("tokens", 6).alias("tokens"), F.round("wait", 6).alias("wait"))
+def q_auth_outcome(spark, sf_dir):
+    return AC.outcomes(requests_log(spark, sf_dir), api_keys(spark, sf_dir)).select(
+        "event_id", "key_id", F.col("status").cast("int").alias("status")
+    )
 
 
-@register(
-    "throttle_retry_after",
-    f"SELECT event_id, key_id, retry_after FROM ({_outcome_sql(THROTTLE_RATE, THROTTLE_BURST)}) WHERE status = 429",
-)
-def q_throttle_retry_after(spark, sf_dir):
-    o = q_auth_outcome(spark, sf_dir)
-    return o.where(F.col("status") == 429).select("event_id", "key_id", "retry_after")
+BURST_WINDOW, BURST_LEAST = "1 day", 2
 
 
 @register(
-    "throttle_unlimited",
-    f"SELECT o.event_id, o.key_id, rk.unlimited, o.status, o.retry_after FROM ({_outcome_sql(0.0, 1)}) o "
-    f"JOIN ({_RK_SQL}) rk USING (event_id) WHERE rk.label IS NOT NULL",
+    "request_bursts",
+    f"""
+SELECT key_id, unlimited, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, sum(n)::BIGINT AS requests,
+       first(path ORDER BY n DESC, path) AS busiest_path
+FROM (SELECT key_id, unlimited, date_trunc('day', ts) AS w, path, count(*) AS n FROM ({_RK_SQL}) WHERE label IS NOT NULL GROUP BY ALL)
+GROUP BY key_id, unlimited, w HAVING sum(n) >= {BURST_LEAST}
+""",
 )
-def q_throttle_unlimited(spark, sf_dir):
-    """No refill, burst 1: limited keys get one request, unlimited keys all."""
-    o = AC.outcomes(requests_log(spark, sf_dir), api_keys(spark, sf_dir), 0.0, 1)
-    keys = AC.with_key(requests_log(spark, sf_dir), api_keys(spark, sf_dir)).where(F.col("label").isNotNull())
-    return o.join(keys.select("event_id", "unlimited"), "event_id").select(
-        "event_id", "key_id", "unlimited", F.col("status").cast("int").alias("status"),
-        F.col("retry_after").cast("int").alias("retry_after"),
-    )
+def q_request_bursts(spark, sf_dir):
+    """Days on which a known key sent several requests."""
+    return AC.request_bursts(requests_log(spark, sf_dir), api_keys(spark, sf_dir), BURST_WINDOW, BURST_LEAST)
 
 
 @register(
@@ -899,11 +842,11 @@ SELECT event_id,
   coalesce(lower(detail_raw) IN ('1', 'true', 'yes'), false) AS detail,
   CASE WHEN len({_CATS}) = 0 THEN NULL ELSE array_to_string({_CATS}, ',') END AS category,
   len({_CATS}) > 1 AS category_is_list,
-  CASE WHEN NOT {_LIM_OK} THEN 'limit must be an integer, got ''' || limit_raw || ''''
-       WHEN NOT {_dchk('after_raw')} THEN 'after must be YYYY-MM-DD, got ''' || after_raw || ''''
-       WHEN NOT {_dchk('before_raw')} THEN 'before must be YYYY-MM-DD, got ''' || before_raw || '''' END AS reject,
+  CASE WHEN NOT {_LIM_OK} THEN 'bad_limit:' || limit_raw
+       WHEN NOT {_dchk('after_raw')} THEN 'bad_after:' || after_raw
+       WHEN NOT {_dchk('before_raw')} THEN 'bad_before:' || before_raw END AS reject,
   CASE WHEN doi_raw IS NOT NULL AND NOT coalesce(regexp_full_match(doi_raw, '{S.DOI_PATTERN[1:-1]}'), false)
-       THEN 'Invalid DOI format: ''' || doi_raw || '''' END AS doi_reject
+       THEN 'bad_doi:' || doi_raw END AS doi_reject
 FROM ({_RAW_SQL})
 """,
 )
@@ -942,18 +885,14 @@ from quire.sources import api_pages as AP  # noqa: E402
 from quire.sources import pdf as PD  # noqa: E402
 
 
-def api_page_folder(spark, sf_dir) -> tuple[str, list[tuple[str, str]]]:
-    """Write the paper view as catalogue API pages (once per application and
-    data folder) and return the folder and the window plan."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "pages")
+def api_page_folder(spark, sf_dir) -> str:
+    """Land the paper view as catalogue API pages (once per application and
+    data folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _PAGES:
-        recs = api_records(paper_view(spark, sf_dir), TODAY)
-        plan = SY.window_plan(spark, TODAY)
-        recs = recs.join(plan, "w")
-        root = new_table_path(spark, "api-pages")
-        AP.write_pages(recs, root)
-        windows = [(r.window_start, r.window_end) for r in plan.orderBy("w").collect()]
-        _PAGES[key] = (root, windows)
+        recs = api_records(paper_view(spark, sf_dir), TODAY).join(SY.window_plan(spark, TODAY), "w")
+        _PAGES[key] = new_table_path(spark, "api-pages")
+        AP.land_records(recs, _PAGES[key])
     return _PAGES[key]
 
 
@@ -971,26 +910,18 @@ FROM ({O.PAPER_VIEW}) WHERE TRY_CAST(date AS DATE) BETWEEN DATE '{S.SYNC_EPOCH}'
     f"(p // {S.PAGE_SIZE} * {S.PAGE_SIZE})::INTEGER AS cursor, (p % {S.PAGE_SIZE})::INTEGER AS idx, doi FROM ({_POS_SQL})",
 )
 def q_src_pages(spark, sf_dir):
-    root, windows = api_page_folder(spark, sf_dir)
-    recs = AP.read_pages(spark, root, windows, retry_delay=0.0)
-    return AP.normalize_records(recs).select("server", "window_start", "cursor", "idx", "doi")
+    return AP.read_records(spark, api_page_folder(spark, sf_dir)).select("server", "window_start", "cursor", "idx", "doi")
 
 
 @register("normalize_paper", f"SELECT {', '.join(S.PAPER_FIELDS)} FROM ({O.PAPER_VIEW})")
 def q_normalize_paper(spark, sf_dir):
-    root, windows = api_page_folder(spark, sf_dir)
-    return AP.normalize_records(AP.read_pages(spark, root, windows, retry_delay=0.0)).select(*S.PAPER_FIELDS)
+    return AP.read_records(spark, api_page_folder(spark, sf_dir)).select(*S.PAPER_FIELDS)
 
 
 @register("union_servers", f"SELECT server, count(*) AS papers FROM ({O.PAPER_VIEW}) GROUP BY server")
 def q_union_servers(spark, sf_dir):
-    """Both collections read per server and combined into one table."""
-    root, windows = api_page_folder(spark, sf_dir)
-    parts = [AP.read_pages(spark, root, windows, 0.0).where(F.col("server") == s) for s in S.SERVERS]
-    from functools import reduce
-
-    both = reduce(DataFrame.unionByName, parts)
-    return AP.normalize_records(both).groupBy("server").agg(F.count(F.lit(1)).alias("papers"))
+    """Both collections in one table, by server."""
+    return AP.read_records(spark, api_page_folder(spark, sf_dir)).groupBy("server").agg(F.count(F.lit(1)).alias("papers"))
 
 
 _BY_DOI_SQL = f"SELECT * REPLACE ('10.1102/' || lpad((arrival // 4)::varchar, 7, '0') AS doi) FROM ({O.PAPER_VIEW})"
@@ -1114,9 +1045,8 @@ def q_pdf_check(spark, sf_dir):
 def q_status_row(spark, sf_dir):
     from quire.operators.aggregates import status_row
 
-    recs = api_records(paper_view(spark, sf_dir), TODAY)
-    table, state, _ = SY.bulk_sync(papers(spark, sf_dir).limit(0), recs, U.empty_state(spark), TODAY)
-    return status_row(table, state)
+    state = U.state_set(U.empty_state(spark), S.STATE_LAST_SYNC, TODAY)
+    return status_row(papers(spark, sf_dir), state)
 
 
 # Oracle for batch_search: the same rules over the whole corpus, with

@@ -56,10 +56,7 @@ PDF_MAGIC = b"%PDF"
 PDF_URL_FORMAT = "https://www.%s.org/content/%sv%s.full.pdf"
 # Access control: open paths, per-key rate (tokens/s) and burst.
 OPEN_PATHS = ("/", "/health")
-KEY_RATE = 1.0
-KEY_BURST = 60
 KEY_ID_LEN = 8
-RETRY_AFTER_NEVER = 3600
 # Sync state keys.
 STATE_LAST_SYNC = "last_sync_date"
 STATE_BULK_CURSOR = "bulk_sync_cursor"

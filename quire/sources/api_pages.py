@@ -1,192 +1,131 @@
-"""Paginated catalogue API as a Spark data source.
-
-One input partition per (server, date window); a partition reads its pages
-in cursor order (cursor += page size until the reported total, or an empty
-page) with retries and doubling waits, and yields one row per record with
-where it arrived (cursor, index in page) and the raw JSON. Normalisation
-into paper fields is a DataFrame step (:func:`normalize_records`).
-
-The transport is injected: ``root`` points at a folder laid out as
-``server=<s>/window=<start>_<end>/cursor=<c>/*.txt`` (one JSON page per
-file), so tests and the registered queries read pages that Spark wrote; a
-deployment passes an HTTP transport with the same ``fetch(server, start,
-end, cursor) -> dict`` signature.
+"""Catalogue API pages as a table.
+
+A landed page is one JSON line: the request it answers (``server``,
+``window_start``, ``window_end``, ``cursor``) and the body as the API sends it
+(``collection`` of records, ``messages`` with the window's total). Spark's JSON
+reader reads any number of pages in parallel; records are exploded, and what is
+missing is found by joining the cursors each window's total asks for.
+
+``fetch_pages`` lands pages from a service through an injected ``transport``:
+first one page a window, whose total says which cursors remain, then those, in
+parallel over cursors.
 """
 
 from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quire import schema as S
 
-# --- fixed values: retry policy ----------------------------------------------------
-MAX_TRIES = 5
-RETRY_DELAY_SECONDS = 10.0
+# --- fixed values: seconds to wait after each failed try but the last ---------------
+WAITS = (10.0, 20.0, 40.0, 80.0)
 # -----------------------------------------------------------------------------------
 
-RECORD_SCHEMA = T.StructType(
+_RECORD = T.StructType([T.StructField(f, T.StringType()) for f in S.PAPER_FIELDS if f != "server"])
+_REQUEST = ["server", "window_start", "window_end", "cursor"]
+PAGE_SCHEMA = T.StructType(
     [
         T.StructField("server", T.StringType()),
         T.StructField("window_start", T.StringType()),
         T.StructField("window_end", T.StringType()),
         T.StructField("cursor", T.IntegerType()),
-        T.StructField("idx", T.IntegerType()),
-        T.StructField("record", T.StringType()),
+        T.StructField("collection", T.ArrayType(_RECORD)),
+        T.StructField("messages", T.ArrayType(T.StructType([T.StructField("total", T.IntegerType())]))),
     ]
 )
+Transport = Callable[[str, str, str, int], dict]
 
 
-class PageFetchError(RuntimeError):
-    pass
+def landed_pages(spark: SparkSession, path: str, servers: tuple[str, ...] = S.SERVERS) -> DataFrame:
+    """The pages landed under ``path``, of the given collections."""
+    return spark.read.schema(PAGE_SCHEMA).json(path).where(F.col("server").isin(*servers))
 
 
-class FileTransport:
-    """Pages stored as files (local path or a filesystem URI)."""
+def page_faults(pages: DataFrame) -> DataFrame:
+    """(server, window_start, cursor, fault): pages without a collection, and
+    pages that a window's total asks for but that are not there."""
+    broken = pages.where(F.col("collection").isNull()).select("server", "window_start", "cursor", F.lit("no collection").alias("fault"))
+    total = F.max(F.coalesce(F.element_at("messages", 1)["total"], F.lit(0))).alias("total")
+    asked = pages.groupBy("server", "window_start").agg(total).where("total > 0")
+    asked = asked.select("server", "window_start", F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(S.PAGE_SIZE))).alias("cursor"))
+    missing = asked.join(pages.select("server", "window_start", "cursor"), ["server", "window_start", "cursor"], "left_anti")
+    return broken.unionByName(missing.withColumn("fault", F.lit("missing")))
 
-    def __init__(self, root: str):
-        from pyarrow import fs as pafs
 
-        self.fs, self.root = pafs.FileSystem.from_uri(root.rstrip("/"))
+def records_of(pages: DataFrame) -> DataFrame:
+    """One row per record, with its request and place in the page (``idx``).
+    Missing fields are '', unknown ones are not read, and ``server`` is the
+    collection it came from."""
+    rows = pages.select(*_REQUEST, F.posexplode("collection").alias("idx", "r"))
+    fields = [F.coalesce(F.col(f"r.{f}"), F.lit("")).alias(f) for f in S.PAPER_FIELDS if f != "server"]
+    return rows.select(*_REQUEST, "idx", *fields)
 
-    def fetch(self, server: str, start: str, end: str, cursor: int) -> dict:
-        from pyarrow import fs as pafs
 
-        window_dir = f"{self.root}/server={server}/window={start}_{end}"
-        if self.fs.get_file_info(window_dir).type == pafs.FileType.NotFound:
-            return {"collection": [], "messages": [{"status": "no posts found"}]}
-        page_dir = f"{window_dir}/cursor={cursor}"
-        if self.fs.get_file_info(page_dir).type == pafs.FileType.NotFound:
-            raise PageFetchError(f"no page at {window_dir} cursor {cursor}")
-        files = sorted(
-            f.path
-            for f in self.fs.get_file_info(pafs.FileSelector(page_dir))
-            if f.type == pafs.FileType.File and f.path.endswith(".txt")
-        )
-        if not files:
-            raise PageFetchError(f"no page at {window_dir} cursor {cursor}")
-        with self.fs.open_input_stream(files[0]) as fh:
-            return json.loads(fh.read().decode("utf-8"))
+def read_records(spark: SparkSession, path: str, servers: tuple[str, ...] = S.SERVERS) -> DataFrame:
+    """All records landed under ``path``; an error if a page is faulty."""
+    pages = landed_pages(spark, path, servers)
+    fault = page_faults(pages).orderBy("server", "window_start", "cursor").first()
+    if fault is not None:
+        raise ValueError(f"page of {fault.server} {fault.window_start} at {fault.cursor}: {fault.fault}")
+    return records_of(pages)
 
 
-def fetch_with_retry(transport, server: str, start: str, end: str, cursor: int, delay: float) -> dict:
-    last: Exception | None = None
-    for attempt in range(MAX_TRIES):
+def patiently(ask: Callable[[], dict], waits: tuple[float, ...], pause: Callable[[float], None] = time.sleep) -> dict:
+    """The first answer with a collection; each wait buys another try."""
+    for wait in (*waits, None):
         try:
-            data = transport.fetch(server, start, end, cursor)
-            if "collection" not in data:
-                raise PageFetchError(f"unexpected page: {sorted(data)}")
-            return data
-        except Exception as e:  # noqa: BLE001 - every failure is retried
-            last = e
-            if attempt < MAX_TRIES - 1 and delay > 0:
-                time.sleep(delay * (2**attempt))
-    assert last is not None
-    raise last
-
-
-class _WindowPartition(InputPartition):
-    def __init__(self, server: str, start: str, end: str):
-        super().__init__((server, start, end))
-        self.server, self.start, self.end = server, start, end
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = options["root"]
-        self.windows = json.loads(options["windows"])
-        self.servers = json.loads(options.get("servers", json.dumps(list(S.SERVERS))))
-        self.delay = float(options.get("retry_delay", RETRY_DELAY_SECONDS))
-
-    def partitions(self):
-        return [_WindowPartition(s, a, b) for a, b in self.windows for s in self.servers]
-
-    def read(self, partition: _WindowPartition) -> Iterator[tuple]:
-        transport = FileTransport(self.root)
-        cursor = 0
-        while True:
-            data = fetch_with_retry(transport, partition.server, partition.start, partition.end, cursor, self.delay)
-            records = data.get("collection") or []
-            if not records:
-                break
-            for i, rec in enumerate(records):
-                yield (partition.server, partition.start, partition.end, cursor, i, json.dumps(rec))
-            total = int((data.get("messages") or [{}])[0].get("total", 0))
-            cursor += S.PAGE_SIZE
-            if cursor >= total:
-                break
-
-
-class CatalogueApiSource(DataSource):
-    """``spark.read.format("catalogue_api").option("root", ...).option("windows", json)``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "catalogue_api"
-
-    def schema(self):
-        return RECORD_SCHEMA
-
-    def reader(self, schema):
-        return _Reader(dict(self.options))
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(CatalogueApiSource)
-
-
-def read_pages(spark: SparkSession, root: str, windows: list[tuple[str, str]], retry_delay: float = RETRY_DELAY_SECONDS) -> DataFrame:
-    register(spark)
-    return (
-        spark.read.format("catalogue_api")
-        .option("root", root)
-        .option("windows", json.dumps([list(w) for w in windows]))
-        .option("retry_delay", str(retry_delay))
-        .load()
-    )
-
-
-_API_FIELDS = T.StructType([T.StructField(f, T.StringType()) for f in S.PAPER_FIELDS if f != "server"])
-
-
-def normalize_records(records: DataFrame) -> DataFrame:
-    """Raw records -> paper fields: missing fields become '', unknown ones are
-    dropped, ``server`` is the collection the record came from."""
-    parsed = records.withColumn("_r", F.from_json("record", _API_FIELDS))
-    cols = [F.coalesce(F.col(f"_r.{f}"), F.lit("")).alias(f) for f in S.PAPER_FIELDS if f != "server"]
-    keep = [c for c in records.columns if c not in ("record",) and c not in S.PAPER_FIELDS]
-    return parsed.select(*keep, *cols, F.col("server"))
-
-
-def write_pages(records: DataFrame, root: str) -> None:
-    """Write records ``(server, window_start, window_end, cursor, idx, paper
-    fields)`` as API pages: ``{"collection": [...], "messages": [{"total": n}]}``.
-    Empty-string fields are left out of the JSON, as the API does with
-    missing ones. A page holds at most one page size of records."""
+            page = ask()
+            if "collection" in page:
+                return page
+            error: Exception = ValueError(f"an answer without a collection: {sorted(page)}")
+        except OSError as e:
+            error = e
+        if wait is None:
+            raise error
+        pause(wait)
+    raise AssertionError
+
+
+def _asked(requests: DataFrame, transport: Transport, waits: tuple[float, ...]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for q in b.itertuples(index=False):
+                page = patiently(lambda q=q: transport(q.server, q.window_start, q.window_end, int(q.cursor)), waits)
+                request = {"server": q.server, "window_start": q.window_start, "window_end": q.window_end, "cursor": int(q.cursor)}
+                body = {"collection": page["collection"], "messages": page.get("messages")}
+                yield pd.DataFrame({"value": [json.dumps(request | body)]})
+
+    return requests.select(*_REQUEST).mapInPandas(run, "value string")
+
+
+def fetch_pages(requests: DataFrame, transport: Transport, path: str, waits: tuple[float, ...] = WAITS) -> None:
+    """Land every page of the windows in ``requests`` (server, window_start,
+    window_end) under ``path``."""
+    spark = requests.sparkSession
+    first = requests.withColumn("cursor", F.lit(0))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    _asked(first.repartition(parts), transport, waits).write.mode("append").text(path)
+    total = F.coalesce(F.element_at("messages", 1)["total"], F.lit(0))
+    more = spark.read.schema(PAGE_SCHEMA).json(path).where("cursor = 0").where((total > S.PAGE_SIZE) & (F.size("collection") > 0))
+    rest = more.select(*_REQUEST[:3], F.explode(F.sequence(F.lit(S.PAGE_SIZE), total - 1, F.lit(S.PAGE_SIZE))).alias("cursor"))
+    _asked(rest.repartition(parts), transport, waits).write.mode("append").text(path)
+
+
+def land_records(records: DataFrame, path: str) -> None:
+    """Write records (request, idx, paper fields) as pages; '' is left out of
+    the JSON. A page holds at most one page size of records."""
     fields = [f for f in S.PAPER_FIELDS if f != "server"]
-    rec = F.struct(*[F.nullif(F.col(f), F.lit("")).alias(f) for f in fields])
-    totals = records.groupBy("server", "window_start", "window_end").agg(F.count(F.lit(1)).alias("total"))
-    pages = (
-        records.groupBy("server", "window_start", "window_end", "cursor")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", rec.alias("r")))).alias("items"))
-        .join(totals, ["server", "window_start", "window_end"])
-    )
-    body = F.to_json(
-        F.struct(
-            F.transform("items", lambda x: x["r"]).alias("collection"),
-            F.array(F.struct(F.col("total").alias("total"))).alias("messages"),
-        )
-    )
-    out = pages.select(
-        "server",
-        F.concat_ws("_", "window_start", "window_end").alias("window"),
-        "cursor",
-        body.alias("value"),
+    record = F.struct(*[F.nullif(F.col(f), F.lit("")).alias(f) for f in fields])
+    totals = records.groupBy(*_REQUEST[:3]).agg(F.count(F.lit(1)).cast("int").alias("total"))
+    pages = records.groupBy(*_REQUEST).agg(F.array_sort(F.collect_list(F.struct("idx", record.alias("r")))).alias("items"))
+    pages = pages.join(totals, _REQUEST[:3]).select(
+        *_REQUEST, F.transform("items", lambda x: x["r"]).alias("collection"), F.array(F.struct("total")).alias("messages")
     )
-    out.write.partitionBy("server", "window", "cursor").mode("errorifexists").text(root)
+    pages.write.mode("errorifexists").json(path)

@@ -16,7 +16,6 @@ def spark():
     s = local_session(cpus="*", shuffle_partitions=8, app="quire-tests")
     if not s.conf.get("spark.checkpoint.dir", None):
         d = tempfile.mkdtemp(prefix="quire-test-")
-        s.conf.set("spark.checkpoint.dir", d)
         s.sparkContext.setCheckpointDir(d)
     yield s
     s.stop()

@@ -1,10 +1,7 @@
-"""Auth outcomes, token bucket (batch and stream)."""
+"""Auth outcomes, bursts, request typing."""
 
 import datetime as dt
 
-import pandas as pd
-from pyspark.sql import functions as F
-
 from quire.operators import access as AC
 
 
@@ -47,73 +44,24 @@ def test_key_outcomes(spark):
     assert {r.event_id: r.status for r in deleted}[3] == 403
 
 
-def test_unlimited_key_skips_bucket(spark):
-    keys = _keys(spark, [(_hash("u"), "unl", True), (_hash("l"), "lim", False)])
-    req = _requests(spark, [(i, "/api/search", "Bearer u") for i in range(3)] + [(i, "/api/search", "Bearer l") for i in range(3)])
-    got = sorted((r.event_id, r.status, r.retry_after) for r in AC.outcomes(req, keys, rate=0.0, burst=1).collect())
-    assert [g[1] for g in got[:3]] == [200, 200, 200]
-    assert [g[1] for g in got[3:]] == [200, 429, 429]
-    assert got[4][2] == 3600
-
-
-def _bucket(spark, times, rate, burst):
-    df = spark.createDataFrame([("k", i, int(t * 1e6)) for i, t in enumerate(times)], "key_id string, event_id long, ts_us long")
-    return sorted(AC.token_bucket(df, rate, burst).collect(), key=lambda r: r.event_id)
-
-
-def test_bucket_burst_refill_cap_wait(spark):
-    assert [r.allowed for r in _bucket(spark, [0, 0, 0], 10, 3)] == [True, True, True]
-    r = _bucket(spark, [0, 0, 0], 10, 2)
-    assert [x.allowed for x in r] == [True, True, False] and r[2].wait > 0
-    assert [x.allowed for x in _bucket(spark, [0, 0, 0.2], 10, 1)] == [True, False, True]
-    assert [x.allowed for x in _bucket(spark, [0, 10, 10, 10], 100, 2)] == [True, True, True, False]
-    w = _bucket(spark, [0, 0], 2, 1)[1].wait
-    assert 0 < w <= 1.0
-
-
-def test_segments_match_one_sequential_fold(spark):
-    times = [0, 1, 2, 3, 100, 100.5, 101, 500, 500.1, 500.2, 500.3, 900]
-    got = _bucket(spark, times, 0.05, 2)
-    tokens, last, exp = 2.0, None, []
-    for t in times:
-        el = 0.0 if last is None else t - last
-        last = t
-        tokens = min(2.0, tokens + el * 0.05)
-        if tokens >= 1:
-            tokens -= 1
-            exp.append(True)
-        else:
-            exp.append(False)
-    assert [r.allowed for r in got] == exp
-
-
-def test_stream_equals_batch(spark, scratch):
-    from quire.streaming.throttle import ROCKSDB, throttle_stream
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    lim = ev.select(
-        F.concat(F.lit("k"), (F.col("user_id") % 5).cast("string")).alias("key_id"),
-        "event_id",
-        AC.time_us(F.col("ts")).alias("ts_us"),
-        F.to_date("ts").cast("string").alias("day"),
-    )
-    lim.write.partitionBy("day").parquet(f"{scratch}/landing")
-    batch = {r.event_id: (r.allowed, round(r.tokens, 9)) for r in AC.token_bucket(lim.drop("day"), 1 / 3600, 3).collect()}
-    stream = (
-        spark.readStream.schema("key_id string, event_id long, ts_us long, day string")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{scratch}/landing")
-        .drop("day")
-    )
-    q = (
-        throttle_stream(stream, 1 / 3600, 3)
-        .writeStream.format("parquet")
-        .option("path", f"{scratch}/out")
-        .option("checkpointLocation", f"{scratch}/ckpt")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination(600)
-    got = {r.event_id: (r.allowed, round(r.tokens, 9)) for r in spark.read.parquet(f"{scratch}/out").collect()}
-    assert got == batch
+def test_bursts(spark):
+    keys = _keys(spark, [(_hash("a"), "k1", False), (_hash("b"), "k2", True)])
+    hour = 3600
+    req = _requests(
+        spark,
+        [(0, "/api/search", "Bearer a"), (5, "/api/pdf", "Bearer a"), (9, "/api/pdf", "Bearer a"), (hour, "/api/pdf", "Bearer a"),
+         (1, "/api/search", "Bearer b"), (2, "/api/search", "Bearer b"), (3, "/api/search", "Bearer no"), (4, "/api/search", None)],
+    )
+    got = sorted(tuple(r) for r in AC.request_bursts(req, keys, "1 hour", 2).collect())
+    day = "2024-01-01 00:00:00"
+    assert got == sorted([(_hash("a")[:8], False, day, 3, "/api/pdf"), (_hash("b")[:8], True, day, 2, "/api/search")])
+
+
+def test_limits_of_any_length_are_clamped(spark):
+    cols = ["limit_raw", "after_raw", "before_raw", "detail_raw", "category_raw", "doi_raw"]
+    limits = ["9" * 60, "-" + "9" * 60, "+00012", "0", "100001", "", None, "ten", "1e3"]
+    rows = [(i, v, None, None, None, None, None) for i, v in enumerate(limits)]
+    raw = spark.createDataFrame(rows, "event_id long, " + ", ".join(f"{c} string" for c in cols))
+    got = {r.event_id: (r["limit"], r.reject) for r in AC.typed_requests(raw).collect()}
+    assert [got[i][0] for i in range(9)] == [100000, 1, 12, 1, 100000, 50, 50, None, None]
+    assert got[7][1] == "bad_limit:ten"

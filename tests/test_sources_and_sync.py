@@ -34,35 +34,79 @@ def test_resume_after_cursor(spark):
     assert _plan(spark, "2013-03-01", cursor="2013-02-28") == []
 
 
-def _write_page(root, server, start, end, cursor, records, total):
-    d = f"{root}/server={server}/window={start}_{end}/cursor={cursor}"
-    os.makedirs(d, exist_ok=True)
-    with open(f"{d}/part-0.txt", "w") as fh:
-        fh.write(json.dumps({"collection": records, "messages": [{"total": total}]}))
-
-
-def test_api_source_pages_until_total_and_normalises(spark, scratch):
-    recs = [{"doi": f"10.1101/{i}", "title": f"T{i}", "version": "1", "extra": "x"} for i in range(150)]
-    _write_page(scratch, "biorxiv", "2024-01-01", "2024-01-30", 0, recs[:100], 150)
-    _write_page(scratch, "biorxiv", "2024-01-01", "2024-01-30", 100, recs[100:], 150)
-    df = AP.read_pages(spark, scratch, [("2024-01-01", "2024-01-30"), ("2024-01-31", "2024-02-29")], retry_delay=0.0)
-    rows = AP.normalize_records(df).orderBy("cursor", "idx").collect()
-    assert len(rows) == 150
-    assert rows[120].cursor == 100 and rows[120].idx == 20 and rows[120].abstract == "" and rows[0].server == "biorxiv"
-    assert "extra" not in rows[0].asDict()
-
-
-def test_api_source_missing_page_fails_after_retries(spark, scratch):
-    _write_page(scratch, "biorxiv", "2024-01-01", "2024-01-30", 0, [{"doi": "10.1101/1", "title": "a"}] * 100, 250)
-    df = AP.read_pages(spark, scratch, [("2024-01-01", "2024-01-30")], retry_delay=0.0)
-    with pytest.raises(Exception, match="no page"):
-        df.collect()
-
-
-def test_api_source_empty_page_stops(spark, scratch):
-    _write_page(scratch, "medrxiv", "2024-01-01", "2024-01-30", 0, [], 0)
-    df = AP.read_pages(spark, scratch, [("2024-01-01", "2024-01-30")], retry_delay=0.0)
-    assert df.count() == 0
+def _page(server, start, cursor, records, total):
+    return {"server": server, "window_start": start, "window_end": "x", "cursor": cursor, "collection": records, "messages": [{"total": total}]}
+
+
+def _land(root, *pages):
+    os.makedirs(root, exist_ok=True)
+    with open(f"{root}/pages.json", "w") as fh:
+        fh.writelines(json.dumps(p) + "\n" for p in pages)
+    return root
+
+
+def test_landed_pages_become_records(spark, scratch):
+    recs = [{"doi": f"10.5555/{i}", "title": f"T{i}", "version": "1", "extra": "x"} for i in range(150)]
+    root = _land(f"{scratch}/p", _page("biorxiv", "2024-01-01", 0, recs[:100], 150), _page("biorxiv", "2024-01-01", 100, recs[100:], 150),
+                 _page("medrxiv", "2024-01-01", 0, [], 0), _page("elsewhere", "2024-01-01", 0, recs[:1], 1))
+    rows = AP.read_records(spark, root).orderBy("cursor", "idx").collect()
+    assert len(rows) == 150 and "extra" not in rows[0].asDict()
+    assert (rows[120].cursor, rows[120].idx, rows[120].abstract, rows[120].server) == (100, 20, "", "biorxiv")
+
+
+def test_faulty_pages_are_errors(spark, scratch):
+    recs = [{"doi": "10.5555/1", "title": "a"}] * 100
+    gap = _land(f"{scratch}/gap", _page("biorxiv", "2024-01-01", 0, recs, 250), _page("biorxiv", "2024-01-01", 200, recs[:50], 250))
+    with pytest.raises(ValueError, match="2024-01-01 at 100: missing"):
+        AP.read_records(spark, gap)
+    bad = _land(f"{scratch}/bad", {"server": "biorxiv", "window_start": "2024-01-01", "cursor": 0, "error": "down"})
+    with pytest.raises(ValueError, match="no collection"):
+        AP.read_records(spark, bad)
+
+
+def test_fetch_lands_every_page(spark, scratch):
+    def transport(server, start, end, cursor):
+        n = 230 if server == "biorxiv" else 0
+        return {"collection": [{"doi": f"10.5555/{server}{i}"} for i in range(cursor, min(cursor + 100, n))], "messages": [{"total": n}]}
+
+    plan = spark.createDataFrame([("biorxiv", "2024-01-01", "2024-01-30"), ("medrxiv", "2024-01-01", "2024-01-30")], "server string, window_start string, window_end string")
+    AP.fetch_pages(plan, transport, f"{scratch}/landed", waits=())
+    rows = AP.read_records(spark, f"{scratch}/landed").select("cursor", "idx", "doi").orderBy("cursor", "idx").collect()
+    assert [r.doi for r in rows] == [f"10.5555/biorxiv{i}" for i in range(230)]
+
+
+def test_waits_buy_tries():
+    slept, answers = [], iter([OSError("a"), {"error": 1}, {"collection": []}])
+
+    def ask():
+        a = next(answers)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    assert AP.patiently(ask, (1.0, 2.0, 4.0), slept.append) == {"collection": []} and slept == [1.0, 2.0]
+    with pytest.raises(ValueError, match="without a collection"):
+        AP.patiently(lambda: {}, (1.0,), slept.append)
+
+
+def test_positions_with_many_partitions_and_a_wide_column(spark):
+    from pyspark.sql import Window
+
+    from quire.operators.order import positions
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("o"), F.repeat(F.col("id").cast("string"), 30).alias("wide"))
+        df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))  # a null group too
+        got = positions(df, ["g"], ["o"], "p")
+        want = F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1
+        assert got.count() == 60_000 and got.columns == ["g", "o", "wide", "p"]
+        assert got.withColumn("w", want).where("p <> w").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_bulk_sync_later_page_wins_and_state(spark, make_papers):
