@@ -16,9 +16,6 @@ operations; no query is looped over on the driver.
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +27,6 @@ from quire.plans.query import OPERATOR_WORDS
 from quire.session import materialize
 
 SPLIT_BLANKS = r"[\t\n\x0B\f\r ]+"
-# Up to this many distinct prefixes become StringStartsWith scan filters.
-PREFIX_PUSHDOWN_LIMIT = 1000
 WORD_PARTS = r"([\p{L}\p{N}_*]+)"
 
 
@@ -183,16 +178,10 @@ def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = Non
     exact = post.join(parts.where(~F.col("is_prefix")), F.col("token") == F.col("term"))
     pre_terms = parts.where(F.col("is_prefix")).withColumn("plen", F.length("term"))
     # Prefixes become equi-joins on the token's leading characters, one key
-    # per distinct prefix length (at most the longest word); while the
-    # distinct prefixes are few they also filter the postings scan.
+    # per distinct prefix length (at most the longest word).
     lengths = sorted(r[0] for r in pre_terms.select("plen").distinct().collect())
     if lengths:
-        n_pre = pre_terms.select("term").distinct().count()
-        scan = post
-        if n_pre <= PREFIX_PUSHDOWN_LIMIT:
-            prefixes = sorted(r[0] for r in pre_terms.select("term").distinct().collect())
-            scan = post.where(functools.reduce(operator.or_, [F.col("token").startswith(p) for p in prefixes]))
-        heads = scan.select(
+        heads = post.select(
             "*",
             F.explode(
                 F.array(*[F.struct(F.lit(n).alias("plen"), F.substring("token", 1, n).alias("head")) for n in lengths])

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,13 +131,5 @@ class Index:
 
 
 def build_and_save(papers: DataFrame, path: str | None = None) -> Index:
-    """Tokenise once (kept on executors' memory/disk while the two base tables
-    are written), then write the index to the shared folder."""
-    spark = papers.sparkSession
-    path = path or new_table_path(spark, "index")
-    tok = field_tokens(papers).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        idx = Index(postings_from_tokens(tok), docs_from_tokens(tok), None, None)  # type: ignore[arg-type]
-        return idx.save(path)
-    finally:
-        tok.unpersist()
+    """Write the index of ``papers`` to the shared folder."""
+    return Index.build(papers).save(path or new_table_path(papers.sparkSession, "index"))

@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import schema as S
 from quire.functions.text import tokens
-from quire.operators.index import Index
+from quire.operators.index import field_tokens
 from quire.session import literal_table
 from quire.sources.tables import read_table
 
@@ -36,8 +36,6 @@ SEED_GROUPS = (
     (3, "esat"),
     (3, "ndon"),
 )
-# Longest derived term, in words.
-DERIVED_TERM_WORDS = 3
 # ---------------------------------------------------------------------------------
 
 
@@ -46,17 +44,13 @@ def seed_records(spark: SparkSession) -> DataFrame:
 
 
 def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per conversation: the distinct short openings (first
-    sentence, 1-3 words) of its turns, lower-cased. Record size is bounded by
-    the length of a conversation."""
+    """One record per conversation: the distinct sentences and lines of all
+    its turns, lower-cased."""
     conv = read_table(spark, sf_dir, "conversations")
-    opening = F.lower(F.trim(F.substring_index(F.col("text"), ".", 1)))
-    n_words = F.size(tokens(opening))
-    return (
-        conv.select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("record_id"), opening.alias("term"))
-        .where((n_words >= 1) & (n_words <= DERIVED_TERM_WORDS))
-        .distinct()
-    )
+    sentence = F.explode(F.split("text", r"[.\n]")).alias("s")
+    rows = conv.select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("record_id"), sentence)
+    term = F.lower(F.trim("s"))
+    return rows.select("record_id", term.alias("term")).where(F.size(tokens(F.col("term"))) >= 1).distinct()
 
 
 def catalogue_thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +116,11 @@ def lookup_fn(records: DataFrame, n: int = S.SEARCH_SYNONYMS):
         if not cands:
             return {}
         cdf = literal_table(spark, [(c,) for c in cands], "term string")
-        keys = known_terms(records).join(cdf, "term", "left_semi")
-        syns = expand(records, cdf, n)
+        # only the records that hold a candidate
+        own = records.where(F.lower("term").isin(cands)).select("record_id").distinct()
+        near = records.join(own, "record_id", "left_semi")
+        keys = known_terms(near).join(cdf, "term", "left_semi")
+        syns = expand(near, cdf, n)
         rows = (
             keys.join(syns, "term", "left")
             .groupBy("term")
@@ -221,36 +218,33 @@ def _fold_groups(marked: DataFrame) -> DataFrame:
     )
 
 
-def annotate_docs(records: DataFrame, idx: Index) -> DataFrame:
-    """(doi, term, hits): thesaurus terms (1-3 words) found in the indexed
-    text, counted per document.
-
-    Terms are tokenised like the text. Every posting is extended with the next
-    two tokens of its field (a window per document field, ordered by
-    position), giving its 1-, 2- and 3-gram; the n-grams are equi-joined to
-    the terms' token strings. An n-gram matches at most one term, so common
-    words shared by many terms never multiply the postings."""
-    keys = known_terms(records)
-    term_keys = (
-        keys.select("term", tokens(F.col("term")).alias("tt"))
-        .where((F.size("tt") >= 1) & (F.size("tt") <= DERIVED_TERM_WORDS))
-        .select("term", F.array_join("tt", " ").alias("gram"))
-    )
-    w = Window.partitionBy("doi", "field").orderBy("pos")
-    nxt = idx.postings.select(
-        "doi",
-        "token",
-        F.lead("token", 1).over(w).alias("t1"),
-        F.lead("token", 2).over(w).alias("t2"),
+def annotate_docs(records: DataFrame, papers: DataFrame) -> DataFrame:
+    """(doi, term, hits): thesaurus terms of any length found in the indexed
+    fields, counted per document.
+
+    Terms are tokenised like the text and keyed by their first words, three at
+    most. The n-grams of up to three words are built inside each row, counted
+    per document and joined to these keys, so words shared by many terms
+    never multiply rows of longer terms. Longer terms are then compared in
+    full at the places where their first words are."""
+    most = S.MAX_PHRASE_WORDS
+    terms = known_terms(records).select("term", tokens(F.col("term")).alias("tt")).where(F.size("tt") >= 1)
+    terms = terms.select("term", "tt", F.array_join(F.slice("tt", 1, most), " ").alias("head"))
+    fields = field_tokens(papers).select("doi", F.posexplode("toks").alias("field", "t")).where(F.size("t") > 0)
+
+    def gram(i: Column) -> Column:
+        words = [F.when(i + n <= F.size("t"), F.array_join(F.slice("t", i + 1, F.lit(n)), " ")) for n in range(1, most + 1)]
+        return F.array_compact(F.array(*words))
+
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), gram))
+    short = fields.select("doi", F.explode(grams).alias("head")).groupBy("doi", "head").agg(F.count(F.lit(1)).alias("hits"))
+    short = short.join(terms.where(F.size("tt") <= most), "head").groupBy("doi", "term").agg(F.sum("hits").alias("hits"))
+    heads = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: i + most < F.size("t")),
+        lambda i: F.struct(i.alias("i"), F.array_join(F.slice("t", i + 1, F.lit(most)), " ").alias("head")),
     )
-    grams = nxt.select(
-        "doi",
-        F.explode(
-            F.array(
-                F.col("token"),
-                F.when(F.col("t1").isNotNull(), F.concat_ws(" ", "token", "t1")),
-                F.when(F.col("t2").isNotNull(), F.concat_ws(" ", "token", "t1", "t2")),
-            )
-        ).alias("gram"),
-    ).where(F.col("gram").isNotNull())
-    return grams.join(term_keys, "gram").groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
+    long_terms = terms.where(F.size("tt") > most)
+    begins = fields.select("doi", "field", F.explode(heads).alias("h")).select("doi", "field", "h.i", "h.head").join(long_terms, "head")
+    found = begins.join(fields, ["doi", "field"]).where(F.slice("t", F.col("i") + 1, F.size("tt")) == F.col("tt"))
+    long = found.groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
+    return short.unionByName(long).groupBy("doi", "term").agg(F.sum("hits").alias("hits"))

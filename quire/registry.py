@@ -56,32 +56,27 @@ def store_papers(p: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def static_lookup(groups=TH.SEED_GROUPS, n: int = S.SEARCH_SYNONYMS):
-    """Synonym lookup over a small fixed dictionary (no Spark job): same rules
-    as :func:`quire.operators.thesaurus.lookup_fn`."""
-    recs: dict = {}
-    for rid, term in groups:
-        recs.setdefault(rid, set()).add(term.lower())
-    recs = {r: t for r, t in recs.items() if len(t) >= 2}
-
-    def lookup(cands):
-        out = {}
-        for c in {c.lower() for c in cands}:
-            syns = set()
-            hit = False
-            for terms in recs.values():
-                if c in terms:
-                    hit = True
-                    syns |= terms - {c}
-            if hit:
-                ok = sorted((s for s in syns if S.SYN_MIN_LEN <= len(s) <= S.SYN_MAX_LEN), key=lambda s: (len(s), s))
-                out[c] = ok[:n]
-        return out
-
-    return lookup
-
-
-SEED = static_lookup()
+# --- fixed values: what the seed groups' terms expand to, written out for the
+# oracle (3 to 60 characters, shortest first); Spark reads the stored table.
+_SEED_SYNONYMS = {
+    "the": ["that", "in the"],
+    "that": ["the", "in the"],
+    "in the": ["the", "that"],
+    "of": ["from"],
+    "from": [],
+    "esat": ["ndon"],
+    "ndon": ["esat"],
+}
+
+
+def _expected(candidates) -> dict[str, list[str]]:
+    return {c.lower(): _SEED_SYNONYMS[c.lower()] for c in candidates if c.lower() in _SEED_SYNONYMS}
+
+
+def seed_lookup(spark, sf_dir):
+    """Synonyms from the seed records of the stored thesaurus."""
+    return TH.lookup_fn(thesaurus(spark, sf_dir).where(F.col("record_id").startswith("seed:")))
+
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -105,12 +100,11 @@ def _scored_sql(tree) -> str:
     return f"SELECT doi, dl, date, category, round(score, 6) AS score FROM ({O.match_sql(tree)})"
 
 
-def register_match(name: str, query: str, lookup=QP.no_thesaurus):
-    tree = QP.build(query, lookup)
-
-    @register(name, _scored_sql(tree))
-    def _q(spark: SparkSession, sf_dir: str, _tree=tree) -> DataFrame:
-        return _scored(matched_docs(ctx(spark, sf_dir).index, _tree))
+def register_match(name: str, query: str, expand: bool = False):
+    @register(name, _scored_sql(QP.build(query, _expected if expand else QP.no_thesaurus)))
+    def _q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tree = QP.build(query, seed_lookup(spark, sf_dir) if expand else QP.no_thesaurus)
+        return _scored(matched_docs(ctx(spark, sf_dir).index, tree))
 
     return _q
 
@@ -172,53 +166,53 @@ register_match("match_implicit_and", "ndat ntea estion")
 register_match("match_near", 'NEAR("esat" ndon, 40)')
 register_match("match_field", 'abstract: "esat" OR title: ndon')
 register_match("match_initial", '^"the"')
-register_match("match_synonyms", "esat of", SEED)
+register_match("match_synonyms", "esat of", expand=True)
 register_match("bm25_scores", 'esat "of the" ndon* OR estion')
 
 FLAGSHIP_QUERY = "esat ndon of the"
-_FLAG_TREE = QP.build(FLAGSHIP_QUERY, SEED)
+_FLAG_TREE = QP.build(FLAGSHIP_QUERY, _expected)
 
 
 @register("search_relevance", O.search_sql(_FLAG_TREE, limit=10))
 def q_search_relevance(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, FLAGSHIP_QUERY, limit=10, lookup=SEED)
+    return SE.search(c.index, c.papers, FLAGSHIP_QUERY, limit=10, lookup=seed_lookup(spark, sf_dir))
 
 
-_DATE_TREE = QP.build("estion", SEED)
+_DATE_TREE = QP.build("estion", _expected)
 
 
 @register("search_date", O.search_sql(_DATE_TREE, limit=25, sort="date"))
 def q_search_date(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, "estion", limit=25, sort="date", lookup=SEED)
+    return SE.search(c.index, c.papers, "estion", limit=25, sort="date", lookup=seed_lookup(spark, sf_dir))
 
 
-_DETAIL_TREE = QP.build("ntea", SEED)
+_DETAIL_TREE = QP.build("ntea", _expected)
 
 
 @register("search_detail", O.search_sql(_DETAIL_TREE, limit=20, detail=True))
 def q_search_detail(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, "ntea", limit=20, detail=True, lookup=SEED)
+    return SE.search(c.index, c.papers, "ntea", limit=20, detail=True, lookup=seed_lookup(spark, sf_dir))
 
 
-_COMPACT_TREE = QP.build("ndat", SEED)
+_COMPACT_TREE = QP.build("ndat", _expected)
 
 
 @register("search_compact", O.search_sql(_COMPACT_TREE, limit=20, category=["src1", "src2", "SRC3 "], after="2024-02-01"))
 def q_search_compact(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, "ndat", limit=20, category=["src1", "src2", "SRC3 "], after="2024-02-01", lookup=SEED)
+    return SE.search(c.index, c.papers, "ndat", limit=20, category=["src1", "src2", "SRC3 "], after="2024-02-01", lookup=seed_lookup(spark, sf_dir))
 
 
-_COUNT_TREE = QP.build("of the", SEED)
+_COUNT_TREE = QP.build("of the", _expected)
 
 
 @register("search_count", O.count_sql(_COUNT_TREE, category="src4", before="2024-10-31"))
 def q_search_count(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search_count(c.index, c.papers, "of the", category="src4", before="2024-10-31", lookup=SEED)
+    return SE.search_count(c.index, c.papers, "of the", category="src4", before="2024-10-31", lookup=seed_lookup(spark, sf_dir))
 
 
 # -- filters, projections, lookups ---------------------------------------------------
@@ -570,8 +564,7 @@ def thesaurus(spark, sf_dir) -> DataFrame:
 
 @register("batch_search")
 def q_batch_search(spark, sf_dir):
-    """Top 10 per saved query, thesaurus expansion on; checked against the
-    single-query path on a fixture (tests/test_batch.py)."""
+    """Top 10 per saved query, thesaurus expansion on."""
     c = ctx(spark, sf_dir)
     return BA.batch_search(c.index, saved_queries(spark, sf_dir), thesaurus(spark, sf_dir), k=10)
 
@@ -584,15 +577,15 @@ def q_zero_hit_queries(spark, sf_dir):
     return BA.zero_hits(qs, hits, c.papers)
 
 
-# Thesaurus SQL: seed groups plus conversation openings (1-3 tokens).
+# Thesaurus SQL: seed groups plus the sentences of conversations.
 _SEED_SQL = " UNION ALL ".join(f"SELECT 'seed:{r}' AS record_id, {O.q(t)} AS term" for r, t in TH.SEED_GROUPS)
 _RECORDS_SQL = f"""
 SELECT DISTINCT record_id, lower(term) AS term FROM (
   {_SEED_SQL}
   UNION ALL
-  SELECT 'conv:' || conv_id::varchar AS record_id, lower(trim(split_part(text, '.', 1))) AS term
-  FROM conversations
-  WHERE len({O.tok("lower(trim(split_part(text, '.', 1)))")}) BETWEEN 1 AND {TH.DERIVED_TERM_WORDS}
+  SELECT 'conv:' || conv_id::varchar AS record_id, lower(trim(t)) AS term
+  FROM (SELECT conv_id, unnest(regexp_split_to_array(text, '[.\n]')) AS t FROM conversations)
+  WHERE len({O.tok("lower(trim(t))")}) >= 1
 ) WHERE term IS NOT NULL AND term <> ''
 """
 _TERM_RECORDS_SQL = f"""
@@ -669,33 +662,31 @@ FROM walk w JOIN marks k ON k.id = w.id AND k.i = w.start
 @register("group_phrases", _GROUP_SQL)
 def q_group_phrases(spark, sf_dir):
     """Greedy thesaurus phrase grouping of every saved query's words
-    (checked against the driver-side rule in tests/test_thesaurus.py)."""
+    (also checked against the driver-side rule in the tests)."""
     qs = saved_queries(spark, sf_dir)
     return TH.group_phrases(thesaurus(spark, sf_dir), qs, "qid", TH.query_words(F.col("text")))
 
 
 _ANNOTATE_SQL = f"""
 WITH k AS (
-  SELECT term, {O.tok('term')} AS tt FROM ({_KNOWN_SQL})
-  WHERE len({O.tok('term')}) BETWEEN 1 AND {TH.DERIVED_TERM_WORDS}
-), kp AS (
-  SELECT term, len(tt) AS k, unnest(tt) AS token, unnest(range(0, len(tt))) AS j FROM k
-), occ AS (
-  SELECT p.doi, p.field, p.pos - kp.j AS start, kp.term
-  FROM ({POSTINGS_SQL}) p JOIN kp USING (token)
-  WHERE p.pos - kp.j >= 0
-  GROUP BY p.doi, p.field, p.pos - kp.j, kp.term, kp.k
-  HAVING count(*) = kp.k
+  SELECT term, tt, len(tt) AS n, least(len(tt), {S.MAX_PHRASE_WORDS}) AS m, array_to_string(tt[1:{S.MAX_PHRASE_WORDS}], ' ') AS head
+  FROM (SELECT term, {O.tok('term')} AS tt FROM ({_KNOWN_SQL})) WHERE len(tt) >= 1
+), d AS (
+  SELECT doi, f[fi] AS t FROM ({O.TOKENS}) x, range(1, {len(S.INDEX_FIELDS) + 1}) r(fi)
+), g AS (
+  SELECT doi, t, i, unnest(range(1, {S.MAX_PHRASE_WORDS + 1})) AS m FROM (SELECT doi, t, unnest(range(1, len(t) + 1)) AS i FROM d)
 )
-SELECT doi, term, count(*) AS hits FROM occ GROUP BY doi, term
+SELECT g.doi, k.term, count(*) AS hits
+FROM g JOIN k ON k.m = g.m AND k.head = array_to_string(g.t[g.i : g.i + g.m - 1], ' ')
+WHERE g.t[g.i : g.i + k.n - 1] = k.tt
+GROUP BY g.doi, k.term
 """
 
 
 @register("annotate_docs", _ANNOTATE_SQL)
 def q_annotate_docs(spark, sf_dir):
-    """Thesaurus terms found in every indexed paper, with counts (checked
-    against the phrase matcher in tests/test_thesaurus.py)."""
-    return TH.annotate_docs(thesaurus(spark, sf_dir), ctx(spark, sf_dir).index)
+    """Thesaurus terms of any length found in every paper, with counts."""
+    return TH.annotate_docs(thesaurus(spark, sf_dir), papers(spark, sf_dir))
 
 
 @register("xml_terms", _RECORDS_SQL)

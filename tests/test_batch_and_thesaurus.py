@@ -55,7 +55,7 @@ def test_group_phrases_finds_multiword_terms(spark):
 def test_annotation_matches_phrase_search(spark):
     c = R.ctx(spark, SF_SMALL)
     recs = R.thesaurus(spark, SF_SMALL)
-    ann = TH.annotate_docs(recs, c.index)
+    ann = TH.annotate_docs(recs, c.papers)
     terms = [r.term for r in ann.groupBy("term").count().orderBy(F.desc("count"), "term").limit(5).collect()]
     from quire.functions.text import tokenize_py
 
@@ -65,6 +65,17 @@ def test_annotation_matches_phrase_search(spark):
         assert got == exp
 
 
+def test_annotation_finds_terms_of_any_length(spark, make_papers):
+    from conftest import paper
+
+    recs = spark.createDataFrame(
+        [("a", "north-sea 2 herring larvae survey"), ("a", "nshls"), ("b", "herring larvae"), ("b", "larvae")], "record_id string, term string"
+    )
+    papers = make_papers([paper(title="The North Sea 2 herring larvae survey", abstract="larvae, herring larvae; north sea 2 herring eggs")])
+    got = {r.term: r.hits for r in TH.annotate_docs(recs, papers).collect()}
+    assert got == {"north-sea 2 herring larvae survey": 1, "herring larvae": 2, "larvae": 3}
+
+
 def test_expand_order_and_limit(spark):
     recs = spark.createDataFrame(
         [("r", t) for t in ["aaaa", "bbb", "ccccc", "dd", "eeeeee", "fff", "g" * 61]], "record_id string, term string"

@@ -3,19 +3,19 @@
 import pytest
 
 from quire.plans.query import NOTHING, And, Near, Not, Or, Phrase, QueryError, build, parse, sanitize
-from quire.registry import static_lookup
+from quire.operators import thesaurus as TH
 
 
 def test_sanitize_hyphen_becomes_phrase():
-    assert sanitize("mRNA-seq analysis") == ['"mRNA seq"', "analysis"]
+    assert sanitize("sub-tidal reefs --a!b-") == ['"sub tidal"', "reefs", '"a b"']
 
 
 def test_sanitize_strips_punctuation_keeps_star():
-    assert sanitize("CRISPR*, (cas9)") == ["CRISPR*", "cas9"]
+    assert sanitize("sand*, (reef9) -x- y!z") == ["sand*", "reef9", "x", "y", "z"]
 
 
 def test_quote_keeps_query_whole():
-    assert sanitize('foo "bar baz"') == ['foo "bar baz"']
+    assert build('kelp "red algae"') == parse('kelp "red algae"')
 
 
 def test_punctuation_only_is_nothing():
@@ -23,19 +23,19 @@ def test_punctuation_only_is_nothing():
 
 
 def test_hyphen_phrase_tree():
-    assert build("mRNA-seq") == Phrase(("mrna", "seq"))
+    assert build("sub-tidal") == Phrase(("sub", "tidal"))
 
 
 def test_hyphen_with_star_is_plain_phrase():
-    assert build("mRNA-se*") == Phrase(("mrna", "se"))
+    assert build("sub-ti*") == Phrase(("sub", "ti"))
 
 
 def test_prefix():
-    assert build("CRISPR*") == Phrase(("crispr",), prefix=True)
+    assert build("Sand*") == Phrase(("sand",), prefix=True)
 
 
 def test_inner_star_is_prefix_and_word():
-    assert build("cri*sp") == And((Phrase(("cri",), prefix=True), Phrase(("sp",))))
+    assert build("sa*nd") == And((Phrase(("sa",), prefix=True), Phrase(("nd",))))
 
 
 def test_operators():
@@ -49,8 +49,12 @@ def test_not_binds_tighter_than_and_and_or():
     assert t == Or((Phrase(("a",)), And((Phrase(("b",)), Not(Phrase(("c",)), Phrase(("d",)))))))
 
 
-def test_lower_case_operator_is_a_word_and_disables_expansion():
-    look = static_lookup()
+def _lookup(spark, groups):
+    return TH.lookup_fn(spark.createDataFrame([(str(r), t) for r, t in groups], "record_id string, term string"))
+
+
+def test_lower_case_operator_is_a_word_and_disables_expansion(spark):
+    look = _lookup(spark, TH.SEED_GROUPS)
     t = build("salt and the", look)
     assert t == And((Phrase(("salt",)), Phrase(("and",)), Phrase(("the",))))
 
@@ -76,15 +80,15 @@ def test_quoted_phrase_anywhere_is_honoured():
     assert build('foo "bar baz"') == And((Phrase(("foo",)), Phrase(("bar", "baz"))))
 
 
-def test_synonym_expansion_and_grouping():
-    look = static_lookup([(1, "cancer"), (1, "tumor"), (1, "neoplasm"), (2, "ribonucleic acid"), (2, "rna")])
-    assert build("cancer", look) == Or((Phrase(("cancer",)), Phrase(("tumor",)), Phrase(("neoplasm",))))
-    t = build("ribonucleic acid cancer", look)
-    assert t.items[0] == Or((Phrase(("ribonucleic", "acid")), Phrase(("rna",))))
+def test_synonym_expansion_and_grouping(spark):
+    look = _lookup(spark, [(1, "cod"), (1, "gadus"), (1, "codling"), (2, "spring tide"), (2, "syzygy")])
+    assert build("cod", look) == Or((Phrase(("cod",)), Phrase(("gadus",)), Phrase(("codling",))))
+    t = build("spring tide cod", look)
+    assert t.items[0] == Or((Phrase(("spring", "tide")), Phrase(("syzygy",))))
 
 
-def test_synonyms_shortest_first_limit_three():
-    look = static_lookup([(1, "aaaa"), (1, "bbb"), (1, "ccccc"), (1, "dd"), (1, "eeeeee"), (1, "fff")])
+def test_synonyms_shortest_first_limit_three(spark):
+    look = _lookup(spark, [(1, "aaaa"), (1, "bbb"), (1, "ccccc"), (1, "dd"), (1, "eeeeee"), (1, "fff")])
     assert look(["aaaa"])["aaaa"] == ["bbb", "fff", "ccccc"]
 
 
