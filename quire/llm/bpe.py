@@ -21,7 +21,7 @@ LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CERTAIN = [(0, 0x250), (0x391, 0x3CA), (0x410, 0x450), (0x2010, 0x2028), (0x4E00, 0x9FA6)]
 CACHE_WORDS = 500_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -43,7 +43,7 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _word_characters() -> np.ndarray:

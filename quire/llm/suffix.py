@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import parts_for, saved
+from quire.llm.common import TEXTS, parts_for, saved
 from quire.llm.neardup import mix64
 from quire.llm.spans import _BASE, _powers
 
@@ -48,11 +48,13 @@ MIN_BYTES = 400
 PIPELINE_BYTES = 240
 GROUP = 20_000
 FEW = 24
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
+ROWS = 4000
 
 
 def gram_of(least: int) -> int:
-    return max(1, least * 8 // 25)
+    """Long grams have more anchors, short ones more contexts to compare."""
+    return max(1, least * 3 // 5)
 
 
 def sliding(a: np.ndarray, w: int, op, fill) -> np.ndarray:
@@ -93,22 +95,23 @@ def anchors(data: np.ndarray, ends: np.ndarray, least: int, spans: Spans) -> tup
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     spans.over(data)
     begins = np.r_[0, ends[:-1]]
-    at = np.arange(n - gram + 1)
-    h = spans.of(at, at + gram) | np.uint64(1)
-    sizes = ends - begins
-    room = np.repeat(ends, sizes) - np.arange(n)  # bytes to the text's end
-    low = sliding(h, w, np.minimum, np.uint64(2**64 - 1))
-    low[room[: len(low)] < least] = 0  # windows must not leave their text
+    raw = (spans.run[gram:] - spans.run[:-gram]) * spans.down[: n - gram + 1]
+    h = raw ^ (raw >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    low = sliding(h, w, np.minimum, np.uint32(2**32 - 1))
+    for a, b in zip(np.maximum(begins, ends - least + 1).tolist(), ends.tolist()):
+        low[a:b] = 0  # windows must not leave their text
     # the highest of the minima of the windows around a position
-    back = np.zeros(len(low) + w - 1, np.uint64)
+    back = np.zeros(len(low) + w - 1, np.uint32)
     back[w - 1 :] = low
-    high = sliding(back, w, np.maximum, np.uint64(0))[: len(h)]
+    high = sliding(back, w, np.maximum, np.uint32(0))[: len(h)]
     pos = np.flatnonzero(high == h)
     doc = np.searchsorted(ends, pos, "right")
     left = np.minimum(pos - begins[doc], least - gram)
     right = np.minimum(ends[doc] - pos, least)
     context = mix64(spans.of(pos - left, pos + right) + left.astype(np.uint64) * np.uint64(1 << 32) + right.astype(np.uint64))
-    return pos, doc, h[pos], context, left, right
+    return pos, doc, mix64(raw[pos]), context, left, right
 
 
 def batches_of(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -152,13 +155,17 @@ def contexts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     before, width = least - gram_of(least), 2 * least - gram_of(least)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["gram", "context", "doc", "k1", "pos", "l", "r", "n", "bytes"]
+        rows: list[tuple] = []
         for b in parts:
-            rows = []
             for doc, k1, text, places in zip(b["doc"], b["k1"], b["text"], b["places"]):
                 data = b"\0" * before + (text or "").encode("utf-8", "surrogatepass") + b"\0" * least
                 for p in places:
                     rows.append((p["gram"], p["context"], doc, k1, p["pos"], p["l"], p["r"], p["n"], data[p["pos"] : p["pos"] + width]))
-            yield pd.DataFrame(rows, columns=["gram", "context", "doc", "k1", "pos", "l", "r", "n", "bytes"])
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     by_doc = wanted.groupBy("doc", "k1").agg(F.collect_list(F.struct("gram", "context", "pos", "l", "r", "n")).alias("places"))
     rows = docs.join(by_doc, ["doc", "k1"]).dropDuplicates(["doc", "k1"])
@@ -281,7 +288,7 @@ def reach_by_rows(rows: DataFrame, least: int, later: bool) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int, later: bool, group: int = GROUP) -> DataFrame:
     """(doc, k1, spans) with the marked intervals of ``docs`` (doc, k1, text);
     intervals may overlap."""
-    marks = saved(anchor_rows(docs, least), "suffix-anchors")
+    marks = saved(anchor_rows(docs, least), "suffix-anchors", TEXTS)
     kinds = marks.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "k1", "pos", "l", "r")).alias("head")
     )
@@ -294,7 +301,7 @@ def repeated_spans(docs: DataFrame, least: int, later: bool, group: int = GROUP)
     large = wanted.where(F.col("kinds") > group)
     if large.limit(1).count():
         found = found.unionByName(reach_by_rows(contexts(docs, large, least), least, later))
-    kinds = kinds.join(saved(found, "suffix-reach"), ["gram", "context"], "left")
+    kinds = kinds.join(saved(found, "suffix-reach", TEXTS), ["gram", "context"], "left")
 
     occurs = marks.join(kinds.select("gram", "context", "n", F.col("head.doc").alias("hd"), F.col("head.k1").alias("hk"), F.col("head.pos").alias("hp"), "ml", "mr"), ["gram", "context"])
     first = (F.col("doc") == F.col("hd")) & (F.col("k1") == F.col("hk")) & (F.col("pos") == F.col("hp"))
@@ -377,4 +384,5 @@ def op7_repeated_passages(spark, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], dtype=object)
 
     rows = keyed.join(spans, ["doc", "k1"], "left").select("doc_id", "text", "spans")
-    return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return saved(found, "suffix-result", TEXTS)
