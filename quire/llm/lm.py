@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from quire.llm.common import TEXTS, fold, parts_for, saved
 from quire.llm.spans import BATCH_CHARS, WordHash, distinct
 
-HOT = 1 << 19
-PAIRS = 1 << 20
+HOT = 1 << 18
+PAIRS = 1 << 19
 PART_BYTES = 128e6
 BUCKETS = 48
 BINS = 512
-FLUSH = 2_000_000
+FLUSH = 500_000
+AT_ONCE = 16  # blocks in one Arrow batch
 END = np.uint64(0xE0F5_0A7B_11C3_9D27)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -140,7 +141,7 @@ def merged(blocks: DataFrame, parts: int, kind: int) -> DataFrame:
             k, a, h = merge(own)
             yield pd.DataFrame([(kind, p, k.tobytes(), a.tobytes(), h.tobytes())], columns=["kind", "part", "keys", "a", "h"])
 
-    return saved(blocks.where(F.col("kind") == kind).repartition(parts, "part").mapInPandas(run, BLOCKS), "lm-counts", TEXTS)
+    return saved(blocks.where(F.col("kind") == kind).repartition(parts, "part").mapInPandas(run, BLOCKS), "lm-counts", AT_ONCE)
 
 
 def roles(docs: DataFrame) -> DataFrame:
@@ -215,6 +216,10 @@ def bin_count(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, 2.0 ** ((b - 1) / 8), 0.0)
 
 
+def bucket_of(count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, np.minimum(1 + np.floor(np.log2(np.maximum(count, 1))), BUCKETS - 1), 0).astype(np.int64)
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted key, or -1."""
     if not len(keys):
@@ -276,7 +281,8 @@ def count_pairs(docs: DataFrame, hot: dict, parts: int) -> tuple[DataFrame, np.n
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at, "n": total[at]})
 
-    sums = blocks.where("kind = 3").mapInPandas(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    parts_sums = saved(blocks.where("kind = 3").mapInPandas(add, "at long, n long"), "lm-grid", AT_ONCE)
+    sums = parts_sums.groupBy("at").agg(F.sum("n").alias("n")).collect()
     grid = np.zeros(BUCKETS * BINS, np.int64)
     for r in sums:
         grid[r["at"]] = r["n"]
@@ -320,7 +326,7 @@ def learn(docs: DataFrame, parts: int) -> tuple[dict, DataFrame]:
     words = count_words(docs, parts)
     n, v, na, va = totals(words)
     keys, a, h = frequent(words, n / HOT)
-    bucket = np.minimum(np.floor(np.log2(np.maximum(a + h, 1))).astype(np.int64) + 1, BUCKETS - 1)
+    bucket = bucket_of(a)  # the deleted documents see the counts of the rest
     hot = {"keys": keys, "a": a, "bucket": bucket}
     blocks, grid = count_pairs(docs, hot, parts)
     pairs, pa, ph = frequent(blocks, n / PAIRS)
@@ -339,7 +345,7 @@ def learn(docs: DataFrame, parts: int) -> tuple[dict, DataFrame]:
     two = np.r_[pa / np.maximum(a[context], 1), np.zeros(len(gb))]
     mix = expectation_maximisation(events, weight, np.stack([np.full(len(one), 1 / (va + 1)), one, two], 1))
     model = {
-        "keys": keys, "bucket": bucket, "count": a + h, "pairs": pairs.view(np.int64), "pair_count": pa + ph, "mix": mix, "n": n, "v": v,
+        "keys": keys, "bucket": bucket_of(a + h), "count": a + h, "pairs": pairs.view(np.int64), "pair_count": pa + ph, "mix": mix, "n": n, "v": v,
     }
     return model, words
 
@@ -426,9 +432,8 @@ def score(docs: DataFrame, part_bytes: float = PART_BYTES) -> DataFrame:
 
     blocks = words.select("kind", "part", F.lit(-1).alias("task"), F.lit(-1).cast("long").alias("seq"), "keys", F.col("a").alias("code"), F.col("h").alias("row"), F.lit(None).cast("binary").alias("bucket"))
     blocks = blocks.unionByName(got.where("kind = 2").select("kind", "part", "task", "seq", "keys", "code", "row", "bucket"))
-    sums = blocks.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInPandas(
-        look, "task int, seq long, n_known long, base double, score double"
-    )
+    dealt = blocks.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    sums = saved(dealt.mapInPandas(look, "task int, seq long, n_known long, base double, score double"), "lm-sums", AT_ONCE)
     own = got.where("kind = 0")
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     every = own.select("task", "seq", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").unionByName(

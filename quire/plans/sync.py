@@ -10,12 +10,15 @@ with the key (window, server, cursor, version, -index).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schema as S
 from quire.functions.normalize import norm_category, version_int
 from quire.operators import upsert as U
+from quire.sources.store import Store
 
 
 def window_plan(spark: SparkSession, today: str, cursor: str | None = None, epoch: str = S.SYNC_EPOCH) -> DataFrame:
@@ -87,3 +90,35 @@ def delta_sync(target: DataFrame, records: DataFrame, state: DataFrame, today: s
     recs = records.where((F.col("date") >= F.lit(last)) & (F.col("date") <= F.lit(today))).withColumn("w", F.lit(0))
     table, counts = ingest(target, recs)
     return table, U.state_set(state, S.STATE_LAST_SYNC, today), counts
+
+
+# -- synchronising a stored catalogue ----------------------------------------------
+
+# records of a window of dates, both inclusive: paper fields and ``arrival``
+Fetch = Callable[[str, str], DataFrame]
+
+
+def run_bulk(store: Store, fetch: Fetch, today: str) -> int:
+    """Commit window after window, each with its cursor, from the resume point;
+    then set the last sync date and clear the cursor. A failing window leaves
+    the earlier ones in, and the next run goes on after them."""
+    cursor = store.state().get(S.STATE_BULK_CURSOR)
+    count = 0
+    for w in window_plan(store.spark, today, cursor).orderBy("w").collect():  # one row a window
+        count += store.commit(fetch(w.window_start, w.window_end), state={S.STATE_BULK_CURSOR: w.window_end})
+    store.commit(None, state={S.STATE_LAST_SYNC: today, S.STATE_BULK_CURSOR: None})
+    return count
+
+
+def run_delta(store: Store, fetch: Fetch, today: str) -> int:
+    """From the last sync date, inclusive; without one this is a bulk run."""
+    last = store.state().get(S.STATE_LAST_SYNC)
+    if not last:
+        return run_bulk(store, fetch, today)
+    return store.commit(fetch(last, today), state={S.STATE_LAST_SYNC: today})
+
+
+def auto_sync(store: Store, fetch: Fetch, today: str) -> dict[str, object]:
+    """Delta if there was a sync before, else bulk: its kind and count."""
+    delta = bool(store.state().get(S.STATE_LAST_SYNC))
+    return {"kind": "delta" if delta else "bulk", "count": (run_delta if delta else run_bulk)(store, fetch, today)}

@@ -1,114 +1,32 @@
 """Continuous catalogue ingest with Structured Streaming.
 
-Landing files of catalogue records (JSON lines, as the API delivers them)
-are read as a stream; every micro-batch is upserted into the paper table and
-its postings by ``foreachBatch``.
-
-Both tables are partitioned by a hash bucket of the DOI, so a batch touches
-only the buckets of its DOIs: those buckets are read (partition pruning),
-merged with the batch, staged in the shared folder (cutting the lineage to
-the files about to be replaced) and written back with dynamic partition
-overwrite. Untouched buckets are never rewritten. An upsert is idempotent
-(delete-then-insert of the same rows), so a batch that failed half way is
-simply applied again on replay; a commit marker per batch id skips batches
-that completed. Stream progress lives in the checkpoint folder.
+Landing files of catalogue records (JSON lines) are read as a stream; every
+micro-batch is one commit of the store (papers, index and term statistics
+together), so what has been ingested can be searched at once. A batch that died
+before its version was published is applied again on replay, one that was
+published is skipped. Stream progress lives in the checkpoint folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from quire import schema as S
-from quire.operators import upsert as U
-from quire.operators.index import build_postings
+from quire.sources.store import Store
 
 INGEST_SCHEMA = T.StructType(
     [T.StructField(f, T.StringType()) for f in S.PAPER_FIELDS] + [T.StructField("arrival", T.LongType())]
 )
-DEFAULT_BUCKETS = 64
-
-
-def bucket_of(doi: Column, n_buckets: int) -> Column:
-    return F.pmod(F.xxhash64(doi), F.lit(n_buckets)).cast("int")
-
-
-def _fs(spark: SparkSession, path: str):
-    """Hadoop FileSystem + Path for ``path`` (local, HDFS, object stores)."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def committed_batches(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, f"{root.rstrip('/')}/_commits")
-    if not fs.exists(p):
-        return []
-    return sorted(int(st.getPath().getName()) for st in fs.listStatus(p))
-
-
-def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
-    """(papers, postings) as stored now (with the ``bucket`` column), or None."""
-    root = root.rstrip("/")
-    if not _exists(spark, f"{root}/papers"):
-        return None
-    return spark.read.parquet(f"{root}/papers"), spark.read.parquet(f"{root}/postings")
-
-
-def apply_batch(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, n_buckets: int = DEFAULT_BUCKETS) -> None:
-    """Upsert one micro-batch (also usable as a plain batch step)."""
-    root = root.rstrip("/")
-    if _exists(spark, f"{root}/_commits/{batch_id}"):
-        return  # replay of a completed batch
-    incoming = U.dedup_latest(batch)
-    touched = sorted(r[0] for r in incoming.select(bucket_of(F.col("doi"), n_buckets).alias("b")).distinct().collect())
-    if touched:
-        cur = current(spark, root)
-        if cur is None:
-            papers = incoming
-            postings = build_postings(incoming)
-        else:
-            old_papers, old_postings = cur
-            in_touched = F.col("bucket").isin(touched)
-            papers = U.merge(old_papers.where(in_touched).drop("bucket"), incoming)
-            postings = U.index_upsert(old_postings.where(in_touched).drop("bucket"), incoming)
-        stage = f"{root}/_staging/{batch_id}"
-        papers.withColumn("bucket", bucket_of(F.col("doi"), n_buckets)).write.mode("overwrite").parquet(f"{stage}/papers")
-        postings.withColumn("bucket", bucket_of(F.col("doi"), n_buckets)).write.mode("overwrite").parquet(f"{stage}/postings")
-        staged_papers = spark.read.parquet(f"{stage}/papers")
-        staged_postings = spark.read.parquet(f"{stage}/postings")
-        (
-            staged_papers.repartition("bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{root}/papers")
-        )
-        (
-            staged_postings.repartition("bucket")
-            .sortWithinPartitions("bucket", "token", "doi", "field", "pos")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{root}/postings")
-        )
-    fs, marker = _fs(spark, f"{root}/_commits/{batch_id}")
-    out = fs.create(marker, True)
-    out.write(str(batch_id).encode())
-    out.close()
 
 
-def start_ingest(spark: SparkSession, landing: str, root: str, checkpoint: str, files_per_batch: int = 1, n_buckets: int = DEFAULT_BUCKETS):
+def start_ingest(spark: SparkSession, landing: str, root: str, checkpoint: str, files_per_batch: int = 1):
     """Start the stream; ``trigger(availableNow=True)`` drains what is there
     in batches of ``files_per_batch`` files and stops."""
+    store = Store(spark, root)
     stream = spark.readStream.schema(INGEST_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(landing)
     return (
-        stream.writeStream.foreachBatch(lambda df, bid: apply_batch(spark, root, df, bid, n_buckets))
+        stream.writeStream.foreachBatch(lambda df, batch: store.commit(df, f"stream-{batch}"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
