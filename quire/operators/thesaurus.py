@@ -15,8 +15,10 @@ the factored form:
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,10 +107,28 @@ def expand(records: DataFrame, terms: DataFrame | None = None, n: int = S.EXPAND
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def lookup_fn(records: DataFrame, n: int = S.SEARCH_SYNONYMS):
+def store_thesaurus(records: DataFrame, path: str) -> DataFrame:
+    """Write the normalised records once, sorted by term, and read them back."""
+    normalise_records(records).repartitionByRange("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
+
+def load_thesaurus(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored thesaurus; without one a warning, and search goes on without
+    expansion."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        warnings.warn(f"no thesaurus at {path}: synonyms are off", stacklevel=2)
+        return None
+
+
+def lookup_fn(records: DataFrame | None, n: int = S.SEARCH_SYNONYMS):
     """Driver-side lookup for one query: candidate windows -> known terms and
     their synonyms. One small Spark job; the result is bounded by the number
     of candidates times ``n``."""
+    if records is None:
+        return lambda candidates: {}
     spark = records.sparkSession
 
     def lookup(candidates: Iterable[str]) -> dict[str, list[str]]:

@@ -76,6 +76,17 @@ def test_annotation_finds_terms_of_any_length(spark, make_papers):
     assert got == {"north-sea 2 herring larvae survey": 1, "herring larvae": 2, "larvae": 3}
 
 
+def test_thesaurus_is_stored_once_and_missing_is_off(spark, scratch):
+    import pytest
+
+    with pytest.warns(UserWarning, match="synonyms are off"):
+        assert TH.load_thesaurus(spark, f"{scratch}/none") is None
+    assert TH.lookup_fn(None)(["cod"]) == {}
+    recs = spark.createDataFrame([("a", "Cod"), ("a", "gadus"), ("a", "cod")], "record_id string, term string")
+    TH.store_thesaurus(recs, f"{scratch}/t")
+    assert TH.lookup_fn(TH.load_thesaurus(spark, f"{scratch}/t"))(["COD", "eel"]) == {"cod": ["gadus"]}
+
+
 def test_expand_order_and_limit(spark):
     recs = spark.createDataFrame(
         [("r", t) for t in ["aaaa", "bbb", "ccccc", "dd", "eeeeee", "fff", "g" * 61]], "record_id string, term string"
