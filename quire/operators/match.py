@@ -105,12 +105,12 @@ def occurrences(idx: Index, specs: list[Phrase], only: list[int] | None = None,
         words = sorted({r[2] for r in exact_rows})
         hit = post.where(F.col("token").isin(words)).join(F.broadcast(terms), F.col("token") == F.col("term"))
         parts.append(hit)
-    if prefix_rows:
-        terms = literal_table(spark, prefix_rows, _TERM_SCHEMA)
-        pre = sorted({r[2] for r in prefix_rows})
-        cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in pre])
-        hit = post.where(cond).join(F.broadcast(terms), F.col("token").startswith(F.col("term")))
-        parts.append(hit)
+    # prefixes of one length are an equi-join on that many leading characters
+    for n in sorted({len(r[2]) for r in prefix_rows}):
+        rows = [r for r in prefix_rows if len(r[2]) == n]
+        cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in sorted({r[2] for r in rows})])
+        terms = F.broadcast(literal_table(spark, rows, _TERM_SCHEMA))
+        parts.append(post.where(cond).join(terms, F.substring("token", 1, n) == F.col("term")))
     if not parts:
         return literal_table(spark, [], "doi string, field tinyint, start int, spec int, len int")
     hits = functools.reduce(DataFrame.unionByName, parts)

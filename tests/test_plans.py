@@ -15,6 +15,11 @@ def test_no_cartesian_product_in_any_query(spark):
     assert bad == []
 
 
+def test_prefixes_are_equi_joins(spark):
+    for name in ("match_prefix", "bm25_scores"):
+        assert "BroadcastNestedLoopJoin" not in _plan(E.queries()[name](spark, SF_SMALL)).split("Subquery")[0], name
+
+
 def test_search_pushes_tokens_and_dois(spark):
     plan = _plan(E.queries()["match_term"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(token), EqualTo(token,esat)" in plan
