@@ -11,15 +11,16 @@ is doubled). Two documents agree in a coordinate with a probability equal to
 their weighted Jaccard similarity.
 
 Joining. Bands of ``ROWS`` coordinates are keys. Copies have been collapsed
-before, by text. In a first round every member of a bucket is paired with the
-bucket's first member. In a second, buckets of up to ``SMALL`` members give all
-their pairs that are not yet in one class; larger ones are dealt again by
-one of four further bands (two documents that agree in much agree in some),
-and there the small ones again give all pairs and the others pairs with
-their first member. So pairs grow in proportion to the documents, and a
-hot bucket is never gathered. Every pair is checked against the exact weighted
-Jaccard similarity of the shingles, and classes are the connected components
-of the pairs that pass.
+before, by text. First, every member of a bucket is paired with the bucket's
+first member. Buckets that are not of one class by then go on: those of up to
+``SMALL`` members give all their pairs of different classes, in larger ones the
+members are paired with a head of another class, first the one with most links
+and then one drawn anew each turn,
+for ``TURNS`` turns or until one links nothing. So pairs grow in proportion to
+the documents, and a hot bucket is never gathered. (A document in large buckets
+only, whose near ones are a small part of all of them, can be missed there.)
+Every pair is checked against the exact weighted Jaccard similarity of the
+shingles, and classes are the connected components of the pairs that pass.
 
 Defined results: words are runs of letters and digits in lower case; a text
 of one to four words is one shingle; texts without words (null, empty) are a
@@ -37,15 +38,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import saved, text_keys
+from quire.llm.common import TEXTS, saved, text_keys
 from quire.llm.components import components
 from quire.llm.spans import Words, distinct
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 26, 5
-SMALL = 40
-NEXT = 4
+SMALL = 32
+TURNS = 2
+PAIRS = 500  # checked at a time
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
@@ -122,26 +124,33 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(k1, k2, weight, bands) of each different text that has words."""
+    """(id, k1, k2, least, weight, bands) of each different text that has
+    words; least is the smallest doc_id it has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for b in batches:
-            k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
+            k1, k2, ids = b["k1"].to_numpy(), b["k2"].to_numpy(), b["doc_id"].to_numpy()
             for lo, hi, doc, word in words.hashes(b["text"].tolist()):
                 d, s, n = shingles(doc, word)
                 keys = band_keys(darts(d, s, n.astype(float), hi - lo, bands * rows), bands, rows).view(np.int64)
                 weight = np.bincount(d, n, hi - lo).astype(np.int64)
                 has = np.flatnonzero(weight)
-                yield pd.DataFrame({"k1": k1[lo + has], "k2": k2[lo + has], "weight": weight[has], "bands": list(keys[has])})
+                yield pd.DataFrame({"k1": k1[lo + has], "k2": k2[lo + has], "doc_id": ids[lo + has], "weight": weight[has], "bands": list(keys[has])})
 
-    found = docs.mapInPandas(run, "k1 long, k2 long, weight long, bands array<long>")
-    one = found.groupBy("k1", "k2").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    return saved(one.withColumn("id", F.monotonically_increasing_id()), "near-sketches")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.mapInPandas(run, f"k1 long, k2 long, doc_id {kind}, weight long, bands array<long>")
+    one = found.groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("least"), F.first("weight").alias("weight"), F.first("bands").alias("bands")
+    )
+    return saved(one.withColumn("id", F.monotonically_increasing_id()), "near-sketches", TEXTS)
 
 
 def shingle_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, hashes, counts) of the texts in ``nodes`` (id, k1, k2)."""
+    """(id, hashes, counts) of the texts in ``nodes`` (id, k1, k2, least).
+
+    A text is read from the rows with its smallest id: copies under other ids
+    have other keys, so a large group of copies isn't one key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -154,8 +163,10 @@ def shingle_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 cut = np.searchsorted(d, np.arange(1, hi - lo))
                 yield pd.DataFrame({"id": ids[lo:hi], "hashes": np.split(s, cut), "counts": np.split(n.astype(np.int32), cut)})
 
-    rows = docs.join(nodes, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "text")
-    return saved(rows.mapInPandas(run, "id long, hashes array<long>, counts array<int>"), "near-shingles")
+    same = (docs["k1"] == nodes["k1"]) & (docs["k2"] == nodes["k2"]) & docs["doc_id"].eqNullSafe(nodes["least"])
+    rows = docs.join(nodes, same).select(docs["k1"], docs["k2"], docs["doc_id"], "id", "text")
+    rows = rows.dropDuplicates(["k1", "k2", "doc_id"]).select("id", "text")
+    return saved(rows.mapInPandas(run, "id long, hashes array<long>, counts array<int>"), "near-shingles", TEXTS)
 
 
 def similarity(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
@@ -176,7 +187,7 @@ def links(pairs: DataFrame, nodes: DataFrame, table: DataFrame, least: float) ->
     near = near.where(F.least("uw", "vw") >= least * F.greatest("uw", "vw")).select("u", "v")
     full = near.join(side("u"), "u").join(side("v"), "v")
     exact = F.pandas_udf(similarity, "double")
-    return saved(full.where(exact("uh", "un", "vh", "vn") >= least).select("u", "v"), "near-links")
+    return saved(full.where(exact("uh", "un", "vh", "vn") >= least).select("u", "v"), "near-links", PAIRS)
 
 
 def all_pairs(members: DataFrame, by: list[str], least: float) -> DataFrame:
@@ -189,42 +200,60 @@ def all_pairs(members: DataFrame, by: list[str], least: float) -> DataFrame:
     return found.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
 
 
-def stars(members: DataFrame, heads: DataFrame, by: list[str]) -> DataFrame:
-    return members.join(heads, by).where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+def stars(members: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of each group's head with the members of other classes."""
+    return members.join(groups, by).where("root <> head.root").select(F.col("head.id").alias("u"), F.col("id").alias("v"))
+
+
+def mixed(members: DataFrame, by: list[str], turn: int) -> DataFrame:
+    """Groups with several classes: their size, and a head, which is first the
+    member with most links so far and then one that each turn draws anew."""
+    draw = F.struct((-F.col("links") if turn == 0 else F.lit(0)).alias("a"), F.xxhash64("id", F.lit(turn)).alias("b"))
+    groups = members.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("id", "root"), draw).alias("head")
+    )
+    return groups.where("r0 <> r1").drop("r0", "r1")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def rooted(edges: DataFrame) -> DataFrame:
+    """(id, root, links) of the nodes of ``edges``."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    return saved(components(edges).join(ends, "id"), "near-roots")
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, turns: int = TURNS) -> DataFrame:
     """(k1, k2, class, links) of the texts of ``docs`` that are near another
     text: ``class`` is the same number for all texts of a class."""
     one, two = text_keys(F.col("text"))
-    docs = docs.select("text", one.alias("k1"), two.alias("k2"))
+    docs = docs.select("doc_id", "text", one.alias("k1"), two.alias("k2"))
     nodes = sketches(docs, bands, rows)
-    banded = nodes.select("id", "weight", "bands", F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("id", "weight", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
     heads = saved(heads, "near-buckets")
-    members = saved(banded.join(heads, ["band", "key"]).select("band", "key", "n", "head", "id", "weight", "bands"), "near-members")
+    members = banded.join(heads, ["band", "key"])
+    members = saved(members.select("band", "key", "head", "id", "weight"), "near-members")
     near = nodes.join(members.select("id").distinct(), "id", "left_semi")
-    table = shingle_table(docs, near.select("id", "k1", "k2"))
+    table = shingle_table(docs, near.select("id", "k1", "k2", "least"))
     nodes = nodes.select("id", "k1", "k2", "weight")
 
-    first = links(members.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")), nodes, table, least)
-    roots = saved(components(first), "near-roots")
-    known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    known = saved(known.select("band", "key", "n", "id", "root", "weight", F.when(F.col("n") > small, F.col("bands")).alias("bands")), "near-known")
-    pairs = all_pairs(known.where(F.col("n") <= small), ["band", "key"], least)
-    more = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda j: F.struct(j.alias("j"), F.get("bands", ((F.col("band") + j) % bands).cast("int")).alias("key2")))
-    again = known.where(F.col("n") > small).select("band", "key", "id", "root", "weight", F.inline(more))
-    by = ["band", "key", "j", "key2"]
-    # sub-buckets that are all of one class already need no more
-    heads2 = again.groupBy(*by).agg(F.count(F.lit(1)).alias("n2"), F.min("id").alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    heads2 = saved(heads2.where("n2 > 1 and r0 <> r1"), "near-buckets2")
-    few, many = heads2.where(F.col("n2") <= small), heads2.where(F.col("n2") > small)
-    pairs = pairs.unionByName(all_pairs(again.join(few.select(*by), by, "left_semi"), by, least))
-    pairs = pairs.unionByName(stars(again, many.select(*by, "head"), by))
-    edges = saved(first.unionByName(links(pairs, nodes, table, least)), "near-edges")
-    roots = components(edges)
-    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    found = roots.join(ends, "id").join(nodes, "id")
+    edges = links(members.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")), nodes, table, least)
+    roots, bucket = rooted(edges), ["band", "key"]
+    members = members.drop("head")
+    for turn in range(turns):
+        known = members.join(roots, "id", "left").withColumns({"root": F.coalesce("root", "id"), "links": F.coalesce("links", F.lit(0))})
+        groups = saved(mixed(known, bucket, turn), "near-mixed")
+        pairs = stars(known, groups.where(F.col("size") > small), bucket)
+        if turn == 0:
+            few = known.join(groups.where(F.col("size") <= small).select(*bucket), bucket)
+            pairs = pairs.unionByName(all_pairs(few, bucket, least))
+            members = saved(members.join(groups.where(F.col("size") > small).select(*bucket), bucket), "near-large")
+        new = links(pairs, nodes, table, least)
+        if new.limit(1).count():
+            edges = saved(edges.unionByName(new).distinct(), "near-edges")
+            roots = rooted(edges)
+        elif turn:
+            break
+    found = roots.join(nodes, "id")
     return saved(found.select("k1", "k2", F.col("root").alias("class"), "links"), "near-classes")
 
 
@@ -264,8 +293,9 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("least").alias("__least")
     )
     one, two = text_keys(F.col("text"))
-    rows = docs.where("text <> ''").withColumns({"__k1": one, "__k2": two}).join(stays, ["__k1", "__k2"])
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("__least"))).dropDuplicates(["__k1", "__k2"])
+    rows = docs.where("text <> ''").withColumns({"__k1": one, "__k2": two, "__least": F.col("doc_id")})
+    same = [rows["__k1"] == stays["__k1"], rows["__k2"] == stays["__k2"], rows["__least"].eqNullSafe(stays["__least"])]
+    kept = rows.join(stays, same, "left_semi").dropDuplicates(["__k1", "__k2", "__least"])
     return kept.select(*docs.columns).unionByName(docs.where("text is null or text = ''"))
 
 
