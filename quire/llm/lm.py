@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import TEXTS, fold, parts_for, saved
 from quire.llm.spans import BATCH_CHARS, WordHash, distinct
 
-HOT = 1 << 18
-PAIRS = 1 << 19
+HOT = 1 << 17
+PAIRS = 1 << 18
 PART_BYTES = 128e6
 BUCKETS = 48
 BINS = 512
-FLUSH = 500_000
+FLUSH = 200_000
 AT_ONCE = 16  # blocks in one Arrow batch
 END = np.uint64(0xE0F5_0A7B_11C3_9D27)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -271,7 +271,7 @@ def count_pairs(docs: DataFrame, hot: dict, parts: int) -> tuple[DataFrame, np.n
         yield counter.blocks()
         yield pd.DataFrame([(3, 0, b"", grid.tobytes(), b"")], columns=["kind", "part", "keys", "a", "h"])
 
-    blocks = saved(docs.select("text", "role").mapInPandas(run, BLOCKS), "lm-pairs", TEXTS)
+    blocks = saved(docs.select("text", "role").mapInPandas(run, BLOCKS), "lm-pairs", TEXTS // 4)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS * BINS, np.int64)
@@ -403,7 +403,7 @@ def score(docs: DataFrame, part_bytes: float = PART_BYTES) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 
     schema = f"kind int, task int, seq long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, part int, keys binary, code binary, row binary, bucket binary"
-    got = saved(docs.mapInPandas(read, schema), "lm-read", TEXTS)
+    got = saved(docs.mapInPandas(read, schema), "lm-read", TEXTS // 4)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, at, keys, count = shared.value, None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
