@@ -16,9 +16,15 @@ first member. Buckets that are not of one class by then go on: those of up to
 ``SMALL`` members give all their pairs of different classes, in larger ones the
 members are paired with a head of another class, first the one with most links
 and then one drawn anew each turn,
-for ``TURNS`` turns or until one links nothing. So pairs grow in proportion to
-the documents, and a hot bucket is never gathered. (A document in large buckets
-only, whose near ones are a small part of all of them, can be missed there.)
+for ``TURNS`` turns or until one links nothing. These turns only join cheaply
+what is near a head. The texts of large buckets that are of several classes
+even then meet on their rarest shingles: the common part of two near texts is
+at least ``least`` of the weight of each, so its rarest shingle comes, in order
+of rarity, after at most 1 - ``least`` of the weight of either. All pairs of
+different classes that share such a shingle go on, unless the weight left from
+there, or the bits in which the parities of the shingle counts differ, rule the
+similarity out; a shingle of many texts is dealt in cuts of ``CUT``. No near
+pair that shares a bucket is left out, whatever the bucket's size.
 Every pair is checked against the exact weighted Jaccard similarity of the
 shingles, and classes are the connected components of the pairs that pass.
 
@@ -35,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import TEXTS, saved, text_keys
@@ -47,6 +53,8 @@ SHINGLE = 5
 BANDS, ROWS = 26, 5
 SMALL = 32
 TURNS = 2
+CUT = 1000
+LONGS = 8  # of parity bits
 PAIRS = 500  # checked at a time
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
@@ -146,8 +154,17 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return saved(one.withColumn("id", F.monotonically_increasing_id()), "near-sketches", TEXTS)
 
 
+def parities(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, docs: int) -> np.ndarray:
+    """Parities of the counts by a hash of the shingle, 64 * LONGS bits a text:
+    two texts differ in no more bits than their counts differ in all."""
+    size = 64 * LONGS
+    spot = doc * size + (mix64(shingle ^ np.uint64(_ODD[1])) % np.uint64(size)).astype(np.int64)
+    odd = np.bincount(spot, count, docs * size).astype(np.int64) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, size), axis=1).view(np.int64)
+
+
 def shingle_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, hashes, counts) of the texts in ``nodes`` (id, k1, k2, least).
+    """(id, hashes, counts, bits) of the texts in ``nodes`` (id, k1, k2, least).
 
     A text is read from the rows with its smallest id: copies under other ids
     have other keys, so a large group of copies isn't one key."""
@@ -158,15 +175,16 @@ def shingle_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             ids = b["id"].to_numpy()
             for lo, hi, doc, word in words.hashes(b["text"].tolist()):
                 d, s, n = shingles(doc, word)
+                bits = parities(d, s, n, hi - lo)
                 order = np.lexsort((s, d))
                 d, s, n = d[order], s[order].view(np.int64), n[order]
                 cut = np.searchsorted(d, np.arange(1, hi - lo))
-                yield pd.DataFrame({"id": ids[lo:hi], "hashes": np.split(s, cut), "counts": np.split(n.astype(np.int32), cut)})
+                yield pd.DataFrame({"id": ids[lo:hi], "hashes": np.split(s, cut), "counts": np.split(n.astype(np.int32), cut), "bits": list(bits)})
 
     same = (docs["k1"] == nodes["k1"]) & (docs["k2"] == nodes["k2"]) & docs["doc_id"].eqNullSafe(nodes["least"])
     rows = docs.join(nodes, same).select(docs["k1"], docs["k2"], docs["doc_id"], "id", "text")
     rows = rows.dropDuplicates(["k1", "k2", "doc_id"]).select("id", "text")
-    return saved(rows.mapInPandas(run, "id long, hashes array<long>, counts array<int>"), "near-shingles", TEXTS)
+    return saved(rows.mapInPandas(run, "id long, hashes array<long>, counts array<int>, bits array<long>"), "near-shingles", TEXTS)
 
 
 def similarity(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
@@ -205,6 +223,31 @@ def stars(members: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return members.join(groups, by).where("root <> head.root").select(F.col("head.id").alias("u"), F.col("id").alias("v"))
 
 
+def rarest_pairs(members: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """All pairs of different classes of ``members`` (id, root, weight) that can
+    be near, by the shingles that are rarest among the members."""
+    texts = table.join(members, "id")
+    held = texts.select("id", "root", "weight", F.explode(F.arrays_zip("hashes", "counts")).alias("s"))
+    held = saved(held.select("id", "root", "weight", F.col("s.hashes").alias("shingle"), F.col("s.counts").alias("count")), "near-held")
+    shared = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 1")
+    ranked = held.join(shared, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    earlier = Window.partitionBy("id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    first = ranked.where((F.col("before") <= (1 - least) * F.col("weight") + 1e-6) & (F.col("r0") != F.col("r1")))
+    first = first.select("shingle", "id", "root", "weight", (F.col("weight") - F.col("before")).alias("rest")).join(table.select("id", "bits"), "id")
+    first = saved(first, "near-rarest")
+    groups = first.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / CUT).cast("int").alias("cuts"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    first = first.join(groups.where("r0 <> r1").select("shingle", "cuts"), "shingle")
+    a = first.withColumn("cut", F.pmod(F.xxhash64("id"), "cuts").cast("int")).drop("cuts").alias("a")
+    b = first.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts").alias("b")
+    other = sum((F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(LONGS)), F.lit(0))
+    both = F.col("a.weight") + F.col("b.weight")
+    near = (F.least("a.rest", "b.rest") + 1e-6 >= least / (1 + least) * both) & (other <= (1 - least) / (1 + least) * both + 1e-6)
+    same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.cut") == F.col("b.cut"))
+    found = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & near)
+    return found.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+
 def mixed(members: DataFrame, by: list[str], turn: int) -> DataFrame:
     """Groups with several classes: their size, and a head, which is first the
     member with most links so far and then one that each turn draws anew."""
@@ -253,6 +296,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
             roots = rooted(edges)
         elif turn:
             break
+    # what no head has joined
+    known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = known.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*bucket)
+    left = saved(known.join(groups, bucket).select("id", "root", "weight").distinct(), "near-left")
+    if left.limit(1).count():
+        new = links(rarest_pairs(left, table, least), nodes, table, least)
+        edges = saved(edges.unionByName(new).distinct(), "near-edges")
+        roots = rooted(edges)
     found = roots.join(nodes, "id")
     return saved(found.select("k1", "k2", F.col("root").alias("class"), "links"), "near-classes")
 

@@ -191,6 +191,34 @@ def test_near_duplicates_are_brute_force_classes(spark, small):
     assert kept.count() == len(want) + blank
 
 
+def straddling_family(rng, n, size=120):
+    """Edits of one base that isn't there itself: pairs on both sides of 0.8."""
+    base, rows = words(rng, size).split(), []
+    for i in range(n):
+        text = list(base)
+        for j in rng.sample(range(0, size, 6), 2):
+            text[j] = "own%d" % i if rng.random() < 0.7 else "edit%d" % rng.randint(0, 3)
+        rows.append(" ".join(text))
+    return rows
+
+
+@pytest.mark.parametrize("small, turns", [(2, neardup.TURNS), (2, 1), (neardup.SMALL, neardup.TURNS)])
+def test_near_duplicates_of_large_buckets_are_brute_force_classes(spark, small, turns, monkeypatch):
+    monkeypatch.setattr(neardup, "CUT", 7, raising=False)  # shingles of many texts are dealt in cuts
+    rng = random.Random(21)
+    rows = [(100 + i, t, "en", "a", 0) for i, t in enumerate(straddling_family(rng, 150) + straddling_family(rng, 60, 60))]
+    rows += [(500 + i, words(rng, 50), "en", "a", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).select("doc_id", "text")
+    keyed = neardup.keyed(docs)
+    got = keyed.join(neardup.members_of(keyed, neardup.classes(docs, small=small, turns=turns)), ["k1", "k2"]).collect()
+    least = {}
+    for (i, *_), r in zip(rows, brute_classes(rows)):
+        least[r] = min(i, least.get(r, i))
+    want = {i: least[r] for (i, *_), r in zip(rows, brute_classes(rows))}
+    assert 2 < len({want[i] for i in range(100, 310)}) < 200
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_query_of_near_duplicates_has_every_row(spark, odd):
     rows = neardup.op4_near_duplicates(spark, odd).collect()
     assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r[0] for r in odd_documents())
