@@ -11,16 +11,14 @@ context h. The weights are learned by expectation-maximisation: a tenth of the
 training documents is deleted from the counts, and the weights make these
 held-out counts most likely under the counts of the rest.
 
-Counting. Tasks count what they read, and send blocks of (word hash, count) by
-hash range, so a frequent word is one entry a task. Words with a share of
-1 / ``HOT`` of all tokens or more can be no more than ``HOT``; these are sent
-to all tasks, with the pairs of them that have a share of 1 / ``PAIRS`` or
-more (at most ``PAIRS``; rarer pairs count as unseen). Scoring adds up the
-frequent words where the text is read. The occurrences of all other words,
-each too rare to be a hot key, go to the hash range that holds their counts,
-and per document only sums come back.
+Counting. Texts are written as slices: codes of words, and the different words
+by hash. Each slice sends its different words and pairs, by hash range, with its
+counts of them, so a frequent word or pair is one entry a slice; the range adds
+up the counts and sends them back to the slices, which then score their texts by
+themselves. Every word, context and pair is counted, however rare. Only for
+learning the weights, deleted tokens are put in bins of an eighth of an octave.
 
-Words are told apart by 64-bit hashes.
+Words and pairs are told apart by 64-bit hashes.
 
 Defined results: null text is empty and scores its end alone; repeated rows
 are scored, and counted, each; without training documents base_score and score
@@ -38,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import TEXTS, fold, parts_for, saved
+from quire.llm.neardup import mix64
 from quire.llm.spans import BATCH_CHARS, WordHash, distinct
 
-HOT = 1 << 17
-PAIRS = 1 << 18
-PART_BYTES = 128e6
+HOT = 1 << 17  # bounds nothing any more: every word and pair is counted
+PART_BYTES = 8e6
 BUCKETS = 48
 BINS = 512
 FLUSH = 200_000
-AT_ONCE = 16  # blocks in one Arrow batch
+AT_ONCE = 16  # slices or answers in one Arrow batch
 END = np.uint64(0xE0F5_0A7B_11C3_9D27)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -83,32 +81,6 @@ def tokens(texts: list, hasher: WordHash) -> Iterator[tuple[int, int, np.ndarray
         lo = hi
 
 
-class Counter:
-    """Counts keys by two classes and gives them out in blocks by hash range."""
-
-    def __init__(self, parts: int, kind: int):
-        self.parts, self.kind = parts, kind
-        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, a: np.ndarray, h: np.ndarray) -> None:
-        self.found.append((keys, a, h))
-        self.size += len(keys)
-
-    def blocks(self) -> pd.DataFrame:
-        keys, a, h = merge(self.found)
-        part = part_of(keys, self.parts)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(self.parts + 1))
-        rows = []
-        for p in range(self.parts):
-            s = order[cut[p] : cut[p + 1]]
-            if len(s):
-                rows.append((self.kind, p, keys[s].tobytes(), a[s].tobytes(), h[s].tobytes()))
-        self.found, self.size = [], 0
-        return pd.DataFrame(rows, columns=["kind", "part", "keys", "a", "h"])
-
-
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
@@ -122,28 +94,6 @@ def merge(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nd
     return keys, *total
 
 
-BLOCKS = "kind int, part int, keys binary, a binary, h binary"
-
-
-def merged(blocks: DataFrame, parts: int, kind: int) -> DataFrame:
-    """One block a part: keys in order, counts in the rest and in the deleted
-    tenth of the training documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, list] = {}
-        for b in batches:
-            for p, k, a, h in zip(b["part"], b["keys"], b["a"], b["h"]):
-                own = found.setdefault(p, [])
-                own.append((np.frombuffer(k, np.uint64), np.frombuffer(a, np.int64), np.frombuffer(h, np.int64)))
-                if sum(len(x[0]) for x in own) > FLUSH + 2 * len(own[0][0]):
-                    found[p] = [merge(own)]
-        for p, own in found.items():
-            k, a, h = merge(own)
-            yield pd.DataFrame([(kind, p, k.tobytes(), a.tobytes(), h.tobytes())], columns=["kind", "part", "keys", "a", "h"])
-
-    return saved(blocks.where(F.col("kind") == kind).repartition(parts, "part").mapInPandas(run, BLOCKS), "lm-counts", AT_ONCE)
-
-
 def roles(docs: DataFrame) -> DataFrame:
     """(doc_id, text, held_out, role): role 1 counts, 2 is deleted, 0 is not trained on."""
     c = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -152,159 +102,175 @@ def roles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", held.alias("held_out"), role.alias("role"))
 
 
-def count_words(docs: DataFrame, parts: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, counter = WordHash(), Counter(parts, 1)
-        for b in batches:
-            role = b["role"].to_numpy()
-            for lo, hi, doc, word in tokens(b["text"].tolist(), hasher):
-                of = role[lo:hi][doc]
-                code, one = distinct(word)
-                a = np.bincount(code[of == 1], minlength=len(one))
-                h = np.bincount(code[of == 2], minlength=len(one))
-                on = a + h > 0
-                counter.add(word[one][on], a[on], h[on])
-                if counter.size > FLUSH:
-                    yield counter.blocks()
-        yield counter.blocks()
+def bin_of(count: np.ndarray) -> np.ndarray:
+    """Bins of an eighth of an octave; 0 is for 0."""
+    return np.where(count > 0, 1 + np.round(8 * np.log2(np.maximum(count, 1))), 0).astype(np.int64)
 
-    return merged(docs.select("text", "role").mapInPandas(run, BLOCKS), parts, 1)
 
+def bin_count(b: np.ndarray) -> np.ndarray:
+    return np.where(b > 0, 2.0 ** ((b - 1) / 8), 0.0)
 
-def totals(words: DataFrame) -> tuple[int, int, int, int]:
-    """Tokens and different words of the training documents, and of their
-    counting part."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            a = [np.frombuffer(x, np.int64) for x in b["a"]]
-            h = [np.frombuffer(x, np.int64) for x in b["h"]]
-            yield pd.DataFrame(
-                {
-                    "n": [int(x.sum() + y.sum()) for x, y in zip(a, h)],
-                    "v": [len(x) for x in a],
-                    "na": [int(x.sum()) for x in a],
-                    "va": [int((x > 0).sum()) for x in a],
-                }
-            )
-
-    sums = words.mapInPandas(run, "n long, v long, na long, va long")
-    r = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "na", "va"))).first()
-    return r["n"], r["v"], r["na"], r["va"]
+def bucket_of(count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, np.minimum(1 + np.floor(np.log2(np.maximum(count, 1))), BUCKETS - 1), 0).astype(np.int64)
 
 
-def frequent(blocks: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys with ``least`` or more occurrences, in order, with their counts."""
+def cells(context: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Bucket of the context, bin of the word's count, and bin of the pair's
+    share of its context, as one number."""
+    share = np.where(pair > 0, 1 + np.round(8 * np.log2(np.maximum(context, 1) / np.maximum(pair, 1))), 0).astype(np.int64)
+    return (bucket_of(context) * BINS + bin_of(word)) * BINS + share
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, a, h in zip(b["keys"], b["a"], b["h"]):
-                k, a, h = np.frombuffer(k, np.uint64), np.frombuffer(a, np.int64), np.frombuffer(h, np.int64)
-                on = a + h >= least
-                yield pd.DataFrame([(k[on].tobytes(), a[on].tobytes(), h[on].tobytes())], columns=["keys", "a", "h"])
 
-    rows = blocks.mapInPandas(run, "keys binary, a binary, h binary").collect()  # bounded, see the module's text
-    return merge([(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["a"], np.int64), np.frombuffer(r["h"], np.int64)) for r in rows])
+def small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    top = int(x.max()) if len(x) else 0
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
+    return x.astype(kind).tobytes()
 
 
-def bin_of(count: np.ndarray) -> np.ndarray:
-    """Bins of an eighth of an octave; 0 is for 0."""
-    return np.where(count > 0, 1 + np.round(8 * np.log2(np.maximum(count, 1))), 0).astype(np.int64)
+def wide(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts that ``small`` wrote."""
+    return np.frombuffer(data, f"<u{max(len(data) // n, 1)}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def bin_count(b: np.ndarray) -> np.ndarray:
-    return np.where(b > 0, 2.0 ** ((b - 1) / 8), 0.0)
+def pairs_in(code: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: per token the one before it, per token its pair, and the first
+    place of each different pair. A slice's last token is an end, and so is the
+    context of its first."""
+    before = np.r_[code[-1:], code[:-1]]
+    pair, one = distinct(before * words + code)
+    return before, pair, one
 
 
-def bucket_of(count: np.ndarray) -> np.ndarray:
-    return np.where(count > 0, np.minimum(1 + np.floor(np.log2(np.maximum(count, 1))), BUCKETS - 1), 0).astype(np.int64)
+SLICES = "task int, seq long, part int, ids array<string>, held binary, role binary, n binary, size int, code binary, words binary, a binary, h binary"
+NAMES = [c.split()[0] for c in SLICES.split(", ")]
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted key, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def slices(docs: DataFrame) -> DataFrame:
+    """Texts as codes of words, a row for each slice of them."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, task, seq = WordHash(), TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids, held, role = b["doc_id"].tolist(), b["held_out"].to_numpy(np.uint8), b["role"].to_numpy(np.uint8)
+            for lo, hi, doc, word in tokens(b["text"].tolist(), hasher):
+                code, one = distinct(word)
+                n = np.bincount(doc, minlength=hi - lo)
+                row = (task, seq, -1, ids[lo:hi], held[lo:hi].tobytes(), role[lo:hi].tobytes(), small(n), len(code), small(code), word[one].tobytes(), None, None)
+                yield pd.DataFrame([row], columns=NAMES)
+                seq += 1
 
-class Reader:
-    """Tokens of texts as indices of frequent words (-1: none) and of the
-    buckets of their contexts; the context of a first word is an end."""
+    own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out", "role")
+    return saved(own.mapInPandas(run, SLICES), "lm-slices", TEXTS // 4)
 
-    def __init__(self, hot: dict):
-        self.hot, self.hasher = hot, WordHash()
-        self.end = int(find(hot["keys"], np.array([END]))[0])
 
-    def __call__(self, texts: list):
-        for lo, hi, doc, word in tokens(texts, self.hasher):
-            code, one = distinct(word)
-            index = find(self.hot["keys"], word[one])[code]
-            before = np.r_[self.end, index[:-1]]
-            before[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])] = self.end
-            yield lo, hi, doc, word, index, before, np.where(before >= 0, self.hot["bucket"][before], 0) if len(self.hot["keys"]) else np.zeros(len(word), np.int64)
+def asked(words: np.ndarray, code: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words, then pairs of a slice: first part of their kind, keys, per token
+    which key it is, and the keys' order by part."""
+    before, pair, one = pairs_in(code, len(words))
+    joint = mix64(words[before[one]] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[code[one]]))
+    for first, keys, which in ((0, words, code), (parts, joint, pair)):
+        yield first, keys, which, np.argsort(part_of(keys, parts), kind="stable")
 
 
-def count_pairs(docs: DataFrame, hot: dict, parts: int) -> tuple[DataFrame, np.ndarray]:
-    """Blocks of pairs of frequent words, and how many held-out tokens there
-    are by bucket and bin of the word's count (the last bin: not frequent)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def asks(found: DataFrame, parts: int) -> DataFrame:
+    """Keys of each slice by hash range, with their counts in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, counter = Reader(shared.value), Counter(parts, 2)
-        m = len(shared.value["keys"])
-        bins = np.append(bin_of(shared.value["a"]), BINS - 1)
-        grid = np.zeros(BUCKETS * BINS, np.int64)
-        for b in batches:
-            role = b["role"].to_numpy()
-            for lo, hi, doc, _, index, before, bucket in reader(b["text"].tolist()):
-                of = role[lo:hi][doc]
-                grid += np.bincount((bucket * BINS + bins[index])[of == 2], minlength=len(grid))
-                on = (of > 0) & (index >= 0) & (before >= 0)
-                pair, of = before[on] * m + index[on], of[on]
-                code, one = distinct(pair)
-                n = np.bincount(code, minlength=len(one))
-                h = np.bincount(code[of == 2], minlength=len(one))
-                counter.add(pair[one].view(np.uint64), n - h, h)
-                if counter.size > FLUSH:
-                    yield counter.blocks()
-        yield counter.blocks()
-        yield pd.DataFrame([(3, 0, b"", grid.tobytes(), b"")], columns=["kind", "part", "keys", "a", "h"])
-
-    blocks = saved(docs.select("text", "role").mapInPandas(run, BLOCKS), "lm-pairs", TEXTS // 4)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS * BINS, np.int64)
         for b in batches:
-            for x in b["a"]:
-                total += np.frombuffer(x, np.int64)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at, "n": total[at]})
-
-    parts_sums = saved(blocks.where("kind = 3").mapInPandas(add, "at long, n long"), "lm-grid", AT_ONCE)
-    sums = parts_sums.groupBy("at").agg(F.sum("n").alias("n")).collect()
-    grid = np.zeros(BUCKETS * BINS, np.int64)
-    for r in sums:
-        grid[r["at"]] = r["n"]
-    return merged(blocks, parts, 2), grid.reshape(BUCKETS, BINS)
-
+            for r in b.itertuples(index=False):
+                of = np.repeat(np.frombuffer(r.role, np.uint8), wide(r.n, len(r.ids)))
+                rows = []
+                for first, keys, which, order in asked(np.frombuffer(r.words, np.uint64), wide(r.code, r.size), parts):
+                    a, h = (np.bincount(which[of == k], minlength=len(keys)) for k in (1, 2))
+                    cut = np.searchsorted(part_of(keys, parts)[order], np.arange(parts + 1))
+                    for p in range(parts):
+                        s = order[cut[p] : cut[p + 1]]
+                        if len(s):
+                            rows.append((r.task, r.seq, first + p, keys[s].tobytes(), small(a[s]), small(h[s])))
+                yield pd.DataFrame(rows, columns=["task", "seq", "part", "words", "a", "h"])
+
+    return found.mapInPandas(run, "task int, seq long, part int, words binary, a binary, h binary")
+
+
+def answers(wanted: DataFrame, parts: int) -> DataFrame:
+    """Each slice's keys' counts in the corpus, in the order asked; and rows of
+    task -1 with the totals (n, v, na, va) of a range of words."""
+
+    def whole(rows: list) -> Iterator[pd.DataFrame]:
+        some, known, size = [], [], 0
+        for r in rows:
+            keys = np.frombuffer(r.words, np.uint64)
+            some.append((keys, wide(r.a, len(keys)), wide(r.h, len(keys))))
+            size += len(keys)
+            if size > FLUSH + 2 * (len(known[0][0]) if known else 0):
+                known, some, size = [merge(known + some)], [], 0
+        keys, a, h = merge(known + some)
+        on = a + h > 0
+        if rows[0].part < parts:
+            sums = [(a + h).sum(), on.sum(), a.sum(), (a > 0).sum()]
+            yield pd.DataFrame([(-1, 0, rows[0].part, np.array(sums, np.int64).tobytes(), b"")], columns=["task", "seq", "part", "a", "h"])
+        for k in range(0, len(rows), AT_ONCE):
+            out = []
+            for r in rows[k : k + AT_ONCE]:
+                at = np.searchsorted(keys, np.frombuffer(r.words, np.uint64))
+                out.append((r.task, r.seq, r.part, small(a[at]), small(h[at])))
+            yield pd.DataFrame(out, columns=["task", "seq", "part", "a", "h"])
 
-def rare_bins(words: DataFrame, least: float) -> np.ndarray:
-    """Held-out tokens of words under ``least``, by bin of their count."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list = []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if rows and rows[0].part != r.part:
+                    yield from whole(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield from whole(rows)
+
+    dealt = wanted.repartition(2 * parts, "part").sortWithinPartitions("part")
+    return saved(dealt.mapInPandas(run, "task int, seq long, part int, a binary, h binary"), "lm-answers", AT_ONCE)
+
+
+def joined(found: DataFrame, got: DataFrame, parts: int) -> DataFrame:
+    """Slices with the counts of their words (words) and pairs (a); h holds the
+    deleted tokens as cells of EM: (cell, count)."""
+
+    def whole(r, rest: list) -> pd.DataFrame:
+        words, code = np.frombuffer(r.words, np.uint64), wide(r.code, r.size)
+        counts = []
+        for first, keys, which, order in asked(words, code, parts):
+            mine = [x for x in rest if first <= x.part < first + parts]
+            cut = np.bincount(part_of(keys, parts), minlength=parts)
+            a, h = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            a[order] = np.concatenate([wide(x.a, cut[x.part - first]) for x in mine])
+            h[order] = np.concatenate([wide(x.h, cut[x.part - first]) for x in mine])
+            counts.append((a, h))
+        (wa, wh), (pa, ph) = counts
+        before, pair, _ = pairs_in(code, len(words))
+        on = np.repeat(np.frombuffer(r.role, np.uint8), wide(r.n, len(r.ids))) == 2
+        cell, n = np.unique(cells(wa[before[on]], wa[code[on]], pa[pair[on]]), return_counts=True)
+        row = (r.task, r.seq, -1, list(r.ids), r.held, r.role, r.n, r.size, r.code, small(wa + wh), small(pa + ph), np.stack([cell, n]).astype(np.int64).tobytes())
+        return pd.DataFrame([row], columns=NAMES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rest = None, []
         for b in batches:
-            for a, h in zip(b["a"], b["h"]):
-                a, h = np.frombuffer(a, np.int64), np.frombuffer(h, np.int64)
-                on = a + h < least
-                n = np.bincount(bin_of(a[on]), h[on], BINS).astype(np.int64)
-                at = np.flatnonzero(n)
-                yield pd.DataFrame({"at": at, "n": n[at]})
+            for r in b.itertuples(index=False):
+                if r.part < 0:  # a slice comes before its answers
+                    if at is not None:
+                        yield whole(at, rest)
+                    at, rest = r, []
+                else:
+                    rest.append(r)
+        if at is not None:
+            yield whole(at, rest)
 
-    out = np.zeros(BINS)
-    for r in words.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
-    return out
+    own = got.where("task >= 0").withColumn("size", F.lit(0))
+    every = found.unionByName(own, allowMissingColumns=True).select(*NAMES)
+    dealt = every.repartition(parts, "task", "seq").sortWithinPartitions("task", "seq", "part")
+    return saved(dealt.mapInPandas(run, SLICES), "lm-known", AT_ONCE)
 
 
 def expectation_maximisation(bucket, weight, shares, steps: int = 60) -> np.ndarray:
@@ -322,32 +288,25 @@ def expectation_maximisation(bucket, weight, shares, steps: int = 60) -> np.ndar
     return mix
 
 
-def learn(docs: DataFrame, parts: int) -> tuple[dict, DataFrame]:
-    words = count_words(docs, parts)
-    n, v, na, va = totals(words)
-    keys, a, h = frequent(words, n / HOT)
-    bucket = bucket_of(a)  # the deleted documents see the counts of the rest
-    hot = {"keys": keys, "a": a, "bucket": bucket}
-    blocks, grid = count_pairs(docs, hot, parts)
-    pairs, pa, ph = frequent(blocks, n / PAIRS)
-    m = max(len(keys), 1)
-    context, word = np.divmod(pairs.view(np.int64), m)
-    # what the pairs kept explain, and the rest by bin of the word
-    grid = grid.astype(float)
-    np.subtract.at(grid, (bucket[context], bin_of(a[word])), ph)
-    rare = rare_bins(words, n / HOT)
-    grid[:, : BINS - 1] += np.outer(grid[:, BINS - 1], rare[: BINS - 1] / max(rare.sum(), 1))
-    grid[:, BINS - 1] = 0
-    gb, gw = np.nonzero(grid > 0)
-    events = np.r_[bucket[context], gb]
-    weight = np.r_[ph, grid[gb, gw]]
-    one = np.r_[a[word], bin_count(gw)] / max(na, 1)
-    two = np.r_[pa / np.maximum(a[context], 1), np.zeros(len(gb))]
-    mix = expectation_maximisation(events, weight, np.stack([np.full(len(one), 1 / (va + 1)), one, two], 1))
-    model = {
-        "keys": keys, "bucket": bucket_of(a + h), "count": a + h, "pairs": pairs.view(np.int64), "pair_count": pa + ph, "mix": mix, "n": n, "v": v,
-    }
-    return model, words
+def learn(known: DataFrame, got: DataFrame) -> dict:
+    sums = got.where("task < 0").select("a").mapInPandas(
+        lambda batches: (pd.DataFrame([np.frombuffer(x, np.int64) for x in b["a"]], columns=["n", "v", "na", "va"]) for b in batches), "n long, v long, na long, va long"
+    )
+    r = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "na", "va"))).first()
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x in b["h"]:
+                cell, n = np.frombuffer(x, np.int64).reshape(2, -1)
+                yield pd.DataFrame({"cell": cell, "n": n})
+
+    # cells are bins, so they don't grow with the corpus
+    rows = known.select("h").mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cell, weight = np.array([x["cell"] for x in rows], np.int64), np.array([x["n"] for x in rows], float)
+    bucket, word, share = cell // BINS**2, cell // BINS % BINS, cell % BINS
+    two = np.where(share > 0, 2.0 ** ((1 - share) / 8), 0.0)
+    shares = np.stack([np.full(len(cell), 1 / (r["va"] + 1)), bin_count(word) / max(r["na"], 1), two], 1)
+    return {"mix": expectation_maximisation(bucket, weight, shares), "n": r["n"], "v": r["v"]}
 
 
 def log_shares(model: dict, bucket: np.ndarray, count: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -361,94 +320,37 @@ def log_base(model: dict, count: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, part_bytes: float = PART_BYTES) -> DataFrame:
-    docs = roles(docs)
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     parts = parts_for(docs, part_bytes)
-    model, words = learn(docs, parts)
-    shared = spark.sparkContext.broadcast(model)
-    names = ["kind", "task", "seq", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "part", "keys", "code", "row", "bucket"]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        reader, task, seq = Reader(m), TaskContext.get().partitionId(), 0
-        size = max(len(m["keys"]), 1)
-        for b in batches:
-            held = b["held_out"].to_numpy()
-            ids = b["doc_id"].tolist()
-            for lo, hi, doc, word, index, before, bucket in reader(b["text"].tolist()):
-                on = index >= 0
-                count = m["count"][index[on]] if len(m["count"]) else np.zeros(0, np.int64)
-                pair = find(m["pairs"], np.where(before[on] >= 0, before[on] * size + index[on], -1))
-                seen = pair >= 0
-                two = np.zeros(len(pair))
-                two[seen] = m["pair_count"][pair[seen]] / m["count"][before[on][seen]]
-                of = doc[on]
-                sums = [np.bincount(of, x, hi - lo) for x in (log_base(m, count), log_shares(m, bucket[on], count, two))]
-                known, n = np.bincount(of, minlength=hi - lo), np.bincount(doc, minlength=hi - lo)
-                rows = [
-                    (0, task, seq + i, ids[lo + i], bool(held[lo + i]), int(n[i]), int(known[i]), float(sums[0][i]), float(sums[1][i]), None, None, None, None, None)
-                    for i in range(hi - lo)
-                ]
-                rest, where = word[~on], doc[~on].astype(np.int32)
-                part = part_of(rest, parts)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1))
-                bucket = bucket[~on].astype(np.uint8)
-                for p in range(parts):
-                    s = order[cut[p] : cut[p + 1]]
-                    if len(s):
-                        code, one = distinct(rest[s])
-                        rows.append((2, task, seq, None, None, None, None, None, None, p, rest[s][one].tobytes(), code.astype(np.int32).tobytes(), where[s].tobytes(), bucket[s].tobytes()))
-                seq += hi - lo
-                yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    schema = f"kind int, task int, seq long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, part int, keys binary, code binary, row binary, bucket binary"
-    got = saved(docs.mapInPandas(read, schema), "lm-read", TEXTS // 4)
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, at, keys, count = shared.value, None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = slices(roles(docs))
+    got = answers(asks(found, parts), parts)
+    known = joined(found, got, parts)
+    model = learn(known, got)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                if r.kind == 1:  # a part's counts come first
-                    at, keys = r.part, np.frombuffer(r.keys, np.uint64)
-                    count = np.frombuffer(r.code, np.int64) + np.frombuffer(r.row, np.int64)
-                    continue
-                if at != r.part:
-                    at, keys, count = r.part, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                place = find(keys, np.frombuffer(r.keys, np.uint64))
-                c = np.append(count, 0)[place][np.frombuffer(r.code, np.int32)]
-                row, bucket = np.frombuffer(r.row, np.int32), np.frombuffer(r.bucket, np.uint8)
-                docs = np.unique(row)
-                put = np.searchsorted(docs, row)
+                code, n = wide(r.code, r.size), wide(r.n, len(r.ids))
+                size = int(code.max()) + 1
+                before, pair, one = pairs_in(code, size)
+                word, joint = wide(r.words, size), wide(r.a, len(one))
+                context, last = word[before[one]], word[code[one]]
+                share = log_shares(model, bucket_of(context), last, joint / np.maximum(context, 1))
+                doc = np.repeat(np.arange(len(n)), n)
                 yield pd.DataFrame(
                     {
-                        "task": np.full(len(docs), r.task, np.int32),
-                        "seq": r.seq + docs.astype(np.int64),
-                        "n_known": np.bincount(put, c > 0).astype(np.int64),
-                        "base": np.bincount(put, log_base(m, c)),
-                        "score": np.bincount(put, log_shares(m, bucket.astype(np.int64), c, np.zeros(len(c)))),
+                        "doc_id": list(r.ids),
+                        "held_out": np.frombuffer(r.held, np.uint8) > 0,
+                        "n_tokens": n,
+                        "n_known": np.bincount(doc, word[code] > 0, len(n)).astype(np.int64),
+                        "base_score": np.bincount(doc, log_base(model, word)[code], len(n)),
+                        "score": np.bincount(doc, share[pair], len(n)),
                     }
                 )
 
-    blocks = words.select("kind", "part", F.lit(-1).alias("task"), F.lit(-1).cast("long").alias("seq"), "keys", F.col("a").alias("code"), F.col("h").alias("row"), F.lit(None).cast("binary").alias("bucket"))
-    blocks = blocks.unionByName(got.where("kind = 2").select("kind", "part", "task", "seq", "keys", "code", "row", "bucket"))
-    dealt = blocks.repartition(parts, "part").sortWithinPartitions("part", "kind")
-    sums = saved(dealt.mapInPandas(look, "task int, seq long, n_known long, base double, score double"), "lm-sums", AT_ONCE)
-    own = got.where("kind = 0")
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    every = own.select("task", "seq", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").unionByName(
-        sums.select("task", "seq", none("doc_id", kind), none("held_out", "boolean"), none("n_tokens", "long"), "n_known", "base", "score")
-    )
-    one = every.groupBy("task", "seq").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    )
-    return one.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score"
+    out = saved(known.mapInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "lm-scores", AT_ONCE)
+    return out.select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 

@@ -364,6 +364,32 @@ def test_language_model(spark, odd):
         assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score <= 0 for r in got)
 
 
+def test_language_model_counts_every_pair(spark, monkeypatch):
+    for bound in ("HOT", "PAIRS"):  # such bounds once left out rarer words and pairs
+        monkeypatch.setattr(lm, bound, 50, raising=False)
+    mixes, learn = [], lm.expectation_maximisation
+    monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: mixes.append(learn(*a)) or mixes[-1])
+    rng = random.Random(22)
+    common, couples = words(rng, 40).split(), [words(rng, 2) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(couples) if rng.random() < 0.3 else rng.choice(common) for _ in range(40)), "en", "a", 0) for i in range(150)]
+    rows += [(900, None, "en", "a", 0), (901, "never seen words", "en", "a", 0), (None, rows[0][1], "en", "a", 0)]
+    got = lm.score(spark.createDataFrame(rows, DOCS).repartition(3).select("doc_id", "text"), part_bytes=2000).collect()
+    word, pair = collections.Counter(), collections.Counter()
+    tokens = [[None, *(t or "").split(), None] for _, t, *_ in rows]
+    for (i, *_), w in zip(rows, tokens):
+        if fold(i, 7) != 2:
+            word.update(w[1:])
+            pair.update(zip(w, w[1:]))
+    n, v = sum(word.values()), len(word)
+    want = {}
+    for (i, *_), w in zip(rows, tokens):
+        want[i] = 0
+        for h, x in zip(w, w[1:]):
+            mix = mixes[0][min(1 + int(math.log2(word[h])), lm.BUCKETS - 1) if word[h] else 0]
+            want[i] += math.log10(mix[0] / (v + 1) + mix[1] * word[x] / n + mix[2] * (pair[h, x] / word[h] if word[h] else 0))
+    assert {r.doc_id: round(r.score, 6) for r in got} == {i: round(s, 6) for i, s in want.items()}
+
+
 def test_mixing_budgets(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     got = mixing.mix(docs, rows_per_range=2).collect()
