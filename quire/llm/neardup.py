@@ -67,7 +67,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(doc: np.ndarray, word: np.ndarray, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different shingles of each document: (document, hash, count)."""
     n = len(word)
     if not n:
@@ -77,10 +77,10 @@ def shingles(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     place = np.arange(n) - np.repeat(first, size)
     left = np.repeat(size, size) - place  # words from here on
     h = np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
+    for j in range(words):
         own = word[j:] * np.uint64(_ODD[j])
         h[: n - j] += np.where(left[: n - j] > j, own, np.uint64(j + 1))
-    keep = (left >= SHINGLE) | (place == 0)
+    keep = (left >= words) | (place == 0)
     doc, h = doc[keep], mix64(h[keep])
     code, one = distinct(mix64(h + doc.astype(np.uint64) * np.uint64(_ODD[0])))
     return doc[one], h[one], np.bincount(code, minlength=len(one))

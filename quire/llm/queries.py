@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, chat, langid, lm, mixing, neardup, packing, suffix, topk, toxicity
+from quire.llm import ann, centroids, chat, langid, lm, mixing, neardup, ngramjoin, packing, suffix, topk, toxicity, variants
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_language_model": lm.op8_language_model,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_nearest": ann.op10_nearest,
+    "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_ngram_join": ngramjoin.op12_ngram_join,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLE = {
     "op2_exact_top": topk.ORACLE,
     "op6_chat_perspectives": chat.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
+    "op12_ngram_join": ngramjoin.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
