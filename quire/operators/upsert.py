@@ -27,11 +27,13 @@ def _pick(rows: DataFrame, key: Column, fields: Sequence[str]) -> DataFrame:
     return rows.groupBy("doi").agg(best).select("doi", *[F.col(f"_best.{c}").alias(c) for c in fields if c != "doi"])
 
 
-def dedup_latest(batch: DataFrame, order_col: str = "arrival") -> DataFrame:
+def dedup_latest(batch: DataFrame, order_col: str = "arrival", page_col: str | None = None) -> DataFrame:
     """Highest integer version per DOI; equal versions keep the earliest
-    arrival. Category is normalised as it is written."""
+    arrival. Of records that came in pages, the last page with a DOI wins,
+    whatever its version. Category is normalised as it is written."""
     fields = [c for c in S.PAPER_FIELDS]
-    key = F.struct(version_int(F.col("version")).alias("v"), (-F.col(order_col)).alias("a"))
+    page = [F.col(page_col).alias("p")] if page_col else []
+    key = F.struct(*page, version_int(F.col("version")).alias("v"), (-F.col(order_col)).alias("a"))
     picked = _pick(batch, key, fields)
     return picked.select(*[norm_category(F.col(c)).alias(c) if c == "category" else F.col(c) for c in S.PAPER_FIELDS])
 

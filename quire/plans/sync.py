@@ -11,6 +11,7 @@ with the key (window, server, cursor, version, -index).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,19 +95,41 @@ def delta_sync(target: DataFrame, records: DataFrame, state: DataFrame, today: s
 
 # -- synchronising a stored catalogue ----------------------------------------------
 
-# records of a window of dates, both inclusive: paper fields and ``arrival``
+# records of a window of dates, both inclusive: paper fields and ``arrival``, or,
+# as the catalogue delivers them, ``cursor`` and ``idx`` (page and place in it)
 Fetch = Callable[[str, str], DataFrame]
 
-
-def run_bulk(store: Store, fetch: Fetch, today: str) -> int:
-    """Commit window after window, each with its cursor, from the resume point;
-    then set the last sync date and clear the cursor. A failing window leaves
-    the earlier ones in, and the next run goes on after them."""
-    cursor = store.state().get(S.STATE_BULK_CURSOR)
-    count = 0
-    for w in window_plan(store.spark, today, cursor).orderBy("w").collect():  # one row a window
-        count += store.commit(fetch(w.window_start, w.window_end), state={S.STATE_BULK_CURSOR: w.window_end})
-    store.commit(None, state={S.STATE_LAST_SYNC: today, S.STATE_BULK_CURSOR: None})
+SIDE_BY_SIDE = 4  # windows prepared at a time
+
+
+def arrivals(records: DataFrame) -> DataFrame:
+    """Records of one window with the order of their pages (server, cursor) and
+    of arrival in a page; records without pages are one page."""
+    if "cursor" not in records.columns:
+        return records
+    page = F.struct(server_rank(F.col("server")).alias("s"), F.col("cursor").cast("long").alias("c"))
+    return records.select(*S.PAPER_FIELDS, page.alias("page"), F.col("idx").cast("long").alias("arrival"))
+
+
+def run_bulk(store: Store, fetch: Fetch, today: str, side_by_side: int = SIDE_BY_SIDE) -> int:
+    """Every window from the resume point; then set the last sync date and clear
+    the cursor. Windows are written side by side as prepared segments and
+    published in order, each with its cursor. A failing window leaves the
+    earlier ones in, later ones are dropped, and the next run goes on after
+    what is in."""
+    windows = window_plan(store.spark, today, store.state().get(S.STATE_BULK_CURSOR)).orderBy("w").collect()  # one row a window
+    count, done = 0, 0
+    with ThreadPoolExecutor(max_workers=side_by_side) as pool:
+        work = [pool.submit(lambda w=w: store.prepare(arrivals(fetch(w.window_start, w.window_end)))) for w in windows]
+        try:
+            for w, prepared in zip(windows, work):
+                count += store.publish(prepared.result(), state={S.STATE_BULK_CURSOR: w.window_end})
+                done += 1
+        finally:
+            for late in work[done:]:
+                if not late.cancel() and late.exception() is None and late.result().name:
+                    store.discard(late.result())
+    store.publish(None, state={S.STATE_LAST_SYNC: today, S.STATE_BULK_CURSOR: None})
     return count
 
 
@@ -115,7 +138,7 @@ def run_delta(store: Store, fetch: Fetch, today: str) -> int:
     last = store.state().get(S.STATE_LAST_SYNC)
     if not last:
         return run_bulk(store, fetch, today)
-    return store.commit(fetch(last, today), state={S.STATE_LAST_SYNC: today})
+    return store.commit(arrivals(fetch(last, today)), state={S.STATE_LAST_SYNC: today})
 
 
 def auto_sync(store: Store, fetch: Fetch, today: str) -> dict[str, object]:

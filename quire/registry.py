@@ -371,6 +371,8 @@ def q_paper_count(spark, sf_dir):
 from quire.operators import upsert as U  # noqa: E402
 from quire.operators.order import positions  # noqa: E402
 from quire.plans import sync as SY  # noqa: E402
+from quire.session import materialize, new_table_path  # noqa: E402
+from quire.sources.store import Store  # noqa: E402
 
 # Sync runs over the paper view use this as "today".
 TODAY = "2024-12-31"
@@ -480,14 +482,17 @@ RESUME_CURSOR = "2024-03-31"
     f"FROM ({O.PAPER_VIEW}) WHERE date >= '2024-04-01' AND date <= '{TODAY}'",
 )
 def q_bulk_sync_result(spark, sf_dir):
-    """Resumed bulk run: the cursor says everything up to RESUME_CURSOR is in."""
-    state = U.state_set(U.empty_state(spark), S.STATE_BULK_CURSOR, RESUME_CURSOR)
-    recs = api_records(paper_view(spark, sf_dir), TODAY, RESUME_CURSOR)
-    table, new_state, _ = SY.bulk_sync(papers(spark, sf_dir).limit(0), recs, state, TODAY)
-    return table.agg(
+    """Resumed bulk run into a store: the cursor says everything up to
+    RESUME_CURSOR is in."""
+    store = Store(spark, new_table_path(spark, "bulk-store"))
+    store.publish(None, state={S.STATE_BULK_CURSOR: RESUME_CURSOR})
+    recs = materialize(api_records(paper_view(spark, sf_dir), TODAY, RESUME_CURSOR), "bulk-records")
+    SY.run_bulk(store, lambda start, end: recs.where(F.col("date").between(start, end)), TODAY)
+    state = store.state()
+    return store.papers().agg(
         F.count(F.lit(1)).alias("paper_count"),
-        U.state_value(new_state, S.STATE_LAST_SYNC).alias("last_sync_date"),
-        U.state_value(new_state, S.STATE_BULK_CURSOR).alias("bulk_sync_cursor"),
+        F.lit(state.get(S.STATE_LAST_SYNC)).cast("string").alias("last_sync_date"),
+        F.lit(state.get(S.STATE_BULK_CURSOR)).cast("string").alias("bulk_sync_cursor"),
     )
 
 
@@ -506,14 +511,16 @@ UNION ALL SELECT doi, title, version, date, lower(trim(category)) FROM pick
 
 @register("delta_upsert", _DELTA_SQL)
 def q_delta_upsert(spark, sf_dir):
-    state = U.state_set(U.empty_state(spark), S.STATE_LAST_SYNC, LAST_SYNC)
+    """Delta run into a store that holds the paper table."""
+    store = Store(spark, new_table_path(spark, "delta-store"))
+    store.commit(papers(spark, sf_dir).withColumn("arrival", F.lit(0)), state={S.STATE_LAST_SYNC: LAST_SYNC})
     b = colliding_batch(spark, sf_dir).where((F.col("date") >= LAST_SYNC) & (F.col("date") <= TODAY))
     recs = positions(b.withColumn("w", F.lit(0)), ["server"], ["arrival", "doi"], "p")
     recs = recs.withColumn("cursor", (F.floor(F.col("p") / S.PAGE_SIZE) * S.PAGE_SIZE).cast("int")).withColumn(
         "idx", (F.col("p") % S.PAGE_SIZE).cast("int")
     )
-    table, _, _ = SY.delta_sync(papers(spark, sf_dir), recs, state, TODAY)
-    return table.select("doi", "title", "version", "date", "category")
+    SY.run_delta(store, lambda start, end: recs, TODAY)
+    return store.papers().select("doi", "title", "version", "date", "category")
 
 
 # -- thesaurus, saved queries ---------------------------------------------------------

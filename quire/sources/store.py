@@ -1,23 +1,32 @@
 """The stored catalogue: papers, their index and the sync state in segments.
 
-A commit appends a segment (papers, postings, document lengths, and changes of
-the term statistics) under new names and then writes the next version file,
-which lists the segments in order, the batches they hold and the state. A
-version is made visible by one rename; readers use the highest one. So a batch
-that dies half way leaves files nobody lists, and a replay of a batch that a
-version already holds is skipped.
-
-A paper lives in the last segment that has its DOI. What a newer segment
-replaces is found by an anti-join against the DOIs of the newer segments, which
-are small beside the first one; after ``MAX_SEGMENTS`` commits the live rows
-are written as one segment. All tables are spread by their sizes, never by a
-fixed number of buckets.
+A commit prepares a segment under a new name (papers, document lengths, postings,
+a forward index from DOI to its tokens, and term statistics), finds what it
+replaces, and then writes the next version file, which lists the segments in
+order, the batches they hold and the state. A version is made visible by one
+rename; readers use the highest one. So a batch that dies half way leaves files
+nobody lists, and a replay of a batch that a version already holds is skipped.
+
+A paper lives in the last segment that has its DOI. At its commit a segment looks
+its DOIs up in the forward index of the older ones, which is sorted by DOI and
+has bloom filters: the papers found are its ``replaced`` table, their tokens are
+taken off the term statistics, and readers anti-join older segments with the
+``replaced`` DOIs of newer ones only. No commit reads postings of the rest.
+
+Segments are merged by size: ``max_segments`` of one tier (a power of
+``max_segments`` in papers) become one segment, with the smaller ones between
+them. So a paper is written again about once a tier, never at each commit.
+Merged segments stay for ``grace`` versions, for readers that still use them.
+All tables are spread by their sizes, never by a fixed number of buckets.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,23 +36,68 @@ from quire.operators import index as IX
 from quire.operators import upsert as U
 
 MAX_SEGMENTS = 8
+GRACE = 8  # versions
+POINT_LOOKUP = 2000  # DOIs that go into a pushed-down filter
+SMALL_BATCH = 1_000_000  # DOIs (of some 50 bytes) that a lookup may broadcast
+IN_FILTER = "spark.sql.parquet.pushdown.inFilterThreshold"
+TABLES = {"papers": ["doi"], "docs": ["doi"], "forward": ["doi"], "postings": ["token", "doi", "field", "pos"]}
+
+
+@dataclass
+class Prepared:
+    """A written segment that no version lists yet, and the rows it upserts."""
+
+    name: str | None
+    rows: int
+    count: int
+
+
+def forward(postings: DataFrame) -> DataFrame:
+    """(doi, tokens): each document's tokens with their frequencies."""
+    tf = postings.repartition("doi").groupBy("doi", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.groupBy("doi").agg(F.collect_list(F.struct("token", "tf")).alias("tokens"))
+
+
+def token_stats(rows: DataFrame, sign: int) -> DataFrame:
+    """(token, df, cf) of forward rows, times ``sign``."""
+    each = rows.select(F.explode("tokens").alias("t")).groupBy("t.token")
+    return each.agg((sign * F.count(F.lit(1))).alias("df"), (sign * F.sum("t.tf")).alias("cf"))
+
+
+def due(rows: list[int], fan: int) -> int:
+    """How many of the newest segments (of ``rows`` papers, oldest first) become
+    one. Where ``fan`` segments of a tier stand behind all larger ones, they and
+    the smaller ones between them are merged, and so on with what that gives."""
+    sizes, taken = list(rows), [1] * len(rows)
+    tier = lambda n: int(math.log(max(n, 1)) / math.log(max(fan, 2)) + 1e-9)
+    merged = True
+    while merged:
+        merged = False
+        for top in sorted({tier(n) for n in sizes}):
+            run = next((i for i, n in enumerate(reversed(sizes)) if tier(n) > top), len(sizes))
+            if run > 1 and sum(tier(n) == top for n in sizes[-run:]) >= fan:
+                sizes[-run:], taken[-run:] = [sum(sizes[-run:])], [sum(taken[-run:])]
+                merged = True
+                break
+    return taken[-1] if taken and taken[-1] > 1 else 0
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, max_segments: int = MAX_SEGMENTS):
-        self.spark, self.root, self.max_segments = spark, root.rstrip("/"), max_segments
+    def __init__(self, spark: SparkSession, root: str, max_segments: int = MAX_SEGMENTS, grace: int = GRACE):
+        self.spark, self.root, self.max_segments, self.grace = spark, root.rstrip("/"), max_segments, grace
         path = spark._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # -- versions ------------------------------------------------------------------
 
     def version(self) -> dict:
-        """The newest version: number, segments, batches, state."""
+        """The newest version: number, segments (name, rows, replaced), batches,
+        sources, state, retired."""
         folder = self._path(f"{self.root}/versions")
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
         numbers = [int(n) for n in names if n.isdigit()]
         if not numbers:
-            return {"number": 0, "segments": [], "batches": [], "state": {}}
+            return {"number": 0, "segments": [], "batches": [], "sources": {}, "state": {}, "retired": []}
         text = "".join(r.value for r in self.spark.read.text(f"{self.root}/versions/{max(numbers)}").collect())
         return json.loads(text)
 
@@ -63,18 +117,20 @@ class Store:
 
     # -- tables --------------------------------------------------------------------
 
-    def _live(self, table: str, segments: list[str]) -> DataFrame:
+    def _read(self, segment: dict, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{segment['name']}/{table}")
+
+    def _live(self, table: str, segments: list[dict]) -> DataFrame:
         parts = []
         for i, s in enumerate(segments):
-            rows = self.spark.read.parquet(f"{self.root}/{s}/{table}")
-            newer = [self.spark.read.parquet(f"{self.root}/{n}/docs").select("doi") for n in segments[i + 1 :]]
-            for n in newer:
-                rows = rows.join(n, "doi", "left_anti")
-            parts.append(rows)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            rows = self._read(s, table)
+            newer = [f"{self.root}/{n['name']}/replaced" for n in segments[i + 1 :] if n["replaced"]]
+            parts.append(rows.join(self.spark.read.parquet(*newer), "doi", "left_anti") if newer else rows)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _terms(self, segments: list[dict]) -> DataFrame:
+        changes = self.spark.read.parquet(*[f"{self.root}/{s['name']}/terms" for s in segments])
+        return changes.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
     def papers(self) -> DataFrame:
         segments = self.version()["segments"]
@@ -86,46 +142,128 @@ class Store:
         if not segments:
             return IX.Index.build(self.papers())
         docs = self._live("docs", segments)
-        changes = self.spark.read.parquet(*[f"{self.root}/{s}/terms" for s in segments])
-        terms = changes.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
-        return IX.Index(self._live("postings", segments), docs, terms, IX.corpus_stats(docs))
+        return IX.Index(self._live("postings", segments), docs, self._terms(segments).where("df > 0"), IX.corpus_stats(docs))
 
     # -- writing -------------------------------------------------------------------
 
-    def _write(self, papers: DataFrame, replaced: DataFrame | None) -> str:
-        """A segment of ``papers``; ``replaced`` are the live postings it takes
-        the place of."""
+    def _save(self, rows: DataFrame, name: str, table: str) -> DataFrame:
+        """Sorted by the table's key in ranges of it, so lookups skip files."""
+        key, path = TABLES[table], f"{self.root}/{name}/{table}"
+        rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+        rows.write.option("parquet.bloom.filter.enabled#doi", "true").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def discard(self, new: Prepared) -> None:
+        """Remove a prepared segment that is not going to be published."""
+        if new.name:
+            self._drop(new.name)
+
+    def prepare(self, batch: DataFrame) -> Prepared:
+        """Write the segment of ``batch`` (paper fields, ``arrival`` and, for
+        records that came in pages, ``page``). Nothing lists it before
+        ``publish``, so several can be prepared at once."""
+        paged = "page" in batch.columns
+        name = f"segment-{uuid.uuid4().hex[:12]}"
+        papers = self._save(U.dedup_latest(batch, page_col="page" if paged else None).select(*S.PAPER_FIELDS), name, "papers")
+        rows = papers.count()
+        if not rows:
+            self._drop(name)
+            return Prepared(None, 0, 0)
+        self._save(IX.doc_lengths(papers), name, "docs")
+        postings = self._save(IX.build_postings(papers), name, "postings")
+        tokens = self._save(forward(postings), name, "forward")
+        token_stats(tokens, 1).write.parquet(f"{self.root}/{name}/terms")
+        return Prepared(name, rows, batch.select("page", "doi").distinct().count() if paged else rows)
+
+    def replaced(self, segments: list[dict], dois: DataFrame, n: int) -> DataFrame:
+        """(doi, tokens) of the live papers among ``dois`` (n of them)."""
+        parts = []
+        wanted = [r.doi for r in dois.collect()] if n <= POINT_LOOKUP else None
+        for i, s in enumerate(segments):
+            rows = self._read(s, "forward")
+            if wanted is not None:
+                rows = rows.where(F.col("doi").isin(wanted))
+            else:
+                rows = rows.join(F.broadcast(dois) if n <= SMALL_BATCH else dois, "doi", "left_semi")
+            parts.append(rows.withColumn("i", F.lit(i)))
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.groupBy("doi").agg(F.max_by("tokens", "i").alias("tokens"))
+
+    def _replace(self, segments: list[dict], new: Prepared) -> dict:
+        """The entry of a prepared segment behind ``segments``; its lost term
+        counts and replaced DOIs are written."""
+        at, count = f"{self.root}/{new.name}", 0
+        if segments:
+            own = self.spark.conf.get(IN_FILTER)
+            self.spark.conf.set(IN_FILTER, str(POINT_LOOKUP))
+            try:
+                found = self.replaced(segments, self.spark.read.parquet(f"{at}/docs").select("doi"), new.rows)
+                found.write.parquet(f"{at}/lost")
+            finally:
+                self.spark.conf.set(IN_FILTER, own)
+            lost = self.spark.read.parquet(f"{at}/lost")
+            count = lost.count()
+            if count:
+                token_stats(lost, -1).write.mode("append").parquet(f"{at}/terms")
+                lost.select("doi").write.parquet(f"{at}/replaced")
+        return {"name": new.name, "rows": new.rows, "replaced": count}
+
+    def _merge(self, run: list[dict], first: bool) -> dict:
+        """One segment of the live rows of ``run``; ``first``: nothing is older."""
         name = f"segment-{uuid.uuid4().hex[:12]}"
-        at = f"{self.root}/{name}"
-        papers.select(*S.PAPER_FIELDS).sortWithinPartitions("doi").write.parquet(f"{at}/papers")
-        papers = self.spark.read.parquet(f"{at}/papers")
-        IX.doc_lengths(papers).write.parquet(f"{at}/docs")
-        postings = IX.build_postings(papers).repartitionByRange("token", "doi")
-        postings.sortWithinPartitions("token", "doi", "field", "pos").write.parquet(f"{at}/postings")
-        terms = IX.term_stats(self.spark.read.parquet(f"{at}/postings")).select("token", "df", "cf")
-        if replaced is not None:
-            gone = replaced.join(papers.select("doi"), "doi", "left_semi")
-            lost = IX.term_stats(gone).select("token", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
-            terms = terms.unionByName(lost)
-        terms.write.parquet(f"{at}/terms")
-        return name
-
-    def commit(self, batch: DataFrame | None, batch_id: str | None = None, state: dict[str, str | None] | None = None) -> int:
-        """Upsert ``batch`` (paper fields and ``arrival``) and set ``state``
-        (None deletes a key) in one version; returns the rows written."""
+        for table in TABLES:
+            self._save(self._live(table, run), name, table)
+        terms, newer = self._terms(run), [f"{self.root}/{s['name']}/replaced" for s in run if s["replaced"]]
+        (terms.where("df > 0") if first else terms.where("df <> 0 or cf <> 0")).write.parquet(f"{self.root}/{name}/terms")
+        gone = 0
+        if newer and not first:
+            gone = sum(s["replaced"] for s in run)
+            self.spark.read.parquet(*newer).distinct().write.parquet(f"{self.root}/{name}/replaced")
+        return {"name": name, "rows": self._read({"name": name}, "docs").count(), "replaced": gone}
+
+    def holds(self, version: dict, batch_id: str | None, source: tuple[str, int] | None) -> bool:
+        return batch_id in version["batches"] or (source is not None and source[1] <= version["sources"].get(source[0], -1))
+
+    def publish(
+        self, new: Prepared | None, batch_id: str | None = None, state: dict[str, str | None] | None = None, source: tuple[str, int] | None = None
+    ) -> int:
+        """List a prepared segment, and set ``state`` (None deletes a key), in
+        one version; returns the rows upserted. ``batch_id`` or ``source`` (the
+        name of a stream and its number in it) is recorded against replays."""
         now = self.version()
-        if batch_id is not None and batch_id in now["batches"]:
+        if self.holds(now, batch_id, source):
             return 0
-        segments, count = list(now["segments"]), 0
-        if batch is not None:
-            incoming = U.dedup_latest(batch)
-            name = self._write(incoming, self._live("postings", segments) if segments else None)
-            count = self.spark.read.parquet(f"{self.root}/{name}/docs").count()
-            if count:
-                segments.append(name)
-        if len(segments) > self.max_segments:
-            segments = [self._write(self._live("papers", segments), None)]
-        kept = {k: v for k, v in (now["state"] | (state or {})).items() if v is not None}
-        batches = now["batches"] + ([batch_id] if batch_id is not None else [])
-        self._publish(now | {"segments": segments, "batches": batches[-1000:], "state": kept})
-        return count
+        segments, retired = list(now["segments"]), list(now["retired"])
+        if new is not None and new.name:
+            segments.append(self._replace(segments, new))
+        run = due([s["rows"] for s in segments], self.max_segments)
+        if run:
+            kept, old = segments[:-run], segments[-run:]
+            segments = [*kept, self._merge(old, not kept)]
+            retired += [[s["name"], now["number"] + 1] for s in old]
+        drop = [name for name, at in retired if at + self.grace <= now["number"] + 1]
+        self._publish(
+            now
+            | {
+                "segments": segments,
+                "batches": now["batches"] + ([batch_id] if batch_id is not None else []),
+                "sources": now["sources"] | ({source[0]: source[1]} if source else {}),
+                "state": {k: v for k, v in (now["state"] | (state or {})).items() if v is not None},
+                "retired": [r for r in retired if r[0] not in drop],
+            }
+        )
+        for name in drop:
+            self._drop(name)
+        return new.count if new is not None else 0
+
+    def commit(
+        self, batch: DataFrame | None, batch_id: str | None = None, state: dict[str, str | None] | None = None, source: tuple[str, int] | None = None
+    ) -> int:
+        """Upsert ``batch`` and set ``state`` in one version; returns the rows
+        upserted (0 for a batch that the store already holds)."""
+        if self.holds(self.version(), batch_id, source):
+            return 0
+        return self.publish(self.prepare(batch) if batch is not None else None, batch_id, state, source)
