@@ -241,11 +241,12 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     roots = components(edges)
 
     def join(pairs: DataFrame) -> DataFrame:
-        nonlocal edges, roots
+        """The roots with the links among ``pairs``. Known components go in as
+        stars, so only what new links connect takes further rounds."""
+        nonlocal roots
         new = links(pairs, nodes, cut, percent)
         if new.limit(1).count():
-            edges = saved(edges.unionByName(new).distinct(), "ngram-edges")
-            roots = components(edges)
+            roots = components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(new))
         return roots
 
     known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
