@@ -36,9 +36,11 @@ def accent_map() -> tuple[str, str]:
 
 
 def fold(col: Column) -> Column:
-    """Lower-case and strip accents."""
+    """Lower-case and strip accents (texts of one byte a character have none)."""
     src, dst = accent_map()
-    return F.regexp_replace(F.translate(F.lower(col), src, dst), MARKS, "")
+    low = F.lower(col)
+    plain = F.octet_length(low) == F.char_length(low)
+    return F.when(plain, low).otherwise(F.regexp_replace(F.translate(low, src, dst), MARKS, ""))
 
 
 def tokens(col: Column) -> Column:

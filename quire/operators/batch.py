@@ -5,25 +5,32 @@ and expansion, matching, ranking and the per-query top-k are all DataFrame
 operations; no query is looped over on the driver.
 
 * words: blank-separated, punctuation removed, hyphen compounds as phrases;
-* mode: a quote or an upper-case operator word (AND/OR/NOT) needs the
-  operator syntax of the single-query path and is reported as such; a word
-  that is an operator only in lower case turns expansion off (every word is
-  then a plain clause), otherwise words are grouped into thesaurus phrases
-  and each clause is the term OR its synonyms;
+* mode: a quote or an upper-case operator word (AND/OR/NOT) means operator
+  syntax; a word that is an operator only in lower case turns expansion off
+  (every word is then a plain clause), otherwise words are grouped into
+  thesaurus phrases and each clause is the term OR its synonyms;
 * clauses -> alternatives -> phrases (token arrays, last token may be a
-  prefix); each distinct phrase is evaluated once for all queries.
+  prefix); each distinct phrase is evaluated once for all queries;
+* every query, of words or of operator syntax, becomes a row with a small
+  program in postfix order over its phrases. Folds over it tell which phrases
+  drive the query and whether a document matches.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import schema as S
 from quire.functions.text import tokens
 from quire.operators import thesaurus as TH
 from quire.operators.index import Index
-from quire.plans.query import OPERATOR_WORDS
+from quire.operators.match import near_hits
+from quire.plans.query import OPERATOR_WORDS, QueryError, Rows, phrase_key, rows_of
 from quire.session import materialize
 
 SPLIT_BLANKS = r"[\t\n\x0B\f\r ]+"
@@ -44,11 +51,10 @@ def search_words(text: Column) -> Column:
     return F.flatten(F.transform(raws, one))
 
 
-def prepare(queries: DataFrame) -> DataFrame:
-    """(qid, mode, wpos, word): ``mode`` is 'keyword', 'plain' (expansion
-    off) or 'operator' (needs the single-query path), 'empty' when no word
-    survives."""
-    words = queries.select("qid", "text", search_words(F.col("text")).alias("words"))
+def read(queries: DataFrame) -> DataFrame:
+    """(qid, text, words, mode) of every query."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    words = queries.select("qid", text, search_words(text).alias("words"))
     plain = F.filter("words", lambda w: ~w.startswith('"'))
     has_upper_op = F.exists(plain, lambda w: w.isin(*OPERATOR_WORDS[:3]))
     has_lower_op = F.exists(plain, lambda w: F.upper(w).isin(*OPERATOR_WORDS))
@@ -58,8 +64,42 @@ def prepare(queries: DataFrame) -> DataFrame:
         .when(has_lower_op, "plain")
         .otherwise("keyword")
     )
-    out = words.select("qid", mode.alias("mode"), F.posexplode_outer("words").alias("wpos", "word"))
-    return out
+    return words.withColumn("mode", mode)
+
+
+def prepare(queries: DataFrame) -> DataFrame:
+    """(qid, mode, wpos, word): ``mode`` is 'keyword', 'plain' (expansion
+    off), 'operator' (operator syntax) or 'empty' when no word survives."""
+    return read(queries).select("qid", "mode", F.posexplode_outer("words").alias("wpos", "word"))
+
+
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_TEXT, _INT, _FLAG = T.StringType(), T.IntegerType(), T.BooleanType()
+_ROWS = _struct(
+    error=_FLAG,
+    program=T.ArrayType(_struct(op=_TEXT, arg=_INT)),
+    slots=T.ArrayType(_struct(slot=_INT, key=_TEXT, df_key=_TEXT, scored=_FLAG)),
+    phrases=T.ArrayType(_struct(key=_TEXT, toks=T.ArrayType(_TEXT), prefix=_FLAG, fields=T.ArrayType(_INT), initial=_FLAG)),
+    nears=T.ArrayType(_struct(key=_TEXT, dist=_INT, members=T.ArrayType(_TEXT))),
+)
+
+
+@F.pandas_udf(_ROWS)
+def operator_rows(texts: pd.Series) -> pd.DataFrame:
+    """Queries in operator syntax as rows; ``error`` marks broken syntax."""
+    out = []
+    for text in texts:
+        try:
+            r, error = rows_of(text), False
+        except QueryError:
+            r, error = Rows(), True
+        phrases = [(k, list(p.tokens), p.prefix, None if p.fields is None else list(p.fields), p.initial) for k, p in r.phrases.items()]
+        nears = [(k, n.distance, [phrase_key(p) for p in n.phrases]) for k, n in r.nears.items()]
+        out.append((error, r.program, r.slots, phrases, nears))
+    return pd.DataFrame(out, columns=["error", "program", "slots", "phrases", "nears"])
 
 
 def _phrase_parts(word: Column) -> Column:
@@ -136,145 +176,181 @@ def _phrase_key(toks: Column, prefix: Column) -> Column:
     return F.concat(F.array_join(toks, " "), F.when(prefix, F.lit("*")).otherwise(F.lit("")))
 
 
-def _parts_all(clauses: DataFrame) -> DataFrame:
-    return clauses.groupBy("qid", "clause", "alt").agg(F.count_distinct("part").alias("parts_all"))
+@dataclass
+class Plans:
+    """All queries as rows: ``programs(qid, program)``, ``slots(qid, slot, key,
+    df_key, scored)``, and the different ``phrases(key, toks, prefix, fields,
+    initial)`` and ``nears(key, dist, members)`` that slots name."""
 
+    programs: DataFrame
+    slots: DataFrame
+    phrases: DataFrame
+    nears: DataFrame
 
-def _satisfied(slot: DataFrame, clauses: DataFrame) -> DataFrame:
-    """(qid, doi, clause) where some alternative has all its parts present."""
-    return (
-        slot.groupBy("qid", "doi", "clause", "alt")
-        .agg(F.count_distinct("part").alias("parts_hit"))
-        .join(_parts_all(clauses), ["qid", "clause", "alt"])
-        .where(F.col("parts_hit") == F.col("parts_all"))
-        .select("qid", "doi", "clause")
-        .distinct()
-    )
 
+_STEP = "struct<op: string, arg: int>"
 
-def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """(qid, rank, doi, score): the top ``k`` documents of every keyword query
-    by BM25 (ties: doi).
-
-    Every query is driven by its rarest clause: document frequencies come
-    first (single-token phrases from the stored term statistics, phrases and
-    prefixes from their occurrences), each query's candidates are the
-    documents satisfying its lowest-bound clause, and frequencies, clause
-    checks and scores are computed for (query, candidate) pairs only - a
-    common word shared by many queries never pairs every query with every
-    document that contains it."""
-    clauses = materialize(
-        clause_table(prepare(queries), records).withColumn("key", _phrase_key(F.col("toks"), F.col("prefix"))),
-        "batch-clauses",
-    )
-    phrases = clauses.select("key", "toks", "prefix").distinct()
-    simple = (F.size("toks") == 1) & ~F.col("prefix")
-    parts = phrases.select(
-        "key", "prefix", simple.alias("simple"), F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
+
+def _step(op: str, arg: Column) -> Column:
+    return F.struct(F.lit(op).alias("op"), arg.cast("int").alias("arg"))
+
+
+def _joined(parts: Column, op: str) -> Column:
+    """The programs ``parts`` one after the other, and ``op`` over all if there
+    are several."""
+    last = F.when(F.size(parts) > 1, F.array(_step(op, F.size(parts)))).otherwise(F.array().cast(f"array<{_STEP}>"))
+    return F.concat(F.flatten(parts), last)
+
+
+def plan(queries: DataFrame, records: DataFrame | None) -> Plans:
+    """Keyword queries are an AND over clauses of an OR over alternatives of an
+    AND over parts; operator queries are what their syntax says."""
+    order = Window.partitionBy("qid").orderBy("clause", "alt", "part")
+    clauses = clause_table(prepare(queries), records).withColumn("key", _phrase_key(F.col("toks"), F.col("prefix")))
+    clauses = materialize(clauses.withColumn("slot", F.row_number().over(order) - 1), "batch-clauses")
+    ops = read(queries).where("mode = 'operator'").select("qid", operator_rows("text").alias("p")).select("qid", "p.*")
+    ops = materialize(ops, "batch-operators")
+
+    def sorted_programs(place: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(place, "program"))), lambda x: x["program"])
+
+    steps = clauses.withColumn("program", F.array(_step("has", F.col("slot"))))
+    for by, place, op in ((["qid", "clause", "alt"], "part", "and"), (["qid", "clause"], "alt", "or"), (["qid"], "clause", "and")):
+        steps = steps.groupBy(*by).agg(sorted_programs(place).alias("parts")).withColumn("program", _joined(F.col("parts"), op))
+    programs = steps.select("qid", "program").unionByName(ops.where("size(program) > 0").select("qid", "program"))
+    slots = clauses.select("qid", "slot", "key", F.col("key").alias("df_key"), F.lit(True).alias("scored"))
+    slots = slots.unionByName(ops.select("qid", F.inline("slots")))
+    nothing = F.lit(None).cast("array<int>").alias("fields")
+    phrases = clauses.select("key", "toks", "prefix", nothing, F.lit(False).alias("initial"))
+    phrases = phrases.unionByName(ops.select(F.inline("phrases"))).dropDuplicates(["key"])
+    nears = ops.select(F.inline("nears")).dropDuplicates(["key"])
+    return Plans(*(materialize(t, f"batch-{n}") for t, n in ((programs, "programs"), (slots, "slots"), (phrases, "phrases"), (nears, "nears"))))
+
+
+def _run(program: Column, has, step, kind: str) -> Column:
+    """The value a program leaves: ``has(slot)`` is a slot's, ``step(op, values)``
+    joins the last n; values are of the type ``kind``."""
+
+    def one(stack: Column, x: Column) -> Column:
+        kept = F.size(stack) - x["arg"]
+        new = F.concat(F.slice(stack, F.lit(1), kept), F.array(step(x["op"], F.slice(stack, kept + 1, x["arg"]))))
+        return F.when(x["op"] == "has", F.concat(stack, F.array(has(x["arg"])))).otherwise(new)
+
+    return F.aggregate(program, F.array().cast(f"array<{kind}>"), one)[0]
+
+
+def holds(program: Column, hit: Column) -> Column:
+    """Whether a document that hits the slots ``hit`` matches."""
+
+    def step(op: Column, v: Column) -> Column:
+        return F.when(op == "and", ~F.array_contains(v, False)).when(op == "or", F.array_contains(v, True)).otherwise(v[0] & ~v[1])
+
+    return _run(program, lambda slot: F.array_contains(hit, slot), step, "boolean")
+
+
+def driver_slots(program: Column, df: Column) -> Column:
+    """Slots of which every match hits at least one, chosen to be rare: of an
+    AND the branch with the lowest bound, of an OR all, of a NOT the left side.
+    ``df`` maps slots to document frequencies."""
+
+    def has(slot: Column) -> Column:
+        return F.struct(F.coalesce(F.try_element_at(df, slot), F.lit(0).cast("long")).alias("b"), F.array(slot).alias("slots"))
+
+    def step(op: Column, v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x["b"])
+        both = F.struct(total.alias("b"), F.flatten(F.transform(v, lambda x: x["slots"])).alias("slots"))
+        return F.when(op == "and", F.array_min(v)).when(op == "or", both).otherwise(v[0])
+
+    return _run(program, has, step, "struct<b: bigint, slots: array<int>>")["slots"]
+
+
+def phrase_hits(idx: Index, plans: Plans) -> DataFrame:
+    """(key, doi, tf): how often each phrase, and each member of a NEAR group
+    near the others, occurs in a document; 1 for a NEAR group (``...#``) as such.
+
+    Postings are cut to the tokens of the queries by one join; a start with all
+    tokens of a phrase is an occurrence. Each phrase is evaluated once."""
+    parts = plans.phrases.select(
+        "key", "prefix", "fields", "initial", F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
     ).withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 1))
     post = idx.postings.select("token", "doi", "field", "pos")
     # The part table grows with the number of saved queries, so no broadcast
     # hint: AQE broadcasts it only when its measured size allows.
-    exact = post.join(parts.where(~F.col("is_prefix")), F.col("token") == F.col("term"))
-    pre_terms = parts.where(F.col("is_prefix")).withColumn("plen", F.length("term"))
+    hits = post.join(parts.where(~F.col("is_prefix")), F.col("token") == F.col("term"))
     # Prefixes become equi-joins on the token's leading characters, one key
     # per distinct prefix length (at most the longest word).
+    pre_terms = parts.where("is_prefix").withColumn("plen", F.length("term"))
     lengths = sorted(r[0] for r in pre_terms.select("plen").distinct().collect())
     if lengths:
-        heads = post.select(
-            "*",
-            F.explode(
-                F.array(*[F.struct(F.lit(n).alias("plen"), F.substring("token", 1, n).alias("head")) for n in lengths])
-            ).alias("h"),
-        ).where(F.length("token") >= F.col("h.plen"))
-        pre = heads.join(
-            pre_terms, (F.col("h.head") == F.col("term")) & (F.col("h.plen") == F.col("plen"))
-        ).drop("h", "plen")
-        hits = exact.unionByName(pre)
-    else:
-        hits = exact
-    hits = hits.select("doi", "field", (F.col("pos") - F.col("j")).alias("start"), "key", "k", "simple")
-    # occurrences: a single exact token is its posting; longer phrases and
-    # prefixes aggregate their tokens' start positions
-    occ_simple = hits.where("simple").select("doi", "key")
-    occ_complex = (
-        hits.where(~F.col("simple") & (F.col("start") >= 0))
-        .groupBy("doi", "field", "start", "key", "k")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") == F.col("k"))
-        .select("doi", "key")
-    )
-    occ = occ_simple.unionByName(occ_complex)
-    df_simple = (
-        phrases.where(simple)
-        .select("key", F.col("toks")[0].alias("token"))
-        .join(idx.terms.select("token", "df"), "token")
-        .select("key", "df")
-    )
-    df_complex = occ_complex.groupBy("key").agg(F.count_distinct("doi").alias("df"))
-    df = materialize(df_simple.unionByName(df_complex), "batch-df")
-    # driver clause per query: bound(alt) = min df of its parts, bound(clause)
-    # = sum over its alternatives; the smallest bound drives (ties: clause id)
-    alt_bound = (
-        clauses.join(df, "key", "left")
-        .groupBy("qid", "clause", "alt")
-        .agg(F.min(F.coalesce(F.col("df"), F.lit(0))).alias("b"))
-    )
-    clause_bound = alt_bound.groupBy("qid", "clause").agg(F.sum("b").alias("cb"))
-    w_drv = Window.partitionBy("qid").orderBy("cb", "clause")
-    driver = clause_bound.withColumn("r", F.row_number().over(w_drv)).where(F.col("r") == 1).select("qid", "clause")
-    driver_rows = clauses.join(driver, ["qid", "clause"])
-    driver_keys = driver_rows.select("key").distinct()
-    d_occ = occ.join(driver_keys, "key").select("doi", "key").distinct()
-    candidates = materialize(
-        _satisfied(driver_rows.join(d_occ, "key"), driver_rows).select("qid", "doi"), "batch-candidates"
-    )
-    cand_docs = candidates.select("doi").distinct()
-    # frequencies of every query phrase, in candidate documents only
-    tf = occ.join(cand_docs, "doi", "left_semi").groupBy("doi", "key").agg(F.count(F.lit(1)).alias("tf"))
-    slot = candidates.join(clauses, "qid").join(tf, ["doi", "key"])
-    clause_hit = _satisfied(slot, clauses).groupBy("qid", "doi").agg(F.count(F.lit(1)).alias("c_hit"))
-    n_clauses = clauses.groupBy("qid").agg(F.count_distinct("clause").alias("c_all"))
-    matched = clause_hit.join(n_clauses, "qid").where(F.col("c_hit") == F.col("c_all")).select("qid", "doi")
-    # BM25 over the query's phrase list (clause, alt, part order).
+        head = F.array(*[F.struct(F.lit(n).alias("plen"), F.substring("token", 1, n).alias("head")) for n in lengths])
+        heads = post.select("*", F.explode(head).alias("h")).where(F.length("token") >= F.col("h.plen"))
+        same = (F.col("h.head") == F.col("term")) & (F.col("h.plen") == F.col("plen"))
+        hits = hits.unionByName(heads.join(pre_terms, same).drop("h", "plen"))
+    hits = hits.withColumn("start", F.col("pos") - F.col("j"))
+    hits = hits.where((F.col("start") >= 0) & (~F.col("initial") | (F.col("start") == 0)))
+    hits = hits.where(F.col("fields").isNull() | F.array_contains("fields", F.col("field").cast("int")))
+    single = hits.where("k = 1").select("key", "doi", "field", "start", "k")
+    longer = hits.where("k > 1").groupBy("key", "doi", "field", "start", "k").agg(F.count(F.lit(1)).alias("n"))
+    occ = single.unionByName(longer.where("n = k").drop("n"))
+    tf = occ.groupBy("key", "doi").agg(F.count(F.lit(1)).alias("tf"))
+    width = plans.nears.agg(F.max(F.size("members"))).first()[0]
+    if width:
+        members = plans.nears.select(F.col("key").alias("near"), "dist", F.size("members").alias("n_members"), F.posexplode("members").alias("member", "key"))
+        inst = occ.withColumnRenamed("k", "len").join(members, "key").drop("key")
+        counts, held = near_hits(inst, width)
+        tf = tf.unionByName(counts.select(F.format_string("%s#%d", "near", "member").alias("key"), "doi", F.col("value").alias("tf")))
+        tf = tf.unionByName(held.select(F.concat("near", F.lit("#")).alias("key"), "doi", F.col("value").alias("tf")))
+    return materialize(tf, "batch-tf")
+
+
+def batch_search(idx: Index, queries: DataFrame, records: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """(qid, rank, doi, score): the top ``k`` documents of every query by BM25
+    (ties: doi). A query with broken syntax has no rows (see :func:`zero_hits`).
+
+    Each query is a program over slots (its phrases). It is driven by a rare
+    set of slots that every match hits one of; frequencies, truth and scores are
+    computed for (query, document with such a hit) pairs only - a common word
+    shared by many queries never pairs every query with every document that
+    contains it. One aggregation per pair gathers its slots, at most as many as
+    the query has; the program's value over them and the score come from it."""
+    plans = plan(queries, records)
+    tf = phrase_hits(idx, plans)
+    df = materialize(tf.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "batch-df")
+    known = plans.slots.join(df.withColumnRenamed("key", "df_key"), "df_key", "left")
+    known = known.withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    by_slot = known.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("slot", "df"))).alias("dfs"))
+    drivers = plans.programs.join(by_slot, "qid").select("qid", F.explode(driver_slots(F.col("program"), F.col("dfs"))).alias("slot"))
+    drivers = drivers.join(plans.slots, ["qid", "slot"]).select("qid", "key").distinct()
+    pairs = tf.join(drivers, "key").select("qid", "doi").distinct()
+    rows = pairs.join(known, "qid").join(tf, ["doi", "key"]).join(idx.docs.select("doi", "dl"), "doi")
     corpus = idx.corpus.select(F.struct(F.col("n_docs").cast("double").alias("n"), "avgdl").alias("c")).scalar()
     n_docs, avgdl = corpus["n"], corpus["avgdl"]
     k1, b = S.BM25_K1, S.BM25_B
-    contrib = (
-        slot.join(matched, ["qid", "doi"], "left_semi")
-        .join(df, "key")
-        .join(idx.docs.select("doi", "dl"), "doi")
-    )
     raw = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0.0, F.lit(S.IDF_FLOOR)).otherwise(raw)
     t = F.col("tf").cast("double")
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
-    contrib = contrib.select("qid", "doi", "clause", "alt", "part", (idf * ((t * (k1 + 1.0)) / (t + norm))).alias("c"))
-    scored = contrib.groupBy("qid", "doi").agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(F.struct("clause", "alt", "part", "c"))),
-            F.lit(0.0),
-            lambda acc, x: acc + x["c"],
-        ).alias("score")
-    )
+    rows = rows.select("qid", "doi", "slot", F.when(F.col("scored"), idf * ((t * (k1 + 1.0)) / (t + norm))).alias("c"))
+    found = rows.groupBy("qid", "doi").agg(F.array_sort(F.collect_list(F.struct("slot", "c"))).alias("hit"))
+    matched = found.join(plans.programs, "qid").where(holds(F.col("program"), F.col("hit.slot")))
+    score = F.aggregate("hit", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["c"], F.lit(0.0)))
+    scored = matched.select("qid", "doi", score.alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doi"))
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("qid", F.col("rank").cast("long").alias("rank"), "doi", F.round("score", 6).alias("score"))
 
 
 def zero_hits(queries: DataFrame, hits: DataFrame, papers: DataFrame) -> DataFrame:
-    """Saved queries without a result, with the corpus size searched and the
-    message a user would see. Operator-syntax queries (left to the
-    single-query search) say so instead."""
+    """Saved queries without a result: (qid, searched, reason), with the size of
+    the corpus and one of ``empty_corpus``, ``bad_syntax``, ``no_words`` and
+    ``no_match``."""
     n = papers.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    modes = prepare(queries).select("qid", "mode").distinct()
-    missing = queries.join(hits.select("qid").distinct(), "qid", "left_anti").join(modes, "qid", "left")
-    desc = F.when(F.trim(F.col("text")) != "", F.concat(F.lit("for '"), F.col("text"), F.lit("'"))).otherwise(
-        F.lit("matching those filters")
-    )
-    msg = (
-        F.when(F.col("mode") == "operator", F.lit("Operator query: run it with the single-query search."))
-        .when(n == 0, F.lit("Database is empty. Run a sync first to populate it."))
-        .otherwise(F.concat(F.lit("No results "), desc, F.lit(" (searched "), n.cast("string"), F.lit(" papers).")))
+    missing = read(queries.join(hits.select("qid").distinct(), "qid", "left_anti"))
+    broken = missing.where("mode = 'operator'").select("qid", operator_rows("text")["error"].alias("broken")).where("broken")
+    reason = (
+        F.when(n == 0, "empty_corpus")
+        .when(F.col("broken"), "bad_syntax")
+        .when(F.col("mode") == "empty", "no_words")
+        .otherwise("no_match")
     )
-    return missing.select("qid", n.alias("searched"), msg.alias("message"))
+    return missing.join(broken, "qid", "left").select("qid", n.alias("searched"), reason.alias("reason"))

@@ -10,12 +10,14 @@ Layout (all parquet, written once per build and then only read):
   the two filter columns, so ranking and filtering never touch the wide
   paper table;
 * ``terms(token, df, cf)`` - documents and occurrences per token;
-* ``corpus(n_docs, n_tokens, avgdl)`` - one row.
+* ``corpus(n_docs, n_tokens, avgdl)`` - one row;
+* ``tokens(doi, date, category, toks)`` - the tokens of every field in order,
+  written first, so that texts are tokenised once for the others.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +85,25 @@ class Index:
     docs: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    tokens: DataFrame | None = None
 
     @staticmethod
     def build(papers: DataFrame) -> Index:
         """Lazily defined index (recomputed by every action that uses it)."""
-        tok = field_tokens(papers)
+        return Index.of_tokens(field_tokens(papers))
+
+    @staticmethod
+    def of_tokens(tok: DataFrame) -> Index:
         postings = postings_from_tokens(tok)
         docs = docs_from_tokens(tok)
-        return Index(postings, docs, term_stats(postings), corpus_stats(docs))
+        return Index(postings, docs, term_stats(postings), corpus_stats(docs), tok)
 
     def save(self, path: str) -> Index:
-        """Write the four tables and return an index that reads them back."""
+        """Write the tables and return an index that reads them back."""
         spark = self.postings.sparkSession
+        if self.tokens is not None:
+            self.tokens.write.mode("errorifexists").parquet(f"{path}/tokens")
+            self = Index.of_tokens(spark.read.parquet(f"{path}/tokens"))
         n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         (
             self.postings.repartitionByRange(n, "token", "doi")
@@ -118,7 +127,7 @@ class Index:
             .parquet(f"{path}/terms")
         )
         corpus_stats(saved_docs).coalesce(1).write.mode("errorifexists").parquet(f"{path}/corpus")
-        return Index.load(spark, path)
+        return replace(Index.load(spark, path), tokens=self.tokens)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:

@@ -145,20 +145,11 @@ def occurrences(idx: Index, specs: list[Phrase], only: list[int] | None = None,
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def near_rows(occ: DataFrame, comp: Compiled) -> DataFrame | None:
-    """(doi, key, value) rows for NEAR groups: member instance counts that sit
-    within the distance of every other member, and one flag per document."""
-    if not comp.nears:
-        return None
-    spark = occ.sparkSession
-    members = [
-        (n, m, comp.specs.index(ph), near.distance)
-        for n, near in enumerate(comp.nears)
-        for m, ph in enumerate(near.phrases)
-    ]
-    width = max(len(nr.phrases) for nr in comp.nears)
-    mem = literal_table(spark, members, "near int, member int, spec int, dist int")
-    inst = occ.join(F.broadcast(mem), "spec").select("near", "member", "dist", "doi", "field", "start", "len")
+def near_hits(inst: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """NEAR groups over instances (near, n_members, member, dist, doi, field,
+    start, len), with at most ``width`` members each: instance counts that sit
+    within the distance of every other member (doi, near, member, value), and
+    the documents that hold the group (doi, near, value)."""
     w = Window.partitionBy("near", "doi", "field").orderBy("start", "member")
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -166,19 +157,16 @@ def near_rows(occ: DataFrame, comp: Compiled) -> DataFrame | None:
         inst = inst.withColumn(
             f"pe{q}", F.max(F.when(F.col("member") == q, F.col("start") + F.col("len"))).over(before)
         ).withColumn(f"ns{q}", F.min(F.when(F.col("member") == q, F.col("start"))).over(after))
-    n_members = F.element_at(
-        F.array(*[F.lit(len(nr.phrases)) for nr in comp.nears]), F.col("near") + 1
-    )
     end = F.col("start") + F.col("len")
     covered, leftmost = [], []
     for q in range(width):
-        other = (F.col("member") != q) & (F.lit(q) < n_members)
+        other = (F.col("member") != q) & (F.lit(q) < F.col("n_members"))
         near_left = (F.col("start") - F.col(f"pe{q}")) <= F.col("dist")
         near_right = (F.col(f"ns{q}") - end) <= F.col("dist")
         covered.append(~other | F.coalesce(near_left | near_right, near_left, near_right, F.lit(False)))
         leftmost.append(~other | F.col(f"ns{q}").isNotNull())
     last_start = F.greatest(
-        *[F.when((F.col("member") != q) & (F.lit(q) < n_members), F.col(f"ns{q}")) for q in range(width)],
+        *[F.when((F.col("member") != q) & (F.lit(q) < F.col("n_members")), F.col(f"ns{q}")) for q in range(width)],
         F.col("start"),
     )
     inst = inst.select(
@@ -188,19 +176,25 @@ def near_rows(occ: DataFrame, comp: Compiled) -> DataFrame | None:
         functools.reduce(operator.and_, covered).alias("covered"),
         (functools.reduce(operator.and_, leftmost) & ((last_start - end) <= F.col("dist"))).alias("anchor"),
     )
-    tf = (
-        inst.where("covered")
-        .groupBy("doi", "near", "member")
-        .agg(F.count(F.lit(1)).alias("value"))
-        .select("doi", F.format_string("n%d_%d", "near", "member").alias("key"), "value")
-    )
-    flag = (
-        inst.where("anchor")
-        .groupBy("doi", "near")
-        .agg(F.lit(1).cast("long").alias("value"))
-        .select("doi", F.format_string("f%d", "near").alias("key"), "value")
-    )
-    return tf.unionByName(flag)
+    counts = inst.where("covered").groupBy("doi", "near", "member").agg(F.count(F.lit(1)).alias("value"))
+    held = inst.where("anchor").groupBy("doi", "near").agg(F.lit(1).cast("long").alias("value"))
+    return counts, held
+
+
+def near_rows(occ: DataFrame, comp: Compiled) -> DataFrame | None:
+    """(doi, key, value) rows for the NEAR groups of one query."""
+    if not comp.nears:
+        return None
+    members = [
+        (n, len(near.phrases), m, comp.specs.index(ph), near.distance)
+        for n, near in enumerate(comp.nears)
+        for m, ph in enumerate(near.phrases)
+    ]
+    mem = literal_table(occ.sparkSession, members, "near int, n_members int, member int, spec int, dist int")
+    inst = occ.join(F.broadcast(mem), "spec").select("near", "n_members", "member", "dist", "doi", "field", "start", "len")
+    counts, held = near_hits(inst, max(len(nr.phrases) for nr in comp.nears))
+    tf = counts.select("doi", F.format_string("n%d_%d", "near", "member").alias("key"), "value")
+    return tf.unionByName(held.select("doi", F.format_string("f%d", "near").alias("key"), "value"))
 
 
 def _slot_tf(comp: Compiled, p: int) -> Column:

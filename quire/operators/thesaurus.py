@@ -15,6 +15,7 @@ the factored form:
 
 from __future__ import annotations
 
+import functools
 import warnings
 from collections.abc import Iterable
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from quire import schema as S
 from quire.functions.text import tokens
 from quire.operators.index import field_tokens
-from quire.session import literal_table
+from quire.session import literal_table, materialize
 from quire.sources.tables import read_table
 
 # --- fixed values: seed descriptor groups (record id, term) ------------------------
@@ -123,31 +124,51 @@ def load_thesaurus(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def entries(records: DataFrame, n: int = S.EXPAND_DEFAULT) -> DataFrame:
+    """(term, record_id, short): each known term with the ``n + 1`` shortest
+    terms of its record, so that a lookup reads the rows of its terms and
+    nothing else. A row holds at most ``n + 1`` terms of bounded length."""
+    recs = normalise_records(records)
+    short = _shortest_per_record(recs, n).groupBy("record_id").agg(F.collect_list("term").alias("short"))
+    return term_records(records).join(short, "record_id", "left").select(
+        "term", "record_id", F.coalesce("short", F.array().cast("array<string>")).alias("short")
+    )
+
+
+def store_entries(records: DataFrame, path: str, n: int = S.EXPAND_DEFAULT) -> DataFrame:
+    """Write the entries once, sorted by term, and read them back."""
+    by_term = entries(records, n).repartitionByRange("term", "record_id").sortWithinPartitions("term")
+    by_term.write.mode("errorifexists").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
+
 def lookup_fn(records: DataFrame | None, n: int = S.SEARCH_SYNONYMS):
     """Driver-side lookup for one query: candidate windows -> known terms and
-    their synonyms. One small Spark job; the result is bounded by the number
-    of candidates times ``n``."""
+    their synonyms. ``records`` is a stored table of :func:`entries`, of which a
+    lookup reads the row groups of its terms (``term IN`` is pushed down), or a
+    plain table of records. The result is bounded by the number of candidates
+    times ``n``, at most ``EXPAND_DEFAULT``."""
     if records is None:
         return lambda candidates: {}
-    spark = records.sparkSession
+    if n > S.EXPAND_DEFAULT:
+        raise ValueError(f"at most {S.EXPAND_DEFAULT} synonyms a term")
 
     def lookup(candidates: Iterable[str]) -> dict[str, list[str]]:
         cands = sorted({c.lower() for c in candidates})
         if not cands:
             return {}
-        cdf = literal_table(spark, [(c,) for c in cands], "term string")
-        # only the records that hold a candidate
-        own = records.where(F.lower("term").isin(cands)).select("record_id").distinct()
-        near = records.join(own, "record_id", "left_semi")
-        keys = known_terms(near).join(cdf, "term", "left_semi")
-        syns = expand(near, cdf, n)
-        rows = (
-            keys.join(syns, "term", "left")
-            .groupBy("term")
-            .agg(F.array_sort(F.collect_list(F.when(F.col("syn").isNotNull(), F.struct("rank", "syn")))).alias("s"))
-            .collect()
-        )
-        return {r["term"]: [x["syn"] for x in r["s"]] for r in rows}
+        if "short" in records.columns:
+            rows = records
+        else:  # only the records that hold a candidate
+            own = records.where(F.lower("term").isin(cands)).select("record_id").distinct()
+            rows = entries(records.join(own, "record_id", "left_semi"))
+        rows = rows.where(F.col("term").isin(cands)).select("term", F.explode_outer("short").alias("syn")).distinct()
+        syn = F.when(F.col("syn") != F.col("term"), F.struct(F.length("syn").alias("n"), F.col("syn").alias("s")))
+        # a window ends where the driver needs no more: n rows a candidate and one for itself
+        w = Window.partitionBy("term").orderBy(F.length("syn"), F.col("syn"))
+        few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n + 2)
+        got = few.groupBy("term").agg(F.array_sort(F.collect_list(syn)).alias("s")).collect()
+        return {r["term"]: [x["s"] for x in r["s"][:n]] for r in got}
 
     return lookup
 
@@ -238,33 +259,53 @@ def _fold_groups(marked: DataFrame) -> DataFrame:
     )
 
 
-def annotate_docs(records: DataFrame, papers: DataFrame) -> DataFrame:
+SEED = 7  # of the hashes of joined windows
+
+
+def _doubled(df: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
+    """``df`` with columns ``h2``, ``h4``, ... up to ``most``: hashes of all
+    windows of so many tokens, from ``h1``, the hashes of the tokens. Two windows
+    of p make one of 2 p. A column a step, so that each is computed once."""
+    sizes = [1]
+    while 2 * sizes[-1] <= most:
+        p = sizes[-1]
+        prev = F.col(f"h{p}")
+        n = F.greatest(F.size(prev) - p, F.lit(0))
+        pairs = F.arrays_zip(F.slice(prev, F.lit(1), n).alias("a"), F.slice(prev, F.lit(p + 1), n).alias("b"))
+        df = df.withColumn(f"h{2 * p}", F.transform(pairs, lambda x: F.xxhash64(x["a"], x["b"], F.lit(SEED))))
+        sizes.append(2 * p)
+    return df, sizes
+
+
+def annotate_docs(records: DataFrame, papers: DataFrame | None = None, toks: DataFrame | None = None) -> DataFrame:
     """(doi, term, hits): thesaurus terms of any length found in the indexed
-    fields, counted per document.
-
-    Terms are tokenised like the text and keyed by their first words, three at
-    most. The n-grams of up to three words are built inside each row, counted
-    per document and joined to these keys, so words shared by many terms
-    never multiply rows of longer terms. Longer terms are then compared in
-    full at the places where their first words are."""
-    most = S.MAX_PHRASE_WORDS
+    fields of ``papers`` (or of their stored tokens ``toks``), with counts.
+
+    A term of k tokens is known by its windows of p tokens, p being the largest
+    power of two up to k: the first and the last, which cover it together (one
+    window if k = p). The windows of 1, 2, 4, ... tokens of all fields are hashed
+    by doubling, joined to those of the terms by (p, hash), and a place with all
+    windows of a term is a hit. No text is joined back, and rows are a small
+    multiple of the tokens (the logarithm of the longest term). Windows are told
+    apart by 64-bit hashes; two different ones agree with a chance of 2 ** -64."""
     terms = known_terms(records).select("term", tokens(F.col("term")).alias("tt")).where(F.size("tt") >= 1)
-    terms = terms.select("term", "tt", F.array_join(F.slice("tt", 1, most), " ").alias("head"))
-    fields = field_tokens(papers).select("doi", F.posexplode("toks").alias("field", "t")).where(F.size("t") > 0)
-
-    def gram(i: Column) -> Column:
-        words = [F.when(i + n <= F.size("t"), F.array_join(F.slice("t", i + 1, F.lit(n)), " ")) for n in range(1, most + 1)]
-        return F.array_compact(F.array(*words))
-
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), gram))
-    short = fields.select("doi", F.explode(grams).alias("head")).groupBy("doi", "head").agg(F.count(F.lit(1)).alias("hits"))
-    short = short.join(terms.where(F.size("tt") <= most), "head").groupBy("doi", "term").agg(F.sum("hits").alias("hits"))
-    heads = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: i + most < F.size("t")),
-        lambda i: F.struct(i.alias("i"), F.array_join(F.slice("t", i + 1, F.lit(most)), " ").alias("head")),
-    )
-    long_terms = terms.where(F.size("tt") > most)
-    begins = fields.select("doi", "field", F.explode(heads).alias("h")).select("doi", "field", "h.i", "h.head").join(long_terms, "head")
-    found = begins.join(fields, ["doi", "field"]).where(F.slice("t", F.col("i") + 1, F.size("tt")) == F.col("tt"))
-    long = found.groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
-    return short.unionByName(long).groupBy("doi", "term").agg(F.sum("hits").alias("hits"))
+    spark = terms.sparkSession
+    terms = terms.withColumns({"k": F.size("tt"), "p": F.pow(F.lit(2), F.floor(F.log2(F.size("tt")) + 1e-9)).cast("int")})
+    most = terms.agg(F.max("p")).first()[0]
+    if not most:
+        return literal_table(spark, [], "doi string, term string, hits long")
+    keys, sizes = _doubled(terms.withColumn("h1", F.transform("tt", lambda t: F.xxhash64(t))), most)
+    windows = functools.reduce(lambda rest, p: F.when(F.col("p") == p, F.col(f"h{p}")).otherwise(rest), sizes[1:], F.col("h1"))
+    keys = keys.select("term", "k", "p", windows.alias("w"))
+    offset = F.explode(F.array_distinct(F.array(F.lit(0), F.col("k") - F.col("p")))).alias("offset")
+    keys = keys.select("term", "p", F.when(F.col("k") > F.col("p"), 2).otherwise(1).alias("need"), "w", offset)
+    keys = materialize(keys.select("term", "p", "need", "offset", F.col("w")[F.col("offset")].alias("hash")), "term-windows")
+    fields = (field_tokens(papers) if toks is None else toks).select("doi", F.posexplode("toks").alias("field", "t"))
+    fields = fields.where(F.size("t") > 0).select("doi", "field", F.transform("t", lambda t: F.xxhash64(t)).alias("h1"))
+    fields, _ = _doubled(fields, most)
+    by_size = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"h{p}").alias("w")) for p in sizes])
+    windows = fields.select("doi", "field", F.explode(by_size).alias("x")).select("doi", "field", "x.p", F.posexplode("x.w").alias("pos", "hash"))
+    found = windows.join(keys, ["p", "hash"]).select("doi", "term", "field", (F.col("pos") - F.col("offset")).alias("start"), "need")
+    one = found.where("need = 1").select("doi", "term")
+    two = found.where("need = 2").groupBy("doi", "term", "field", "start").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    return one.unionByName(two.select("doi", "term")).groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))

@@ -19,6 +19,7 @@ from quire.operators import index as IX
 from quire.operators import search as SE
 from quire.operators import thesaurus as TH
 from quire.operators.match import matched_docs
+from quire.functions.text import tokens
 from quire.plans import query as QP
 from quire.sources.tables import papers, paper_view
 
@@ -56,26 +57,9 @@ def store_papers(p: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# --- fixed values: what the seed groups' terms expand to, written out for the
-# oracle (3 to 60 characters, shortest first); Spark reads the stored table.
-_SEED_SYNONYMS = {
-    "the": ["that", "in the"],
-    "that": ["the", "in the"],
-    "in the": ["the", "that"],
-    "of": ["from"],
-    "from": [],
-    "esat": ["ndon"],
-    "ndon": ["esat"],
-}
-
-
-def _expected(candidates) -> dict[str, list[str]]:
-    return {c.lower(): _SEED_SYNONYMS[c.lower()] for c in candidates if c.lower() in _SEED_SYNONYMS}
-
-
-def seed_lookup(spark, sf_dir):
-    """Synonyms from the seed records of the stored thesaurus."""
-    return TH.lookup_fn(thesaurus(spark, sf_dir).where(F.col("record_id").startswith("seed:")))
+def lookup(spark, sf_dir):
+    """Synonyms from the stored thesaurus."""
+    return TH.lookup_fn(stored_entries(spark, sf_dir))
 
 
 QUERIES: dict[str, QueryFn] = {}
@@ -101,9 +85,9 @@ def _scored_sql(tree) -> str:
 
 
 def register_match(name: str, query: str, expand: bool = False):
-    @register(name, _scored_sql(QP.build(query, _expected if expand else QP.no_thesaurus)))
+    @register(name, None if expand else _scored_sql(QP.build(query)))
     def _q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tree = QP.build(query, seed_lookup(spark, sf_dir) if expand else QP.no_thesaurus)
+        tree = QP.build(query, lookup(spark, sf_dir) if expand else QP.no_thesaurus)
         return _scored(matched_docs(ctx(spark, sf_dir).index, tree))
 
     return _q
@@ -166,53 +150,41 @@ register_match("match_implicit_and", "ndat ntea estion")
 register_match("match_near", 'NEAR("esat" ndon, 40)')
 register_match("match_field", 'abstract: "esat" OR title: ndon')
 register_match("match_initial", '^"the"')
-register_match("match_synonyms", "esat of", expand=True)
+SYNONYMS_QUERY = "esat of"
+register_match("match_synonyms", SYNONYMS_QUERY, expand=True)
 register_match("bm25_scores", 'esat "of the" ndon* OR estion')
 
 FLAGSHIP_QUERY = "esat ndon of the"
-_FLAG_TREE = QP.build(FLAGSHIP_QUERY, _expected)
 
 
-@register("search_relevance", O.search_sql(_FLAG_TREE, limit=10))
+@register("search_relevance")
 def q_search_relevance(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, FLAGSHIP_QUERY, limit=10, lookup=seed_lookup(spark, sf_dir))
+    return SE.search(c.index, c.papers, FLAGSHIP_QUERY, limit=10, lookup=lookup(spark, sf_dir))
 
 
-_DATE_TREE = QP.build("estion", _expected)
-
-
-@register("search_date", O.search_sql(_DATE_TREE, limit=25, sort="date"))
+@register("search_date")
 def q_search_date(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, "estion", limit=25, sort="date", lookup=seed_lookup(spark, sf_dir))
-
+    return SE.search(c.index, c.papers, "estion", limit=25, sort="date", lookup=lookup(spark, sf_dir))
 
-_DETAIL_TREE = QP.build("ntea", _expected)
 
-
-@register("search_detail", O.search_sql(_DETAIL_TREE, limit=20, detail=True))
+@register("search_detail")
 def q_search_detail(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, "ntea", limit=20, detail=True, lookup=seed_lookup(spark, sf_dir))
-
+    return SE.search(c.index, c.papers, "ntea", limit=20, detail=True, lookup=lookup(spark, sf_dir))
 
-_COMPACT_TREE = QP.build("ndat", _expected)
 
-
-@register("search_compact", O.search_sql(_COMPACT_TREE, limit=20, category=["src1", "src2", "SRC3 "], after="2024-02-01"))
+@register("search_compact")
 def q_search_compact(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search(c.index, c.papers, "ndat", limit=20, category=["src1", "src2", "SRC3 "], after="2024-02-01", lookup=seed_lookup(spark, sf_dir))
-
+    return SE.search(c.index, c.papers, "ndat", limit=20, category=["src1", "src2", "SRC3 "], after="2024-02-01", lookup=lookup(spark, sf_dir))
 
-_COUNT_TREE = QP.build("of the", _expected)
 
-
-@register("search_count", O.count_sql(_COUNT_TREE, category="src4", before="2024-10-31"))
+@register("search_count")
 def q_search_count(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    return SE.search_count(c.index, c.papers, "of the", category="src4", before="2024-10-31", lookup=seed_lookup(spark, sf_dir))
+    return SE.search_count(c.index, c.papers, "of the", category="src4", before="2024-10-31", lookup=lookup(spark, sf_dir))
 
 
 # -- filters, projections, lookups ---------------------------------------------------
@@ -533,7 +505,9 @@ def saved_queries(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-_PREP_SQL = f"""
+def _prep_sql(source: str) -> str:
+    """Words and mode of the queries of ``source`` (item_id, text)."""
+    return f"""
 SELECT qid, mode, wpos - 1 AS wpos, word FROM (
   SELECT qid, words,
     CASE WHEN text LIKE '%"%' OR len(list_filter(words, lambda w: NOT starts_with(w, '"') AND w IN ('AND', 'OR', 'NOT'))) > 0 THEN 'operator'
@@ -545,10 +519,13 @@ SELECT qid, mode, wpos - 1 AS wpos, word FROM (
       lambda raw: CASE WHEN contains(raw, '-') AND len(regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+')) > 1
                        THEN ['"' || array_to_string(regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+'), ' ') || '"']
                        ELSE regexp_extract_all(raw, '[\\p{{L}}\\p{{N}}_*]+') END)) AS words
-        FROM benchmark))
+        FROM {source}))
 """
 
 
+_PREP_SQL = _prep_sql("benchmark")
+
+
 @register("prepare_queries", _PREP_SQL)
 def q_prepare_queries(spark, sf_dir):
     return BA.prepare(saved_queries(spark, sf_dir)).select(
@@ -569,6 +546,17 @@ def thesaurus(spark, sf_dir) -> DataFrame:
     return _THES[key]
 
 
+_ENTRIES: dict = {}
+
+
+def stored_entries(spark, sf_dir) -> DataFrame:
+    """The same by term, for lookups."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _ENTRIES:
+        _ENTRIES[key] = TH.store_entries(thesaurus(spark, sf_dir), new_table_path(spark, "entries"))
+    return _ENTRIES[key]
+
+
 @register("batch_search")
 def q_batch_search(spark, sf_dir):
     """Top 10 per saved query, thesaurus expansion on."""
@@ -693,7 +681,7 @@ GROUP BY g.doi, k.term
 @register("annotate_docs", _ANNOTATE_SQL)
 def q_annotate_docs(spark, sf_dir):
     """Thesaurus terms of any length found in every paper, with counts."""
-    return TH.annotate_docs(thesaurus(spark, sf_dir), papers(spark, sf_dir))
+    return TH.annotate_docs(thesaurus(spark, sf_dir), toks=ctx(spark, sf_dir).index.tokens)
 
 
 @register("xml_terms", _RECORDS_SQL)
@@ -1014,8 +1002,8 @@ SELECT replace(doi, '/', '_') AS file, strlen({_PDF_BODY_SQL}) AS bytes,
        round(strlen({_PDF_BODY_SQL}) / 1048576.0, 2) AS size_mb,
        CASE WHEN strlen({_PDF_BODY_SQL}) > {S.MAX_PDF_BYTES} THEN 413
             WHEN NOT starts_with({_PDF_BODY_SQL}, '%PDF') THEN 502 ELSE 200 END AS status,
-       CASE WHEN strlen({_PDF_BODY_SQL}) > {S.MAX_PDF_BYTES} THEN 'PDF too large'
-            WHEN NOT starts_with({_PDF_BODY_SQL}, '%PDF') THEN 'Upstream did not return a valid PDF' END AS reason
+       CASE WHEN strlen({_PDF_BODY_SQL}) > {S.MAX_PDF_BYTES} THEN 'too_large'
+            WHEN NOT starts_with({_PDF_BODY_SQL}, '%PDF') THEN 'not_pdf' END AS reason
 FROM ({O.PAPERS})
 """,
 )
@@ -1050,8 +1038,10 @@ def q_status_row(spark, sf_dir):
 # Oracle for batch_search: the same rules over the whole corpus, with
 # list/postings SQL (no candidate driving), so it checks the distributed plan.
 _PIECES = "list_filter(list_transform(regexp_extract_all(term, '[^*]+\\*?'), lambda p: {'toks': " + O.tok("p") + ", 'prefix': ends_with(p, '*')}), lambda x: len(x.toks) > 0)"
-_BATCH_SQL = f"""
-WITH RECURSIVE prep AS ({_PREP_SQL}),
+def _scored_ctes(source: str) -> str:
+    """CTEs up to scored(qid, doi, score) for the queries of ``source`` (item_id, text)."""
+    return f"""
+WITH RECURSIVE prep AS ({_prep_sql(source)}),
 kw AS (
   SELECT qid, wpos, word, row_number() OVER (PARTITION BY qid ORDER BY wpos) - 1 AS i
   FROM prep WHERE mode = 'keyword' AND word IS NOT NULL AND NOT starts_with(word, '"')
@@ -1146,17 +1136,115 @@ scored AS (
   SELECT qid, doi, list_reduce(list(c ORDER BY clause, alt, part), lambda a, b: a + b) AS score
   FROM contrib GROUP BY qid, doi
 )
+"""
+
+
+_TOP_SQL = """
 SELECT qid, rank, doi, round(score, 6) AS score FROM (
   SELECT qid, doi, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doi) AS rank FROM scored
 ) WHERE rank <= 10
 """
+_BATCH_SQL = _scored_ctes("benchmark") + _TOP_SQL
 ORACLE["batch_search"] = _BATCH_SQL
 ORACLE["zero_hit_queries"] = f"""
 WITH hits AS ({_BATCH_SQL}), n AS (SELECT count(*) AS n FROM ({O.PAPERS}))
 SELECT item_id AS qid, n.n AS searched,
-       CASE WHEN item_id IN (SELECT qid FROM ({_PREP_SQL}) WHERE mode = 'operator') THEN 'Operator query: run it with the single-query search.'
-            WHEN n.n = 0 THEN 'Database is empty. Run a sync first to populate it.'
-            ELSE 'No results ' || CASE WHEN trim(text) <> '' THEN 'for ''' || text || '''' ELSE 'matching those filters' END
-                 || ' (searched ' || n.n::VARCHAR || ' papers).' END AS message
+       CASE WHEN n.n = 0 THEN 'empty_corpus'
+            WHEN item_id IN (SELECT qid FROM ({_PREP_SQL}) WHERE mode = 'empty') THEN 'no_words' ELSE 'no_match' END AS reason
 FROM benchmark, n WHERE item_id NOT IN (SELECT qid FROM hits)
 """
+
+
+# Oracles of the single searches: the same CTEs for one query.
+def _one(query: str) -> str:
+    return _scored_ctes(f"(SELECT 1 AS item_id, {O.q(query)} AS text)")
+
+
+def _found_sql(query: str, limit: int, sort: str = "relevance", detail: bool = False, **filters) -> str:
+    order = "s.score DESC, s.doi" if sort == "relevance" else "p.date DESC, p.doi"
+    cols = [f"{O.COMPACT_AUTHORS} AS authors" if c == "authors" and not detail else c for c in (S.PAPER_FIELDS if detail else S.COMPACT_FIELDS)]
+    return _one(query) + f"""
+SELECT {', '.join(cols)} FROM (
+  SELECT p.* FROM ({O.PAPERS}) p JOIN scored s USING (doi) WHERE {O.filter_sql(**filters, prefix='p.')} ORDER BY {order} LIMIT {limit})
+"""
+
+
+ORACLE["match_synonyms"] = _one(SYNONYMS_QUERY) + f"""
+SELECT doi, dl, date, category, round(score, 6) AS score FROM scored JOIN dls USING (doi) JOIN (SELECT doi, date, category FROM ({O.PAPERS})) USING (doi)
+"""
+ORACLE["search_relevance"] = _found_sql(FLAGSHIP_QUERY, 10)
+ORACLE["search_date"] = _found_sql("estion", 25, sort="date")
+ORACLE["search_detail"] = _found_sql("ntea", 20, detail=True)
+ORACLE["search_compact"] = _found_sql("ndat", 20, category=["src1", "src2", "SRC3 "], after="2024-02-01")
+ORACLE["search_count"] = _one("of the") + f"""
+SELECT count(*) AS count FROM scored JOIN (SELECT doi, date, category FROM ({O.PAPERS})) USING (doi)
+WHERE {O.filter_sql(category='src4', before='2024-10-31')}
+"""
+
+
+# -- saved queries in operator syntax ---------------------------------------------------
+
+# Queries made of the first words of each benchmark text (at least seven).
+_OP_TEXT_SQL = f"""
+SELECT item_id AS qid, item_id % 4 AS form, t FROM (SELECT item_id, {O.tok('text')} AS t FROM benchmark) WHERE len(t) >= 7
+"""
+
+
+def operator_queries(spark, sf_dir) -> DataFrame:
+    """(qid, text): saved queries with phrases, OR, NOT, prefixes and fields, in
+    four forms by item."""
+    items = saved_queries(spark, sf_dir).select("qid", tokens(F.col("text")).alias("t")).where("size(t) >= 7")
+    form = F.col("qid") % 4
+    text = (
+        F.when(form == 0, F.format_string('"%s %s" OR %s', *[F.col("t")[i] for i in (0, 1, 4)]))
+        .when(form == 1, F.format_string('"%s" AND "%s" NOT "%s"', *[F.col("t")[i] for i in (0, 3, 2)]))
+        .when(form == 2, F.format_string('"%s %s" NOT ("%s" OR "%s")', *[F.col("t")[i] for i in (1, 2, 0, 6)]))
+        .otherwise(F.format_string('title: "%s" OR abstract: ("%s %s" AND %s*)', *[F.col("t")[i] for i in (0, 1, 2, 3)]))
+    )
+    return items.select("qid", text.alias("text"))
+
+
+@register(
+    "batch_operators",
+    f"""
+WITH items AS ({_OP_TEXT_SQL}),
+sl AS (
+  SELECT qid, unnest(CASE form
+    WHEN 0 THEN [{{'slot': 0, 'toks': t[1:2], 'prefix': false, 'field': -1}}, {{'slot': 1, 'toks': t[5:5], 'prefix': false, 'field': -1}}]
+    WHEN 1 THEN [{{'slot': 0, 'toks': t[1:1], 'prefix': false, 'field': -1}}, {{'slot': 1, 'toks': t[4:4], 'prefix': false, 'field': -1}},
+                 {{'slot': 2, 'toks': t[3:3], 'prefix': false, 'field': -1}}]
+    WHEN 2 THEN [{{'slot': 0, 'toks': t[2:3], 'prefix': false, 'field': -1}}, {{'slot': 1, 'toks': t[1:1], 'prefix': false, 'field': -1}},
+                 {{'slot': 2, 'toks': t[7:7], 'prefix': false, 'field': -1}}]
+    ELSE [{{'slot': 0, 'toks': t[1:1], 'prefix': false, 'field': 0}}, {{'slot': 1, 'toks': t[2:3], 'prefix': false, 'field': 1}},
+          {{'slot': 2, 'toks': t[4:4], 'prefix': true, 'field': 1}}] END, recursive := true)
+  FROM items
+),
+kp AS (SELECT qid, slot, len(toks) AS k, prefix, field AS want, unnest(toks) AS term, unnest(range(0, len(toks))) AS j FROM sl),
+occ AS (
+  SELECT kp.qid, kp.slot, p.doi FROM ({POSTINGS_SQL}) p JOIN kp
+    ON CASE WHEN kp.prefix THEN starts_with(p.token, kp.term) ELSE p.token = kp.term END AND (kp.want = -1 OR p.field = kp.want)
+  GROUP BY kp.qid, kp.slot, kp.k, p.doi, p.field, p.pos - kp.j HAVING count(*) = kp.k
+),
+tf AS (SELECT qid, slot, doi, count(*) AS tf FROM occ GROUP BY ALL),
+df AS (SELECT qid, slot, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+per AS (
+  SELECT qid, doi, coalesce(bool_or(slot = 0), false) AS s0, coalesce(bool_or(slot = 1), false) AS s1, coalesce(bool_or(slot = 2), false) AS s2
+  FROM tf GROUP BY qid, doi
+),
+matched AS (
+  SELECT qid, doi FROM per JOIN items USING (qid)
+  WHERE CASE form WHEN 0 THEN s0 OR s1 WHEN 1 THEN s0 AND s1 AND NOT s2 WHEN 2 THEN s0 AND NOT s1 AND NOT s2 ELSE s0 OR (s1 AND s2) END
+),
+dls AS (SELECT doi, {O.DL} AS dl FROM ({O.TOKENS})),
+st AS (SELECT count(*)::DOUBLE AS n_docs, sum(dl)::DOUBLE / count(*) AS avgdl FROM dls),
+scored AS (
+  SELECT qid, doi, sum(CASE WHEN n_docs - df <= df THEN {S.IDF_FLOOR}::DOUBLE ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END
+    * tf * {S.BM25_K1 + 1.0} / (tf + {S.BM25_K1} * ({1.0 - S.BM25_B} + {S.BM25_B} * dl / avgdl)) ORDER BY slot) AS score
+  FROM tf JOIN matched USING (qid, doi) JOIN df USING (qid, slot) JOIN dls USING (doi), st GROUP BY qid, doi
+)
+"""
+    + _TOP_SQL,
+)
+def q_batch_operators(spark, sf_dir):
+    """Top 10 per saved query in operator syntax."""
+    return BA.batch_search(ctx(spark, sf_dir).index, operator_queries(spark, sf_dir), None, k=10)

@@ -64,8 +64,8 @@ def check_pdfs(spark: SparkSession, folder: str, manifest: DataFrame | None = No
         .otherwise(F.lit(200))
     )
     reason = (
-        F.when(status == 413, F.lit("PDF too large"))
-        .when(status == 502, F.lit("Upstream did not return a valid PDF"))
+        F.when(status == 413, F.lit("too_large"))
+        .when(status == 502, F.lit("not_pdf"))
     )
     return scanned.select(
         "file",

@@ -110,11 +110,89 @@ def test_incremental_index_equals_rebuild(spark):
     assert refreshed.select("token", "df", "cf").exceptAll(full.select("token", "df", F.col("cf").cast("long"))).count() == 0
 
 
-def test_operator_queries_are_reported_not_searched(spark):
+OPERATOR_TEXTS = [
+    '"of the" OR esat NOT ndon',
+    'esat NOT (ndon OR "of the")',
+    'NEAR(esat ndon the, 60) OR "in the"',
+    'esat NOT NEAR("of the" ndon, 20)',
+    '"es"* AND ndo*',
+    'abstract: "esat" OR title: ndon',
+    '-title: "the" AND ^"esat"',
+    "of-the AND esat",
+    "zzzqqq OR ndon",
+    "ndon NOT zzzqqq",
+    '"esat ndon" "of the"',
+    '""',
+]
+
+
+def test_operator_queries_equal_single_searches(spark):
+    """Quotes, OR, NOT, NEAR, prefixes, fields and initial words in a batch."""
     c = R.ctx(spark, SF_SMALL)
-    qs = spark.createDataFrame([(1, "esat AND ndon"), (2, '"of the"'), (3, "zzzqqq")], "qid long, text string")
+    qs = spark.createDataFrame(list(enumerate(OPERATOR_TEXTS)), "qid long, text string")
+    byq = {}
+    for r in BA.batch_search(c.index, qs, R.thesaurus(spark, SF_SMALL), k=1000).orderBy("qid", "rank").collect():
+        byq.setdefault(r.qid, []).append((r.doi, r.score))
+    for qid, text in enumerate(OPERATOR_TEXTS):
+        res = SE.search(c.index, c.papers, text, limit=1000, with_score=True).collect()
+        single = sorted(((r.doi, round(r._score, 6)) for r in res), key=lambda x: (-x[1], x[0]))
+        assert sorted(byq.get(qid, []), key=lambda x: (-x[1], x[0])) == single, text
+    assert len(byq) >= 8
+
+
+def test_words_and_operators_in_one_batch_and_reasons_for_no_hit(spark):
+    c = R.ctx(spark, SF_SMALL)
+    rows = [(1, "esat"), (2, "esat OR zzzqqq"), (3, "zzzqqq"), (4, '"never closed'), (5, "AND OR"), (6, " ,;"), (7, None), (8, '"zzzqqq"')]
+    qs = spark.createDataFrame(rows, "qid long, text string")
     hits = BA.batch_search(c.index, qs, None, k=5)
-    assert hits.where("qid IN (1, 2)").count() == 0
-    msgs = {r.qid: r.message for r in BA.zero_hits(qs, hits, c.papers).collect()}
-    assert msgs[1].startswith("Operator query") and msgs[2].startswith("Operator query")
-    assert msgs[3].startswith("No results for 'zzzqqq'")
+    got = {q: [(r.rank, r.doi) for r in hits.where(f"qid = {q}").orderBy("rank").collect()] for q in (1, 2)}
+    assert got[1] and got[1] == got[2]
+    assert {r.qid for r in hits.collect()} == {1, 2}
+    reasons = {r.qid: r.reason for r in BA.zero_hits(qs, hits, c.papers).collect()}
+    assert reasons == {3: "no_match", 4: "bad_syntax", 5: "bad_syntax", 6: "no_words", 7: "no_words", 8: "no_match"}
+    empty = BA.zero_hits(qs, hits, c.papers.limit(0)).collect()
+    assert {r.reason for r in empty} == {"empty_corpus"}
+
+
+def test_batch_of_operator_queries_alone_and_of_none(spark):
+    c = R.ctx(spark, SF_SMALL)
+    none = spark.createDataFrame([], "qid long, text string")
+    assert BA.batch_search(c.index, none, None).count() == 0
+
+
+def test_stored_lookup_pushes_its_terms_down(spark, scratch):
+    recs = spark.createDataFrame(
+        [("a", "Cod"), ("a", "gadus"), ("a", "gadus morhua"), ("b", "cod"), ("b", "eel"), ("c", "alone"), ("d", "cod"), ("d", "x")],
+        "record_id string, term string",
+    )
+    ent = TH.store_entries(recs, f"{scratch}/entries")
+    for source in (recs, ent):
+        assert TH.lookup_fn(source)(["COD", "alone", "x", "none"]) == {"cod": ["eel", "gadus", "gadus morhua"], "x": ["cod"]}
+        assert TH.lookup_fn(source, 1)(["cod"]) == {"cod": ["eel"]}
+    plan = ent.where(F.col("term").isin(["cod", "eel"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan
+
+
+def test_annotation_of_every_length_equals_brute_force(spark, make_papers):
+    import random
+
+    from conftest import paper
+
+    rng = random.Random(5)
+    words = ["a", "b", "c"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    terms = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 11))) for _ in range(120)})
+    recs = spark.createDataFrame([("r", t) for t in terms], "record_id string, term string")
+    papers = make_papers([paper(doi=f"d{i}", title=t, abstract=texts[i - 1], authors=None) for i, t in enumerate(texts)])
+    exp = {}
+    for i, t in enumerate(texts):
+        for field in (t, texts[i - 1]):
+            f = field.split()
+            for term in terms:
+                tt = term.split()
+                n = sum(f[j : j + len(tt)] == tt for j in range(len(f) - len(tt) + 1))
+                if n:
+                    exp[f"d{i}", term] = exp.get((f"d{i}", term), 0) + n
+    got = {(r.doi, r.term): r.hits for r in TH.annotate_docs(recs, papers).collect()}
+    assert got == exp
+    assert TH.annotate_docs(recs.limit(0), papers).count() == 0

@@ -4,6 +4,7 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as E
 from quire import registry as R
+from quire.plans import query as QP
 
 
 def _plan(df) -> str:
@@ -32,7 +33,7 @@ def test_relevance_top_k_operator(spark):
     from pyspark.sql import functions as F
 
     c = R.ctx(spark, SF_SMALL)
-    top = matched_docs(c.index, R._FLAG_TREE).orderBy(F.desc("score"), "doi").limit(10)
+    top = matched_docs(c.index, QP.build(R.FLAGSHIP_QUERY, R.lookup(spark, SF_SMALL))).orderBy(F.desc("score"), "doi").limit(10)
     assert "TakeOrderedAndProject" in _plan(top)
 
 
