@@ -15,7 +15,9 @@ by distance are the largest by inner product. All rows are indexed.
 Defined results: vectors that are null, zero, or hold a null or non-finite
 component take no part; a shorter vector counts as followed by zeros; every row
 is a candidate of its own, also with a repeated id, and each query row has its
-own ranks; null ids come last.
+own ranks; null ids come last. Vectors are hashed in units of the largest
+component, so that squares neither overflow nor vanish; a product beyond the
+range of doubles is infinite, and one that is no number counts as minus infinity.
 """
 
 from __future__ import annotations
@@ -85,20 +87,23 @@ class Index:
 def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     table = prepared(vectors, F.transform("embedding", lambda x: x.cast("double")), every)
     table = keep(table.where(F.exists("v", lambda x: x != 0)), "ann-vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    width, longest = table.agg(F.max(F.size("v")), F.sqrt(F.max(square))).first()
+    width, unit = table.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x / F.lit(unit), F.lit(2)))
+    longest = table.agg(F.sqrt(F.max(square))).first()[0]
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(q) and len(x):
             qv, xv = matrix(q["v"], width, float), matrix(x["v"], width, float)
             ids, own = x["vec_id"].to_numpy(), dict(zip(x["rid"], range(len(x))))
-            index = Index(xv, longest, HASHES, SEED)
+            index = Index(xv / unit, longest, HASHES, SEED)
             want = LEAST + int(SHARE * len(x))
-            for i, found in enumerate(index.candidates(qv, want)):
+            for i, found in enumerate(index.candidates(qv / unit, want)):
                 rid = q["rid"].iat[i]
                 found = found[found != own.get(rid, -1)]
-                scores = xv[found] @ qv[i]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = xv[found] @ qv[i]
+                scores = np.where(np.isnan(scores), -np.inf, scores)
                 best = best_of(ids[found], scores, top)
                 rows += [(rid, q["vec_id"].iat[i], x["vec_id"].iat[p], s) for p, s in zip(found[best], scores[best].tolist())]
         return pd.DataFrame(rows, columns=["qrid", "query_id", "vec_id", "score"])

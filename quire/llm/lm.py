@@ -39,7 +39,6 @@ from quire.llm.common import TEXTS, fold, parts_for, saved
 from quire.llm.neardup import mix64
 from quire.llm.spans import BATCH_CHARS, WordHash, distinct
 
-HOT = 1 << 17  # bounds nothing any more: every word and pair is counted
 PART_BYTES = 8e6
 BUCKETS = 48
 BINS = 512

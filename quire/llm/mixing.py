@@ -14,12 +14,17 @@ first in a seeded order as long as their tokens fit. That prefix is found
 without sorting a leaf: sums over ranges of the order tell which range holds
 the cut, and only the rows of that range are ordered.
 
+A table of target weights may name nodes of the tree; a node without one weighs
+(its tokens) ** ``alpha``, so name all siblings to set plain proportions.
+
 Only DataFrame functions are used. Tokens are estimated as a quarter of the
 UTF-8 bytes, rounded up.
 
 Defined results: null text has 0 tokens; null lang or source counts as '';
 rows with the same document id in one leaf are adjacent in the order and are
-taken or left together; an empty table gives an empty result.
+taken or left together; an empty table gives an empty result. A weight of 0 or
+less leaves a node out; of several weights of a node the largest counts, and
+null weights are no weights.
 """
 
 from __future__ import annotations
@@ -47,10 +52,21 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
 
 
-def allocate(leaves: DataFrame, share: float, max_epochs: int, alpha: float) -> DataFrame:
+def targets(weights: DataFrame, depth: int) -> DataFrame:
+    """The weights (domain, lang, source, weight) that name nodes of a depth:
+    rows whose deeper levels are null, those above them not."""
+    names = [n.removeprefix("__") for n in LEVELS]
+    own = weights.where("weight is not null")
+    for i, n in enumerate(names):
+        own = own.where(F.col(n).isNotNull() if i < depth else F.col(n).isNull())
+    return own.groupBy(*[F.col(n).alias(f"__{n}") for n in names[:depth]]).agg(F.max("weight").cast("double").alias("__target"))
+
+
+def allocate(leaves: DataFrame, share: float, max_epochs: int, alpha: float, weights: DataFrame | None = None) -> DataFrame:
     """Leaves (LEVELS, tokens) with their token budget as ``__budget``.
 
-    A node's weight among its siblings is (its tokens) ** alpha."""
+    A node's weight among its siblings is what ``weights`` says (see
+    :func:`targets`), or else (its tokens) ** alpha."""
     tree = leaves.withColumn("__cap", F.col("__tokens") * max_epochs)
     budget = F.floor(F.sum("__tokens").over(Window.partitionBy(F.lit(1))) * share).cast("double")
     tree = tree.withColumn("__budget", budget)
@@ -61,6 +77,9 @@ def allocate(leaves: DataFrame, share: float, max_epochs: int, alpha: float) ->
             F.pow(F.sum("__tokens").cast("double"), F.lit(alpha)).alias("__w"),
             F.max("__budget").alias("__pb"),
         )
+        if weights is not None:
+            kids = kids.join(targets(weights, depth), node, "left")
+            kids = kids.withColumn("__w", F.when(F.col("__kcap") > 0, F.coalesce("__target", "__w"))).drop("__target")
         kids = kids.where("__w > 0")
         by = Window.partitionBy(*(parent or [F.lit(1)])).orderBy(F.col("__kcap") / F.col("__w"), LEVELS[depth - 1])
         before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
@@ -81,6 +100,7 @@ def mix(
     alpha: float = ALPHA,
     seed: int = SEED,
     rows_per_range: int = ROWS_PER_RANGE,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` for every (document, epoch) taken, and
     ``__domain``, ``__lang``, ``__source``, ``__n`` (tokens) and ``__epoch``."""
@@ -93,7 +113,7 @@ def mix(
         }
     )
     leaves = rows.groupBy(*LEVELS).agg(F.sum("__n").alias("__tokens"), F.count(F.lit(1)).alias("__rows"))
-    plan = allocate(saved(leaves, "mix-leaves"), share, max_epochs, alpha).withColumns(
+    plan = allocate(saved(leaves, "mix-leaves"), share, max_epochs, alpha, weights).withColumns(
         {
             "__whole": F.floor(F.col("__budget") / F.col("__tokens")).cast("long"),
             "__ranges": F.ceil(F.col("__rows") / rows_per_range).cast("long"),

@@ -17,7 +17,7 @@ unlikely of the sums of its r best segments, and a logistic curve fitted to
 the labelled documents turns that into a score from 0 to 1.
 
 The classifier is fitted on a sample of at most about ``SAMPLE`` labelled rows
-and holds at most ``FEATURES`` features; all documents are scored whole.
+and holds every feature that significant there; all documents are scored whole.
 
 Defined results: null and empty texts have no evidence and get the score of
 that; several labels of one document count as its largest; without labelled
@@ -38,7 +38,6 @@ from quire.llm.common import fold, saved
 from quire.llm.spans import Words
 
 SAMPLE = 20_000
-FEATURES = 20_000
 PIECE = 5
 PRIOR = 0.5  # mass of the prior, in words of the toxic class
 MIN_Z = 5.0
@@ -58,7 +57,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return saved(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-rows")  # copies count once
 
 
-def learn_features(rows: DataFrame, features: int = FEATURES) -> dict[str, float]:
+def learn_features(rows: DataFrame) -> dict[str, float]:
     """{feature: log-odds} of the significant toxic features."""
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
     words = rows.select("toxic", word).where("word <> ''").groupBy("word").agg(
@@ -81,7 +80,7 @@ def learn_features(rows: DataFrame, features: int = FEATURES) -> dict[str, float
     scored = found.withColumn("w", odds(F.col("t"), nt) - odds(F.col("c"), nc)).withColumn(
         "z", F.col("w") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
     )
-    best = scored.where(F.col("z") >= MIN_Z).where("w > 1").orderBy(F.desc("z"), "f").limit(features)
+    best = scored.where(F.col("z") >= MIN_Z).where("w > 1")
     return {r["f"]: r["w"] for r in best.select("f", "w").collect()}
 
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import ann, chat, components, langid, lm, mixing, neardup, packing, suffix, topk, toxicity
 from tests.llm.helpers import DOCS, fold, odd_documents, with_clashes, words, write
@@ -111,6 +112,11 @@ def test_nearest_recall_and_scores(spark):
     assert hit / total >= 0.9
     few = write(spark, embeddings=(VECTORS, [(0, [1.0], 0), (1, [2.0], 0), (20, [3.0], 0)]))
     assert ann.op10_nearest(spark, few).count() == 4
+    for scale in (1e200, 1e-200, 1.0):  # squares out of the range of doubles
+        huge = [(0, [scale, 1.0]), (1, [scale, 2.0]), (2, [-scale, 0.0]), (3, [scale / 2, 1.0]), (4, [scale, -scale]), (5, [0.0, 0.0])]
+        rows = ann.nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+        want = sorted(((-(a[0] * huge[0][1][0] + a[1] * huge[0][1][1]), i) for i, a in huge[1:5]))
+        assert [(r.vec_id, r.score) for r in rows] == [(i, -s) for s, i in want], scale
 
 
 def test_language(spark, odd):
@@ -353,20 +359,13 @@ def test_language_model(spark, odd):
     for (i, *_), w in zip(rows, tokens):
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
         want[i, fold(i, 7) == 2, len(w), sum(count[x] > 0 for x in w), n, round(base, 3)] += 1
-    for hot in (lm.HOT, 50):  # also with rare words that go by hash range
-        old, lm.HOT = lm.HOT, hot
-        try:
-            got = lm.op8_language_model(spark, folder).collect()
-        finally:
-            lm.HOT = old
-        assert collections.Counter((*r[:5], round(r.base_score, 3)) for r in got) == want
-        held = [r for r in got if r.held_out]
-        assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score <= 0 for r in got)
+    got = lm.op8_language_model(spark, folder).collect()
+    assert collections.Counter((*r[:5], round(r.base_score, 3)) for r in got) == want
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score <= 0 for r in got)
 
 
 def test_language_model_counts_every_pair(spark, monkeypatch):
-    for bound in ("HOT", "PAIRS"):  # such bounds once left out rarer words and pairs
-        monkeypatch.setattr(lm, bound, 50, raising=False)
     mixes, learn = [], lm.expectation_maximisation
     monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: mixes.append(learn(*a)) or mixes[-1])
     rng = random.Random(22)
@@ -390,6 +389,46 @@ def test_language_model_counts_every_pair(spark, monkeypatch):
     assert {r.doc_id: round(r.score, 6) for r in got} == {i: round(s, 6) for i, s in want.items()}
 
 
+def test_mixing_to_given_weights_is_brute_force(spark):
+    def fill(budget, kids):  # [(name, capacity, weight)] -> {name: tokens}
+        got, kids = {}, [k for k in kids if k[1] > 0 and k[2] > 0]
+        while kids:
+            full = [k for k in kids if budget * k[2] / sum(x[2] for x in kids) >= k[1]]
+            if not full:
+                return got | {n: budget * w / sum(x[2] for x in kids) for n, _, w in kids}
+            n, cap, _ = min(full, key=lambda k: k[1] / k[2])
+            got[n], budget, kids = cap, budget - cap, [k for k in kids if k[0] != n]
+        return got
+
+    rng = random.Random(4)
+    tree = [(d, a, s, 3, rng.randint(0, 900)) for d in ("web", "books") for a in "xyz" for s in "123" if rng.random() < 0.8]
+    given = {("web",): 3.0, ("books",): 1.0, ("web", "x"): 5.0, ("web", "y"): 0.0, ("books", "x", "1"): 1e6, ("none",): 4.0}
+    rows = [(*n, *[None] * (3 - len(n)), w) for n, w in given.items()] + [("web", None, None, 1.0), ("web", "z", None, None), (None, "x", None, 9.0)]
+    weights = spark.createDataFrame(rows, "domain string, lang string, source string, weight double")
+    leaves = spark.createDataFrame(tree, "__domain string, __lang string, __source string, __rows long, __tokens long")
+    total = sum(t for *_, t in tree)
+    for share, epochs in ((0.4, 1), (1.0, 2), (1.9, 2), (3.0, 2)):
+
+        def down(node, budget):
+            if len(node) == 3:
+                return {node: math.floor(budget + 1e-6)}
+            size = collections.Counter()
+            for *leaf, _, t in tree:
+                if tuple(leaf[: len(node)]) == node:
+                    size[tuple(leaf[: len(node) + 1])] += t
+            kids = fill(budget, [(k, t * epochs, given.get(k, t**0.7)) for k, t in size.items()])
+            return {leaf: b for k, b in kids.items() for leaf, b in down(k, b).items()}
+
+        plan = {tuple(r[:3]): r["__budget"] for r in mixing.allocate(leaves, share, epochs, 0.7, weights).collect()}
+        want = down((), math.floor(total * share))
+        assert plan.keys() == want.keys() and all(abs(plan[k] - want[k]) <= 1 for k in want)
+    docs = spark.createDataFrame([(i, "word " * 8, "en", "ab"[i % 2], 0) for i in range(200)], DOCS)
+    sources = {s: docs.where(f"source = '{s}'").select(mixing.domain_of(F.col("source"))).first()[0] for s in "ab"}
+    targets = spark.createDataFrame([(d, None, None, 1.0) for d in set(sources.values())] + [(sources[s], "en", s, w) for s, w in (("a", 3.0), ("b", 1.0))], weights.schema)
+    took = collections.Counter(r.source for r in mixing.mix(docs, share=0.5, weights=targets).collect())
+    assert took == ({"a": 75, "b": 25} if len(set(sources.values())) == 1 else {"a": 50, "b": 50})
+
+
 def test_mixing_budgets(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     got = mixing.mix(docs, rows_per_range=2).collect()
