@@ -11,11 +11,12 @@ context h. The weights are learned by expectation-maximisation: a tenth of the
 training documents is deleted from the counts, and the weights make these
 held-out counts most likely under the counts of the rest.
 
-Counting. Texts are written as slices: codes of words, and the different words
-by hash. Each slice sends its different words and pairs, by hash range, with its
+Counting. Texts are written as slices of about ``SLICE`` tokens: codes of words, and
+the different words by hash. Each slice sends its different words and pairs, by hash
+range and in order of the hashes (as differences, by planes of bytes), with its
 counts of them, so a frequent word or pair is one entry a slice; the range adds
-up the counts and sends them back to the slices, which then score their texts by
-themselves. Every word, context and pair is counted, however rare. Only for
+up the counts and sends back what other slices have of them. The slices then score
+their texts by themselves. Every word, context and pair is counted, however rare. Only for
 learning the weights, deleted tokens are put in bins of an eighth of an octave.
 
 Words and pairs are told apart by 64-bit hashes.
@@ -27,6 +28,7 @@ are 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,8 @@ PART_BYTES = 8e6
 BUCKETS = 48
 BINS = 512
 FLUSH = 200_000
-AT_ONCE = 16  # slices or answers in one Arrow batch
+SLICE = 2_000_000
+AT_ONCE = 4  # slices or answers in one Arrow batch
 END = np.uint64(0xE0F5_0A7B_11C3_9D27)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -81,8 +84,8 @@ def tokens(texts: list, hasher: WordHash) -> Iterator[tuple[int, int, np.ndarray
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    """Ranges of the hashes, ascending with them."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def merge(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,16 +124,31 @@ def cells(context: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray
     return (bucket_of(context) * BINS + bin_of(word)) * BINS + share
 
 
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on, which compresses well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplaned(data: bytes, n: int) -> np.ndarray:
+    size = len(data) // n
+    return np.frombuffer(data, np.uint8).reshape(size, n).T.copy().view(f"<u{size}").ravel()
+
+
 def small(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
+    """Counts in as few bytes each as the largest needs, compressed."""
     top = int(x.max()) if len(x) else 0
     kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
-    return x.astype(kind).tobytes()
+    return zlib.compress(planes(x.astype(kind)), 1) if len(x) else b""
 
 
 def wide(data: bytes, n: int) -> np.ndarray:
     """The ``n`` counts that ``small`` wrote."""
-    return np.frombuffer(data, f"<u{max(len(data) // n, 1)}").astype(np.int64) if n else np.zeros(0, np.int64)
+    return unplaned(zlib.decompress(data), n).astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def hashes(data: bytes) -> np.ndarray:
+    """Ascending hashes from the planes of their differences."""
+    return np.cumsum(unplaned(data, len(data) // 8), dtype=np.uint64)
 
 
 def pairs_in(code: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,26 +169,45 @@ def slices(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, task, seq = WordHash(), TaskContext.get().partitionId(), 0
+        some, size = [], 0
+
+        def whole() -> pd.DataFrame:
+            code, one = distinct(word := np.concatenate([x[-1] for x in some]))
+            ids = [i for x in some for i in x[0]]
+            held, role = (np.concatenate([x[k] for x in some]).tobytes() for k in (1, 2))
+            n = small(np.concatenate([x[3] for x in some]))
+            row = (task, seq, -1, ids, held, role, n, len(code), small(code), word[one].tobytes(), None, None)
+            return pd.DataFrame([row], columns=NAMES)
+
         for b in batches:
             ids, held, role = b["doc_id"].tolist(), b["held_out"].to_numpy(np.uint8), b["role"].to_numpy(np.uint8)
             for lo, hi, doc, word in tokens(b["text"].tolist(), hasher):
-                code, one = distinct(word)
-                n = np.bincount(doc, minlength=hi - lo)
-                row = (task, seq, -1, ids[lo:hi], held[lo:hi].tobytes(), role[lo:hi].tobytes(), small(n), len(code), small(code), word[one].tobytes(), None, None)
-                yield pd.DataFrame([row], columns=NAMES)
-                seq += 1
+                some.append((ids[lo:hi], held[lo:hi], role[lo:hi], np.bincount(doc, minlength=hi - lo), word))
+                size += len(word)
+                if size >= SLICE:
+                    yield whole()
+                    seq, some, size = seq + 1, [], 0
+        if some:
+            yield whole()
 
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out", "role")
     return saved(own.mapInPandas(run, SLICES), "lm-slices", TEXTS // 4)
 
 
-def asked(words: np.ndarray, code: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words, then pairs of a slice: first part of their kind, keys, per token
-    which key it is, and the keys' order by part."""
+def asked(words: np.ndarray, code: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words, then pairs of a slice: first part of their kind, keys in order, per
+    token which of the keys, as they were, it is, their order, and where the parts begin."""
     before, pair, one = pairs_in(code, len(words))
     joint = mix64(words[before[one]] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[code[one]]))
     for first, keys, which in ((0, words, code), (parts, joint, pair)):
-        yield first, keys, which, np.argsort(part_of(keys, parts), kind="stable")
+        order = np.argsort(keys, kind="stable")
+        yield first, keys[order], which, order, np.searchsorted(part_of(keys[order], parts), np.arange(parts + 1))
+
+
+def own_counts(r, which: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a slice's keys in its counted texts, and in its deleted ones."""
+    of = np.repeat(np.frombuffer(r.role, np.uint8), wide(r.n, len(r.ids)))
+    return tuple(np.bincount(which[of == k], minlength=keys) for k in (1, 2))
 
 
 def asks(found: DataFrame, parts: int) -> DataFrame:
@@ -179,28 +216,25 @@ def asks(found: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                of = np.repeat(np.frombuffer(r.role, np.uint8), wide(r.n, len(r.ids)))
                 rows = []
-                for first, keys, which, order in asked(np.frombuffer(r.words, np.uint64), wide(r.code, r.size), parts):
-                    a, h = (np.bincount(which[of == k], minlength=len(keys)) for k in (1, 2))
-                    cut = np.searchsorted(part_of(keys, parts)[order], np.arange(parts + 1))
-                    for p in range(parts):
-                        s = order[cut[p] : cut[p + 1]]
-                        if len(s):
-                            rows.append((r.task, r.seq, first + p, keys[s].tobytes(), small(a[s]), small(h[s])))
+                for first, keys, which, order, cut in asked(np.frombuffer(r.words, np.uint64), wide(r.code, r.size), parts):
+                    a, h = (x[order] for x in own_counts(r, which, len(keys)))
+                    for p in np.flatnonzero(np.diff(cut)):
+                        s = slice(cut[p], cut[p + 1])
+                        rows.append((r.task, r.seq, first + p, planes(np.diff(keys[s], prepend=np.uint64(0))), small(a[s]), small(h[s])))
                 yield pd.DataFrame(rows, columns=["task", "seq", "part", "words", "a", "h"])
 
     return found.mapInPandas(run, "task int, seq long, part int, words binary, a binary, h binary")
 
 
 def answers(wanted: DataFrame, parts: int) -> DataFrame:
-    """Each slice's keys' counts in the corpus, in the order asked; and rows of
+    """What other slices have of each slice's keys, in the order asked; and rows of
     task -1 with the totals (n, v, na, va) of a range of words."""
 
     def whole(rows: list) -> Iterator[pd.DataFrame]:
         some, known, size = [], [], 0
         for r in rows:
-            keys = np.frombuffer(r.words, np.uint64)
+            keys = hashes(r.words)
             some.append((keys, wide(r.a, len(keys)), wide(r.h, len(keys))))
             size += len(keys)
             if size > FLUSH + 2 * (len(known[0][0]) if known else 0):
@@ -209,12 +243,12 @@ def answers(wanted: DataFrame, parts: int) -> DataFrame:
         on = a + h > 0
         if rows[0].part < parts:
             sums = [(a + h).sum(), on.sum(), a.sum(), (a > 0).sum()]
-            yield pd.DataFrame([(-1, 0, rows[0].part, np.array(sums, np.int64).tobytes(), b"")], columns=["task", "seq", "part", "a", "h"])
+            yield pd.DataFrame([(-1, rows[0].part, rows[0].part, np.array(sums, np.int64).tobytes(), b"")], columns=["task", "seq", "part", "a", "h"])
         for k in range(0, len(rows), AT_ONCE):
             out = []
             for r in rows[k : k + AT_ONCE]:
-                at = np.searchsorted(keys, np.frombuffer(r.words, np.uint64))
-                out.append((r.task, r.seq, r.part, small(a[at]), small(h[at])))
+                at = np.searchsorted(keys, hashes(r.words))
+                out.append((r.task, r.seq, r.part, small(a[at] - wide(r.a, len(at))), small(h[at] - wide(r.h, len(at)))))
             yield pd.DataFrame(out, columns=["task", "seq", "part", "a", "h"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,22 +263,21 @@ def answers(wanted: DataFrame, parts: int) -> DataFrame:
             yield from whole(rows)
 
     dealt = wanted.repartition(2 * parts, "part").sortWithinPartitions("part")
-    return saved(dealt.mapInPandas(run, "task int, seq long, part int, a binary, h binary"), "lm-answers", AT_ONCE)
+    return dealt.mapInPandas(run, "task int, seq long, part int, a binary, h binary")
 
 
 def joined(found: DataFrame, got: DataFrame, parts: int) -> DataFrame:
     """Slices with the counts of their words (words) and pairs (a); h holds the
-    deleted tokens as cells of EM: (cell, count)."""
+    deleted tokens as cells of EM: (cell, count). The totals come along."""
 
     def whole(r, rest: list) -> pd.DataFrame:
         words, code = np.frombuffer(r.words, np.uint64), wide(r.code, r.size)
         counts = []
-        for first, keys, which, order in asked(words, code, parts):
+        for first, keys, which, order, cut in asked(words, code, parts):
             mine = [x for x in rest if first <= x.part < first + parts]
-            cut = np.bincount(part_of(keys, parts), minlength=parts)
-            a, h = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            a[order] = np.concatenate([wide(x.a, cut[x.part - first]) for x in mine])
-            h[order] = np.concatenate([wide(x.h, cut[x.part - first]) for x in mine])
+            a, h = own_counts(r, which, len(keys))
+            a[order] += np.concatenate([wide(x.a, cut[x.part - first + 1] - cut[x.part - first]) for x in mine])
+            h[order] += np.concatenate([wide(x.h, cut[x.part - first + 1] - cut[x.part - first]) for x in mine])
             counts.append((a, h))
         (wa, wh), (pa, ph) = counts
         before, pair, _ = pairs_in(code, len(words))
@@ -257,7 +290,9 @@ def joined(found: DataFrame, got: DataFrame, parts: int) -> DataFrame:
         at, rest = None, []
         for b in batches:
             for r in b.itertuples(index=False):
-                if r.part < 0:  # a slice comes before its answers
+                if r.task < 0:
+                    yield pd.DataFrame([(-1, r.seq, r.part, *[None] * 4, 0, None, None, r.a, None)], columns=NAMES)
+                elif r.part < 0:  # a slice comes before its answers
                     if at is not None:
                         yield whole(at, rest)
                     at, rest = r, []
@@ -266,7 +301,7 @@ def joined(found: DataFrame, got: DataFrame, parts: int) -> DataFrame:
         if at is not None:
             yield whole(at, rest)
 
-    own = got.where("task >= 0").withColumn("size", F.lit(0))
+    own = got.withColumn("size", F.lit(0))
     every = found.unionByName(own, allowMissingColumns=True).select(*NAMES)
     dealt = every.repartition(parts, "task", "seq").sortWithinPartitions("task", "seq", "part")
     return saved(dealt.mapInPandas(run, SLICES), "lm-known", AT_ONCE)
@@ -287,8 +322,8 @@ def expectation_maximisation(bucket, weight, shares, steps: int = 60) -> np.ndar
     return mix
 
 
-def learn(known: DataFrame, got: DataFrame) -> dict:
-    sums = got.where("task < 0").select("a").mapInPandas(
+def learn(known: DataFrame) -> dict:
+    sums = known.where("task < 0").select("a").mapInPandas(
         lambda batches: (pd.DataFrame([np.frombuffer(x, np.int64) for x in b["a"]], columns=["n", "v", "na", "va"]) for b in batches), "n long, v long, na long, va long"
     )
     r = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "na", "va"))).first()
@@ -300,7 +335,7 @@ def learn(known: DataFrame, got: DataFrame) -> dict:
                 yield pd.DataFrame({"cell": cell, "n": n})
 
     # cells are bins, so they don't grow with the corpus
-    rows = known.select("h").mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = known.where("task >= 0").select("h").mapInPandas(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     cell, weight = np.array([x["cell"] for x in rows], np.int64), np.array([x["n"] for x in rows], float)
     bucket, word, share = cell // BINS**2, cell // BINS % BINS, cell % BINS
     two = np.where(share > 0, 2.0 ** ((1 - share) / 8), 0.0)
@@ -324,7 +359,8 @@ def score(docs: DataFrame, part_bytes: float = PART_BYTES) -> DataFrame:
     found = slices(roles(docs))
     got = answers(asks(found, parts), parts)
     known = joined(found, got, parts)
-    model = learn(known, got)
+    model = learn(known)
+    known = known.where("task >= 0")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
