@@ -20,8 +20,9 @@ for ``TURNS`` turns or until one links nothing. These turns only join cheaply
 what is near a head. The texts of large buckets that are of several classes
 even then meet on their rarest shingles: the common part of two near texts is
 at least ``least`` of the weight of each, so its rarest shingle comes, in order
-of rarity, after at most 1 - ``least`` of the weight of either. All pairs of
-different classes that share such a shingle go on, unless the weight left from
+of rarity, after at most 1 - ``least`` of the weight of either. (Any one order of
+all shingles will do for that; how common one is gets counted by cells of its
+hash, a table of a fixed size.) All pairs of different classes that share such a shingle go on, unless the weight left from
 there, or the bits in which the parities of the shingle counts differ, rule the
 similarity out; a shingle of many texts is dealt in cuts of ``CUT``. No near
 pair that shares a bucket is left out, whatever the bucket's size.
@@ -44,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import TEXTS, saved, text_keys
+from quire.llm.common import TEXTS, batches_of, saved, text_keys
 from quire.llm.components import components
 from quire.llm.spans import Words, distinct
 
@@ -54,6 +55,7 @@ BANDS, ROWS = 26, 5
 SMALL = 32
 TURNS = 2
 CUT = 1000
+CELLS = 1 << 20  # of hash, in which shingles are counted to order them
 LONGS = 8  # of parity bits
 PAIRS = 500  # checked at a time
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -223,19 +225,64 @@ def stars(members: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return members.join(groups, by).where("root <> head.root").select(F.col("head.id").alias("u"), F.col("id").alias("v"))
 
 
+def rarity(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How common the shingles of ``texts`` are, and whether several classes
+    have them, by cell of their hash: two arrays of CELLS bytes at any size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, low, high = np.zeros(CELLS, np.int64), np.full(CELLS, np.iinfo(np.int64).max), np.full(CELLS, np.iinfo(np.int64).min)
+        for b in batches:
+            cell = cell_of(np.concatenate(b["hashes"].to_list()))
+            root = np.repeat(b["root"].to_numpy(), b["hashes"].map(len))
+            np.add.at(n, cell, 1)
+            np.minimum.at(low, cell, root)
+            np.maximum.at(high, cell, root)
+        on = np.flatnonzero(n)
+        for k in range(0, len(on), 1 << 16):
+            some = on[k : k + (1 << 16)]
+            yield pd.DataFrame({"cell": some, "n": n[some], "low": low[some], "high": high[some]})
+
+    held = texts.select("root", "hashes").mapInPandas(run, "cell int, n long, low long, high long")
+    each = held.groupBy("cell").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("several"))
+    found = each.select("cell", F.round(8 * F.log2("n")).cast("int").alias("rank"), "several").toPandas()  # at most CELLS rows
+    rank, several = np.zeros(CELLS, np.uint16), np.zeros(CELLS, bool)
+    rank[found["cell"]], several[found["cell"]] = found["rank"], found["several"]
+    return rank, several
+
+
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes.view(np.uint64) ^ np.uint64(_ODD[3])) % np.uint64(CELLS)).astype(np.int64)
+
+
+def rarest(texts: DataFrame, rank: np.ndarray, several: np.ndarray, least: float) -> DataFrame:
+    """(shingle, id, root, weight, rest, bits): of each text the shingles of
+    several classes that come, the rarest first, within 1 - ``least`` of its
+    weight; rest is the weight from there on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            shingle, rest = [], []
+            for h, n in zip(b["hashes"], b["counts"]):
+                cell = cell_of(h)
+                order = np.lexsort((h, rank[cell]))
+                left = np.cumsum(n[order][::-1].astype(np.int64))[::-1]
+                keep = (left[0] - left <= (1 - least) * left[0] + 1e-6) & several[cell[order]]
+                shingle.append(h[order][keep])
+                rest.append(left[keep])
+            yield b[["id", "root", "weight", "bits"]].assign(shingle=shingle, rest=rest)
+
+    found = texts.mapInPandas(run, "id long, root long, weight long, bits array<long>, shingle array<long>, rest array<long>")
+    each = found.withColumn("s", F.explode(F.arrays_zip("shingle", "rest")))
+    return saved(each.select(F.col("s.shingle").alias("shingle"), "id", "root", "weight", F.col("s.rest").alias("rest"), "bits"), "near-rarest", TEXTS)
+
+
 def rarest_pairs(members: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """All pairs of different classes of ``members`` (id, root, weight) that can
     be near, by the shingles that are rarest among the members."""
-    texts = table.join(members, "id")
-    held = texts.select("id", "root", "weight", F.explode(F.arrays_zip("hashes", "counts")).alias("s"))
-    held = saved(held.select("id", "root", "weight", F.col("s.hashes").alias("shingle"), F.col("s.counts").alias("count")), "near-held")
-    shared = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 1")
-    ranked = held.join(shared, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    earlier = Window.partitionBy("id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-    first = ranked.where((F.col("before") <= (1 - least) * F.col("weight") + 1e-6) & (F.col("r0") != F.col("r1")))
-    first = first.select("shingle", "id", "root", "weight", (F.col("weight") - F.col("before")).alias("rest")).join(table.select("id", "bits"), "id")
-    first = saved(first, "near-rarest")
+    texts = saved(table.join(members, "id").select("id", "root", "weight", "hashes", "counts", "bits"), "near-texts")
+    with batches_of(texts.sparkSession, TEXTS):
+        rank, several = rarity(texts)
+    first = rarest(texts, rank, several, least)
     groups = first.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / CUT).cast("int").alias("cuts"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     first = first.join(groups.where("r0 <> r1").select("shingle", "cuts"), "shingle")
     a = first.withColumn("cut", F.pmod(F.xxhash64("id"), "cuts").cast("int")).drop("cuts").alias("a")
