@@ -13,7 +13,7 @@ held-out counts most likely under the counts of the rest.
 
 Counting. Texts are written as slices of about ``SLICE`` tokens: codes of words, and
 the different words by hash. Each slice sends its different words and pairs, by hash
-range and in order of the hashes (as differences, by planes of bytes), with its
+range and in order of the hashes (as differences, by planes of bytes, compressed), with its
 counts of them, so a frequent word or pair is one entry a slice; the range adds
 up the counts and sends back what other slices have of them. The slices then score
 their texts by themselves. Every word, context and pair is counted, however rare. Only for
@@ -41,7 +41,7 @@ from quire.llm.common import TEXTS, fold, parts_for, saved
 from quire.llm.neardup import mix64
 from quire.llm.spans import BATCH_CHARS, WordHash, distinct
 
-PART_BYTES = 8e6
+PART_BYTES = 4e6
 BUCKETS = 48
 BINS = 512
 FLUSH = 200_000
@@ -148,6 +148,7 @@ def wide(data: bytes, n: int) -> np.ndarray:
 
 def hashes(data: bytes) -> np.ndarray:
     """Ascending hashes from the planes of their differences."""
+    data = zlib.decompress(data)
     return np.cumsum(unplaned(data, len(data) // 8), dtype=np.uint64)
 
 
@@ -173,6 +174,10 @@ def slices(docs: DataFrame) -> DataFrame:
 
         def whole() -> pd.DataFrame:
             code, one = distinct(word := np.concatenate([x[-1] for x in some]))
+            often = np.argsort(-np.bincount(code), kind="stable")  # small codes for frequent words
+            one, to = one[often], np.empty_like(often)
+            to[often] = np.arange(len(often))
+            code = to[code]
             ids = [i for x in some for i in x[0]]
             held, role = (np.concatenate([x[k] for x in some]).tobytes() for k in (1, 2))
             n = small(np.concatenate([x[3] for x in some]))
@@ -221,7 +226,7 @@ def asks(found: DataFrame, parts: int) -> DataFrame:
                     a, h = (x[order] for x in own_counts(r, which, len(keys)))
                     for p in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[p], cut[p + 1])
-                        rows.append((r.task, r.seq, first + p, planes(np.diff(keys[s], prepend=np.uint64(0))), small(a[s]), small(h[s])))
+                        rows.append((r.task, r.seq, first + p, zlib.compress(planes(np.diff(keys[s], prepend=np.uint64(0))), 1), small(a[s]), small(h[s])))
                 yield pd.DataFrame(rows, columns=["task", "seq", "part", "words", "a", "h"])
 
     return found.mapInPandas(run, "task int, seq long, part int, words binary, a binary, h binary")
