@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quire import schema as S
 from quire.functions.text import tokens
-from quire.session import new_table_path
+from quire.session import materialize, new_table_path, partitions_for
 
 
 def field_tokens(papers: DataFrame) -> DataFrame:
@@ -68,6 +68,23 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return per_doc.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def term_stats_of(tok: DataFrame) -> DataFrame:
+    """:func:`term_stats` from the stored tokens of documents: df from the distinct
+    tokens of each row, cf from all of them, so that only one row a token leaves a
+    task. Rows that share a DOI (or have none) are one document; only those are
+    brought together."""
+    shared = tok.groupBy("doi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doi").alias("_doi"))
+    shared = materialize(shared, "shared-dois")
+    again = F.col("doi").eqNullSafe(F.col("_doi"))
+    words = tok.select("doi", F.flatten("toks").alias("w"))
+    once, several = words.join(shared, again, "left_anti"), words.join(shared, again, "left_semi")
+    held = once.select(F.explode(F.array_distinct("w")).alias("token"))
+    held = held.unionByName(several.select("doi", F.explode("w").alias("token")).distinct().select("token"))
+    each = words.select(F.explode("w").alias("token"))
+    counts = held.select("token", F.lit(1).alias("df"), F.lit(0).alias("cf")).unionByName(each.select("token", F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    return counts.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(
         F.count(F.lit(1)).alias("n_docs"),
@@ -104,28 +121,22 @@ class Index:
         if self.tokens is not None:
             self.tokens.write.mode("errorifexists").parquet(f"{path}/tokens")
             self = Index.of_tokens(spark.read.parquet(f"{path}/tokens"))
-        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         (
-            self.postings.repartitionByRange(n, "token", "doi")
-            .sortWithinPartitions("token", "doi", "field", "pos")
-            .write.mode("errorifexists")
-            .parquet(f"{path}/postings")
-        )
-        (
-            self.docs.repartitionByRange(n, "doi")
+            self.docs.repartitionByRange(partitions_for(spark, self.docs.count()), "doi")
             .sortWithinPartitions("doi")
             .write.mode("errorifexists")
             .parquet(f"{path}/docs")
         )
-        saved_post = spark.read.parquet(f"{path}/postings")
         saved_docs = spark.read.parquet(f"{path}/docs")
+        n = partitions_for(spark, corpus_stats(saved_docs).first().n_tokens)
         (
-            term_stats(saved_post)
-            .repartitionByRange(n, "token")
-            .sortWithinPartitions("token")
+            self.postings.repartitionByRange(n, "token", "doi")
+            .sortWithinPartitions("token", "doi", "field", "pos")
             .write.mode("errorifexists")
-            .parquet(f"{path}/terms")
+            .parquet(f"{path}/postings")
         )
+        terms = term_stats(spark.read.parquet(f"{path}/postings")) if self.tokens is None else term_stats_of(self.tokens)
+        terms.repartitionByRange("token").sortWithinPartitions("token").write.mode("errorifexists").parquet(f"{path}/terms")
         corpus_stats(saved_docs).coalesce(1).write.mode("errorifexists").parquet(f"{path}/corpus")
         return replace(Index.load(spark, path), tokens=self.tokens)
 

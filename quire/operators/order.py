@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import materialize
+from quire.session import materialize, partitions_of
 
 
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], name: str = "position") -> DataFrame:
@@ -21,7 +21,8 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str
     each run's offset inside the group; only that small table is windowed.
     """
     keys = [*group_cols, *order_cols]
-    srt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    srt = df.repartitionByRange(partitions_of(df, *texts), *keys).sortWithinPartitions(*keys)
     tagged = srt.withColumn("_run", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     tagged = materialize(tagged, "positions")
     runs = tagged.groupBy("_run", *group_cols).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire import schema as S
+from quire.session import partitions_of
 
 # --- fixed values: seconds to wait after each failed try but the last ---------------
 WAITS = (10.0, 20.0, 40.0, 80.0)
@@ -124,7 +125,8 @@ def land_records(records: DataFrame, path: str) -> None:
     fields = [f for f in S.PAPER_FIELDS if f != "server"]
     record = F.struct(*[F.nullif(F.col(f), F.lit("")).alias(f) for f in fields])
     totals = records.groupBy(*_REQUEST[:3]).agg(F.count(F.lit(1)).cast("int").alias("total"))
-    pages = records.groupBy(*_REQUEST).agg(F.array_sort(F.collect_list(F.struct("idx", record.alias("r")))).alias("items"))
+    n = partitions_of(records, "title", "abstract")  # pages are gathered in sorted rows, so a task gets few of them
+    pages = records.repartition(n, *_REQUEST).groupBy(*_REQUEST).agg(F.array_sort(F.collect_list(F.struct("idx", record.alias("r")))).alias("items"))
     pages = pages.join(totals, _REQUEST[:3]).select(
         *_REQUEST, F.transform("items", lambda x: x["r"]).alias("collection"), F.array(F.struct("total")).alias("messages")
     )
