@@ -277,6 +277,25 @@ def _doubled(df: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
     return df, sizes
 
 
+CELLS = 20  # 2 ** 20 cells of 64 bits
+
+
+def _cell(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - CELLS)
+
+
+def _bit(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _cells(keys: DataFrame) -> DataFrame:
+    """(cell, bits): 2 ** 26 bits over the hashes of ``keys``, those with a key set;
+    at most 2 ** CELLS rows whatever the thesaurus."""
+    return keys.groupBy(_cell(F.col("hash")).alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")
+    )
+
+
 def annotate_docs(records: DataFrame, papers: DataFrame | None = None, toks: DataFrame | None = None) -> DataFrame:
     """(doi, term, hits): thesaurus terms of any length found in the indexed
     fields of ``papers`` (or of their stored tokens ``toks``), with counts.
@@ -286,8 +305,9 @@ def annotate_docs(records: DataFrame, papers: DataFrame | None = None, toks: Dat
     window if k = p). The windows of 1, 2, 4, ... tokens of all fields are hashed
     by doubling, joined to those of the terms by (p, hash), and a place with all
     windows of a term is a hit. No text is joined back, and rows are a small
-    multiple of the tokens (the logarithm of the longest term). Windows are told
-    apart by 64-bit hashes; two different ones agree with a chance of 2 ** -64."""
+    multiple of the tokens (the logarithm of the longest term). Only windows whose
+    bit is set in a table of fixed size, broadcast, are shuffled: those of terms, and a
+    few more. Windows are told apart by 64-bit hashes; two different ones agree with a chance of 2 ** -64."""
     terms = known_terms(records).select("term", tokens(F.col("term")).alias("tt")).where(F.size("tt") >= 1)
     spark = terms.sparkSession
     terms = terms.withColumns({"k": F.size("tt"), "p": F.pow(F.lit(2), F.floor(F.log2(F.size("tt")) + 1e-9)).cast("int")})
@@ -305,7 +325,11 @@ def annotate_docs(records: DataFrame, papers: DataFrame | None = None, toks: Dat
     fields, _ = _doubled(fields, most)
     by_size = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"h{p}").alias("w")) for p in sizes])
     windows = fields.select("doi", "field", F.explode(by_size).alias("x")).select("doi", "field", "x.p", F.posexplode("x.w").alias("pos", "hash"))
+    windows = windows.join(F.broadcast(_cells(keys)), _cell(F.col("hash")) == F.col("cell"))
+    windows = windows.where(F.getbit("bits", _bit(F.col("hash"))) == 1).drop("cell", "bits")
     found = windows.join(keys, ["p", "hash"]).select("doi", "term", "field", (F.col("pos") - F.col("offset")).alias("start"), "need")
-    one = found.where("need = 1").select("doi", "term")
-    two = found.where("need = 2").groupBy("doi", "term", "field", "start").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    return one.unionByName(two.select("doi", "term")).groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
+    # the place of a hit with one window does not matter, so those are one group a paper and term
+    place = [F.when(F.col("need") == 2, F.col(c)).alias(c) for c in ("field", "start")]
+    places = found.select("doi", "term", "need", *place).groupBy("doi", "term", "need", "field", "start").agg(F.count(F.lit(1)).alias("n"))
+    hits = places.select("doi", "term", F.when(F.col("need") == 1, F.col("n")).when(F.col("n") == 2, F.lit(1)).alias("n")).where("n is not null")
+    return hits.groupBy("doi", "term").agg(F.sum("n").alias("hits"))
