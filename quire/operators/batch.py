@@ -264,18 +264,9 @@ def driver_slots(program: Column, df: Column) -> Column:
     return _run(program, has, step, "struct<b: bigint, slots: array<int>>")["slots"]
 
 
-def phrase_hits(idx: Index, plans: Plans) -> DataFrame:
-    """(key, doi, tf): how often each phrase, and each member of a NEAR group
-    near the others, occurs in a document; 1 for a NEAR group (``...#``) as such.
-
-    Postings are cut to the tokens of the queries by one join; a start with all
-    tokens of a phrase is an occurrence. Each phrase is evaluated once."""
-    parts = plans.phrases.select(
-        "key", "prefix", "fields", "initial", F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
-    ).withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 1))
-    post = idx.postings.select("token", "doi", "field", "pos")
-    # The part table grows with the number of saved queries, so no broadcast
-    # hint: AQE broadcasts it only when its measured size allows.
+def _word_hits(post: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of ``post`` with the parts whose term they have or, for prefixes,
+    begin with."""
     hits = post.join(parts.where(~F.col("is_prefix")), F.col("token") == F.col("term"))
     # Prefixes become equi-joins on the token's leading characters, one key
     # per distinct prefix length (at most the longest word).
@@ -286,12 +277,60 @@ def phrase_hits(idx: Index, plans: Plans) -> DataFrame:
         heads = post.select("*", F.explode(head).alias("h")).where(F.length("token") >= F.col("h.plen"))
         same = (F.col("h.head") == F.col("term")) & (F.col("h.plen") == F.col("plen"))
         hits = hits.unionByName(heads.join(pre_terms, same).drop("h", "plen"))
+    return hits
+
+
+def _placed(hits: DataFrame) -> DataFrame:
+    """Hits with the start of their phrase, where that may be."""
     hits = hits.withColumn("start", F.col("pos") - F.col("j"))
     hits = hits.where((F.col("start") >= 0) & (~F.col("initial") | (F.col("start") == 0)))
-    hits = hits.where(F.col("fields").isNull() | F.array_contains("fields", F.col("field").cast("int")))
-    single = hits.where("k = 1").select("key", "doi", "field", "start", "k")
-    longer = hits.where("k > 1").groupBy("key", "doi", "field", "start", "k").agg(F.count(F.lit(1)).alias("n"))
-    occ = single.unionByName(longer.where("n = k").drop("n"))
+    return hits.where(F.col("fields").isNull() | F.array_contains("fields", F.col("field").cast("int")))
+
+
+def _units(parts: DataFrame, idx: Index) -> tuple[DataFrame, DataFrame]:
+    """The parts of phrases of several tokens that are looked up, and the rows
+    (doi, field, pos, token, next) to look them up in. With the tokens of the
+    documents at hand these are pairs of neighbours: two common words of a phrase
+    are seldom side by side, while each alone gives a row per occurrence and phrase.
+    Otherwise they are the postings, one token a part, with ``next`` null."""
+    if idx.tokens is None:
+        post = idx.postings.select("doi", "field", "pos", "token", F.lit(None).cast("string").alias("next"))
+        return parts.withColumn("term2", F.lit(None).cast("string")).withColumn("units", F.col("k")), post
+    pairs = parts.where("next_term is not null").withColumnRenamed("next_term", "term2").withColumn("units", F.col("k") - 1)
+    pairs = pairs.withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 2))
+    fields = idx.tokens.select("doi", F.posexplode("toks").alias("field", "t")).where(F.size("t") > 1)
+    n = F.size("t") - 1
+    zipped = F.arrays_zip(F.slice("t", F.lit(1), n).alias("token"), F.slice("t", F.lit(2), n).alias("next"))
+    rows = fields.select("doi", F.col("field").cast("tinyint").alias("field"), F.posexplode(zipped).alias("pos", "x"))
+    return pairs, rows.select("doi", "field", "pos", "x.token", "x.next")
+
+
+def phrase_hits(idx: Index, plans: Plans) -> DataFrame:
+    """(key, doi, tf): how often each phrase, and each member of a NEAR group
+    near the others, occurs in a document; 1 for a NEAR group (``...#``) as such.
+
+    Postings are cut to the words of the queries by one join; a start with all
+    pairs of neighbours of a phrase is an occurrence. Each phrase is evaluated once."""
+    parts = plans.phrases.select(
+        "key", "prefix", "fields", "initial", "toks", F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
+    ).withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 1))
+    ahead = F.when(F.col("j") < F.col("k") - 1, F.get("toks", F.col("j") + 1)).alias("next_term")
+    parts = parts.select("*", ahead).drop("toks")
+    post = idx.postings.select("token", "doi", "field", "pos")
+    # The part table grows with the number of saved queries, so no broadcast
+    # hint: AQE broadcasts it only when its measured size allows.
+    words = parts.where("k = 1")
+    single = _placed(_word_hits(post, words)).select("key", "doi", "field", "start", "k")
+    longer, rows = _units(parts.where("k > 1"), idx)
+    if idx.tokens is None:
+        found = _word_hits(rows, longer)
+    else:
+        whole = rows.join(longer.where(~F.col("is_prefix")), (F.col("token") == F.col("term")) & (F.col("next") == F.col("term2")))
+        begun = rows.join(longer.where("is_prefix"), (F.col("token") == F.col("term")) & F.startswith("next", "term2"))
+        found = whole.unionByName(begun)
+    longer = _placed(found).groupBy("key", "doi", "field", "start", "k", "units").agg(F.count(F.lit(1)).alias("n"))
+    longer = longer.where("n = units").drop("n", "units")
+    occ = single.unionByName(longer)
     tf = occ.groupBy("key", "doi").agg(F.count(F.lit(1)).alias("tf"))
     width = plans.nears.agg(F.max(F.size("members"))).first()[0]
     if width:
