@@ -287,22 +287,25 @@ def _placed(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("fields").isNull() | F.array_contains("fields", F.col("field").cast("int")))
 
 
-def _units(parts: DataFrame, idx: Index) -> tuple[DataFrame, DataFrame]:
-    """The parts of phrases of several tokens that are looked up, and the rows
-    (doi, field, pos, token, next) to look them up in. With the tokens of the
-    documents at hand these are pairs of neighbours: two common words of a phrase
-    are seldom side by side, while each alone gives a row per occurrence and phrase.
-    Otherwise they are the postings, one token a part, with ``next`` null."""
-    if idx.tokens is None:
-        post = idx.postings.select("doi", "field", "pos", "token", F.lit(None).cast("string").alias("next"))
-        return parts.withColumn("term2", F.lit(None).cast("string")).withColumn("units", F.col("k")), post
-    pairs = parts.where("next_term is not null").withColumnRenamed("next_term", "term2").withColumn("units", F.col("k") - 1)
-    pairs = pairs.withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 2))
-    fields = idx.tokens.select("doi", F.posexplode("toks").alias("field", "t")).where(F.size("t") > 1)
+def _pairs(parts: DataFrame, toks: DataFrame) -> DataFrame:
+    """Hits of the pairs of neighbours in phrases of several tokens. Two common words
+    of a phrase are seldom side by side, while each alone is found at each of its
+    occurrences, for each phrase it is in."""
+    pairs = parts.where("next_term is not null").withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 2))
+    fields = toks.select("doi", F.posexplode("toks").alias("field", "t")).where(F.size("t") > 1)
     n = F.size("t") - 1
     zipped = F.arrays_zip(F.slice("t", F.lit(1), n).alias("token"), F.slice("t", F.lit(2), n).alias("next"))
     rows = fields.select("doi", F.col("field").cast("tinyint").alias("field"), F.posexplode(zipped).alias("pos", "x"))
-    return pairs, rows.select("doi", "field", "pos", "x.token", "x.next")
+    rows = rows.select("doi", "field", "pos", "x.token", "x.next")
+    whole = rows.join(pairs.where(~F.col("is_prefix")), (F.col("token") == F.col("term")) & (F.col("next") == F.col("next_term")))
+    begun = rows.join(pairs.where("is_prefix"), (F.col("token") == F.col("term")) & F.startswith("next", "next_term"))
+    return whole.unionByName(begun)
+
+
+def _occurrences(hits: DataFrame, units: str) -> DataFrame:
+    """Starts with as many hits as the phrase has ``units``."""
+    each = _placed(hits).groupBy("key", "doi", "field", "start", "k").agg(F.count(F.lit(1)).alias("n"))
+    return each.where(f"n = {units}").drop("n")
 
 
 def phrase_hits(idx: Index, plans: Plans) -> DataFrame:
@@ -310,7 +313,7 @@ def phrase_hits(idx: Index, plans: Plans) -> DataFrame:
     near the others, occurs in a document; 1 for a NEAR group (``...#``) as such.
 
     Postings are cut to the words of the queries by one join; a start with all
-    pairs of neighbours of a phrase is an occurrence. Each phrase is evaluated once."""
+    tokens of a phrase, or all pairs of neighbours, is an occurrence. Each phrase is evaluated once."""
     parts = plans.phrases.select(
         "key", "prefix", "fields", "initial", "toks", F.size("toks").alias("k"), F.posexplode("toks").alias("j", "term")
     ).withColumn("is_prefix", F.col("prefix") & (F.col("j") == F.col("k") - 1))
@@ -321,15 +324,16 @@ def phrase_hits(idx: Index, plans: Plans) -> DataFrame:
     # hint: AQE broadcasts it only when its measured size allows.
     words = parts.where("k = 1")
     single = _placed(_word_hits(post, words)).select("key", "doi", "field", "start", "k")
-    longer, rows = _units(parts.where("k > 1"), idx)
+    several = parts.where("k > 1")
     if idx.tokens is None:
-        found = _word_hits(rows, longer)
+        longer = _occurrences(_word_hits(post, several), "k")
     else:
-        whole = rows.join(longer.where(~F.col("is_prefix")), (F.col("token") == F.col("term")) & (F.col("next") == F.col("term2")))
-        begun = rows.join(longer.where("is_prefix"), (F.col("token") == F.col("term")) & F.startswith("next", "term2"))
-        found = whole.unionByName(begun)
-    longer = _placed(found).groupBy("key", "doi", "field", "start", "k", "units").agg(F.count(F.lit(1)).alias("n"))
-    longer = longer.where("n = units").drop("n", "units")
+        # rows that share a DOI (or have none) are one document, as their postings are
+        shared = idx.docs.groupBy("doi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doi").alias("_doi"))
+        shared = materialize(shared, "shared-dois")
+        again = F.col("doi").eqNullSafe(F.col("_doi"))
+        longer = _occurrences(_pairs(several, idx.tokens.join(shared, again, "left_anti")), "k - 1")
+        longer = longer.unionByName(_occurrences(_word_hits(post.join(shared, again, "left_semi"), several), "k"))
     occ = single.unionByName(longer)
     tf = occ.groupBy("key", "doi").agg(F.count(F.lit(1)).alias("tf"))
     width = plans.nears.agg(F.max(F.size("members"))).first()[0]
