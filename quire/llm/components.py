@@ -2,8 +2,8 @@
 
 A large star links the larger neighbours of each node to its smallest one, a
 small star does so with the smaller neighbours; both keep connectivity, and
-when nothing changes every node points at the smallest of its component. All
-steps are a minimum per node (combined before the shuffle) and a join back, so
+once all edges point at nodes that point nowhere, those are the smallest of their
+components. All steps are a minimum per node (combined before the shuffle) and a join back, so
 a node with very many edges is never gathered anywhere.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import saved
+from quire.llm.common import last_stays, saved
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -28,17 +28,24 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of ``e`` has one edge (u, v), or only edges to it."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        e.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    nodes = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.agg(F.coalesce(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))), F.lit(False))).first()[0] is False
+
+
+@last_stays
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of ``edges`` (u long, v long) that has an edge
     to another node; root is the smallest id of its component."""
     tidy = lambda e: e.where("u <> v").distinct()
     e = saved(tidy(edges.where("u is not null and v is not null").select("u", "v")), "cc-0")
-    state = None
     while True:
         e = saved(tidy(_small(_large(e))), "cc")
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v") % 1000003)).first()
-        if now == state:
+        if _stars(e):
             return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
                 e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             )
-        state = now

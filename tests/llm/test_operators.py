@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import ann, chat, components, langid, lm, mixing, neardup, packing, suffix, topk, toxicity
+from quire.llm import ann, chat, common, components, langid, lm, mixing, neardup, packing, suffix, topk, toxicity
 from tests.llm.helpers import DOCS, fold, odd_documents, with_clashes, words, write
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -242,6 +243,36 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_rows_that_count_shingles_follow_the_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 7, rng.integers(0, 1 << 62, 3000).tolist()) for i in range(40)]
+    texts = spark.createDataFrame(rows, "root long, hashes array<long>").repartition(4)
+    held = neardup.cell_counts(texts)
+    assert held.count() <= 4 * neardup.CELLS // neardup.RANGE
+    n, roots = collections.Counter(), collections.defaultdict(set)
+    for root, hashes in rows:
+        for c in neardup.cell_of(np.array(hashes, np.int64)).tolist():
+            n[c] += 1
+            roots[c].add(root)
+    rank, several = neardup.rarity(texts)
+    assert {c: int(rank[c]) for c in n} == {c: round(8 * math.log2(k)) for c, k in n.items()}
+    assert set(np.flatnonzero(several).tolist()) == {c for c, r in roots.items() if len(r) > 1}
+
+
+def test_only_the_result_of_a_step_stays_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    texts = straddling_family(rng, 40) * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = suffix.with_keys(docs, "doc", "k1").select("doc_id", "text", "doc", "k1")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    found = neardup.classes(docs.select("doc_id", "text"), small=2)
+    assert [x.rsplit("-", 1)[0] for x in os.listdir(tmp_path)] == ["near-classes"]
+    assert found.count() == 40
+    spans = suffix.repeated_spans(docs.select("doc", "k1", "text"), 240, later=True)
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("suffix-classes")]
+    assert spans.count() > 0
+
+
 @pytest.mark.parametrize("window", [2048, 64])
 def test_packing(spark, odd, window):
     path = packing.default_tokenizer()
