@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold, saved
+from quire.llm.common import fold, last_stays, saved
 from quire.llm.spans import Words
 
 SAMPLE = 20_000
@@ -46,6 +46,7 @@ MAX_E = 0.05
 CACHE_WORDS = 300_000
 
 
+@last_stays
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of labelled documents outside the held-out fold."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
