@@ -6,7 +6,8 @@ Plan for one query (every step is a DataFrame operation):
    ``startswith`` for prefixes; both reach the parquet scan), joined to the
    broadcast phrase-term table (its size is bounded by the query text);
 2. each posting proposes a phrase start ``pos - j``; a start with all ``k``
-   phrase tokens is an occurrence (one aggregation, no k-way self-join);
+   phrase tokens is an occurrence (one aggregation, no k-way self-join; starts
+   of common words are dealt out first, as few rows fall together before that);
 3. NEAR groups: window functions per (doc, field) ordered by position find
    the nearest instance of every other member (no pairs are emitted);
 4. one aggregation per document gives phrase frequencies and NEAR flags; the
@@ -33,7 +34,9 @@ from pyspark.sql import types as T
 from quire import schema as S
 from quire.operators.index import Index
 from quire.plans.query import And, Near, Not, Nothing, Or, Phrase, QueryError
-from quire.session import literal_table
+from quire.session import literal_table, partitions_for, tasks_for
+
+START_BYTES = 160  # of a phrase start in an aggregation, besides its row
 
 
 @dataclass
@@ -86,9 +89,19 @@ _TERM_SCHEMA = T.StructType(
 )
 
 
-def occurrences(idx: Index, specs: list[Phrase], only: list[int] | None = None, docs: DataFrame | None = None) -> DataFrame:
+def occurrences(
+    idx: Index,
+    specs: list[Phrase],
+    only: list[int] | None = None,
+    docs: DataFrame | None = None,
+    cf: dict[str, int] | None = None,
+) -> DataFrame:
     """(doi, field, start, spec, len): every occurrence of the phrase specs
-    (those in ``only`` when given), optionally restricted to ``docs(doi)``."""
+    (those in ``only`` when given), optionally restricted to ``docs(doi)``.
+
+    ``cf`` (of :func:`token_stats`) says how many starts the phrases propose.
+    Where they are more than a task holds, they are dealt out by start before they
+    are counted, so that no task counts those of a whole file split."""
     spark = idx.postings.sparkSession
     exact_rows, prefix_rows = [], []
     for sid, ph in enumerate(specs):
@@ -135,9 +148,13 @@ def occurrences(idx: Index, specs: list[Phrase], only: list[int] | None = None,
     if 1 in lengths:
         out.append(hits.where(F.col("k") == 1).select("doi", "field", "start", "spec", F.col("k").alias("len")))
     if any(n > 1 for n in lengths):
+        starts = hits.where(F.col("k") > 1)
+        rows = sum((cf or {}).get(t, 0) for _, _, t, k, _, _ in exact_rows if k > 1)
+        rows += sum((cf or {}).get(t + "*", 0) for _, _, t, k, _, _ in prefix_rows if k > 1)
+        if tasks_for(rows, rows * START_BYTES) > 1:
+            starts = starts.repartition(partitions_for(spark, rows, rows * START_BYTES), "doi", "field", "start")
         out.append(
-            hits.where(F.col("k") > 1)
-            .groupBy("doi", "field", "start", "spec", "k")
+            starts.groupBy("doi", "field", "start", "spec", "k")
             .agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") == F.col("k"))
             .select("doi", "field", "start", "spec", F.col("k").alias("len"))
@@ -232,26 +249,24 @@ def simple_spec(ph: Phrase) -> bool:
     return len(ph.tokens) == 1 and not ph.prefix and ph.fields is None and not ph.initial
 
 
-def token_stats(idx: Index, specs: list[Phrase]) -> dict[str, int]:
-    """Stored df of the query's tokens, and for each prefix ``p`` the sum of
-    df over tokens starting with it under key ``p*`` (an upper bound of the
-    documents it matches). Prefix sums are aggregated on the executors, so
-    the driver receives one number per query token or prefix."""
+def token_stats(idx: Index, specs: list[Phrase]) -> tuple[dict[str, int], dict[str, int]]:
+    """Stored df and cf of the query's tokens, and for each prefix ``p`` their
+    sums over tokens starting with it under key ``p*`` (that of df is an upper
+    bound of the documents it matches). Prefix sums are aggregated on the
+    executors, so the driver receives two numbers per query token or prefix."""
     words = sorted({t for ph in specs for t in ph.tokens})
     prefixes = sorted({ph.tokens[-1] for ph in specs if ph.prefix and ph.tokens})
     if not words:
-        return {}
-    out = {r.token: int(r.df) for r in idx.terms.where(F.col("token").isin(words)).select("token", "df").collect()}
+        return {}, {}
+    found = idx.terms.where(F.col("token").isin(words)).select("token", "df", "cf").collect()
+    df, cf = {r.token: int(r.df) for r in found}, {r.token: int(r.cf) for r in found}
     if prefixes:
         cond = functools.reduce(operator.or_, [F.col("token").startswith(p) for p in prefixes])
-        sums = (
-            idx.terms.where(cond)
-            .agg(*[F.sum(F.when(F.col("token").startswith(p), F.col("df"))).alias(f"p{i}") for i, p in enumerate(prefixes)])
-            .collect()[0]
-        )
+        of = lambda c, p: F.sum(F.when(F.col("token").startswith(p), F.col(c)))
+        sums = idx.terms.where(cond).agg(*[of(c, p).alias(f"{c}{i}") for i, p in enumerate(prefixes) for c in ("df", "cf")]).collect()[0]
         for i, p in enumerate(prefixes):
-            out[p + "*"] = int(sums[f"p{i}"] or 0)
-    return out
+            df[p + "*"], cf[p + "*"] = int(sums[f"df{i}"] or 0), int(sums[f"cf{i}"] or 0)
+    return df, cf
 
 
 def doc_bound(node, specs_df) -> int:
@@ -286,12 +301,12 @@ def matched_docs(idx: Index, tree, *, score: bool = True) -> DataFrame:
     comp = compile_tree(tree)
     if not comp.specs:
         raise QueryError("query has no phrase")
-    stats = token_stats(idx, comp.specs)
+    stats, cf = token_stats(idx, comp.specs)
     docs = None
     if isinstance(tree, And) and len(tree.items) > 1:
         driver = min(tree.items, key=lambda x: doc_bound(x, stats))
         docs = matched_docs(idx, driver, score=False).select("doi")
-    occ = occurrences(idx, comp.specs, docs=docs)
+    occ = occurrences(idx, comp.specs, docs=docs, cf=cf)
     spec_tf = occ.groupBy("doi", "spec").agg(F.count(F.lit(1)).alias("tf"))
     rows = spec_tf.select("doi", F.format_string("s%d", "spec").alias("key"), F.col("tf").alias("value"))
     nrows = near_rows(occ, comp)
@@ -305,10 +320,10 @@ def matched_docs(idx: Index, tree, *, score: bool = True) -> DataFrame:
     out = per_doc.join(idx.docs, "doi")
     if not score:
         return out.select("doi", "dl", "date", "category")
-    return out.select("doi", "dl", "date", "category", bm25(idx, comp, stats).alias("score"))
+    return out.select("doi", "dl", "date", "category", bm25(idx, comp, stats, cf).alias("score"))
 
 
-def bm25(idx: Index, comp: Compiled, stats: dict[str, int]) -> Column:
+def bm25(idx: Index, comp: Compiled, stats: dict[str, int], cf: dict[str, int]) -> Column:
     """FTS-style BM25 (higher is better) summed over the query phrase list in
     order. Document frequencies: stored for single tokens; for phrases,
     prefixes and column-restricted terms one scalar subquery over their
@@ -316,7 +331,7 @@ def bm25(idx: Index, comp: Compiled, stats: dict[str, int]) -> Column:
     complex_ids = [i for i, ph in enumerate(comp.specs) if not simple_spec(ph)]
     dfmap = None
     if complex_ids:
-        occ_all = occurrences(idx, comp.specs, only=complex_ids)
+        occ_all = occurrences(idx, comp.specs, only=complex_ids, cf=cf)
         dfmap = (
             occ_all.groupBy("spec")
             .agg(F.count_distinct("doi").alias("df"))

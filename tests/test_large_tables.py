@@ -67,3 +67,26 @@ def test_phrases_of_common_words_are_looked_up_by_neighbours(spark, scratch, mak
     parts = plans.phrases.selectExpr("key", "prefix", "size(toks) as k", "posexplode(toks) as (j, term)", "toks").where("key = 'of the'")
     parts = parts.selectExpr("*", "get(toks, j + 1) as next_term")
     assert BA._pairs(parts.withColumn("is_prefix", F.lit(False)), idx.tokens).count() == 2  # of 9 places with either word
+
+
+def test_starts_of_common_words_are_dealt_before_they_are_counted(spark, monkeypatch, scratch, make_papers):
+    from quire.operators.match import matched_docs
+    from quire.plans import query as QP
+
+    texts = ["the cat of the house of the", "of the", "the of", None, "of theme", "of the of the of the"]
+    papers = make_papers([paper(doi=f"10.1101/{i % 5}" if i else None, abstract=t, title="") for i, t in enumerate(texts)])
+    idx = IX.build_and_save(papers, f"{scratch}/index")
+
+    def rows(text):
+        found = matched_docs(idx, QP.build(text))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.select("doi", "dl", F.round("score", 6)).collect()
+        return sorted(map(tuple, got), key=str), plan.count("REPARTITION_BY_NUM")
+
+    queries = ["of-the", '"of the"*', 'cat AND "of the"', 'NEAR("of the" house, 3)']
+    plain = [rows(q) for q in queries]
+    assert [n for _, n in plain] == [0] * 4 and plain[0][0]
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 10)
+    large = [rows(q) for q in queries]
+    assert [r for r, _ in large] == [r for r, _ in plain]
+    assert all(n > 0 for _, n in large)
