@@ -45,7 +45,7 @@ def fold(col: Column) -> Column:
 
 def tokens(col: Column) -> Column:
     """array<string> of tokens of a text column (null text -> empty array)."""
-    return F.filter(F.split(fold(F.coalesce(col, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(fold(F.coalesce(col, F.lit(""))), TOKEN_SPLIT), "")
 
 
 def tokenize_py(text: str) -> list[str]:

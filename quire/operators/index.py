@@ -11,12 +11,13 @@ Layout (all parquet, written once per build and then only read):
   paper table;
 * ``terms(token, df, cf)`` - documents and occurrences per token;
 * ``corpus(n_docs, n_tokens, avgdl)`` - one row;
-* ``tokens(doi, date, category, toks)`` - the tokens of every field in order,
-  written first, so that texts are tokenised once for the others.
+* ``tokens(doi, date, category, toks, dl)`` - the tokens of every field in order
+  and their number, written first, so that texts are tokenised once for the others.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 from quire import schema as S
 from quire.functions.text import tokens
-from quire.session import materialize, new_table_path, partitions_for
+from quire.session import materialize, new_table_path, partitions_for, tasks_for
+
+BYPASS = 200  # partitions up to which a shuffle is written without sorting (Spark's default)
+SPLIT_TASKS = 4  # tasks' worth of postings that one task makes from tokens
 
 
 def field_tokens(papers: DataFrame) -> DataFrame:
@@ -37,6 +41,16 @@ def field_tokens(papers: DataFrame) -> DataFrame:
     )
 
 
+def dealt(tok: DataFrame, n_tokens: int) -> DataFrame:
+    """``tok`` in partitions of bounded numbers of tokens. Beyond 200 partitions Spark
+    sorts what a task sends to a shuffle in memory, and a split of the stored tokens
+    has tens of millions of them."""
+    if tasks_for(n_tokens) <= BYPASS:
+        return tok
+    n = math.ceil(tasks_for(n_tokens) / SPLIT_TASKS)
+    return tok.repartition(n, F.xxhash64("doi", "toks"))
+
+
 def postings_from_tokens(tok: DataFrame) -> DataFrame:
     per_field = tok.select("doi", F.posexplode("toks").alias("field", "ftoks"))
     return per_field.select(
@@ -47,8 +61,9 @@ def postings_from_tokens(tok: DataFrame) -> DataFrame:
 
 
 def docs_from_tokens(tok: DataFrame) -> DataFrame:
-    dl = F.aggregate("toks", F.lit(0), lambda acc, a: acc + F.size(a))
-    return tok.select("doi", dl.alias("dl"), "date", "category")
+    """(doi, dl, date, category); stored tokens have their number beside them."""
+    dl = F.col("dl") if "dl" in tok.columns else F.size(F.flatten("toks")).alias("dl")
+    return tok.select("doi", dl, "date", "category")
 
 
 def build_postings(papers: DataFrame) -> DataFrame:
@@ -68,11 +83,11 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return per_doc.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def term_stats_of(tok: DataFrame) -> DataFrame:
+def term_stats_of(tok: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """:func:`term_stats` from the stored tokens of documents: df from the distinct
-    tokens of each row, cf from all of them, so that only one row a token leaves a
-    task. Rows that share a DOI (or have none) are one document; only those are
-    brought together."""
+    tokens of each row, cf from all of them (or from stored ``postings``, where equal
+    tokens lie side by side), so that only one row a token leaves a task. Rows that
+    share a DOI (or have none) are one document; only those are brought together."""
     shared = tok.groupBy("doi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doi").alias("_doi"))
     shared = materialize(shared, "shared-dois")
     again = F.col("doi").eqNullSafe(F.col("_doi"))
@@ -80,7 +95,7 @@ def term_stats_of(tok: DataFrame) -> DataFrame:
     once, several = words.join(shared, again, "left_anti"), words.join(shared, again, "left_semi")
     held = once.select(F.explode(F.array_distinct("w")).alias("token"))
     held = held.unionByName(several.select("doi", F.explode("w").alias("token")).distinct().select("token"))
-    each = words.select(F.explode("w").alias("token"))
+    each = words.select(F.explode("w").alias("token")) if postings is None else postings.select("token")
     counts = held.select("token", F.lit(1).alias("df"), F.lit(0).alias("cf")).unionByName(each.select("token", F.lit(0).alias("df"), F.lit(1).alias("cf")))
     return counts.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
@@ -119,7 +134,8 @@ class Index:
         """Write the tables and return an index that reads them back."""
         spark = self.postings.sparkSession
         if self.tokens is not None:
-            self.tokens.write.mode("errorifexists").parquet(f"{path}/tokens")
+            tok = self.tokens.withColumn("dl", F.size(F.flatten("toks")))
+            tok.write.mode("errorifexists").parquet(f"{path}/tokens")
             self = Index.of_tokens(spark.read.parquet(f"{path}/tokens"))
         (
             self.docs.repartitionByRange(partitions_for(spark, self.docs.count()), "doi")
@@ -128,14 +144,16 @@ class Index:
             .parquet(f"{path}/docs")
         )
         saved_docs = spark.read.parquet(f"{path}/docs")
-        n = partitions_for(spark, corpus_stats(saved_docs).first().n_tokens)
+        n_tokens = corpus_stats(saved_docs).first().n_tokens
+        n = partitions_for(spark, n_tokens)
+        postings = self.postings if self.tokens is None else postings_from_tokens(dealt(self.tokens, n_tokens))
         (
-            self.postings.repartitionByRange(n, "token", "doi")
+            postings.repartitionByRange(n, "token", "doi")
             .sortWithinPartitions("token", "doi", "field", "pos")
             .write.mode("errorifexists")
             .parquet(f"{path}/postings")
         )
-        terms = term_stats(spark.read.parquet(f"{path}/postings")) if self.tokens is None else term_stats_of(self.tokens)
+        terms = term_stats(spark.read.parquet(f"{path}/postings")) if self.tokens is None else term_stats_of(self.tokens, spark.read.parquet(f"{path}/postings"))
         terms.repartitionByRange("token").sortWithinPartitions("token").write.mode("errorifexists").parquet(f"{path}/terms")
         corpus_stats(saved_docs).coalesce(1).write.mode("errorifexists").parquet(f"{path}/corpus")
         return replace(Index.load(spark, path), tokens=self.tokens)

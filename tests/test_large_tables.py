@@ -90,3 +90,19 @@ def test_starts_of_common_words_are_dealt_before_they_are_counted(spark, monkeyp
     large = [rows(q) for q in queries]
     assert [r for r, _ in large] == [r for r, _ in plain]
     assert all(n > 0 for _, n in large)
+
+
+def test_tasks_that_make_postings_are_bounded(spark, monkeypatch, scratch, make_papers):
+    rows = [paper(doi=f"10.1101/{i // 2:04d}" if i % 7 else None, abstract=" ".join(f"w{j % 31}" for j in range(i, i + 40))) for i in range(60)]
+    plain = IX.build_and_save(make_papers(rows), f"{scratch}/plain")
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 10)
+    monkeypatch.setattr(IX, "BYPASS", 20)
+    made = []
+    deal = IX.dealt
+    monkeypatch.setattr(IX, "dealt", lambda tok, n: made.append((deal(tok, n), n)) or made[-1][0])
+    split = IX.build_and_save(make_papers(rows), f"{scratch}/split")
+    (tok, n), = made
+    assert n == 60 * 42 and tok.rdd.getNumPartitions() >= n * session.ROW_BYTES / (IX.SPLIT_TASKS << 10)
+    for table in ("postings", "docs", "terms", "corpus"):
+        a, b = getattr(plain, table), getattr(split, table)
+        assert a.schema == b.schema and not a.exceptAll(b).count() and not b.exceptAll(a).count()
