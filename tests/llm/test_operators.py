@@ -347,6 +347,34 @@ def test_repeated_passages_are_brute_force(spark):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_a_passage_in_most_documents_is_no_task_of_its_own(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = words(rng, 100)
+    rows = [(i, passage if i < 2400 else words(rng, 80), "en", "a", 0) for i in range(3000)]
+    folder = write(spark, documents=(DOCS, rows))
+    sizes, join = [], suffix.with_kinds
+
+    def measured(marks, kinds, reached):
+        found = join(marks, kinds, reached)
+        per_task = found.groupBy(F.spark_partition_id()).count()
+        sizes.extend(r["count"] for r in per_task.collect())
+        assert found.count() == marks.join(kinds, ["gram", "context"]).count()
+        return found
+
+    monkeypatch.setattr(suffix, "with_kinds", measured)
+    monkeypatch.setattr(suffix, "PIECE_ROWS", 50)
+    own = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(own, ("64", "false", "-1")):
+            spark.conf.set(k, v)
+        got = suffix.op7_repeated_passages(spark, folder).collect()
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    assert len(got) == 3000 and all((r.n_removed == r.n_bytes) == (r.doc_id < 2400) for r in got)
+    assert max(sizes) < sum(sizes) / 10
+
+
 def test_first_copies_stay(spark):
     rng = random.Random(14)
     passage = words(rng, 80)
