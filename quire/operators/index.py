@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from quire import schema as S
 from quire.functions.text import tokens
-from quire.session import materialize, new_table_path, partitions_for, tasks_for
+from quire.operators.packed import sorted_postings
+from quire.session import STORED, lean, materialize, new_table_path, partitions_for, tasks_for
 
-BYPASS = 200  # partitions up to which a shuffle is written without sorting (Spark's default)
+BYPASS = 6400  # partitions up to which a task's packed postings are few (3 bytes each, 96 as rows)
 SPLIT_TASKS = 4  # tasks' worth of postings that one task makes from tokens
 
 
@@ -43,8 +44,8 @@ def field_tokens(papers: DataFrame) -> DataFrame:
 
 def dealt(tok: DataFrame, n_tokens: int) -> DataFrame:
     """``tok`` in partitions of bounded numbers of tokens. Beyond 200 partitions Spark
-    sorts what a task sends to a shuffle in memory, and a split of the stored tokens
-    has tens of millions of them."""
+    sorts what a task sends to a shuffle in memory; packed postings of a split of the
+    stored tokens are small until there are some thousands."""
     if tasks_for(n_tokens) <= BYPASS:
         return tok
     n = math.ceil(tasks_for(n_tokens) / SPLIT_TASKS)
@@ -132,29 +133,34 @@ class Index:
 
     def save(self, path: str) -> Index:
         """Write the tables and return an index that reads them back."""
+        with lean(self.postings.sparkSession):
+            return self._save(path)
+
+    def _save(self, path: str) -> Index:
         spark = self.postings.sparkSession
         if self.tokens is not None:
             tok = self.tokens.withColumn("dl", F.size(F.flatten("toks")))
-            tok.write.mode("errorifexists").parquet(f"{path}/tokens")
+            tok.write.mode("errorifexists").options(**STORED).parquet(f"{path}/tokens")
             self = Index.of_tokens(spark.read.parquet(f"{path}/tokens"))
         (
             self.docs.repartitionByRange(partitions_for(spark, self.docs.count()), "doi")
             .sortWithinPartitions("doi")
             .write.mode("errorifexists")
+            .options(**STORED)
             .parquet(f"{path}/docs")
         )
         saved_docs = spark.read.parquet(f"{path}/docs")
-        n_tokens = corpus_stats(saved_docs).first().n_tokens
-        n = partitions_for(spark, n_tokens)
-        postings = self.postings if self.tokens is None else postings_from_tokens(dealt(self.tokens, n_tokens))
-        (
-            postings.repartitionByRange(n, "token", "doi")
-            .sortWithinPartitions("token", "doi", "field", "pos")
-            .write.mode("errorifexists")
-            .parquet(f"{path}/postings")
-        )
+        size = corpus_stats(saved_docs).first()
+        n = partitions_for(spark, size.n_tokens)
+        if self.tokens is None:
+            key = ["token", "doi", "field", "pos"]
+            postings = self.postings.repartitionByRange(n, *key[:2]).sortWithinPartitions(*key)
+        else:
+            postings = sorted_postings(dealt(self.tokens, size.n_tokens), n, size.n_docs, size.n_tokens)
+        postings.write.mode("errorifexists").options(**STORED).parquet(f"{path}/postings")
         terms = term_stats(spark.read.parquet(f"{path}/postings")) if self.tokens is None else term_stats_of(self.tokens, spark.read.parquet(f"{path}/postings"))
-        terms.repartitionByRange("token").sortWithinPartitions("token").write.mode("errorifexists").parquet(f"{path}/terms")
+        terms = terms.repartitionByRange("token").sortWithinPartitions("token")
+        terms.write.mode("errorifexists").options(**STORED).parquet(f"{path}/terms")
         corpus_stats(saved_docs).coalesce(1).write.mode("errorifexists").parquet(f"{path}/corpus")
         return replace(Index.load(spark, path), tokens=self.tokens)
 

@@ -16,6 +16,7 @@ the factored form:
 from __future__ import annotations
 
 import functools
+import math
 import warnings
 from collections.abc import Iterable
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quire import schema as S
 from quire.functions.text import tokens
 from quire.operators.index import field_tokens
-from quire.session import literal_table, materialize
+from quire.session import STORED, lean, literal_table, materialize, new_table_path
 from quire.sources.tables import read_table
 
 # --- fixed values: seed descriptor groups (record id, term) ------------------------
@@ -277,59 +278,116 @@ def _doubled(df: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
     return df, sizes
 
 
-CELLS = 20  # 2 ** 20 cells of 64 bits
+CELL = 12  # 2 ** 12 bits a cell
+BITS = (26, 29)  # least and most bits of a table, as powers of two (8 MB, 64 MB)
+BITS_A_KEY = 64
+COMMON = 1 << 18  # one-word terms that are broadcast
+TURNS = 4  # in which the hits of those are counted, so that a fourth is in shuffle files at a time
 
 
-def _cell(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - CELLS)
+def _cells(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(cell, words): a table of bits over ``n`` hashes, those of a key set, and the
+    number of bits as a power of two. About 64 bits a key up to 64 MB, whatever the
+    thesaurus."""
+    bits = min(max(math.ceil(math.log2(max(n, 1) * BITS_A_KEY)), BITS[0]), BITS[1])
+    h = F.col("hash")
+    keys = hashes.select(F.shiftrightunsigned(h, 64 - bits + CELL).alias("cell"), _word(h).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
+    words = keys.groupBy("cell", "word").agg(F.bit_or("bit").alias("bits"))
+    cells = words.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit((1 << CELL - 6) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return cells.select("cell", every.alias("words")), bits
 
 
-def _bit(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(63)).cast("int")
+def _word(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << CELL - 6) - 1)).cast("int")
 
 
-def _cells(keys: DataFrame) -> DataFrame:
-    """(cell, bits): 2 ** 26 bits over the hashes of ``keys``, those with a key set;
-    at most 2 ** CELLS rows whatever the thesaurus."""
-    return keys.groupBy(_cell(F.col("hash")).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")
-    )
+def _maybe(rows: DataFrame, h: Column, cells: DataFrame, bits: int) -> DataFrame:
+    """The rows whose hash ``h`` has its bit set: those of the keys, and a few more."""
+    rows = rows.withColumn("_cell", F.shiftrightunsigned(h, 64 - bits + CELL))
+    rows = rows.join(F.broadcast(cells), F.col("_cell") == F.col("cell"))
+    set_ = F.getbit(F.get("words", _word(h)), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.where(set_).drop("_cell", "cell", "words")
+
+
+def _mixed(k: Column, h: Column) -> Column:
+    return F.xxhash64(h, k, F.lit(SEED))
+
+
+def _term_keys(terms: DataFrame, most: int) -> DataFrame:
+    """(term, k, p, first, hash) of terms (term, tt, k, p): the hash of the first window
+    of p tokens, and of the whole term by its first and last one."""
+    keys, sizes = _doubled(terms.withColumn("h1", F.transform("tt", lambda t: F.xxhash64(t))), most)
+    windows = functools.reduce(lambda rest, p: F.when(F.col("p") == p, F.col(f"h{p}")).otherwise(rest), sizes[1:], F.col("h1"))
+    keys = keys.select("term", "k", "p", windows.alias("w")).select("term", "k", "p", F.get("w", F.lit(0)).alias("first"), F.get("w", F.col("k") - F.col("p")).alias("last"))
+    return keys.select("term", "k", "p", "first", F.when(F.col("k") == F.col("p"), F.col("first")).otherwise(F.xxhash64("first", "last", F.lit(SEED))).alias("hash"))
+
+
+def _common_hits(keys: DataFrame, words: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The one-word terms among ``keys`` (of ``n``, at most ``COMMON``: those met most
+    often), and their hits (doi, term, hits). Most hits are theirs; they are broadcast,
+    so that a task counts them where it reads the ``words`` (doi, hash), documents in turns."""
+    common = keys.where("k = 1").select("term", "hash")
+    if n > COMMON:
+        met = words.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        common = common.join(met, "hash").orderBy(F.desc("n"), "term").limit(COMMON).select("term", "hash")
+    common = materialize(common, "common-terms")
+    spark, path = keys.sparkSession, new_table_path(keys.sparkSession, "common-hits")
+    with lean(spark):
+        for i in range(TURNS):
+            own = words.where(F.pmod(F.xxhash64("doi"), F.lit(TURNS)) == i)
+            hits = own.join(F.broadcast(common), "hash").groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
+            hits.write.mode("append").options(**STORED).parquet(path)
+    return common, spark.read.parquet(path)
 
 
 def annotate_docs(records: DataFrame, papers: DataFrame | None = None, toks: DataFrame | None = None) -> DataFrame:
     """(doi, term, hits): thesaurus terms of any length found in the indexed
     fields of ``papers`` (or of their stored tokens ``toks``), with counts.
 
-    A term of k tokens is known by its windows of p tokens, p being the largest
-    power of two up to k: the first and the last, which cover it together (one
-    window if k = p). The windows of 1, 2, 4, ... tokens of all fields are hashed
-    by doubling, joined to those of the terms by (p, hash), and a place with all
-    windows of a term is a hit. No text is joined back, and rows are a small
-    multiple of the tokens (the logarithm of the longest term). Only windows whose
-    bit is set in a table of fixed size, broadcast, are shuffled: those of terms, and a
-    few more. Windows are told apart by 64-bit hashes; two different ones agree with a chance of 2 ** -64."""
+    A term of k tokens is known by its first and last windows of p tokens, p being the
+    largest power of two up to k, which cover it together (one window if k = p). The
+    windows of 1, 2, 4, ... tokens of all fields are hashed by doubling; where one may be
+    the first of a term, it is put together with the window at the other end for each k
+    that terms have, and what may be a whole term then is joined to the terms by (k, hash).
+    So a row is shuffled for a whole term that is met, not for each term that shares a
+    window, of which common windows have ever more. "May be" is a bit in a table of
+    bounded size, broadcast. Terms of one word, which make most of the hits, are broadcast
+    too, up to a fixed number. Hashes have 64 bits; two different windows agree with a
+    chance of 2 ** -64."""
     terms = known_terms(records).select("term", tokens(F.col("term")).alias("tt")).where(F.size("tt") >= 1)
     spark = terms.sparkSession
     terms = terms.withColumns({"k": F.size("tt"), "p": F.pow(F.lit(2), F.floor(F.log2(F.size("tt")) + 1e-9)).cast("int")})
     most = terms.agg(F.max("p")).first()[0]
     if not most:
         return literal_table(spark, [], "doi string, term string, hits long")
-    keys, sizes = _doubled(terms.withColumn("h1", F.transform("tt", lambda t: F.xxhash64(t))), most)
-    windows = functools.reduce(lambda rest, p: F.when(F.col("p") == p, F.col(f"h{p}")).otherwise(rest), sizes[1:], F.col("h1"))
-    keys = keys.select("term", "k", "p", windows.alias("w"))
-    offset = F.explode(F.array_distinct(F.array(F.lit(0), F.col("k") - F.col("p")))).alias("offset")
-    keys = keys.select("term", "p", F.when(F.col("k") > F.col("p"), 2).otherwise(1).alias("need"), "w", offset)
-    keys = materialize(keys.select("term", "p", "need", "offset", F.col("w")[F.col("offset")].alias("hash")), "term-windows")
+    keys = materialize(_term_keys(terms, most), "term-windows")
     fields = (field_tokens(papers) if toks is None else toks).select("doi", F.posexplode("toks").alias("field", "t"))
-    fields = fields.where(F.size("t") > 0).select("doi", "field", F.transform("t", lambda t: F.xxhash64(t)).alias("h1"))
-    fields, _ = _doubled(fields, most)
+    words = fields.select("doi", F.explode("t").alias("t")).select("doi", F.xxhash64("t").alias("hash"))
+    lengths = {(r.p, r.k): r.n for r in keys.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length
+    common, hits = _common_hits(keys, words, lengths.get((1, 1), 0))
+    if lengths.get((1, 1), 0) <= COMMON:
+        lengths.pop((1, 1), None)
+    if not lengths:
+        return hits
+    keys = materialize(keys.join(common.select("term"), "term", "left_anti"), "rest-terms")
+    n = sum(lengths.values())
+    firsts = materialize(_cells(keys.select(F.col("first").alias("hash")), n)[0], "first-bits")
+    wholes = materialize(_cells(keys.select(_mixed(F.col("k"), F.col("hash")).alias("hash")), n)[0], "term-bits")
+    bits = _cells(keys, n)[1]
+
+    fields = fields.where(F.size("t") > 0).select("doi", F.transform("t", lambda t: F.xxhash64(t)).alias("h1"))
+    fields, sizes = _doubled(fields, most)
+    sizes = [p for p in sizes if any(p == q for q, _ in lengths)]
     by_size = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"h{p}").alias("w")) for p in sizes])
-    windows = fields.select("doi", "field", F.explode(by_size).alias("x")).select("doi", "field", "x.p", F.posexplode("x.w").alias("pos", "hash"))
-    windows = windows.join(F.broadcast(_cells(keys)), _cell(F.col("hash")) == F.col("cell"))
-    windows = windows.where(F.getbit("bits", _bit(F.col("hash"))) == 1).drop("cell", "bits")
-    found = windows.join(keys, ["p", "hash"]).select("doi", "term", "field", (F.col("pos") - F.col("offset")).alias("start"), "need")
-    # the place of a hit with one window does not matter, so those are one group a paper and term
-    place = [F.when(F.col("need") == 2, F.col(c)).alias(c) for c in ("field", "start")]
-    places = found.select("doi", "term", "need", *place).groupBy("doi", "term", "need", "field", "start").agg(F.count(F.lit(1)).alias("n"))
-    hits = places.select("doi", "term", F.when(F.col("need") == 1, F.col("n")).when(F.col("n") == 2, F.lit(1)).alias("n")).where("n is not null")
-    return hits.groupBy("doi", "term").agg(F.sum("n").alias("hits"))
+    windows = fields.select("doi", F.explode(by_size).alias("x")).select("doi", "x.p", "x.w", F.posexplode("x.w").alias("pos", "first"))
+    windows = _maybe(windows, F.col("first"), firsts, bits)
+    ks = {p: F.array(*[F.lit(k) for q, k in sorted(lengths) if q == p]) for p in sizes}
+    ks = functools.reduce(lambda rest, p: F.when(F.col("p") == p, ks[p]).otherwise(rest), sizes[1:], ks[sizes[0]])
+    windows = windows.withColumn("k", F.explode(ks))
+    last = F.get("w", F.col("pos") + F.col("k") - F.col("p"))
+    whole = F.when(F.col("k") == F.col("p"), F.col("first")).when(last.isNotNull(), F.xxhash64("first", last, F.lit(SEED)))
+    found = windows.select("doi", "k", whole.alias("hash")).where("hash is not null")
+    found = _maybe(found, _mixed(F.col("k"), F.col("hash")), wholes, bits)
+    rest = found.join(keys.select("term", "k", "hash"), ["k", "hash"]).groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.unionByName(rest)

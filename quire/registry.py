@@ -48,12 +48,13 @@ def ctx(spark: SparkSession, sf_dir: str) -> Ctx:
 def store_papers(p: DataFrame) -> DataFrame:
     """The paper table as stored: written once to the shared folder, range
     partitioned and sorted by DOI, so DOI lookups skip row groups."""
-    from quire.session import new_table_path, partitions_of
+    from quire.session import STORED, lean, new_table_path, partitions_of
 
     spark = p.sparkSession
     path = new_table_path(spark, "papers")
     n = partitions_of(p, "title", "abstract")
-    p.repartitionByRange(n, "doi").sortWithinPartitions("doi").write.parquet(path)
+    with lean(spark):
+        p.repartitionByRange(n, "doi").sortWithinPartitions("doi").write.options(**STORED).parquet(path)
     return spark.read.parquet(path)
 
 

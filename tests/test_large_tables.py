@@ -106,3 +106,61 @@ def test_tasks_that_make_postings_are_bounded(spark, monkeypatch, scratch, make_
     for table in ("postings", "docs", "terms", "corpus"):
         a, b = getattr(plain, table), getattr(split, table)
         assert a.schema == b.schema and not a.exceptAll(b).count() and not b.exceptAll(a).count()
+
+
+def _rows_of_joins(df):
+    """Rows that the joins of ``df`` gave, once it was collected."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        if name in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin"):
+            found.append(node.metrics().apply("numOutputRows").value())
+    return found
+
+
+@pytest.mark.parametrize("common", [TH.COMMON, 1])
+def test_windows_that_many_terms_share_make_no_rows(spark, monkeypatch, common):
+    monkeypatch.setattr(TH, "COMMON", common)
+    terms = [f"the of x{i}" for i in range(200)] + [f"the of in y{i}" for i in range(100)] + ["the of", "of the", "the of in to and", "the", "thé", "of", "to"]
+    records = spark.createDataFrame([(f"r{i // 2}", t) for i, t in enumerate([*terms, "no such term"])], "record_id string, term string")
+    toks = [("a", [["the", "of"] * 150, "the of in to and".split(), []]), ("a", [["the", "of", "x7"], ["the"], ["of"]]), (None, [["the", "of", "in", "y3"], ["in", "to"]])]
+    got = TH.annotate_docs(records, toks=spark.createDataFrame(toks, "doi string, toks array<array<string>>"))
+    want = {("a", "the"): 153, ("a", "thé"): 153, ("a", "of"): 153, ("a", "to"): 1, ("a", "the of"): 152, ("a", "of the"): 149, ("a", "the of x7"): 1, ("a", "the of in to and"): 1}
+    want |= {(None, "the"): 1, (None, "thé"): 1, (None, "of"): 1, (None, "to"): 1, (None, "the of"): 1, (None, "the of in y3"): 1}
+    rows = got.collect()
+    assert {(r.doi, r.term): r.hits for r in rows} == want and len(rows) == len(want)
+    joins = _rows_of_joins(got)
+    assert joins and max(joins) < 2000  # 300 terms begin with "the of", at 153 places
+
+
+def test_packed_postings_equal_plain_ones(spark, monkeypatch):
+    from quire.operators import packed as PK
+
+    words = ["a", "ä", "zz", "日本", "the", "the", "the", "0", "é" * 40]
+    rows = [(None if i % 9 == 0 else "" if i == 1 else f"10.1101/{i // 2:03d}\n", [[words[(i * j) % len(words)] for j in range(i % 23)], [], ["the"] * (i % 4)]) for i in range(120)]
+    tok = spark.createDataFrame([*rows, ("none", [])], "doi string, toks array<array<string>>").repartition(3)
+    plain = IX.postings_from_tokens(tok)
+    n = plain.count()
+    for held in (PK.HELD, 40):
+        monkeypatch.setattr(PK, "HELD", held)
+        got = PK.sorted_postings(tok, 12, 121, n)
+        assert got.dtypes == plain.dtypes and got.count() == n
+        assert not got.exceptAll(plain).count() and not plain.exceptAll(got).count()
+        parts = got.select(F.spark_partition_id().alias("i"), F.struct("token", F.coalesce("doi", F.lit("")).alias("doi")).alias("k")).groupBy("i").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("i").collect()
+        assert len(parts) > 6 and all(x.b < y.a for x, y in zip(parts, parts[1:]))
+        runs = [(r.i, r.token, r.doi is not None, r.doi or "", r.field, r.pos) for r in got.withColumn("i", F.spark_partition_id()).collect()]
+        assert runs == sorted(runs)
+    assert PK.sorted_postings(tok.limit(0), 3, 0, 0).count() == 0
+
+
+def test_an_index_leaves_no_shuffle_files_and_no_settings(spark, scratch, make_papers):
+    import os
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for top in manager.localDirsString() for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    before, own = files(), [spark.conf.get(k) for k in session._LEAN]
+    IX.build_and_save(R.store_papers(make_papers([paper(doi=f"10.1101/{i}", abstract=f"alpha w{i}") for i in range(50)])), f"{scratch}/index")
+    assert not files() - before and [spark.conf.get(k) for k in session._LEAN] == own
