@@ -16,7 +16,6 @@ the factored form:
 from __future__ import annotations
 
 import functools
-import math
 import warnings
 from collections.abc import Iterable
 
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quire import schema as S
 from quire.functions.text import tokens
+from quire.operators.bits import bit_table, maybe
 from quire.operators.index import field_tokens
 from quire.session import STORED, lean, literal_table, materialize, new_table_path
 from quire.sources.tables import read_table
@@ -278,38 +278,10 @@ def _doubled(df: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
     return df, sizes
 
 
-CELL = 12  # 2 ** 12 bits a cell
-BITS = (26, 29)  # least and most bits of a table, as powers of two (8 MB, 64 MB)
-BITS_A_KEY = 64
 COMMON = 1 << 18  # one-word terms that are broadcast
 TURNS = 4  # in which the hits of those are counted, so that a fourth is in shuffle files at a time
 
 
-def _cells(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(cell, words): a table of bits over ``n`` hashes, those of a key set, and the
-    number of bits as a power of two. About 64 bits a key up to 64 MB, whatever the
-    thesaurus."""
-    bits = min(max(math.ceil(math.log2(max(n, 1) * BITS_A_KEY)), BITS[0]), BITS[1])
-    h = F.col("hash")
-    keys = hashes.select(F.shiftrightunsigned(h, 64 - bits + CELL).alias("cell"), _word(h).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
-    words = keys.groupBy("cell", "word").agg(F.bit_or("bit").alias("bits"))
-    cells = words.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    every = F.transform(F.sequence(F.lit(0), F.lit((1 << CELL - 6) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
-    return cells.select("cell", every.alias("words")), bits
-
-
-def _word(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << CELL - 6) - 1)).cast("int")
-
-
-def _maybe(rows: DataFrame, h: Column, cells: DataFrame, bits: int) -> DataFrame:
-    """The rows whose hash ``h`` has its bit set: those of the keys, and a few more."""
-    rows = rows.withColumn("_cell", F.shiftrightunsigned(h, 64 - bits + CELL))
-    rows = rows.join(F.broadcast(cells), F.col("_cell") == F.col("cell"))
-    set_ = F.getbit(F.get("words", _word(h)), h.bitwiseAND(F.lit(63)).cast("int")) == 1
-    return rows.where(set_).drop("_cell", "cell", "words")
-
-
 def _mixed(k: Column, h: Column) -> Column:
     return F.xxhash64(h, k, F.lit(SEED))
 
@@ -372,22 +344,21 @@ def annotate_docs(records: DataFrame, papers: DataFrame | None = None, toks: Dat
         return hits
     keys = materialize(keys.join(common.select("term"), "term", "left_anti"), "rest-terms")
     n = sum(lengths.values())
-    firsts = materialize(_cells(keys.select(F.col("first").alias("hash")), n)[0], "first-bits")
-    wholes = materialize(_cells(keys.select(_mixed(F.col("k"), F.col("hash")).alias("hash")), n)[0], "term-bits")
-    bits = _cells(keys, n)[1]
+    firsts = bit_table(keys.select("first"), n, "first-bits")
+    wholes = bit_table(keys.select(_mixed(F.col("k"), F.col("hash"))), n, "term-bits")
 
     fields = fields.where(F.size("t") > 0).select("doi", F.transform("t", lambda t: F.xxhash64(t)).alias("h1"))
     fields, sizes = _doubled(fields, most)
     sizes = [p for p in sizes if any(p == q for q, _ in lengths)]
     by_size = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"h{p}").alias("w")) for p in sizes])
     windows = fields.select("doi", F.explode(by_size).alias("x")).select("doi", "x.p", "x.w", F.posexplode("x.w").alias("pos", "first"))
-    windows = _maybe(windows, F.col("first"), firsts, bits)
+    windows = maybe(windows, F.col("first"), firsts)
     ks = {p: F.array(*[F.lit(k) for q, k in sorted(lengths) if q == p]) for p in sizes}
     ks = functools.reduce(lambda rest, p: F.when(F.col("p") == p, ks[p]).otherwise(rest), sizes[1:], ks[sizes[0]])
     windows = windows.withColumn("k", F.explode(ks))
     last = F.get("w", F.col("pos") + F.col("k") - F.col("p"))
     whole = F.when(F.col("k") == F.col("p"), F.col("first")).when(last.isNotNull(), F.xxhash64("first", last, F.lit(SEED)))
     found = windows.select("doi", "k", whole.alias("hash")).where("hash is not null")
-    found = _maybe(found, _mixed(F.col("k"), F.col("hash")), wholes, bits)
+    found = maybe(found, _mixed(F.col("k"), F.col("hash")), wholes)
     rest = found.join(keys.select("term", "k", "hash"), ["k", "hash"]).groupBy("doi", "term").agg(F.count(F.lit(1)).alias("hits"))
     return hits.unionByName(rest)

@@ -395,7 +395,7 @@ def q_upsert_merge(spark, sf_dir):
 def q_index_upsert(spark, sf_dir):
     c = ctx(spark, sf_dir)
     incoming = U.dedup_latest(colliding_batch(spark, sf_dir))
-    post = U.index_upsert(c.index.postings, incoming)
+    post = U.index_upsert(c.index.postings, incoming, c.index.docs)
     return post.select("token", "doi", F.col("field").cast("long").alias("field"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -413,7 +413,7 @@ def q_index_delete(spark, sf_dir):
     toxic = read_table(spark, sf_dir, "labels").where("toxic = 1").select(
         F.concat(F.lit("10.1101/"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("doi")
     )
-    post = U.index_delete(c.index.postings, toxic)
+    post = U.index_delete(c.index.postings, toxic, c.index.docs)
     return post.select("token", "doi", F.col("field").cast("long").alias("field"), F.col("pos").cast("long").alias("pos"))
 
 

@@ -164,3 +164,27 @@ def test_an_index_leaves_no_shuffle_files_and_no_settings(spark, scratch, make_p
     before, own = files(), [spark.conf.get(k) for k in session._LEAN]
     IX.build_and_save(R.store_papers(make_papers([paper(doi=f"10.1101/{i}", abstract=f"alpha w{i}") for i in range(50)])), f"{scratch}/index")
     assert not files() - before and [spark.conf.get(k) for k in session._LEAN] == own
+
+
+@pytest.mark.parametrize("bits", [26, 12])
+def test_removed_papers_go_without_a_shuffle_of_the_postings(spark, monkeypatch, bits):
+    from quire.operators import bits as BI
+    from quire.operators import upsert as U
+
+    dois = [None if i == 7 else f"10.1101/{i // 2}" for i in range(4000)]
+    tok = spark.createDataFrame([(d, [["sea", f"w{i % 5}"], ["ice"]]) for i, d in enumerate(dois)], "doi string, toks array<array<string>>")
+    tok = tok.withColumn("date", F.lit("")).withColumn("category", F.lit(""))
+    postings, docs = IX.postings_from_tokens(tok), IX.docs_from_tokens(tok)
+    removed = spark.createDataFrame([(None,), ("10.1101/none",), *[(f"10.1101/{i}",) for i in range(0, 2000, 3)], ("10.1101/0",)], "doi string")
+    want = postings.join(removed, "doi", "left_anti").select(postings.columns)
+    few = U.index_delete(postings, removed, docs).select(postings.columns)
+    monkeypatch.setattr(U, "FEW", 10)
+    monkeypatch.setattr(BI, "BITS", (bits, bits))
+    got = U.index_delete(postings, removed, docs).select(postings.columns)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    for rows in (few, got):
+        assert rows.count() == want.count() and not rows.exceptAll(want).count() and not want.exceptAll(rows).count()
+    sides = got._jdf.queryExecution().optimizedPlan().children()
+    assert sides.size() == 2 and "LeftAnti" not in sides.apply(0).toString()  # those told by bits alone
+    joined = sides.apply(1).toString()
+    assert joined.count("LeftAnti") == 1 and joined.index("LeftAnti") < joined.index("getbit")  # after the bits
