@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schema as S
@@ -32,14 +32,14 @@ BYPASS = 6400  # partitions up to which a task's packed postings are few (3 byte
 SPLIT_TASKS = 4  # tasks' worth of postings that one task makes from tokens
 
 
+def tokens_of_fields() -> Column:
+    """array<array<string>>: tokens per indexed field of a paper."""
+    return F.array(*[tokens(F.col(f)) for f in S.INDEX_FIELDS])
+
+
 def field_tokens(papers: DataFrame) -> DataFrame:
     """(doi, date, category, toks array<array<string>>): tokens per indexed field."""
-    return papers.select(
-        "doi",
-        "date",
-        "category",
-        F.array(*[tokens(F.col(f)) for f in S.INDEX_FIELDS]).alias("toks"),
-    )
+    return papers.select("doi", "date", "category", tokens_of_fields().alias("toks"))
 
 
 def dealt(tok: DataFrame, n_tokens: int) -> DataFrame:
@@ -96,7 +96,11 @@ def term_stats_of(tok: DataFrame, postings: DataFrame | None = None) -> DataFram
     once, several = words.join(shared, again, "left_anti"), words.join(shared, again, "left_semi")
     held = once.select(F.explode(F.array_distinct("w")).alias("token"))
     held = held.unionByName(several.select("doi", F.explode("w").alias("token")).distinct().select("token"))
-    each = words.select(F.explode("w").alias("token")) if postings is None else postings.select("token")
+    return counted(held, words.select(F.explode("w").alias("token")) if postings is None else postings)
+
+
+def counted(held: DataFrame, each: DataFrame) -> DataFrame:
+    """(token, df, cf) from a row for each document with a token, and for each token."""
     counts = held.select("token", F.lit(1).alias("df"), F.lit(0).alias("cf")).unionByName(each.select("token", F.lit(0).alias("df"), F.lit(1).alias("cf")))
     return counts.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HELD = 2_000_000  # tokens that a task packs at a time
@@ -27,7 +27,7 @@ SEED = 7
 POSTINGS = "token string, doi string, field tinyint, pos int"
 
 
-def bounds(tok: DataFrame, n: int, n_docs: int, n_tokens: int) -> list[tuple[str, str]]:
+def bounds(rows: DataFrame, toks: Column, n: int, n_docs: int, n_tokens: int) -> list[tuple[str, str]]:
     """Up to ``n`` - 1 places that cut (token, doi) into even ranges, from a sample as
     in Spark's own range partitioning."""
     if n < 2 or not n_tokens:
@@ -35,8 +35,8 @@ def bounds(tok: DataFrame, n: int, n_docs: int, n_tokens: int) -> list[tuple[str
     wanted = min(SAMPLE * n, MOST)
     docs = min(1.0, max(DOCS, wanted / 10) * 1.2 / n_docs)
     words = min(1.0, wanted * 1.2 / (docs * n_tokens))
-    some = tok.sample(docs, SEED) if docs < 1 else tok
-    some = some.select(F.coalesce("doi", F.lit("")).alias("doi"), F.explode(F.flatten("toks")).alias("token"))
+    some = rows.sample(docs, SEED) if docs < 1 else rows
+    some = some.select(F.coalesce("doi", F.lit("")).alias("doi"), F.explode(F.flatten(toks)).alias("token"))
     found = (some.sample(words, SEED) if words < 1 else some).select("token", "doi").toArrow()
     found = found.sort_by([("token", "ascending"), ("doi", "ascending")])
     at = np.unique(np.arange(1, n) * found.num_rows // n)
@@ -167,11 +167,11 @@ def unpack(batches):
                 yield pa.RecordBatch.from_arrays(columns, ["token", "doi", "field", "pos"])
 
 
-def sorted_postings(tok: DataFrame, n: int, n_docs: int, n_tokens: int) -> DataFrame:
-    """The postings of documents (doi, toks) in ``n`` ranges of (token, doi), sorted by
-    token, doi, field and pos in each."""
-    rows = tok.select("doi", "toks")
-    cuts = bounds(rows, n, n_docs, n_tokens)
-    packed = rows.mapInArrow(pack(cuts, HELD), "part int, packed binary")
+def sorted_postings(rows: DataFrame, n: int, n_docs: int, n_tokens: int, toks: Column | None = None) -> DataFrame:
+    """The postings of documents in ``n`` ranges of (token, doi), sorted by token, doi,
+    field and pos in each. ``toks``: their tokens by field, else the column of that name."""
+    toks = F.col("toks") if toks is None else toks
+    cuts = bounds(rows, toks, n, n_docs, n_tokens)
+    packed = rows.select("doi", toks.alias("toks")).mapInArrow(pack(cuts, HELD), "part int, packed binary")
     dealt = packed.repartitionById(len(cuts) + 1, F.col("part"))
     return dealt.select("packed").mapInArrow(unpack, POSTINGS).sortWithinPartitions("token", "doi", "field", "pos")

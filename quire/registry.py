@@ -344,7 +344,7 @@ def q_paper_count(spark, sf_dir):
 from quire.operators import upsert as U  # noqa: E402
 from quire.operators.order import positions  # noqa: E402
 from quire.plans import sync as SY  # noqa: E402
-from quire.session import materialize, new_table_path  # noqa: E402
+from quire.session import last_stays, materialize, new_table_path  # noqa: E402
 from quire.sources.store import Store  # noqa: E402
 
 # Sync runs over the paper view use this as "today".
@@ -459,7 +459,8 @@ def q_bulk_sync_result(spark, sf_dir):
     RESUME_CURSOR is in."""
     store = Store(spark, new_table_path(spark, "bulk-store"))
     store.publish(None, state={S.STATE_BULK_CURSOR: RESUME_CURSOR})
-    recs = materialize(api_records(paper_view(spark, sf_dir), TODAY, RESUME_CURSOR), "bulk-records")
+    with last_stays(spark):
+        recs = materialize(api_records(paper_view(spark, sf_dir), TODAY, RESUME_CURSOR), "bulk-records")
     SY.run_bulk(store, lambda start, end: recs.where(F.col("date").between(start, end)), TODAY)
     state = store.state()
     return store.papers().agg(

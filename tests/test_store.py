@@ -120,3 +120,40 @@ def test_replaced_papers_come_from_a_lookup(spark, scratch, make_papers, monkeyp
     assert [(r.doi, {t.token: t.tf for t in r.tokens}.get("t7")) for r in found.collect()] == [("10.5555/7", 1)]
     store.commit(make_papers([paper(doi="10.5555/7", title="other"), paper(doi="10.5555/41", title="t7")]))
     _same_as_rebuilt(store)
+
+
+def _shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {x for top in manager.localDirsString() for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+
+
+def test_a_bulk_run_leaves_its_segments_and_nothing_else(spark, scratch, make_papers):
+    days = [f"2013-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in (3, 13, 23)]
+    rows = [paper(doi=f"10.5555/{i % 40}", title=f"word{i} sea sea", abstract="ice " * (i % 5), date=days[i % len(days)], server="medrxiv" if i % 3 else "biorxiv") for i in range(90)]
+    rows += [paper(doi="10.5555/empty", title="", date=d) for d in (days[0], days[-1])]
+    recs = make_papers(rows).withColumn("cursor", F.lit(0)).withColumn("idx", F.col("arrival").cast("int"))
+    recs.write.parquet(f"{scratch}/records")
+    recs = spark.read.parquet(f"{scratch}/records")
+    before = _shuffle_files(spark)
+    store = Store(spark, f"{scratch}/table", max_segments=2)
+    SY.run_bulk(store, lambda start, end: recs.where(F.col("date").between(start, end)), "2013-04-15")
+    assert not _shuffle_files(spark) - before
+    papers = store.papers().collect()
+    assert len(papers) == len({r.doi for r in papers}) == 41  # the paper without a word too is there once
+    _same_as_rebuilt(store)
+    for segment in store.version()["segments"]:
+        assert set(os.listdir(f"{scratch}/table/{segment['name']}")) <= {"papers", "docs", "postings", "terms", "lost", "replaced"}
+
+
+def test_bulk_records_are_kept_once(spark):
+    import glob
+
+    from conftest import SF_SMALL
+    from quire import registry as R
+    from quire.session import shared_dir
+
+    kept = lambda: {p for p in glob.glob(f"{shared_dir(spark).removeprefix('file:')}/positions-*")}
+    before = kept()
+    (row,) = R.q_bulk_sync_result(spark, SF_SMALL).collect()
+    assert row.paper_count > 0 and row.last_sync_date == R.TODAY and row.bulk_sync_cursor is None
+    assert kept() == before
