@@ -158,11 +158,15 @@ def test_packed_postings_equal_plain_ones(spark, monkeypatch):
 
 def test_an_index_leaves_no_shuffle_files_and_no_settings(spark, scratch, make_papers):
     import os
+    import time
 
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: {x for top in manager.localDirsString() for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
     before, own = files(), [spark.conf.get(k) for k in session._LEAN]
     IX.build_and_save(R.store_papers(make_papers([paper(doi=f"10.1101/{i}", abstract=f"alpha w{i}") for i in range(50)])), f"{scratch}/index")
+    until = time.time() + 30
+    while files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
     assert not files() - before and [spark.conf.get(k) for k in session._LEAN] == own
 
 

@@ -1,6 +1,7 @@
 """The segment store: several streams, page order, tiers, point lookups."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,9 @@ def test_a_bulk_run_leaves_its_segments_and_nothing_else(spark, scratch, make_pa
     before = _shuffle_files(spark)
     store = Store(spark, f"{scratch}/table", max_segments=2)
     SY.run_bulk(store, lambda start, end: recs.where(F.col("date").between(start, end)), "2013-04-15")
+    until = time.time() + 30
+    while _shuffle_files(spark) - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
     assert not _shuffle_files(spark) - before
     papers = store.papers().collect()
     assert len(papers) == len({r.doi for r in papers}) == 41  # the paper without a word too is there once
